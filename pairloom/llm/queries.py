@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import decision_list, url_rules
+from pairloom.llm import decision_list, sentencepiece_codec, url_rules, winnow
 from pairloom.sources.tables import table
 
 
+#: Where the tokenizer's model lies, on the driver only; the pieces travel with the tasks.
+PIECES = os.environ.get("PAIRLOOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("item_ids")
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), sentencepiece_codec.Pieces.load(PIECES))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = decision_list.learn(docs, table(spark, sf_dir, "labels"))
@@ -21,8 +35,8 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_quality_rules": op5_quality_rules, "op10_url_filters": op10_url_filters}
+    return {f.__name__: f for f in (op2_benchmark_decontamination, op3_sentencepiece, op5_quality_rules, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filters": url_rules.oracle()}
+    return {"op2_benchmark_decontamination": winnow.ORACLE, "op10_url_filters": url_rules.oracle()}
