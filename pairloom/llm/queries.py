@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import decision_list, sentencepiece_codec, url_rules, winnow
+from pairloom.llm import decision_list, html_template, sentencepiece_codec, url_rules, winnow
 from pairloom.sources.tables import table
 
 
@@ -15,6 +15,10 @@ from pairloom.sources.tables import table
 PIECES = os.environ.get("PAIRLOOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("item_ids")
@@ -35,7 +39,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_benchmark_decontamination, op3_sentencepiece, op5_quality_rules, op10_url_filters)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_benchmark_decontamination, op3_sentencepiece, op5_quality_rules, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
