@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import decision_list, html_template, sentencepiece_codec, url_rules, winnow
+from pairloom.llm import decision_list, hamming_dedup, html_template, sentencepiece_codec, url_rules, winnow
 from pairloom.sources.tables import table
 
 
@@ -28,6 +28,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), sentencepiece_codec.Pieces.load(PIECES))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = decision_list.learn(docs, table(spark, sf_dir, "labels"))
@@ -39,8 +43,8 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_benchmark_decontamination, op3_sentencepiece, op5_quality_rules, op10_url_filters)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_benchmark_decontamination, op3_sentencepiece, op4_minhash_near_dedup, op5_quality_rules, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": winnow.ORACLE, "op10_url_filters": url_rules.oracle()}
+    return {"op2_benchmark_decontamination": winnow.ORACLE, "op4_minhash_near_dedup": hamming_dedup.ORACLE, "op10_url_filters": url_rules.oracle()}
