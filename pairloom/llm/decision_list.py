@@ -20,8 +20,9 @@ from pairloom.sources.tables import written
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-#: Statistics that a rule may test, each a share or a mean so that thresholds hold at any length.
-FEATURES = ("n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "exclaim_share", "digit_share", "distinct_share")
+#: Statistics that a rule may test, each a share or a mean so that thresholds hold at any length. (The share of distinct words would fall
+#: with the length of clean texts.)
+FEATURES = ("n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "exclaim_share", "digit_share", "adjacent_share")
 
 
 @dataclass(frozen=True)
@@ -73,7 +74,7 @@ def base_statistics(docs: DataFrame) -> DataFrame:
             "n_symbols": (F.length("text_") - F.length(F.translate("text_", SYMBOLS, ""))).cast("long"),
             "n_dup_lines": (F.size("lines_") - F.size(F.array_distinct("lines_"))).cast("long"),
             "n_lines_": F.size("lines_"),
-            "n_distinct_": F.size(F.array_distinct("words_")),
+            "n_adjacent_": F.expr("size(filter(words_, (w, i) -> w = get(words_, i - 1)))"),
             "n_upper_": count(r"\p{Lu}+"),
             "n_exclaim_": count("!+"),
             "n_digit_": count("[0-9]+"),
@@ -89,7 +90,7 @@ def base_statistics(docs: DataFrame) -> DataFrame:
             "upper_share": share("n_upper_", "word_chars"),
             "exclaim_share": share("n_exclaim_", "word_chars"),
             "digit_share": share("n_digit_", "word_chars"),
-            "distinct_share": share("n_distinct_", "n_words"),
+            "adjacent_share": share("n_adjacent_", "n_words"),
             "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
         }
     )

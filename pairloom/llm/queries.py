@@ -5,12 +5,18 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pairloom.llm import decision_list, hamming_dedup, html_template, sentencepiece_codec, url_rules, winnow
+from pairloom.llm import decision_list, hamming_dedup, html_template, line_crf, pii_crf, sentencepiece_codec, url_rules, winnow
 from pairloom.sources.tables import table
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii_crf.find(docs, pii_crf.learn(docs))
+
+
 #: Where the tokenizer's model lies, on the driver only; the pieces travel with the tasks.
 PIECES = os.environ.get("PAIRLOOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
@@ -38,12 +44,23 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.judge(docs.select("doc_id", "text"), rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def fold(n: int) -> Column:
+    """crc32 of doc_id as text, modulo n; 0 for a null doc_id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n, F.lit(0))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = line_crf.learn(docs, labels.where(fold(3) != 1))
+    return line_crf.score(docs, model).select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_benchmark_decontamination, op3_sentencepiece, op4_minhash_near_dedup, op5_quality_rules, op10_url_filters)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_benchmark_decontamination, op3_sentencepiece, op4_minhash_near_dedup, op5_quality_rules, op6_pii, op8_quality_classifier, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
