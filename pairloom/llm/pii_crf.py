@@ -72,7 +72,8 @@ def base_spans(text: str) -> list[Span]:
 
 # Tokens and features
 
-_CANDIDATE = re.compile(r"\S*(?:[0-9@]|[\[({](?:at|dot)[\])}])\S*")
+_CORE = re.compile(r"[0-9@]|[\[({](?:at|dot)[\])}]")
+_REST = re.compile(r"\S*")
 _TRIM = "\"'`,;:!?*#$%&|<>=~^"
 LABELS = ("O", *(f"{b}-{k}" for k in KINDS for b in "BI"))
 _WIDTH = 4096
@@ -89,9 +90,15 @@ class Token:
 
 
 def candidates(text: str) -> list[Token]:
-    out, last = [], -2
-    for m in _CANDIDATE.finditer(text):
-        a, b = m.span()
+    """Runs without white space around a digit, an @ or a bracketed word, without outer punctuation."""
+    out, last, core = [], -2, _CORE.search(text)
+    while core:
+        begin = core.start()
+        while begin > max(last, 0) and not text[begin - 1].isspace():
+            begin -= 1
+        finish = _REST.match(text, core.end()).end()
+        core = _CORE.search(text, finish)
+        a, b = begin, finish
         while a < b and text[a] in _TRIM:
             a += 1
         while b > a and text[b - 1] in _TRIM + ".":
@@ -99,9 +106,9 @@ def candidates(text: str) -> list[Token]:
         if a == b:
             continue
         left = text[max(0, a - 24) : a].split()
-        right = text[m.end() : m.end() + 24].split()
-        out.append(Token(a, b, text[a:b], left[-1].lower() if left else "", right[0].lower() if right else "", m.start() == last + 1))
-        last = m.end()
+        right = text[finish : finish + 24].split()
+        out.append(Token(a, b, text[a:b], left[-1].lower() if left else "", right[0].lower() if right else "", begin == last + 1))
+        last = finish
     return out
 
 

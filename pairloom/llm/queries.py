@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import decision_list, hamming_dedup, html_template, line_crf, pii_crf, sentencepiece_codec, url_rules, winnow
+from pairloom.llm import decision_list, hamming_dedup, html_template, line_crf, pii_crf, secret_crf, sentencepiece_codec, url_rules, winnow
 from pairloom.sources.tables import table
 
 
@@ -55,12 +55,17 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.score(docs, model).select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_crf.find(docs, secret_crf.learn(docs))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_benchmark_decontamination, op3_sentencepiece, op4_minhash_near_dedup, op5_quality_rules, op6_pii, op8_quality_classifier, op10_url_filters)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_benchmark_decontamination, op3_sentencepiece, op4_minhash_near_dedup, op5_quality_rules, op6_pii, op8_quality_classifier, op9_secret_scan, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
