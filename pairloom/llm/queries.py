@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import decision_list, hamming_dedup, html_template, line_crf, pii_crf, secret_crf, sentencepiece_codec, url_rules, winnow
+from pairloom.llm import decision_list, hamming_dedup, html_template, line_crf, ngram_lm, pii_crf, secret_crf, sentencepiece_codec, url_rules, winnow
 from pairloom.sources.tables import table
 
 
@@ -49,6 +49,13 @@ def fold(n: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n, F.lit(0))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = ngram_lm.learn(docs.where(fold(10) != 0))
+    scored = ngram_lm.score(docs, model)
+    return scored.select("doc_id", (fold(10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.words.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = line_crf.learn(docs, labels.where(fold(3) != 1))
@@ -65,7 +72,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_benchmark_decontamination, op3_sentencepiece, op4_minhash_near_dedup, op5_quality_rules, op6_pii, op8_quality_classifier, op9_secret_scan, op10_url_filters)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_benchmark_decontamination, op3_sentencepiece, op4_minhash_near_dedup, op5_quality_rules, op6_pii, op7_lm_scoring, op8_quality_classifier, op9_secret_scan, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
