@@ -8,9 +8,10 @@ of each chunk are the keys under which a signature is filed. So every pair withi
 
 Equal sets are one class from the start. Under each key, classes are first compared with one centre, in proportion to
 the rows. Links are confirmed on full shingle sets and joined to components. Then classes of different components that
-share a key are compared by signature inside the tasks, large keys in blocks, and each class sends its nearest
-candidates for confirmation, then more, then all that are left. A link inside one component needs no further look, so
-components are those of all links.
+share a key are compared by signature inside the tasks, large keys in blocks; those with a candidate within the
+distance come together again with their texts, and full sets are compared inside the tasks. Only links that join two
+components are written, so no list of pairs arises. A link inside one component needs no further look, so components
+are those of all links.
 
 Empty and null texts have no shingles and are linked with nothing. Texts of fewer than 4 words have one shingle.
 Rows without a doc_id take no part in links. Repeated rows are linked with each other. Other columns are ignored.
@@ -147,61 +148,141 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return sides.select("a", "b", "text_a", "text_b").mapInArrow(_similar(percent), "a long, b long, linked boolean")
 
 
-def _near(how: Signatures, nearest: int | None):
-    """Of rows in order of (key, i, j): pairs of different components within the distance, the nearest for each row."""
+def _groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.Table, list[tuple[int, int, int, int]]]]:
+    """Whole groups of equal (key, i, j), which must come in this order, about `rows` rows at a time: their rows, and
+    start, end, i and j of each."""
+    held: list[pa.RecordBatch] = []
+    marks: list[tuple] = []  # start and name
+    size = 0
 
-    def pairs(g: dict[str, np.ndarray], i: int, j: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        left = np.flatnonzero(g["block"] == i)
-        right = np.flatnonzero(g["block"] == j)
-        for at in range(0, len(left), 64):  # bounds the matrix of comparisons
-            rows = left[at : at + 64]
-            differ = np.stack([(g["signature"][right] != g["signature"][r]).sum(1) for r in rows]) if len(rows) else np.zeros((0, 0), int)
-            ok = (differ <= how.distance) & (g["component"][rows][:, None] != g["component"][right][None, :])
+    def out() -> tuple[pa.Table, list[tuple[int, int, int, int]]]:
+        ends = [m[0] for m in marks[1:]] + [size]
+        return pa.Table.from_batches(held).combine_chunks(), [(m[0], e, m[1][1], m[1][2]) for m, e in zip(marks, ends, strict=True)]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j")], 1)
+        cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1).tolist(), len(ids)]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            if not marks or tuple(ids[x].tolist()) != marks[-1][1]:
+                if size >= rows:
+                    yield out()
+                    held, marks, size = [], [], 0
+                marks.append((size, tuple(ids[x].tolist())))
+            held.append(b.slice(x, y - x))
+            size += y - x
+    if marks:
+        yield out()
+
+
+def _pairs(block: np.ndarray, groups: list[tuple[int, int, int, int]], most: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of block i with block j in each group, as places of rows, about `most` at a time."""
+    xs, ys, n = [], [], 0
+    for start, end, i, j in groups:
+        if i == j:
+            parts = [np.arange(start, end)] * 2
+        else:
+            parts = [start + np.flatnonzero(block[start:end] == k) for k in (i, j)]
+        left, right = parts
+        step = max(1, most // max(1, len(right)))
+        for at in range(0, len(left), step):
+            x, y = np.repeat(left[at : at + step], len(right)), np.tile(right, len(left[at : at + step]))
             if i == j:
-                ok &= g["rep"][rows][:, None] != g["rep"][right][None, :]
-            if nearest is not None and ok.shape[1] > nearest:
-                differ = np.where(ok, differ, how.size + 1)
-                kth = np.partition(differ, nearest - 1, axis=1)[:, nearest - 1 : nearest]
-                ok &= (differ < kth) | (ok & (differ == kth) & (np.cumsum(ok & (differ == kth), 1) <= nearest))
-            x, y = np.nonzero(ok)
-            yield g["rep"][rows[x]], g["rep"][right[y]]
-
-    def emit(group: list[pa.RecordBatch], name: tuple) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(group)
-        g = {c: t.column(c).to_numpy() for c in ("block", "rep", "component")}
-        g["signature"] = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint16 if how.bits <= 16 else np.uint32).reshape(-1, how.size)
-        for x, y in pairs(g, name[1], name[2]):
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                x, y = x[x < y], y[x < y]
+            xs.append(x)
+            ys.append(y)
+            n += len(x)
+            if n >= most:
+                yield np.concatenate(xs), np.concatenate(ys)
+                xs, ys, n = [], [], 0
+    if n:
+        yield np.concatenate(xs), np.concatenate(ys)
+
+
+def _candidates(table: pa.Table, groups: list[tuple[int, int, int, int]], how: Signatures, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of rows in pairs, the most alike first: of different components, within the distance, of sizes that allow
+    a link, and with no earlier key in common, so that a pair comes up under one key only."""
+    block, component, size, place = (table.column(c).to_numpy() for c in ("block", "component", "n_shingles", "place"))
+    signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16 if how.bits <= 16 else np.uint32).reshape(-1, how.size)
+    for a, b in _pairs(block, groups):
+        ok = (component[a] != component[b]) & (percent * np.maximum(size[a], size[b]) <= 100 * np.minimum(size[a], size[b]))
+        a, b = a[ok], b[ok]
+        differ = np.concatenate([np.zeros(0, np.int64), *((signature[a[k : k + 10_000]] != signature[b[k : k + 10_000]]).sum(1) for k in range(0, len(a), 10_000))])
+        near = np.flatnonzero(differ <= how.distance)
+        near = near[np.argsort(differ[near], kind="stable")]
+        if len(near):
+            a, b = a[near], b[near]
+            used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            keys = _long_keys(signature[used], how)
+            first = np.concatenate([(keys[at[: len(a)][k : k + 10_000]] == keys[at[len(a) :][k : k + 10_000]]).argmax(1) for k in range(0, len(a), 10_000)]) == place[a]
+            yield a[first], b[first]
+
+
+def _active(how: Signatures, percent: int):
+    """key and rep of the rows that have a candidate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, groups in _groups(batches, 4096):
+            found = np.zeros(table.num_rows, bool)
+            for a, b in _candidates(table, groups, how, percent):
+                found[a] = found[b] = True
+            yield pa.RecordBatch.from_arrays([pa.array(table.column(c).to_numpy()[found]) for c in ("key", "rep")], ["key", "rep"])
+
+    return run
+
+
+def _linked(how: Signatures, percent: int):
+    """Links on full sets between components; a pair that the links found here already join is not looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, name = [], None
-        for b in batches:
-            ids = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j")], 1)
-            cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1).tolist(), len(ids)] if len(ids) else [0]
-            for x, y in zip(cuts, cuts[1:], strict=False):
-                if name is not None and tuple(ids[x]) != name:
-                    yield from emit(held, name)
-                    held = []
-                name = tuple(ids[x])
-                held.append(b.slice(x, y - x))
-        if held:
-            yield from emit(held, name)
+        for table, groups in _groups(batches, 512):
+            above: dict[int, int] = {}
+
+            def top(x: int, above: dict[int, int] = above) -> int:
+                while (y := above.get(x, x)) != x:
+                    above[x] = above.get(y, y)
+                    x = y
+                return x
+
+            sets: list[np.ndarray] | None = None
+            component, rep = table.column("component").to_pylist(), table.column("rep").to_pylist()
+            links = []
+            for xs, ys in _candidates(table, groups, how, percent):
+                for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
+                    p, q = top(component[x]), top(component[y])
+                    if p == q:
+                        continue
+                    if sets is None:
+                        sets = [s for b in table.select(["text"]).to_batches(200) for s in shingle_sets(utf8(b.column(0)))]
+                    common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if 100 * common >= percent * (len(sets[x]) + len(sets[y]) - common):
+                        above[max(p, q)] = min(p, q)
+                        links.append((rep[x], rep[y]))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
 
     return run
 
 
-def _across(members: DataFrame, classes: DataFrame, labels: DataFrame, how: Signatures, nearest: int | None, block: int) -> DataFrame:
-    """Candidates between components: distinct pairs (a, b) that share a key and lie within the distance."""
-    named = members.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    named = written(named, "named")
-    mixed_keys = named.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    rows = named.join(mixed_keys, "key").join(classes.select("rep", "signature"), "rep")
-    # each row goes to its block's pairings with all blocks of its key
+def _in_blocks(rows: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+    """rows (key, rep, ...) dealt to the pairings (i, j) of the blocks of their key; sizes: key and its rows n."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    rows = rows.join(sizes.select("key", blocks.alias("blocks")), "key")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "signature")
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(_near(how, nearest), "a long, b long").distinct()
+    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, labels: DataFrame, how: Signatures, percent: int, block: int, text_block: int) -> DataFrame:
+    """Links (a, b) between components, enough to join all that have one; signatures first, then texts where needed."""
+    named = written(members.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "named")
+    sizes = named.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
+    signed = classes.select("rep", "signature", "n_shingles")
+    active = _in_blocks(named.join(signed, "rep"), sizes, block).mapInArrow(_active(how, percent), "key long, rep long").distinct()
+    active = written(active, "active")
+    rows = active.join(named, ["key", "rep"]).join(signed, "rep").join(texts.toDF("rep", "text"), "rep")
+    return _in_blocks(rows, active.groupBy("key").agg(F.count("*").alias("n")), text_block).mapInArrow(_linked(how, percent), "a long, b long")
 
 
 def _united(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -211,32 +292,22 @@ def _united(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(components(edges).toDF("rep", "component"), "labels")
 
 
-def near_duplicates(docs: DataFrame, how: Signatures = Signatures(), percent: int = 80, block: int = 4096, nearest: tuple[int | None, ...] = (2, 16, None)) -> DataFrame:  # noqa: B008
+def near_duplicates(docs: DataFrame, how: Signatures = Signatures(), percent: int = 80, block: int = 4096, text_block: int = 512) -> DataFrame:  # noqa: B008
     """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text).
 
-    nearest: how many candidates each class sends for confirmation in each round and block; the last, None, means all.
+    block, text_block: about so many signatures, or texts, of one key are compared with as many in one go.
     """
     texts = docs.select("doc_id", "text")
     signed = written(texts.mapInArrow(_signed(how), "doc_id long, n_shingles long, set_key binary, signature binary"), "signed")
-    classes = written(signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.any_value("signature").alias("signature")), "classes")
-    filed = classes.select("rep", "signature").mapInArrow(_filed(how), "rep long, keys array<long>").select(F.explode("keys").alias("key"), "rep")
+    sets = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_key")
+    classes = written(sets.agg(F.min("doc_id").alias("rep"), F.any_value("signature").alias("signature"), F.any_value("n_shingles").alias("n_shingles")), "classes")
+    filed = classes.select("rep", "signature").mapInArrow(_filed(how), "rep long, keys array<long>").select(F.posexplode("keys").alias("place", "key"), "rep")
     centres = filed.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre != last").select("key", "centre")
     members = written(filed.join(centres, "key"), "members")  # of keys with several classes
     met = members.where("rep != centre").groupBy("rep", "centre").count()
     pairs = written(met.groupBy("rep").agg(F.max_by("centre", F.struct("count", -F.col("centre"))).alias("centre")).select(F.col("centre").alias("a"), F.col("rep").alias("b")), "pairs")
-    members = members.select("key", "rep")
-    tested = written(_confirmed(pairs, texts, percent), "tested")
-    labels = _united(None, tested.where("linked"))
-    for most in nearest:
-        pairs = written(_across(members, classes, labels, how, most, block).join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            if most is None:
-                break
-            continue
-        found = written(_confirmed(pairs, texts, percent), "tested")
-        if most is not None or not found.where("linked").isEmpty():
-            labels = _united(labels, found.where("linked"))
-        tested = tested.union(found)
+    labels = _united(None, _confirmed(pairs, texts, percent).where("linked"))
+    labels = _united(labels, _across(members.drop("centre"), classes, texts, labels, how, percent, block, text_block))
     ids = signed.join(classes.select("set_key", "rep"), "set_key", "left").join(labels, "rep", "left")
     component = F.coalesce("component", "rep", "doc_id").alias("component_id")
     return ids.select("doc_id", "n_shingles", component).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
