@@ -1,17 +1,51 @@
-"""The corpus pipeline (stages are filled in as their operators land)."""
+"""A training corpus from raw documents: quality rules, near-dedup, decontamination, redaction, tokens.
+
+Each stage works on all rows that the one before it kept and returns the columns of documents; the last one returns
+doc_id, n_tokens, token_ids and round_trip.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.sources.tables import table
+from pairloom.llm import decision_list, hamming_dedup, pii_crf, sentencepiece_codec, winnow
+from pairloom.llm.queries import PIECES
+from pairloom.sources.tables import table, written
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the base rule or the learned list rejects."""
+    return decision_list.keep_good(docs, decision_list.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the least doc_id of each group of near-duplicates."""
+    return hamming_dedup.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of a benchmark item."""
+    return winnow.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by the names of its kinds."""
+    return pii_crf.redact(docs, pii_crf.learn(docs))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document."""
+    return sentencepiece_codec.encode(docs, sentencepiece_codec.Pieces.load(PIECES))
+
+
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("redact_pii", redact_pii), ("encode", encode)]
 
-STAGES: list = []
+#: Learned rules and a learned field have no SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, written(docs, name) if k else docs, sf_dir)
     return docs
