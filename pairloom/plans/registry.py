@@ -6,15 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pairloom.operators import candidates
+from pairloom.operators.rules import RULES, slug
+from pairloom.sources.testpair import duckdb_ctes, pair
+
+#: The child tables that a rule's source needs, for its SQL.
+_NEEDS = {"": ("functions",), "constants": ("functions", "constants"), "units": ("functions", "compilation_units", "compilation_unit_functions"), "instructions": ("functions", "instructions"), "blocks": ("functions", "blocks")}
+
+
+def _rule(k: int) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: candidates.candidates(RULES[k], *pair(spark, sf_dir)).drop("order_key")
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query behind entry()."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+
+def _rule_sql(k: int) -> str:
+    tables = [f"{s}_{t}" for s in "ab" for t in _NEEDS[RULES[k].source]]
+    return f"{duckdb_ctes(*tables)}\n{candidates.oracle(RULES[k])}"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {slug(k): _rule(k) for k in range(len(RULES))}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {slug(k): _rule_sql(k) for k in range(len(RULES))}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query behind entry()."""
+    return _rule(3)(spark, sf_dir)
