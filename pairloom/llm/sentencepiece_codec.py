@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding by an Aho-Corasick automaton and one Viterbi pass.
 
 The automaton over all pieces reports, at each end position, every piece that ends there (its output links), and each
-report relaxes the best score of that position. No piece has a space mark after another character, so a text falls
-apart before each space mark that follows another character, and the parts are solved once and remembered.
+report relaxes the best score of that position. Where no piece has a space mark after another character, or ASCII signs
+after a Latin letter, a text falls apart at such places, and the parts are solved once and remembered.
 Among segmentations of equal score the one whose last piece is longest wins, from the end backwards. Characters
 without a piece become bytes. A null or empty text has no tokens. Encoding is lossless: decoding gives the same text,
 literal space marks (U+2581) included. Repeated rows are encoded one by one; other columns are ignored.
@@ -49,19 +49,26 @@ class Pieces:
 
 
 class Encoder:
-    """remember: so many parts are kept; then they are forgotten at once, which bounds the memory of a worker."""
+    """remember: so many parts are kept twice over, which bounds the memory of a worker: when there are more, those that
+    haven't been met since the last such time are forgotten."""
 
-    _part = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+    #: A part ends before a space mark that follows another character, and between a Latin letter and ASCII that is none.
+    _latin, _sign = "A-Za-z\u00c0-\u024f", r"!-@\[-`{-~"
+    _run = f"(?:[{_latin}]+(?:[^{MARK}{_latin}{_sign}][^{MARK}{_latin}]*)?)"
+    _parts = re.compile(f"{MARK}+[^{MARK}{_latin}]*{_run}*|[^{MARK}{_latin}]+{_run}*|{_run}+")
+    _no_piece = re.compile(f"[^{MARK}]{MARK}|[{_latin}][{_sign}]")
 
-    def __init__(self, pieces: Pieces, remember: int = 200_000):
+    def __init__(self, pieces: Pieces, remember: int = 300_000):
         import ahocorasick
 
-        self.pieces, self.remember, self.known = pieces, remember, {}
+        self.pieces, self.remember, self.known, self.older = pieces, remember, {}, {}
         self.automaton = ahocorasick.Automaton()
         for text, score, i in pieces.pieces:
             self.automaton.add_word(text, (len(text), score, i))
         self.automaton.make_automaton()
         self.single = {text for text, _, _ in pieces.pieces if len(text) == 1}
+        whole = any(self._no_piece.search(text) for text, _, _ in pieces.pieces)
+        self._part = re.compile(".+", re.S) if whole else self._parts
         self.bytes = np.array(pieces.byte_ids, np.int32)
 
     def viterbi(self, part: str) -> list[int]:
@@ -101,8 +108,11 @@ class Encoder:
                 ids = known.get(part)
                 if ids is None:
                     if len(known) >= self.remember:
-                        known.clear()
-                    ids = known[part] = np.array(self.viterbi(part), np.int32).tobytes()
+                        self.older, self.known = known, (known := {})
+                    ids = self.older.get(part)
+                    if ids is None:
+                        ids = np.array(self.viterbi(part), np.int32).tobytes()
+                    known[part] = ids
                 found.append(ids)
         return np.frombuffer(b"".join(found), np.int32)
 
