@@ -5,16 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pairloom.operators import candidates
+from pairloom.operators import assign, candidates, importplan, ml, patchscan, propagate, refine, results, similarity, textdiff
 from pairloom.operators.rules import RULES, slug
+from pairloom.plans import session
+from pairloom.sources import snapshot
+from pairloom.sources.snapshot import Snapshot
 from pairloom.sources.testpair import duckdb_ctes, pair
 
+Query = Callable[[SparkSession, str], DataFrame]
+
 #: The child tables that a rule's source needs, for its SQL.
 _NEEDS = {"": ("functions",), "constants": ("functions", "constants"), "units": ("functions", "compilation_units", "compilation_unit_functions"), "instructions": ("functions", "instructions"), "blocks": ("functions", "blocks")}
 
 
-def _rule(k: int) -> Callable[[SparkSession, str], DataFrame]:
+def _rule(k: int) -> Query:
     return lambda spark, sf_dir: candidates.candidates(RULES[k], *pair(spark, sf_dir)).drop("order_key")
 
 
@@ -23,14 +29,255 @@ def _rule_sql(k: int) -> str:
     return f"{duckdb_ctes(*tables)}\n{candidates.oracle(RULES[k])}"
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {slug(k): _rule(k) for k in range(len(RULES))}
+def _of(f: Callable[[Snapshot, Snapshot], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(*pair(spark, sf_dir))
 
 
-def oracle_sql() -> dict[str, str]:
-    return {slug(k): _rule_sql(k) for k in range(len(RULES))}
+def _sql(body: str, *tables: str) -> str:
+    """A DuckDB query over both sides' functions and the named child tables; {seeds} are the pairs of one address and hash."""
+    seeds = "select f.id a_id, df.id b_id from a_functions f join b_functions df using (address, bytes_hash)"
+    return f"{duckdb_ctes(*(f'{s}_{t}' for s in 'ab' for t in ('functions', *tables)))},\nseeds as materialized ({seeds}) {body}"
+
+
+def _rated(a: Snapshot, b: Snapshot) -> DataFrame:
+    """Seeds with a ratio and a kind made from their ids, as inputs for what comes after matching."""
+    ratio = (F.col("a_id") % 11 / 10).cast("double")
+    kind = F.when(ratio >= 1, "best").when(F.col("a_id") % 7 == 0, "unreliable").when(F.col("a_id") % 5 == 0, "multimatch").otherwise("partial")
+    return candidates.by_address(a, b).withColumns({"ratio": ratio, "kind": kind, "description": F.lit("seed")})
+
+
+_RATED = "rated as (select a_id, b_id, a_id % 11 / 10.0 ratio, case when a_id % 11 = 10 then 'best' when a_id % 7 = 0 then 'unreliable' when a_id % 5 = 0 then 'multimatch' else 'partial' end kind from seeds)"
+_MODEL = '{"threshold": 0.5, "features": ["ratio", "nodes_percent", "loops_max"], "trees": [{"nodes": [{"feature": "ratio", "threshold": 0.4, "left": 1, "right": 2}, {"value": 0.1}, {"feature": "nodes_percent", "threshold": 0.9, "left": 3, "right": 4}, {"value": 0.3}, {"value": 0.9}]}, {"nodes": [{"feature": "loops_max", "threshold": 3, "left": 1, "right": 2}, {"value": 0.8}, {"value": 0.2}]}]}'
+
+
+def _by_id(a: Snapshot, b: Snapshot) -> DataFrame:
+    return a.functions.select(F.col("id").alias("a_id")).join(b.functions.select(F.col("id").alias("b_id")), F.col("a_id") == F.col("b_id"))
+
+
+def _texts(a: Snapshot, b: Snapshot) -> DataFrame:
+    x, y = (s.functions.select(F.col("id").alias(f"{k}_id"), F.col("assembly").alias(f"text_{k}")) for s, k in ((a, "a"), (b, "b")))
+    return x.join(y, F.col("a_id") == F.col("b_id"))
+
+
+def quick_ratio(a: Snapshot, b: Snapshot) -> DataFrame:
+    return _texts(a, b).select("a_id", "b_id", F.round(similarity.quick_ratio("text_a", "text_b"), 6).alias("ratio"))
+
+
+def prime_ratio(a: Snapshot, b: Snapshot) -> DataFrame:
+    x, y = (s.functions.select(F.col("id").alias(f"{k}_id"), F.col("mnemonics_spp").alias(f"spp_{k}")) for s, k in ((a, "a"), (b, "b")))
+    return x.join(y, F.col("a_id") == F.col("b_id")).select("a_id", "b_id", F.round(similarity.prime_ratio("spp_a", "spp_b"), 6).alias("ratio"))
+
+
+def combined_ratio(a: Snapshot, b: Snapshot) -> DataFrame:
+    return similarity.scores(_by_id(a, b), a, b).select("a_id", "b_id", F.round("ratio", 6).alias("ratio"), F.round("bonus", 6).alias("bonus"))
+
+
+def _weighted(a: Snapshot, b: Snapshot) -> DataFrame:
+    """Pairs of a rule with many candidates and a weight from their ids."""
+    return candidates.candidates(RULES[11], a, b).select("a_id", "b_id", ((F.col("a_id") * 7 + F.col("b_id") * 13) % 101).alias("weight"))
+
+
+
+def disambiguate_round1(a: Snapshot, b: Snapshot) -> DataFrame:
+    return assign.mutual_best(_weighted(a, b), [F.col("weight").desc(), F.col("a_id"), F.col("b_id")])
+
+
+def disambiguate_full(a: Snapshot, b: Snapshot) -> DataFrame:
+    return assign.greedy(_weighted(a, b), [F.col("weight").desc(), F.col("a_id"), F.col("b_id")])
+
+
+def multimatch_resolve(a: Snapshot, b: Snapshot) -> DataFrame:
+    w = _weighted(a, b).select("a_id", "b_id", (F.col("weight") / 100).alias("ratio"), F.lit("partial").alias("kind"))
+    return assign.resolve_multimatches(w).select("a_id", "b_id", "kind")
+
+
+def result_table(a: Snapshot, b: Snapshot) -> DataFrame:
+    return results.ordered(_rated(a, b), a, b)
+
+
+def summary(a: Snapshot, b: Snapshot) -> DataFrame:
+    m = _rated(a, b)
+    return results.summary(result_table(a, b), results.unmatched(a, m, "a").union(results.unmatched(b, m, "b"))).withColumnRenamed("count", "n")
+
+
+def ml_scores(a: Snapshot, b: Snapshot) -> DataFrame:
+    return ml.features(_rated(a, b), a, b).select("a_id", "b_id", F.round(ml.Ensemble.parse(_MODEL).score(), 6).alias("score"))
+
+
+def bb_blend(a: Snapshot, b: Snapshot) -> DataFrame:
+    m = _rated(a, b)
+    n = lambda s, k: s.functions.select(F.col("id").alias(f"{k}_id"), F.col("nodes").alias(f"nodes_{k}"))
+    full = refine.structural(m, refine.match_blocks(m, a, b), a, b).join(n(a, "a"), "a_id").join(n(b, "b"), "b_id")
+    return refine.blend(full).select("a_id", "b_id", "kind", F.round("ratio", 6).alias("ratio"), F.round("structural", 6).alias("structural"))
+
+
+def resume(a: Snapshot, b: Snapshot) -> DataFrame:
+    """Functions of A whose address B lacks: what an append to B would add."""
+    return a.functions.join(b.functions.select("address"), "address", "left_anti").select("id", "address", "name")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query behind entry()."""
-    return _rule(3)(spark, sf_dir)
+    """The query behind entry(): rules, assignment and ordered results of the two snapshots."""
+    return session.run(*pair(spark, sf_dir), session.Options(propagation=False)).results
+
+
+_PAIRWISE: dict[str, tuple[Callable[[Snapshot, Snapshot], DataFrame], str | None]] = {
+    "equal_intersect": (candidates.equal_rows, _sql(" select {c} from a_functions intersect select {c} from b_functions".replace("{c}", ", ".join(candidates.EQUAL)))),
+    "same_name": (
+        candidates.same_name,
+        _sql(" select distinct f.id a_id, df.id b_id from a_functions f join b_functions df on f.name = df.name or (f.mangled_function = df.mangled_function and f.mangled_function <> '') where " + " and ".join(f"length({s}.name) > 3 and {s}.name not ilike 'sub_%' and {s}.name not ilike 'nullsub_%' and {s}.name not ilike 'j_%'" for s in ("f", "df"))),
+    ),
+    "quick_ratio": (
+        quick_ratio,
+        _sql(
+            """, l as (select 'a' s, id, unnest(string_split(case when ends_with(assembly, chr(10)) then substr(assembly, 1, length(assembly) - 1) else assembly end, chr(10))) x from a_functions where assembly <> ''
+            union all select 'b', id, unnest(string_split(case when ends_with(assembly, chr(10)) then substr(assembly, 1, length(assembly) - 1) else assembly end, chr(10))) from b_functions where assembly <> ''),
+            c as (select id, x, count(*) filter (s = 'a') p, count(*) filter (s = 'b') q from l group by id, x),
+            r as (select id, 2.0 * sum(least(p, q)) / sum(p + q) r from c group by id)
+            select f.id a_id, g.id b_id, case when f.assembly = '' or g.assembly = '' then 0.0 else round(r, 6) end ratio from a_functions f join b_functions g on f.id = g.id left join r on r.id = f.id"""
+        ),
+    ),
+    "prime_ratio": (prime_ratio, None),
+    "combined_ratio": (combined_ratio, None),
+    "disambiguate_round1": (
+        disambiguate_round1,
+        _sql(f", p as (select a_id, b_id, (a_id * 7 + b_id * 13) % 101 weight from ({candidates.oracle(RULES[11])})), r as (select *, row_number() over (partition by a_id order by weight desc, a_id, b_id) x, row_number() over (partition by b_id order by weight desc, a_id, b_id) y from p) select a_id, b_id, weight from r where x = 1 and y = 1"),
+    ),
+    "disambiguate_full": (disambiguate_full, None),
+    "multimatch_resolve": (
+        multimatch_resolve,
+        _sql(f", p as (select a_id, b_id, (a_id * 7 + b_id * 13) % 101 weight from ({candidates.oracle(RULES[11])})) select a_id, b_id, case when weight < max(weight) over (partition by a_id) or weight < max(weight) over (partition by b_id) then 'multimatch' else 'partial' end kind from p"),
+    ),
+    "unmatched_a": (lambda a, b: results.unmatched(a, candidates.by_address(a, b), "a"), _sql(" select 'primary' type, row_number() over (order by id) - 1 line, address, name from a_functions where id not in (select a_id from seeds)")),
+    "unmatched_b": (lambda a, b: results.unmatched(b, candidates.by_address(a, b), "b"), _sql(" select 'secondary' type, row_number() over (order by id) - 1 line, address, name from b_functions where id not in (select b_id from seeds)")),
+    "result_order": (
+        result_table,
+        _sql(f", {_RATED} select kind type, row_number() over (order by list_position(['best', 'partial', 'unreliable', 'multimatch'], kind), ratio desc, cast(f.address as bigint), cast(g.address as bigint)) - 1 line, f.address, f.name, g.address address2, g.name name2, ratio, f.nodes nodes1, g.nodes nodes2, 'seed' description from rated join a_functions f on f.id = a_id join b_functions g on g.id = b_id"),
+    ),
+    "summary": (
+        summary,
+        _sql(f", {_RATED} select kind type, count(*) n from rated group by 1 union all select 'primary', count(*) from a_functions where id not in (select a_id from seeds) union all select 'secondary', count(*) from b_functions where id not in (select b_id from seeds)"),
+    ),
+    "histogram": (
+        lambda a, b: results.histogram(result_table(a, b), a.functions.sparkSession),
+        _sql(f", {_RATED} select bucket, count(a_id) count from (select unnest(range(10)) bucket) left join rated on bucket = least(cast(floor(round(ratio, 6) * 10) as bigint), 9) group by bucket"),
+    ),
+    "search": (lambda a, b: results.search(result_table(a, b), "N_1").select("address", "name"), _sql(" select f.address, f.name from seeds join a_functions f on f.id = a_id join b_functions g on g.id = b_id where contains(lower(f.name), 'n_1') or contains(lower(g.name), 'n_1')")),
+    "page": (
+        lambda a, b: results.page(result_table(a, b), "partial", 20, 10).select("address", "address2", "ratio"),
+        _sql(f", {_RATED} select f.address, g.address address2, ratio from rated join a_functions f on f.id = a_id join b_functions g on g.id = b_id where kind = 'partial' order by ratio, cast(f.address as bigint) limit 20 offset 10"),
+    ),
+    "analyze_stats": (
+        lambda a, b: results.analyzed(result_table(a, b)).withColumn("mean_ratio", F.round("mean_ratio", 6)),
+        _sql(f", {_RATED} select kind type, count(*) matches, round(avg(ratio), 6) mean_ratio, cast(sum(f.nodes) as bigint) nodes1, cast(sum(g.nodes) as bigint) nodes2 from rated join a_functions f on f.id = a_id join b_functions g on g.id = b_id group by 1"),
+    ),
+    "field_stats": (
+        lambda a, b: results.field_fill(a.functions.select("id", "name", "mangled_function", "assembly", "names", "switches")),
+        _sql(" " + " union all ".join(f"select '{c}' field, count(*) filter ({c} is not null and cast({c} as string) <> '') filled from a_functions" for c in ("id", "name", "mangled_function", "assembly", "names", "switches"))),
+    ),
+    "resume_anti": (resume, _sql(" select id, address, name from a_functions where address not in (select address from b_functions)")),
+    "cu_build": (
+        lambda a, b: snapshot.compilation_units(a.functions)[0].select("name", "functions", F.col("start_ea").cast("long").alias("start_ea"), F.col("end_ea").cast("long").alias("end_ea")),
+        _sql(" select source_file name, count(*) functions, min(cast(address as bigint)) start_ea, max(cast(address as bigint)) end_ea from a_functions where source_file <> '' group by 1"),
+    ),
+    "call_positional": (
+        lambda a, b: propagate.call_candidates(candidates.by_address(a, b), a, b).select("a_id", "b_id"),
+        _sql(
+            """, x as (select c.func_id, g.id callee, row_number() over (partition by func_id order by ordinal, g.id) k, count(*) over (partition by func_id) n from a_callgraph c join a_functions g using (address)),
+            y as (select c.func_id, g.id callee, row_number() over (partition by func_id order by ordinal, g.id) k, count(*) over (partition by func_id) n from b_callgraph c join b_functions g using (address))
+            select distinct x.callee a_id, y.callee b_id from seeds join x on x.func_id = a_id join y on y.func_id = b_id and x.k = y.k and x.n = y.n join a_functions f on f.id = x.callee join b_functions g on g.id = y.callee
+            where x.callee not in (select a_id from seeds) and y.callee not in (select b_id from seeds) and least(f.nodes, g.nodes) * 100 >= 25 * greatest(f.nodes, g.nodes) and (f.nodes >= 2 or g.nodes >= 2)""",
+            "callgraph",
+        ),
+    ),
+    "affine_gap": (
+        lambda a, b: propagate.affine_candidates(candidates.by_address(a, b), a, b),
+        _sql(
+            """, s as (select a_id, b_id, cast(f.address as bigint) p, cast(g.address as bigint) q from seeds join a_functions f on f.id = a_id join b_functions g on g.id = b_id),
+            g as (select p, q, lead(p) over (order by p, q) p2, lead(q) over (order by p, q) q2 from s),
+            x as (select p k, name, id, count(*) over (partition by p) n from g join a_functions f on cast(f.address as bigint) > p and cast(f.address as bigint) < p2 where p2 > p and q2 > q),
+            y as (select p k, name, id, count(*) over (partition by p) n from g join b_functions f on cast(f.address as bigint) > q and cast(f.address as bigint) < q2 where p2 > p and q2 > q)
+            select distinct x.id a_id, y.id b_id from x join y using (k, name) where x.n <= 40 and y.n <= 40 and substr(name, 1, 4) <> 'sub_' and x.id not in (select a_id from seeds) and y.id not in (select b_id from seeds)"""
+        ),
+    ),
+    "related_constants": (
+        lambda a, b: propagate.constant_candidates(candidates.by_address(a, b), a, b),
+        _sql(
+            """, x as (select constant, func_id from a_constants where constant in (select constant from a_constants group by 1 having count(*) <= 512)),
+            y as (select constant, func_id from b_constants where constant in (select constant from b_constants group by 1 having count(*) <= 512)),
+            c as (select distinct x.constant from seeds join x on x.func_id = a_id join y on y.func_id = b_id and x.constant = y.constant),
+            m as (select constant, f.id a_id, g.id b_id from c join x using (constant) join y using (constant) join a_functions f on f.id = x.func_id join b_functions g on g.id = y.func_id and f.name = g.name where substr(f.name, 1, 4) <> 'sub_' and f.id not in (select a_id from seeds) and g.id not in (select b_id from seeds)),
+            r as (select *, row_number() over (partition by constant order by a_id, b_id) k from m) select constant, a_id, b_id from r where k = 1""",
+            "constants",
+        ),
+    ),
+    "cu_matches": (
+        lambda a, b: propagate.unit_candidates(candidates.by_address(a, b), a, b),
+        _sql(" select f.id a_id, g.id b_id from a_functions f join b_functions g using (source_file, name) where f.id not in (select a_id from seeds) and g.id not in (select b_id from seeds)"),
+    ),
+    "name_diffing": (lambda a, b: propagate.diffing_candidates(candidates.by_address(a, b), a, b).select("a_id", "b_id"), None),
+    "rename_pairs": (lambda a, b: propagate.rename_candidates(_by_id(a, b), a, b), None),
+    "bb_mnemonic_match": (
+        lambda a, b: refine.unique_block_matches(candidates.by_address(a, b), a, b),
+        _sql(
+            """, x as (select func_id, mnemonics_list, min(num) num from a_blocks where inst_total >= 2 group by 1, 2), y as (select func_id, mnemonics_list, min(num) num from b_blocks where inst_total >= 2 group by 1, 2 having count(*) = 1)
+            select a_id, b_id, x.num num_a, y.num num_b from seeds join x on x.func_id = a_id join y on y.func_id = b_id and x.mnemonics_list = y.mnemonics_list""",
+            "blocks",
+        ),
+    ),
+    "bb_blend": (bb_blend, None),
+    "ml_features": (
+        lambda a, b: ml.features(_rated(a, b), a, b),
+        _sql(
+            f", {_RATED} select a_id, b_id, ratio, "
+            + ", ".join(f"case when greatest(f.{c}, g.{c}) = 0 then 100 else least(f.{c}, g.{c}) * 100 // greatest(f.{c}, g.{c}) end {c}_percent, least(f.{c}, g.{c}) {c}_min, greatest(f.{c}, g.{c}) {c}_max" for c in ml.COUNTS)
+            + ", "
+            + ", ".join(f"cast(coalesce(f.{c} = g.{c} and f.{c} <> '', false) as bigint) same_{c}" for c in ("pseudocode_primes", "strongly_connected_spp", "source_file"))
+            + ", case when greatest(f.constants_count, g.constants_count) = 0 then 100 else least(f.constants_count, g.constants_count) * 100 // greatest(f.constants_count, g.constants_count) end constants_percent from rated join a_functions f on f.id = a_id join b_functions g on g.id = b_id"
+        ),
+    ),
+    "ml_score": (
+        ml_scores,
+        _sql(f", {_RATED} select a_id, b_id, round((case when ratio <= 0.4 then 0.1 when (case when greatest(f.nodes, g.nodes) = 0 then 100 else least(f.nodes, g.nodes) * 100 // greatest(f.nodes, g.nodes) end) / 100.0 <= 0.9 then 0.3 else 0.9 end + case when greatest(f.loops, g.loops) <= 3 then 0.8 else 0.2 end) / 2, 6) score from rated join a_functions f on f.id = a_id join b_functions g on g.id = b_id"),
+    ),
+    "ml_filter": (
+        lambda a, b: ml.filtered(_rated(a, b), ml_scores(a, b), 0.5).select("a_id", "b_id", "kind"),
+        _sql(f", {_RATED}, z as (select a_id, kind, round((case when ratio <= 0.4 then 0.1 when (case when greatest(f.nodes, g.nodes) = 0 then 100 else least(f.nodes, g.nodes) * 100 // greatest(f.nodes, g.nodes) end) / 100.0 <= 0.9 then 0.3 else 0.9 end + case when greatest(f.loops, g.loops) <= 3 then 0.8 else 0.2 end) / 2, 6) score from rated join a_functions f on f.id = a_id join b_functions g on g.id = b_id) select a_id, b_id, kind from rated where a_id not in (select a_id from z where kind in ('partial', 'unreliable') and score < 0.5)"),
+    ),
+    "patch_scan": (lambda a, b: patchscan.scan(_texts(a, b)).where("indicator is not null").select("a_id", "b_id", "indicator", "detail"), None),
+    "line_diff": (lambda a, b: textdiff.line_diff(_texts(a, b)), None),
+    "graph_diff": (
+        lambda a, b: textdiff.graph_diff(candidates.by_address(a, b), a, b),
+        _sql(
+            """, x as (select a_id, b_id, num, inst_total, mnemonics_list from seeds join a_blocks on func_id = a_id), y as (select a_id, b_id, num, inst_total, mnemonics_list from seeds join b_blocks on func_id = b_id)
+            select a_id, b_id, num, case when y.mnemonics_list is null then 'primary-only' when x.mnemonics_list is null then 'secondary-only' when x.inst_total = y.inst_total and x.mnemonics_list = y.mnemonics_list then 'same' else 'changed' end status from x full join y using (a_id, b_id, num)""",
+            "blocks",
+        ),
+    ),
+    "call_context": (
+        lambda a, b: textdiff.call_context(candidates.by_address(a, b), a, b),
+        _sql(
+            """, x as (select a_id, b_id, ordinal, g.name callee_a from seeds join a_callgraph on func_id = a_id join a_functions g using (address)), y as (select a_id, b_id, ordinal, g.name callee_b from seeds join b_callgraph on func_id = b_id join b_functions g using (address))
+            select a_id, b_id, ordinal, callee_a, callee_b from x full join y using (a_id, b_id, ordinal)""",
+            "callgraph",
+        ),
+    ),
+    "import_plan": (
+        lambda a, b: importplan.renames(_rated(a, b), a, b),
+        _sql(f", {_RATED} select a_id, b_id, f.name name_a, g.name name_b, case when kind not in ('best', 'partial') then 'skip_kind' when ratio < 0.5 then 'skip_ratio' when coalesce(f.name, '') = '' then 'skip_empty_name' when f.name = g.name then 'skip_same_name' when regexp_matches(lower(f.name), '^(sub|nullsub|j|loc|unk|off|byte|word|dword|qword)_') then 'skip_auto_name' else 'rename_function' end operation from rated join a_functions f on f.id = a_id join b_functions g on g.id = b_id"),
+    ),
+    "import_counts": (
+        lambda a, b: importplan.counters(importplan.renames(_rated(a, b), a, b)).withColumnRenamed("count", "n"),
+        _sql(f", {_RATED} select case when kind not in ('best', 'partial') then 'skip_kind' when ratio < 0.5 then 'skip_ratio' when coalesce(f.name, '') = '' then 'skip_empty_name' when f.name = g.name then 'skip_same_name' when regexp_matches(lower(f.name), '^(sub|nullsub|j|loc|unk|off|byte|word|dword|qword)_') then 'skip_auto_name' else 'rename_function' end operation, count(*) n from rated join a_functions f on f.id = a_id join b_functions g on g.id = b_id group by 1"),
+    ),
+}
+
+
+def queries() -> dict[str, Query]:
+    found: dict[str, Query] = {slug(k): _rule(k) for k in range(len(RULES))}
+    found |= {name: _of(f) for name, (f, _) in _PAIRWISE.items()}
+    return found | {"full_diff": flagship}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {slug(k): _rule_sql(k) for k in range(len(RULES))} | {name: sql for name, (_, sql) in _PAIRWISE.items() if sql}
