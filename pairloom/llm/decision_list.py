@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.llm.sampling import bounded_sample
 from pairloom.sources.tables import written
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -56,16 +57,17 @@ def base_statistics(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     d = docs.withColumn("text_", text).withColumn("words_", F.array_remove(F.split("text_", SPACE), ""))
     d = d.withColumn("n_words", F.size("words_").cast("long"))
+    # Each array that a lambda looks into is bound as w, s or g: wherever the optimizer writes these columns out again, say in
+    # a filter on them, an array is still made once a row and not once for each of its elements.
     d = d.withColumn(
         "starts_",
         F.expr(
-            "CASE WHEN n_words >= 3 THEN transform(sequence(0, cast(n_words as int) - 3), i -> struct(xxhash64(words_[i], words_[i + 1], words_[i + 2]) AS h, i AS i)) "
-            "ELSE cast(array() AS array<struct<h:bigint,i:int>>) END"
+            "transform(array(words_), w -> CASE WHEN size(w) >= 3 THEN transform(sequence(0, size(w) - 3), i -> struct(xxhash64(w[i], w[i + 1], w[i + 2]) AS h, i AS i)) "
+            "ELSE cast(array() AS array<struct<h:bigint,i:int>>) END)[0]"
         ),
     )
-    d = d.withColumn("sorted_", F.sort_array("starts_"))
-    d = d.withColumn("again_", F.expr("sort_array(transform(filter(sorted_, (x, k) -> x.h = get(sorted_, k - 1).h OR x.h = get(sorted_, k + 1).h), x -> x.i))"))
-    d = d.withColumn("n_repeat_words", F.expr("aggregate(transform(again_, (x, k) -> least(3, coalesce(get(again_, k + 1) - x, 3))), 0L, (a, b) -> a + b)"))
+    d = d.withColumn("again_", F.expr("transform(array(sort_array(starts_)), s -> sort_array(transform(filter(s, (x, k) -> x.h = get(s, k - 1).h OR x.h = get(s, k + 1).h), x -> x.i)))[0]"))
+    d = d.withColumn("n_repeat_words", F.expr("transform(array(again_), g -> aggregate(transform(g, (x, k) -> least(3, coalesce(get(g, k + 1) - x, 3))), 0L, (a, b) -> a + b))[0]"))
     d = d.withColumn("lines_", F.expr(r"filter(split(text_, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')"))
     count = lambda pattern: F.length("text_") - F.length(F.regexp_replace("text_", pattern, ""))
     d = d.withColumns(
@@ -74,7 +76,7 @@ def base_statistics(docs: DataFrame) -> DataFrame:
             "n_symbols": (F.length("text_") - F.length(F.translate("text_", SYMBOLS, ""))).cast("long"),
             "n_dup_lines": (F.size("lines_") - F.size(F.array_distinct("lines_"))).cast("long"),
             "n_lines_": F.size("lines_"),
-            "n_adjacent_": F.expr("size(filter(words_, (w, i) -> w = get(words_, i - 1)))"),
+            "n_adjacent_": F.expr("transform(array(words_), w -> size(filter(w, (x, i) -> x = get(w, i - 1))))[0]"),
             "n_upper_": count(r"\p{Lu}+"),
             "n_exclaim_": count("!+"),
             "n_digit_": count("[0-9]+"),
@@ -99,7 +101,7 @@ def base_statistics(docs: DataFrame) -> DataFrame:
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     """At most max_rows labelled documents (doc_id, bad, FEATURES), chosen by a hash of doc_id."""
     one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("doc_id", (F.col("quality") == 0).alias("bad"))
+    chosen = bounded_sample(one, "doc_id", max_rows).select("doc_id", (F.col("quality") == 0).alias("bad"))
     # max_rows bounds the broadcast side
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     return base_statistics(sample).select("doc_id", "bad", *FEATURES)
@@ -166,8 +168,7 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 def keep_good(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of docs that base rule and list keep, in their own columns.
 
-    The optimizer moves no filter below a row number, and so doesn't write the statistics out again inside the filter,
-    where the words would be split anew for each word.
+    The optimizer moves no filter below a row number, and so doesn't work the statistics out twice.
     """
     judged = judge(docs.select(F.struct("*").alias("row_"), "doc_id", "text"), rules).withColumn("at_", F.monotonically_increasing_id())
     return judged.where("kept and at_ >= 0").select("row_.*")

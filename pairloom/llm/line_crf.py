@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.chain_crf import Chain, Flat, train
+from pairloom.llm.sampling import bounded_sample
 from pairloom.llm.words import slices, utf8
 
 _SHARES = np.array([0.0, 0.01, 0.03, 0.08, 0.16, 0.3, 0.5, 0.75])
@@ -103,7 +104,7 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 3_000) -> Model:
     """A model from at most max_rows labelled documents, chosen by a hash of doc_id; only their numbers reach the driver."""
     one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    chosen = bounded_sample(one, "doc_id", max_rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("quality").cast("int").alias("quality"))
     rows = sample.mapInArrow(_marked, "quality int, marks array<int>, sizes array<int>").collect()
     rows.sort(key=lambda r: (r.quality, r.marks))  # so that the order of partitions doesn't matter
