@@ -4,12 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers, once a context, so that their functions find it wherever they run."""
+    context, package = spark.sparkContext, Path(__file__).resolve().parent.parent
+    if getattr(context, "_pairloom_shipped", False) or not package.is_dir():
+        return
+    path = f"{tempfile.mkdtemp(prefix='pairloom-')}/{package.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(path)
+    context._pairloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a scale-factor directory, local or remote."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -25,6 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written to the shared folder and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/pairloom-{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
