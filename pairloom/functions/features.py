@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import math
 
 import pandas as pd
@@ -136,3 +137,34 @@ def graph_measures(graphs: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["strongly_connected", "loops", "tarjan_topological_sort", "md_index"])
 
     return graphs.select("id", measured("nodes", "edges").alias("m")).select("id", "m.*")
+
+
+def block_sums(data: bytes, size: int = 512) -> bytes:
+    """The sums of the bytes of each block, modulo 255, without those that are 0."""
+    return bytes(s for k in range(0, len(data), size) if (s := sum(data[k : k + size]) % 255))
+
+
+def _hash_of(data: bytes, length: int = 32) -> str:
+    """Each of the second to 33rd block sums twice, in base64, cut to length; nothing for fewer than 32 sums."""
+    sums = block_sums(data)
+    if len(sums) < length:
+        return ""
+    twice = bytes(s for s in sums[1 : length + 1] for _ in range(2))
+    return base64.b64encode(twice).decode().rstrip("=")[:length]
+
+
+def fuzzy_hashes_of(text: str | None) -> tuple[str, str, str]:
+    """Hashes of the text with each block doubled, of the text, and of the text from its end."""
+    data = (text or "").encode()
+    doubled = b"".join(data[k : k + 512] * 2 for k in range(0, len(data), 512))
+    return _hash_of(doubled), _hash_of(data), _hash_of(data[::-1])
+
+
+def fuzzy_hashes(text: str | Column) -> Column:
+    """A struct of pseudocode_hash1, pseudocode_hash2 and pseudocode_hash3; empty for short and null texts."""
+
+    @F.pandas_udf("pseudocode_hash1 string, pseudocode_hash2 string, pseudocode_hash3 string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([fuzzy_hashes_of(t) for t in texts], columns=["pseudocode_hash1", "pseudocode_hash2", "pseudocode_hash3"])
+
+    return run(text)

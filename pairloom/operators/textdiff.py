@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import difflib
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.operators.similarity import split_lines
+from pairloom.operators.similarity import lcs_ratio_of, split_lines
 from pairloom.sources.snapshot import Snapshot
 
 
@@ -62,3 +64,110 @@ def call_context(pairs: DataFrame, a: Snapshot, b: Snapshot) -> DataFrame:
         return pairs.select("a_id", "b_id").join(known.select(F.col("func_id").alias(f"{k}_id"), "ordinal", f"callee_{k}"), f"{k}_id")
 
     return side(a, "a").join(side(b, "b"), ["a_id", "b_id", "ordinal"], "full_outer").select("a_id", "b_id", "ordinal", "callee_a", "callee_b")
+
+
+def unified_diff(pairs: DataFrame, context: int = 3) -> DataFrame:
+    """pairs (a_id, b_id, text_a, text_b) with `diff`, a unified diff; empty for equal texts."""
+
+    @F.pandas_udf("string")
+    def diff(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series(["\n".join(difflib.unified_diff((x or "").split("\n"), (y or "").split("\n"), "a", "b", n=context, lineterm="")) for x, y in zip(left, right, strict=True)])
+
+    return pairs.select("a_id", "b_id", diff("text_a", "text_b").alias("diff"))
+
+
+# Mnemonics that end a block.
+JUMPS = frozenset("jmp je jne jz jnz jg jl jge jle ja jb jae jbe jc jnc jo jno js jns jp jnp jcxz jecxz jrcxz loop".split())
+RETURNS = frozenset(("ret", "retn"))
+
+
+def control_flow(text: str | None) -> list[tuple[int, int, int, list[int]]]:
+    """Blocks of an assembly text as (place, first line, line after the last, places of successors).
+
+    A label begins a block; a jump or return ends one. A jump leads to its label, if that begins a block, and all but jmp
+    and returns lead on to the next block.
+    """
+    lines = (text or "").splitlines()
+    labels: dict[str, int] = {}
+    words: list[list[str]] = []
+    for i, line in enumerate(lines):
+        head, colon, _ = line.strip().partition(":")
+        if colon and head.strip() and " " not in head.strip():
+            labels[head.strip().lower()] = i
+        parts = line.split()
+        words.append([w.lower() for w in (parts[1:] if parts and parts[0].endswith(":") else parts)])
+    ends = {i + 1 for i, w in enumerate(words) if w and w[0] in JUMPS | RETURNS}
+    starts = sorted(({0} | set(labels.values()) | ends) & set(range(len(lines))))
+    place = {line: k for k, line in enumerate(starts)}
+    out = []
+    for k, start in enumerate(starts):
+        end = starts[k + 1] if k + 1 < len(starts) else len(lines)
+        last = words[end - 1]
+        after = set()
+        if last and last[0] in JUMPS:
+            target = next((w.rstrip(",") for w in last[1:] if w not in ("short", "near")), "")
+            if labels.get(target) in place:
+                after.add(place[labels[target]])
+        if (not last or last[0] not in RETURNS | {"jmp"}) and k + 1 < len(starts):
+            after.add(k + 1)
+        out.append((k, start, end, sorted(after)))
+    return out
+
+
+def text_graphs(texts: DataFrame) -> DataFrame:
+    """id, block, first, last and successors for texts (id, text); a null or empty text has no block."""
+
+    @F.pandas_udf("array<struct<block:int,first:int,last:int,successors:array<int>>>")
+    def blocks(column: pd.Series) -> pd.Series:
+        return pd.Series([[{"block": k, "first": a, "last": b - 1, "successors": s} for k, a, b, s in control_flow(t)] for t in column])
+
+    return texts.select("id", F.explode(blocks("text")).alias("b")).select("id", "b.*")
+
+
+def _closeness(x: int, y: int) -> float:
+    return 1.0 - abs(x - y) / (max(x, y) + 1)
+
+
+def _alike(x: dict, y: dict) -> float:
+    """Weights of common lines, counts, degrees and place."""
+    left, right = x["lines"], y["lines"]
+    text = lcs_ratio_of("\n".join(left), "\n".join(right)) if left and right else float(not left and not right)
+    return 0.6 * text + 0.15 * _closeness(len(left), len(right)) + 0.1 * _closeness(x["outdegree"], y["outdegree"]) + 0.1 * _closeness(x["indegree"], y["indegree"]) + 0.05 * _closeness(x["num"], y["num"])
+
+
+def paired_blocks(left: list[dict], right: list[dict]) -> list[tuple[int | None, int | None, str, float]]:
+    """Blocks (num, lines, indegree, outdegree), in order: equal ones, then the most alike from 0.5 up, then those at one
+    place from 0.35 up, then the rest."""
+    out, free_a, free_b = [], dict(enumerate(left)), dict(enumerate(right))
+
+    def take(i: int, j: int, kind: str, score: float) -> None:
+        out.append((i, j, kind, score))
+        del free_a[i], free_b[j]
+
+    for i, x in list(free_a.items()):
+        j = next((j for j, y in free_b.items() if x["lines"] and x["lines"] == y["lines"]), None)
+        if j is not None:
+            take(i, j, "exact", 1.0)
+    scored = sorted(((-s, abs(i - j), i, j) for i, x in free_a.items() for j, y in free_b.items() if (s := _alike(x, y)) >= 0.5))
+    for s, _, i, j in scored:
+        if i in free_a and j in free_b:
+            take(i, j, "similar", -s)
+    for i in sorted(free_a.keys() & free_b.keys()):
+        if (s := _alike(left[i], right[i])) >= 0.35:
+            take(i, i, "ordinal", s)
+    out += [(i, None, "primary-only", 0.0) for i in free_a] + [(None, j, "secondary-only", 0.0) for j in free_b]
+    return sorted(out, key=lambda p: (p[0] if p[0] is not None else p[1], p[0] is None))
+
+
+def block_pairs(pairs: DataFrame, a: Snapshot, b: Snapshot) -> DataFrame:
+    """a_id, b_id, num_a, num_b, kind and score of the blocks of each pair. A task holds one pair's blocks at a time."""
+    from pairloom.operators.refine import with_degrees
+
+    side = lambda s, k: pairs.select("a_id", "b_id").join(with_degrees(s.blocks).withColumnRenamed("func_id", f"{k}_id"), f"{k}_id").select("a_id", "b_id", F.lit(k).alias("side"), "num", F.split("mnemonics_list", ",").alias("lines"), "indegree", "outdegree")
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = ([{**r, "lines": [w for w in r["lines"] if w]} for r in rows[rows.side == k].sort_values("num").to_dict("records")] for k in "ab")
+        found = [(*key, i if i is None else x[i]["num"], j if j is None else y[j]["num"], kind, s) for i, j, kind, s in paired_blocks(x, y)]
+        return pd.DataFrame(found, columns=["a_id", "b_id", "num_a", "num_b", "kind", "score"]).astype({"num_a": "Int32", "num_b": "Int32"})
+
+    return side(a, "a").union(side(b, "b")).groupBy("a_id", "b_id").applyInPandas(run, "a_id long, b_id long, num_a int, num_b int, kind string, score double")

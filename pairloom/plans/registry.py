@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.functions import features
 from pairloom.operators import assign, candidates, importplan, ml, patchscan, propagate, refine, results, similarity, textdiff
 from pairloom.operators.rules import RULES, slug
 from pairloom.plans import session
@@ -246,6 +247,10 @@ _PAIRWISE: dict[str, tuple[Callable[[Snapshot, Snapshot], DataFrame], str | None
     ),
     "patch_scan": (lambda a, b: patchscan.scan(_texts(a, b)).where("indicator is not null").select("a_id", "b_id", "indicator", "detail"), None),
     "line_diff": (lambda a, b: textdiff.line_diff(_texts(a, b)), None),
+    "unified_diff": (lambda a, b: textdiff.unified_diff(_texts(a, b)), None),
+    "text_graphs": (lambda a, b: textdiff.text_graphs(a.functions.select("id", F.col("assembly").alias("text"))), None),
+    "block_pairs": (lambda a, b: textdiff.block_pairs(candidates.by_address(a, b), a, b), None),
+    "fuzzy_hashes": (lambda a, b: a.functions.select("id", features.fuzzy_hashes("pseudocode").alias("h")).select("id", "h.*"), None),
     "graph_diff": (
         lambda a, b: textdiff.graph_diff(candidates.by_address(a, b), a, b),
         _sql(

@@ -55,3 +55,25 @@ def test_ingest(spark, tmp_path):
     df.withColumn("id", F.col("id") + 10).write.mode("append").parquet(str(tmp_path / "in"))
     ingest(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(r.address for r in spark.read.parquet(str(tmp_path / "out/functions.parquet")).collect()) == ["a", "b"]
+
+
+def _plain_hash(data):
+    """The definition, window by window."""
+    import base64
+
+    sums = [s for k in range(len(data) // 512 + 1) if (s := sum(data[512 * k : 512 * (k + 1)]) % 255)]
+    extra, out = min(len(sums) // 32, 1), []
+    for c in range(32):
+        window = sums[c : c + extra + 1]
+        out += [window[1]] * 2 if len(window) > 1 else []
+    return base64.b64encode(bytes(out)).decode().rstrip("=")[:32]
+
+
+def test_fuzzy_hashes():
+    pick = random.Random(3)
+    for n in (0, 5, 512, 8000, 16384, 20000, 40000):
+        text = "".join(pick.choice("abcdefgh \n") for _ in range(n))
+        data = text.encode()
+        doubled = b"".join(data[k : k + 512] * 2 for k in range(0, len(data), 512))
+        assert features.fuzzy_hashes_of(text) == tuple(map(_plain_hash, (doubled, data, data[::-1])))
+    assert features.fuzzy_hashes_of(None) == ("", "", "")

@@ -156,3 +156,18 @@ def test_session(spark):
     assert same.notes["nearly_equal"] and same.unmatched.isEmpty()
     exact = session.run_exact(a, a)
     assert exact.results.where("type = 'best'").count() > 0 and not exact.unmatched.isEmpty()
+
+
+def test_control_flow():
+    text = "start:\n cmp eax, 1\n jz short done\n mov eax, 2\n jmp start\ndone:\n ret\n nop"
+    assert textdiff.control_flow(text) == [(0, 0, 3, [1, 2]), (1, 3, 5, [0]), (2, 5, 7, []), (3, 7, 8, [])]
+    assert textdiff.control_flow(None) == [] and textdiff.control_flow("") == []
+
+
+def test_paired_blocks():
+    block = lambda k, *lines: {"num": k, "lines": list(lines), "indegree": 0, "outdegree": 0}
+    left = [block(0, "a", "b"), block(1, "c", "d", "e"), block(2, "x")]
+    right = [block(0, "c", "d", "f"), block(1, "a", "b"), block(2, "y"), block(3, "q", "r", "s", "t", "u", "v")]
+    found = textdiff.paired_blocks(left, right)
+    assert [(i, j, k) for i, j, k, _ in found] == [(0, 1, "exact"), (1, 0, "similar"), (2, 2, "ordinal"), (None, 3, "secondary-only")]
+    assert textdiff.paired_blocks([], []) == []
