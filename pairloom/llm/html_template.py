@@ -1,12 +1,15 @@
 """HTML extraction by equivalence-class template deduction.
 
-Tokens are tags with their path from the root, and whole pieces of text with theirs. Per host, tokens with the same
-occurrence vector (how often in which page) form a class; the vectors are compared by page count, total and an XOR of
-hashes of (page, count), so they are aggregated in parts and a host may have any number of pages. A class is valid if
+Tokens are tags with their path from the root, and whole pieces of text with theirs. The pages of a host that have the
+same unmarked divisions around their main text are a layout group; layouts of too few pages for a template are pooled, host
+by host. Per group, tokens with the same occurrence vector (how often in which page) form a class; the vectors are compared by page count, total and an XOR of
+hashes of (page, count), so they are aggregated in parts and a group may have any number of pages. A class is valid if
 it is large and frequent. Classes that occur once a page make the outer template, whose gaps are slots; classes that
-occur more often nest in the slot where they stand. The text left in the slots is extracted: inside article or main
-elements where the page has them, else everything whose text is no part of the template; menus, headers, footers,
-asides, adverts, forms, notices and comments are left out by their element, class, id or role.
+occur more often nest in the slot where they stand. The text left in the slots is extracted; article and main
+elements tell which slots hold the main text where a page has them, and menus, headers, footers, asides, adverts, forms,
+notices and comments are told by their element, class, id or role.
+A passage that articles of a group share is kept if fewer of its pages have it than a template needs, if other text
+stands in its block, or if the page's main text would be empty without it, as where all pages of a group are copies.
 A null or empty page gives an empty text. Pages without a host form one group. Repeated rows give repeated results.
 Unclosed and badly nested elements are read as browsers do, roughly. Other columns are ignored.
 """
@@ -43,6 +46,7 @@ MARKS = frozenset(
 #: Elements that an opening tag closes if they stand open.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table article main section div body nav aside footer header form td".split())
+_DIVISIONS = frozenset("article main section div".split())
 _BREAKS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
 
 
@@ -119,35 +123,66 @@ def tokens(page: str) -> tuple[list[Event], list[int | None]]:
     return found, [None if e.kind == "text" and not e.text.strip() else h for e, h in zip(found, hashed, strict=True)]
 
 
+def layout(found: list[Event]) -> int:
+    """A number for the divisions around a page's main text, down to the second: their paths without digits, as a set."""
+    names, above, depth, held = set(), [], 0, 0
+    for e in found:
+        if e.kind == "open":
+            tag = e.path[len(above[-1][0]) if above else 0 :][1:].split(".", 1)[0]
+            counts = tag not in ("html", "body")
+            if depth < 2 and not held and not e.out and tag in _DIVISIONS:
+                names.add(re.sub("[0-9]+", "", e.path))
+            above.append((e.path, counts, e.inside))
+            depth, held = depth + counts, held + e.inside
+        elif e.kind == "close":
+            _, counts, inside = above.pop()
+            depth, held = depth - counts, held - inside
+    return int(pd.util.hash_array(pd.Series([" ".join(sorted(names))], dtype=object).to_numpy(), categorize=False).astype("int64")[0])
+
+
 def host(url: str) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), "://([^/?#]*)", 1))
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page's tokens, and one row without a token for the page itself."""
     for b in slices(batches):
         rows: list[tuple] = []
         for name, page, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            _, names = tokens(text or "")
+            found, names = tokens(text or "")
+            kind = layout(found)
             first: dict[int, int] = {}
             for k, t in enumerate(names):
                 first.setdefault(t, k)
-            rows += [(name, page, t, n, first[t]) for t, n in Counter(names).items() if t is not None]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["host", "page", "token", "n", "at"])
+            rows.append((name, kind, page, None, 1, 0))
+            rows += [(name, kind, page, t, n, first[t]) for t, n in Counter(names).items() if t is not None]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, (pa.string(), *[pa.int64()] * 5), strict=True)], ["host", "layout", "page", "token", "n", "at"])
 
 
 def deduce(pages: DataFrame, share: float = 0.8, least_pages: int = 5, least_size: int = 3) -> DataFrame:
-    """One row for each host: its valid classes in order of place, each with tokens in order and occurrences a page.
+    """One row for each layout group (host, layout): its valid classes in order of place, each with tokens in order and
+    occurrences a page. The group of layout null has all pages of layouts that have fewer than least_pages on the host.
 
-    share: of a host's pages that a class must occur in; so a host's template is no longer than its mean page / share.
+    share: of a group's pages that a class must occur in; so a group's template is no longer than its mean page / share.
+    Layouts of at least least_pages have a row, with empty classes if none is valid.
     """
     keyed = pages.select(host("url").alias("host"), F.xxhash64("page_id", "url").alias("page"), "html")
-    sizes = keyed.groupBy("host").agg(F.count("*").alias("pages"))
-    seen = keyed.mapInArrow(_occurrences, "host string, page long, token long, n long, at long")
-    vectors = seen.groupBy("host", "token").agg(F.count("*").alias("in_pages"), F.sum("n").alias("total"), F.expr("bit_xor(xxhash64(page, n))").alias("vector"), F.avg("at").alias("at"))
-    frequent = vectors.join(F.broadcast(sizes) if sizes.limit(100_001).count() <= 100_000 else sizes, "host").where(F.col("in_pages") >= F.greatest(F.lit(float(least_pages)), share * F.col("pages")))
-    classes = frequent.groupBy("host", "in_pages", "total", "vector").agg(F.expr("transform(sort_array(collect_list(struct(at, token))), x -> x.token)").alias("tokens"), F.min("at").alias("at"))
+    seen = keyed.mapInArrow(_occurrences, "host string, layout long, page long, token long, n long, at long")
+    sums = lambda n, total, vector, at: (F.sum(n).alias("in_pages"), F.sum(total).alias("total"), F.expr(f"bit_xor({vector})").alias("vector"), F.sum(at).alias("at"))
+    parts = written(seen.groupBy("host", "layout", "token").agg(*sums(F.lit(1), "n", "xxhash64(page, n)", "at")), "token-vectors")
+    found = parts.where("token is null").select("host", "layout", F.col("in_pages").alias("pages"))
+    small = lambda df: F.broadcast(df) if df.limit(100_001).count() <= 100_000 else df
+    group = F.when(F.col("pages") >= least_pages, F.col("layout")).alias("layout")
+    pooled = parts.where("token is not null").join(small(found), ["host", "layout"]).select("host", group, "token", "in_pages", "total", "vector", "at")
+    vectors = pooled.groupBy("host", "layout", "token").agg(*sums("in_pages", "total", "vector", "at")).withColumn("at", F.col("at") / F.col("in_pages"))
+    sizes = found.select("host", group, "pages").groupBy("host", "layout").agg(F.sum("pages").alias("pages")).withColumnsRenamed({"host": "of_host", "layout": "of_layout"})
+    same = F.col("host").eqNullSafe(F.col("of_host")) & F.col("layout").eqNullSafe(F.col("of_layout"))
+    frequent = vectors.join(small(sizes), same).where(F.col("in_pages") >= F.greatest(F.lit(float(least_pages)), share * F.col("pages")))
+    classes = frequent.groupBy("host", "layout", "in_pages", "total", "vector").agg(F.expr("transform(sort_array(collect_list(struct(at, token))), x -> x.token)").alias("tokens"), F.min("at").alias("at"))
     valid = classes.where(F.size("tokens") >= least_size)
-    return valid.groupBy("host").agg(F.expr("transform(sort_array(collect_list(struct(at, total / in_pages AS often, tokens))), x -> struct(x.often AS often, x.tokens AS tokens))").alias("classes"))
+    told = valid.groupBy("host", "layout").agg(F.expr("transform(sort_array(collect_list(struct(at, total / in_pages AS often, tokens))), x -> struct(x.often AS often, x.tokens AS tokens))").alias("classes"))
+    own = found.where(F.col("pages") >= least_pages).select("host", "layout")
+    return told.where("layout is null").union(own.join(told, ["host", "layout"], "left").select("host", "layout", F.coalesce("classes", F.array().cast(told.schema["classes"].dataType)).alias("classes")))
 
 
 Template = list[tuple[float, list[int]]]
@@ -174,18 +209,28 @@ def slots(found: list[Event], names: list[int | None], template: Template) -> It
 def article(page: str, template: Template) -> str:
     """The main text of a page; template: classes as (occurrences a page, tokens in order).
 
-    Text of the template is left out unless it stands in an article or main element: there it may be a passage that
-    a host's articles share.
+    Where unmarked text stands in article or main elements, the main text is what the slots hold of these: blocks that
+    are all template are left out, unless nothing else is there. Elsewhere each piece of the template is left out.
     """
     found, names = tokens(page)
-    has_article = any(e.inside and not e.out and e.kind == "text" and e.text.strip() for e in found)
+    texts = [(e, fixed) for slot in slots(found, names, template) for e, fixed in slot if e.kind == "text" and not e.out]
+    main = [(e, fixed) for e, fixed in texts if e.inside]
+    if any(e.text.strip() for e, _ in main):
+        own = {e.block for e, fixed in main if not fixed and e.text.strip()}
+        kept = [e for e, _ in main if not own or e.block in own]
+    else:
+        kept = [e for e, fixed in texts if not fixed]
     blocks: dict[int, list[str]] = {}
-    for slot in slots(found, names, template):
-        for e, fixed in slot:
-            if e.kind == "text" and not e.out and (e.inside if has_article else not fixed):
-                blocks.setdefault(e.block, []).append(e.text)
-    texts = (" ".join("".join(x).split()) for _, x in sorted(blocks.items()))
-    return "\n".join(t for t in texts if t)
+    for e in kept:
+        blocks.setdefault(e.block, []).append(e.text)
+    lines = (" ".join("".join(x).split()) for _, x in sorted(blocks.items()))
+    return "\n".join(t for t in lines if t)
+
+
+def _laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        kinds = [layout(list(events(p or ""))) for p in b.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(kinds, pa.int64())], ["page_id", "url", "html", "host", "layout"])
 
 
 def _articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,11 +243,16 @@ def _articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, small_hosts: int = 5_000) -> DataFrame:
     """page_id, url, text and n_chars for each row of pages (page_id, url, html).
 
-    The templates of up to small_hosts hosts are broadcast; more are joined by host, and Spark splits a host's rows.
+    The templates of up to small_hosts layout groups are broadcast; more are joined by host and layout, and Spark splits
+    a group's rows.
     """
     pages = pages.select("page_id", "url", "html")
     templates = written(deduce(pages), "templates")
-    if templates.limit(small_hosts + 1).count() <= small_hosts:
-        templates = F.broadcast(templates)
-    with_classes = pages.withColumn("host", host("url")).join(templates, "host", "left").select("page_id", "url", "html", "classes")
+    few = templates.limit(small_hosts + 1).count() <= small_hosts
+    sent = lambda df: F.broadcast(df) if few else df
+    own = templates.where("layout is not null")
+    pool = templates.where("layout is null").select("host", F.col("classes").alias("pooled"))
+    laid_out = pages.withColumn("host", host("url")).mapInArrow(_laid_out, "page_id long, url string, html string, host string, layout long")
+    joined = laid_out.join(sent(own), ["host", "layout"], "left").join(sent(pool), "host", "left")
+    with_classes = joined.select("page_id", "url", "html", F.coalesce("classes", "pooled").alias("classes"))
     return with_classes.mapInArrow(_articles, "page_id long, url string, text string, n_chars long")

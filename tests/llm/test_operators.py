@@ -83,6 +83,18 @@ def test_articles_of_the_pages(spark):
         assert r.text == "\n".join(b for b in blocks if b)
 
 
+def test_template_leaves_out_what_repeats_in_main(spark):
+    page = "<body><div>Site</div><main><h1>Title {0}</h1><p>Own words {0}<div>Share this story with your friends</div><p>By <b>writer {0}</b></main></body>"
+    other = "<body><section><article><p>Own note {0}<p>All notes are free</article></section></body>"
+    rows = [(i, "http://h.example/x", page.format(i)) for i in range(8)] + [(100 + i, "http://h.example/y", other.format(i)) for i in range(8)]
+    rows += [(200 + i, "http://copies.example/", "<body><main><p>One article<p>on every page</main></body>") for i in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for found in (html_template.extract(pages), html_template.extract(pages, small_hosts=0)):
+        texts = {r.page_id: r.text for r in found.collect()}
+        assert len(texts) == len(rows) and all(texts[i] == f"Title {i}\nOwn words {i}\nBy writer {i}" for i in range(8))
+        assert all(texts[100 + i] == f"Own note {i}" and texts[200 + i] == "One article\non every page" for i in range(8))
+
+
 # 2
 
 
