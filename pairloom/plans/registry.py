@@ -118,8 +118,8 @@ def resume(a: Snapshot, b: Snapshot) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query behind entry(): rules, assignment and ordered results of the two snapshots."""
-    return session.run(*pair(spark, sf_dir), session.Options(propagation=False)).results
+    """The query behind entry(): the whole match of the two snapshots, with passes and blocks, as ordered results."""
+    return session.run(*pair(spark, sf_dir)).results
 
 
 _PAIRWISE: dict[str, tuple[Callable[[Snapshot, Snapshot], DataFrame], str | None]] = {

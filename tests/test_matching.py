@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.operators import assign, ml, patchscan, ranges, rules, similarity, textdiff
+from pairloom.operators import assign, ml, patchscan, propagate, ranges, refine, rules, similarity, textdiff
 from pairloom.plans import session
 from pairloom.sources import snapshot
 from pairloom.sources.snapshot import Snapshot, SnapshotError
@@ -158,6 +158,34 @@ def test_session(spark):
     assert exact.results.where("type = 'best'").count() > 0 and not exact.unmatched.isEmpty()
 
 
+def test_session_runs_passes_and_blocks(spark):
+    a, b = pair(spark, "/root/testdata/sf0.001")
+    steps = []
+    hooks = session.Hooks(rules=lambda found: found[:2], on_progress=steps.append)
+    found = session.run(a, b, session.Options(iterations=1), hooks)
+    assert {f"pass 1: {p.__name__}" for p in propagate.PASSES} <= set(steps) and steps[-2:] == ["blocks", "results"]
+    added = {"Diffing of matches", "Renamed", "Related constants", "Compilation unit", "Call reference", "Local affinity"}
+    assert any(r.description in added for r in found.results.collect())
+
+
+def test_session_refines_and_filters(spark):
+    a, b = pair(spark, "/root/testdata/sf0.001")
+    ids = a.functions.join(b.functions.select("id"), "id").where("nodes >= 3").select("id").limit(5)
+    matches = ids.select(F.col("id").alias("a_id"), F.col("id").alias("b_id"), F.lit(0.5).alias("ratio"), F.lit("x").alias("description"), F.lit("partial").alias("kind"))
+    about = {r.a_id: r for r in refine.structural(matches, refine.match_blocks(matches, a, b), a, b).collect()}
+    rows = session.refined(matches, a, b).collect()
+    assert len(rows) == 5 and any(r.ratio != 0.5 for r in rows)
+    large = {r.id for r in b.functions.where("nodes >= 3").select("id").collect()}
+    assert all(r.ratio == pytest.approx(0.3 + 0.4 * about[r.a_id].structural) for r in rows if r.b_id in large and about[r.a_id].matched)
+    hooks = session.Hooks(rules=lambda found: found[:1])
+    left = session.run(a, b, session.Options(propagation=False, model=ml.Ensemble((0.0,))), hooks)
+    assert left.matches.where("kind in ('partial', 'unreliable')").isEmpty() and not left.matches.isEmpty()
+
+
+def test_slow_and_relaxed_do_not_depend_on_counts():
+    assert session.Options().slow is True and session.Options().relaxed is False
+
+
 def test_control_flow():
     text = "start:\n cmp eax, 1\n jz short done\n mov eax, 2\n jmp start\ndone:\n ret\n nop"
     assert textdiff.control_flow(text) == [(0, 0, 3, [1, 2]), (1, 3, 5, [0]), (2, 5, 7, []), (3, 7, 8, [])]
