@@ -48,7 +48,7 @@ def statistics(lines: list[bytes]) -> np.ndarray:
                 run = run + 1 if a == b else 1
                 longest = max(longest, run)
         upper = line.decode(errors="replace")
-        capital = sum(map(str.isupper, upper)) / chars if any(c >= 0xC0 for c in line[:64]) else share("upper")
+        capital = sum(map(str.isupper, upper)) / chars if not line.isascii() else share("upper")
         out[i] = n, chars / n if n else 0, share("symbol"), capital, share("digit"), share("exclaim"), share("bar"), len(set(words)) / n if n else 0, line.rstrip()[-1:] in (b".", b"!", b"?"), line in before, longest
         before.add(line)
     return out

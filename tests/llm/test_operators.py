@@ -422,6 +422,13 @@ def test_classifier_on_held_out_labels(spark, odd, none):
     assert {r.score for r in line_crf.score(odd, untrained).collect()} == {0.5} and line_crf.score(none, untrained).count() == 0
 
 
+def test_capitals_late_in_a_line_count():
+    start = "small letters " * 6  # more than 64 bytes of ASCII
+    for late in ("ÉÀÖ", "ДЖЯ", "ΩΣΔ"):
+        line = (start + late).encode()
+        assert line_crf.statistics([line])[0, 3] == pytest.approx(3 / len(line.replace(b" ", b"")))
+
+
 # 10
 
 
