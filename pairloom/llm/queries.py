@@ -51,7 +51,7 @@ def fold(n: int) -> Column:
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = ngram_lm.learn(docs.where(fold(10) != 0))
+    model = ngram_lm.learn(docs.where(fold(10) != 0), order=3)
     scored = ngram_lm.score(docs, model)
     return scored.select("doc_id", (fold(10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.words.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
 

@@ -346,35 +346,83 @@ def test_redaction(spark, odd):
 # 7
 
 
-def test_model_equals_counting(spark):
-    scored = queries.op7_lm_scoring(spark, SF).collect()
-    docs = {r.doc_id: [*SPACED.findall((r.text or "").translate(LOWER)), " end"] for r in table(spark, SF, "documents").collect()}
+def counted_model(texts, order):
+    """p(context, word) of an interpolated modified Kneser-Ney model by plain counting; texts: lists of words."""
+    grams = [Counter(g for t in texts for g in zip(*([*["<s>"] * (order - 1), *t][i:] for i in range(order)), strict=False))]
+    for _ in range(order - 1):  # continuation counts, but occurrences where a text begins
+        shorter = Counter()
+        for g, k in grams[0].items():
+            shorter[g[1:]] += k if len(g) > 2 and g[1] == "<s>" else 1
+        grams.insert(0, shorter)
+    cuts = [ngram_lm.discounts(*(sum(x == k for x in t.values()) for k in (1, 2, 3, 4))) for t in grams]
+    cut = lambda k, d: max(0.0, k - d[min(k, 3) - 1]) if k else 0.0
+    contexts = [defaultdict(lambda: [0, 0, 0, 0]) for _ in grams]
+    for t, of in zip(grams, contexts, strict=True):
+        for g, k in t.items():
+            of[g[:-1]][0] += k
+            of[g[:-1]][min(k, 3)] += 1
+
+    def p(context, word):
+        out = 1 / (len(grams[0]) + 1)
+        for k in range(order):
+            h = tuple(context[len(context) - k :])
+            if h in contexts[k]:
+                x = contexts[k][h]
+                out = cut(grams[k][(*h, word)], cuts[k]) / x[0] + sum(d * n for d, n in zip(cuts[k], x[1:], strict=True)) / x[0] * out
+        return out
+
+    return p
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_model_equals_counting(spark, order):
+    rows = table(spark, SF, "documents")
+    model = ngram_lm.learn(rows.where(queries.fold(10) != 0), order, a_bucket=20_000, block=1_000, most_parts=3)
+    docs = {r.doc_id: [*SPACED.findall((r.text or "").translate(LOWER)), " end"] for r in rows.collect()}
     train = [d for d in docs if zlib.crc32(str(d).encode()) % 10]
     c = Counter(w for d in train for w in docs[d])
     n, v = sum(c.values()), len(c)
-    pairs = Counter(p for d in train for p in zip([None, *docs[d]], docs[d], strict=False))
-    context, before = defaultdict(lambda: [0, 0, 0, 0]), Counter()
-    for (a, b), k in pairs.items():
-        context[a][0] += k
-        context[a][min(k, 3)] += 1
-        before[b] += 1
-    high, low = (ngram_lm.discounts(*(sum(x == k for x in t.values()) for k in (1, 2, 3, 4))) for t in (pairs, before))
-    cut = lambda k, d: max(0.0, k - d[min(k, 3) - 1]) if k else 0.0
-    rest = sum(low[min(k, 3) - 1] for k in before.values()) / len(pairs)
-
-    def p(a, b):
-        under = cut(before[b], low) / len(pairs) + rest / (v + 1)
-        if a not in context:
-            return under
-        x = context[a]
-        return cut(pairs[a, b], high) / x[0] + (high[0] * x[1] + high[1] * x[2] + high[2] * x[3]) / x[0] * under
-
-    assert sum(p("the", w) for w in c) + p("the", "\0") == pytest.approx(1)
-    for r in scored:
+    p = counted_model([docs[d] for d in train], order)
+    assert sum(p(["of", "the", "the"][1 - order :], w) for w in c) + p(["of", "the", "the"][1 - order :], "\0") == pytest.approx(1)
+    assert model.words.tokens == n
+    for r in ngram_lm.score(rows, model).collect():
         words = docs[r.doc_id]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (r.doc_id not in train, len(words), sum(w in c for w in words), n)
+        assert (r.n_tokens, r.n_known) == (len(words), sum(w in c for w in words))
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words))
-        assert r.score == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip([None, *words], words, strict=False)))
+        padded = [*["<s>"] * (order - 1), *words]
+        assert r.score == pytest.approx(sum(math.log10(p(padded[i : i + order - 1], w)) for i, w in enumerate(words)))
+
+
+def test_query_of_the_model(spark):
+    found = queries.op7_lm_scoring(spark, SF).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0) for r in found)
+    assert {r.train_tokens for r in found} == {sum(r.n_tokens for r in found if not r.held_out)}
+    held = [r for r in found if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_model_meets_what_training_lacks(spark):
+    """Few distinct n-grams, so most parts are empty, and known words in new order."""
+    text = spark.createDataFrame([(i, "a b c d e f g h " * 40) for i in range(10)], "doc_id long, text string")
+    other = spark.createDataFrame([(1, "h g f e d c b a"), (2, "b c d x"), (3, None)], "doc_id long, text string")
+    for order in (2, 3):
+        model = ngram_lm.learn(text, order, a_bucket=50, most_parts=40)
+        p = counted_model([[*"abcdefgh" * 40, " end"]] * 10, order)
+        for r in ngram_lm.score(other, model).collect():
+            words = {1: [*"hgfedcba", " end"], 2: [*"bcdx", " end"], 3: [" end"]}[r.doc_id]
+            padded = [*["<s>"] * (order - 1), *words]
+            assert r.score == pytest.approx(sum(math.log10(p(padded[i : i + order - 1], w)) for i, w in enumerate(words)))
+
+
+def test_large_counts_are_kept(tmp_path):
+    """Counts beyond 32 bits stand in a file of their own."""
+    keys = ngram_lm.key_of([ngram_lm.np.arange(5), ngram_lm.np.arange(5)])
+    words = ngram_lm.Vocabulary(str(tmp_path), 0, (5,), 10)
+    blob = ngram_lm._packed([ngram_lm.np.arange(5), ngram_lm.np.arange(5), ngram_lm.np.array([1, 2**32 - 1, 7, 2**40, 2])])
+    row = ngram_lm._batch([(0, 0, blob)], ngram_lm._BLOB_TYPES)
+    list(ngram_lm._tables(str(tmp_path), 2, None, 10, 5)(iter([row])))
+    model = ngram_lm.Model(words, 2, ngram_lm.Layout(1, 0, 10), 10, 1, ((0.5, 1.0, 1.5),) * 2, (frozenset([0]),), 1, 1.0)
+    assert model._about(2, keys, ngram_lm.np.zeros(5, int))[:, 0].tolist() == [1, 2**32 - 1, 7, 2**40, 2]
 
 
 def test_model_of_odd_rows(odd, none):
