@@ -1,11 +1,14 @@
 """Benchmark decontamination by winnowing.
 
-Both sides keep the least hash of the k-word grams in each window of w grams. Any shared span of k + w - 1 words has
-a fingerprint in common, so documents are searched by fingerprints and each hit is extended to the exact windows of
-`window` words around it. Items shorter than a window are one window of their own and are looked up whole.
+Both sides keep the least hash of the k-word grams in each window of w grams, the last one on ties: about 2 / (w + 1) of
+all grams. Any shared span of k + w - 1 words has such a fingerprint in common, so the fingerprints of documents are
+joined with those of the items, and each hit is extended word by word to the whole shared span; spans of `window` words
+or more are hits. Items shorter than a window are one window of their own and are looked up whole.
 Null and empty texts have no words: such a document is clean, such an item has no windows. Items with equal texts all
-count; items without an id are left out. Repeated document rows are judged one by one. Other columns are ignored.
-The index of the items is broadcast in blocks of a bounded size; further blocks are further passes over the documents.
+count; the windows of items without an id count as hits, but such items are not listed. Repeated document rows are judged
+one by one. Other columns are ignored.
+An index of the items is broadcast if they have at most max_chars characters in all; more are joined by fingerprint, and
+each document and item that share one are compared. Either way the documents are read once.
 """
 
 from __future__ import annotations
@@ -13,8 +16,10 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,9 +45,17 @@ def gram_hashes(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 def winnowed(grams: np.ndarray, w: int) -> np.ndarray:
-    """The least gram of each window of w grams."""
+    """Places of the fingerprints: the last of the least grams of each window of w known grams."""
     m = len(grams) - w + 1
-    return np.min(np.lib.stride_tricks.sliding_window_view(grams, w), axis=1) if m > 0 else np.zeros(0, np.uint64)
+    if m <= 0:
+        return np.zeros(0, np.int64)
+    least, at, top = grams[:m].copy(), np.arange(m), grams[:m].copy()
+    for j in range(1, w):
+        g = grams[j : j + m]
+        lower = g <= least
+        least[lower], at[lower] = g[lower], np.flatnonzero(lower) + j
+        np.maximum(top, g, out=top)
+    return np.unique(at[top != _NONE])
 
 
 @dataclass(frozen=True)
@@ -55,51 +68,84 @@ class Winnowing:
         """Grams a window, so that every shared span of `window` words has a fingerprint in common."""
         return self.window - self.k + 1
 
+    def prints(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The fingerprints of word numbers and where they stand."""
+        grams = gram_hashes(ids, self.k)
+        at = winnowed(grams, self.w)
+        return grams[at], at
+
 
 class ItemIndex:
-    """Fingerprints and exact windows of some items; all arrays, so it stays about as large as the texts."""
+    """Fingerprints of some items with their places, and the words of the items; as large as a few times their texts."""
 
     def __init__(self, items: Iterable[tuple[object, bytes]], how: Winnowing):
-        self.how, self.vocabulary, self.item_ids, runs = how, {}, [], []
+        self.how, self.vocabulary, self.item_ids, texts = how, {}, [], {}
         number = self.vocabulary.setdefault
         for item_id, text in items:
-            if words := plain_words(text):
-                runs.append(np.array([number(x, len(self.vocabulary)) for x in words], np.int32))
-                self.item_ids.append(item_id)
-        self.words = np.concatenate([np.zeros(0, np.int32), *runs])
-        starts = np.cumsum([0, *map(len, runs)])
-        prints, windows = [np.zeros(0, np.uint64)], {}
+            if words := tuple(plain_words(text)):
+                if words not in texts:
+                    texts[words] = len(self.item_ids)
+                    self.item_ids.append([])  # of all items with these words
+                if item_id is not None:
+                    self.item_ids[texts[words]].append(item_id)
+        runs = [np.array([number(x, len(self.vocabulary)) for x in words], np.int32) for words in texts]
+        self.starts = np.cumsum([0, *(len(r) + 1 for r in runs)])
+        self.words = np.concatenate([np.zeros(0, np.int32), *(np.append(r, -2) for r in runs)]).astype(np.int32)  # -2 equals no word
+        prints, places, self.short = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], {}
         for i, run in enumerate(runs):
-            n = min(len(run), how.window)
-            if n == how.window:
-                prints.append(winnowed(gram_hashes(run, how.k), how.w))
-            at = np.arange(len(run) - n + 1)
-            windows.setdefault(n, []).append((gram_hashes(run, n), starts[i] + at, np.full(len(at), i)))
-        self.prints = np.unique(np.concatenate(prints))
-        self.windows = {}
-        for n, parts in windows.items():
-            h, at, item = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(h, kind="stable")
-            self.windows[n] = h[order], at[order], item[order]
+            if len(run) < how.window:
+                self.short.setdefault(len(run), {})[run.tobytes()] = i
+            else:
+                h, at = how.prints(run)
+                prints.append(h)
+                places.append(at + self.starts[i])
+        hashes, places = np.concatenate(prints), np.concatenate(places)
+        order = np.lexsort((places, hashes))
+        self.prints, self.places = hashes[order], places[order]
+        self.short_hashes = {n: np.unique(np.concatenate([gram_hashes(np.frombuffer(x, np.int32), n) for x in of])) for n, of in self.short.items()}
+
+    def numbers(self, words: list[bytes]) -> list[int]:
+        get = self.vocabulary.get
+        return [get(w, -1) for w in words]
 
     def hits(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """Start, length and item of each occurrence of an item's window in the word numbers."""
-        for n, (hashes, at, item) in self.windows.items():
+        """First, last + 1 and text of each span of word numbers that an item shares; -1 is no item's word."""
+        hashes, at = self.how.prints(ids)
+        low, high = np.searchsorted(self.prints, hashes), np.searchsorted(self.prints, hashes, "right")
+        done: dict[int, int] = {}  # where the last span of each diagonal ends
+        for k in np.flatnonzero(low < high).tolist():
+            p = int(at[k])
+            for q in self.places[low[k] : high[k]].tolist():
+                if done.get(p - q, 0) > p:
+                    continue
+                a, b = self._span(ids, p, q)
+                done[p - q] = b
+                if b - a >= self.how.window:
+                    yield a, b, int(np.searchsorted(self.starts, q, "right")) - 1
+        for n, of in self.short.items():
             grams = gram_hashes(ids, n)
-            if n == self.how.window:
-                prints = winnowed(gram_hashes(ids, self.how.k), self.how.w)  # one for each run of n words
-                near = np.flatnonzero(grams != _NONE)
-                near = near[_member(prints[near], self.prints)]
-            else:
-                near = np.flatnonzero(grams != _NONE)
-            near = near[_member(grams[near], hashes)]
-            low, high = np.searchsorted(hashes, grams[near]), np.searchsorted(hashes, grams[near], "right")
-            for p, a, b in zip(near.tolist(), low.tolist(), high.tolist(), strict=True):
-                found = set()
-                for j in range(a, b):
-                    if item[j] not in found and np.array_equal(self.words[at[j] : at[j] + n], ids[p : p + n]):
-                        found.add(item[j])
-                        yield p, n, item[j]
+            for p in np.flatnonzero(_member(grams, self.short_hashes[n])).tolist():
+                i = of.get(ids[p : p + n].tobytes())
+                if i is not None:
+                    yield p, p + n, i
+
+    def _span(self, ids: np.ndarray, p: int, q: int) -> tuple[int, int]:
+        """The longest run of equal words around place p of ids and q of the items' words."""
+        b, step = 0, 16
+        while n := min(step, len(ids) - p - b, len(self.words) - q - b):
+            unlike = np.flatnonzero(ids[p + b : p + b + n] != self.words[q + b : q + b + n])
+            if len(unlike):
+                b += int(unlike[0])
+                break
+            b, step = b + n, 2 * step
+        a, step = 0, 16
+        while n := min(step, p - a, q - a):
+            unlike = np.flatnonzero(ids[p - a - n : p - a] != self.words[q - a - n : q - a])
+            if len(unlike):
+                a += n - 1 - int(unlike[-1])
+                break
+            a, step = a + n, 2 * step
+        return p - a, p + b
 
 
 def _member(x: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -108,41 +154,92 @@ def _member(x: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.minimum(np.searchsorted(of, x), len(of) - 1)] == x
 
 
-def item_blocks(items: DataFrame, max_chars: int) -> Iterator[list[tuple[object, bytes]]]:
-    """Blocks of items of at most max_chars characters each, or a single longer item; one is on the driver at a time."""
-    block, chars = [], 0
-    for r in items.select("item_id", "text").where("item_id is not null and text is not null").toLocalIterator(prefetchPartitions=False):
-        if block and chars + len(r.text) > max_chars:
-            yield block
-            block, chars = [], 0
-        block.append((r.item_id, r.text.encode()))
-        chars += len(r.text)
-    if block:
-        yield block
-
-
-def _search(docs: DataFrame, block: list[tuple[object, bytes]], how: Winnowing) -> DataFrame:
-    """docs with hit_ (covered runs of words as start, end, start, ...), items_ and words_ brought up to date."""
-    index = docs.sparkSession.sparkContext.broadcast(ItemIndex(block, how))
+def _search(docs: DataFrame, items: list[tuple[object, bytes]], how: Winnowing, id_type: str) -> DataFrame:
+    """docs with words_, hit_ and items_ by a broadcast index."""
+    index = docs.sparkSession.sparkContext.broadcast(ItemIndex(items, how))
+    schema = docs.withColumns(_none(id_type)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = index.value
-        get = items.vocabulary.get
+        found = index.value
         for b in slices(batches):
             words = [plain_words(t) for t in utf8(b.column("text"))]
-            ids = np.array([x for ws in words for x in (*(get(w, -1) for w in ws), -1)], np.int32)
+            ids = np.array([x for ws in words for x in (*found.numbers(ws), -1)], np.int32)
             ends = np.cumsum([len(ws) + 1 for ws in words])
-            hit = [list(map(tuple, np.reshape(x, (-1, 2)))) for x in b.column("hit_").to_pylist()]
-            found = [set(x) for x in b.column("items_").to_pylist()]
-            for p, n, item in items.hits(ids):
+            hit, held = [[] for _ in words], [set() for _ in words]
+            for p, q, i in found.hits(ids):
                 d = int(np.searchsorted(ends, p, "right"))
                 first = int(ends[d]) - len(words[d]) - 1
-                hit[d].append((p - first, p - first + n))
-                found[d].add(items.item_ids[item])
-            out = {"hit_": [merged(x) for x in hit], "items_": [sorted(x, key=str) for x in found], "words_": [len(ws) for ws in words]}
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if f.name in out else b.column(f.name) for f in b.schema], schema=b.schema)
+                hit[d].append((p - first, q - first))
+                held[d].update(found.item_ids[i])
+            out = {"words_": [len(ws) for ws in words], "hit_": [merged(x) for x in hit], "items_": [sorted(x, key=str) for x in held]}
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(out[n], pa_type) for n, pa_type in (("words_", pa.int64()), ("hit_", pa.list_(pa.int32())), ("items_", pa.list_(_ARROW.get(id_type, pa.string())))))], [*b.schema.names, *out])
+
+    return docs.mapInArrow(run, schema)
+
+
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string()}
+
+
+def _none(id_type: str) -> dict:
+    return {"words_": F.lit(0).cast("long"), "hit_": F.array().cast("array<int>"), "items_": F.array().cast(f"array<{id_type}>")}
 
-    return docs.mapInArrow(run, docs.schema)
+
+def _hashed_prints(how: Winnowing, short: tuple[int, ...]):
+    """key, distinct fingerprints and, for whole short texts or all runs of their lengths, hashes of those; and words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            for key, text in zip(b.column("key").to_pylist(), utf8(b.column("text")), strict=True):
+                words = np.array(plain_words(text), object)
+                ids = (pd.util.hash_array(words, categorize=False) >> np.uint64(1)).astype(np.int64) if len(words) else np.zeros(0, np.int64)
+                lengths = short if short else (len(ids),) if 0 < len(ids) < how.window else ()
+                found = np.unique(np.concatenate([how.prints(ids)[0], *(gram_hashes(ids, n) ^ np.uint64(n) for n in lengths)]))
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array([len(ids)] * len(found), pa.int64())], ["key", "print", "n"])
+
+    return run
+
+
+def _compared(how: Winnowing):
+    """What each item shares with each text that has a fingerprint of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = lru_cache(256)(lambda key, text: ItemIndex([(key, text)], how))
+        for b in slices(batches):
+            rows = []
+            for key, text, item, of in zip(b.column("key").to_pylist(), utf8(b.column("text")), b.column("item").to_pylist(), utf8(b.column("item_text")), strict=True):
+                found = index(item, of)
+                runs = merged([(p, q) for p, q, _ in found.hits(np.array(found.numbers(plain_words(text)), np.int32))])
+                if runs:
+                    rows.append((key, item, runs))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 3, (pa.string(), pa.string(), pa.list_(pa.int32())), strict=True)], ["key", "item", "runs"])
+
+    return run
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(plain_words(t)) for t in utf8(b.column("text"))], pa.int64())], [*b.schema.names, "words_"])
+
+
+def _join(docs: DataFrame, items: DataFrame, how: Winnowing, id_type: str) -> DataFrame:
+    """docs with words_, hit_ and items_ by a join of fingerprints; equal texts are compared once."""
+    keyed = lambda df: df.where("text is not null").groupBy(F.sha2("text", 256).alias("key")).agg(F.first("text").alias("text"))
+    texts, wanted = written(keyed(docs), "texts"), written(keyed(items), "items")
+    print_type = "key string, print long, n long"
+    item_prints = written(wanted.mapInArrow(_hashed_prints(how, ()), print_type), "item-prints")
+    short = tuple(sorted(r.n for r in item_prints.where(F.col("n") < how.window).select("n").distinct().collect()))  # fewer than `window` numbers
+    prints = texts.mapInArrow(_hashed_prints(how, short), print_type).select("key", "print")
+    met = prints.join(item_prints.select(F.col("key").alias("item"), "print"), "print").select("key", "item").distinct()
+    pairs = met.join(texts, "key").join(wanted.select(F.col("key").alias("item"), F.col("text").alias("item_text")), "item").select("key", "text", "item", "item_text")
+    hits = written(pairs.mapInArrow(_compared(how), "key string, item string, runs array<int>"), "hits")
+    ids = items.where("text is not null and item_id is not null").select(F.sha2("text", 256).alias("item"), "item_id").distinct()
+    of_items = hits.join(ids, "item").groupBy("key").agg(F.collect_set("item_id").alias("items_"))
+    runs = hits.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list(F.expr("transform(filter(sequence(0, size(runs) - 1), i -> i % 2 = 0), i -> struct(runs[i] AS a, runs[i + 1] AS b))")))).alias("spans"))
+    union = "aggregate(spans, CAST(array() AS array<int>), (x, s) -> if(size(x) > 0 AND s.a <= element_at(x, -1), concat(slice(x, 1, size(x) - 1), array(greatest(element_at(x, -1), s.b))), concat(x, array(s.a, s.b))))"
+    found = written(runs.select(F.col("key").alias("key_"), F.expr(union).alias("hit_")).join(of_items.select(F.col("key").alias("key_"), "items_"), "key_", "left"), "covered")
+    told = docs.mapInArrow(_counted, docs.withColumn("words_", F.lit(0).cast("long")).schema).withColumn("key_", F.sha2("text", 256)).join(found, "key_", "left")
+    none = _none(id_type)
+    return told.withColumns({c: F.coalesce(c, none[c]) for c in ("hit_", "items_")}).select(*docs.columns, "words_", "hit_", "items_")
 
 
 def merged(runs: list[tuple[int, int]]) -> list[int]:
@@ -167,12 +264,10 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_hits(docs: DataFrame, items: DataFrame, how: Winnowing = Winnowing(), max_chars: int = 8_000_000) -> DataFrame:  # noqa: B008
     """docs (text and any other columns) with words_, hit_ and items_."""
     id_type = items.schema["item_id"].dataType.simpleString()
-    found = docs.withColumns({"hit_": F.array().cast("array<int>"), "items_": F.array().cast(f"array<{id_type}>"), "words_": F.lit(0).cast("long")})
-    blocks = item_blocks(items, max_chars)
-    found = _search(found, next(blocks, []), how)
-    for block in blocks:
-        found = _search(written(found, "winnow"), block, how)
-    return found
+    items = items.select("item_id", "text").where("text is not null")
+    if (items.agg(F.sum(F.length("text"))).first()[0] or 0) <= max_chars:
+        return _search(docs, [(r.item_id, r.text.encode()) for r in items.collect()], how, id_type)
+    return _join(docs, items, how, id_type)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, how: Winnowing = Winnowing(), max_chars: int = 8_000_000) -> DataFrame:  # noqa: B008
@@ -185,16 +280,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, how: Winnowing = Winnowing(
 def keep_clean(docs: DataFrame, items: DataFrame, how: Winnowing = Winnowing()) -> DataFrame:  # noqa: B008
     """The rows of docs without any window of an item, in their own columns."""
     packed = docs.select(F.struct("*").alias("row_"), "text")
-    return find_hits(packed, items, how).where(F.size("items_") == 0).select("row_.*")
+    return find_hits(packed, items, how).where(F.size("hit_") == 0).select("row_.*")
 
 
 ORACLE = r"""
 with d as (select row_number() over () rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
-i as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark where item_id is not null),
+i as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
 iw as (select distinct item_id, n, array_to_string(w[p:p + n - 1], ' ') g from (select item_id, w, n, unnest(range(1, len(w) - n + 2)) p from (select item_id, w, least(len(w), 10) n from i where len(w) > 0))),
 dw as (select rid, p, n, array_to_string(w[p:p + n - 1], ' ') g from (select rid, w, n, unnest(range(1, len(w) - n + 2)) p from d, (select distinct n from iw) where len(w) >= n)),
 hits as (select rid, p, n, item_id from dw join iw using (n, g)),
 covered as (select rid, count(distinct q) n_hit from (select rid, unnest(range(p, p + n)) q from hits) group by rid),
-found as (select rid, count(*) n_items, string_agg(cast(item_id as varchar), ',' order by cast(item_id as varchar)) ids from (select distinct rid, item_id from hits) group by rid)
+found as (select rid, count(*) n_items, string_agg(cast(item_id as varchar), ',' order by cast(item_id as varchar)) ids from (select distinct rid, item_id from hits where item_id is not null) group by rid)
 select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 from d left join covered using (rid) left join found using (rid)"""

@@ -110,25 +110,39 @@ def test_winnowing_equals_all_windows(spark):
     rows = [(i, text(pick.randrange(60))) for i in range(60)] + [(60, items[1][1] + " " + items[0][1]), (61, None), (62, "z a B! z")]
     d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     plain = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
-    for most in (8_000_000, 1):  # in one block, and in a block for each item
+    for most in (8_000_000, 1):  # by a broadcast index, and by a join
         for r in winnow.decontaminate(d, b, max_chars=most).collect():
             words, hit, found = plain(dict(rows)[r.doc_id]), set(), set()
             for i, t in items:
-                for w in _windows(plain(t)) if i is not None else ():
+                for w in _windows(plain(t)):
                     for p in range(len(words) - len(w) + 1):
                         if tuple(words[p : p + len(w)]) == w:
                             hit |= set(range(p, p + len(w)))
-                            found.add(i)
+                            found |= {i} - {None}
             ids = ",".join(sorted(map(str, found)))
             assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (len(words), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), bool(hit))
 
 
+def test_fingerprints_are_few_and_enough():
+    """Far fewer fingerprints than grams, and one in each window, the same wherever the window stands."""
+    numpy, how, pick = winnow.np, winnow.Winnowing(), random.Random(3)
+    ids = numpy.array([pick.randrange(50) for _ in range(5_000)], numpy.int32)
+    hashes, at = how.prints(ids)
+    assert len(at) < len(ids) / 3 and numpy.diff(at).max() <= how.w
+    index = winnow.ItemIndex([(7, b" ".join(b"w%d" % x for x in ids[100:400]))], how)
+    assert len(index.prints) < 100
+    other = [b"x", *(b"w%d" % x for x in ids[150:180]), b"y", *(b"w%d" % x for x in ids[200:209]), b"z"]
+    assert [(a, b) for a, b, _ in index.hits(numpy.array(index.numbers(other), numpy.int32))] == [(1, 31)]
+
+
 def test_winnowing_of_odd_rows(odd, none, spark):
     items = spark.createDataFrame([(1, "three four")], "item_id long, text string")
     assert winnow.decontaminate(odd, items).count() == len(ODD)
     kept = winnow.keep_clean(odd, items)
     assert kept.columns == odd.columns and kept.count() == len(ODD) - 3
     assert winnow.keep_clean(odd, items.where("false")).count() == len(ODD) and winnow.keep_clean(none, items).count() == 0
+    a, b = (sorted(map(str, winnow.decontaminate(odd, items, max_chars=m).drop("item_ids").collect())) for m in (100, 1))
+    assert a == b
 
 
 # 3
