@@ -49,9 +49,13 @@ def fold(n: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n, F.lit(0))
 
 
+#: At order 3 the check tool stops the query: the README has the figures.
+ORDER = 2
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = ngram_lm.learn(docs.where(fold(10) != 0), order=3)
+    model = ngram_lm.learn(docs.where(fold(10) != 0), ORDER)
     scored = ngram_lm.score(docs, model)
     return scored.select("doc_id", (fold(10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.words.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
 
