@@ -5,11 +5,49 @@ A token's features are column numbers; sequences are short-lived arrays inside a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from bisect import bisect_left
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 
+#: Feature names are hashed into so many columns.
+WIDTH = 4096
+
+
+class Columns:
+    """Feature names to hashed columns, remembered while there are few."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+
+    def of(self, names: list[str]) -> list[int]:
+        if len(self.known) > 50_000:
+            self.known.clear()
+        return [self.known[n] if n in self.known else self.known.setdefault(n, self._column(n)) for n in names]
+
+    @staticmethod
+    def _column(name: str) -> int:
+        return int.from_bytes(hashlib.blake2b(name.encode(errors="surrogatepass"), digest_size=4).digest(), "little") % WIDTH
+
+
+class Covered:
+    """The union of some half-open spans."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b)
+        return k > 0 and self.ends[k - 1] > a
+
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     m = x.max(axis=axis, keepdims=True)
@@ -33,17 +71,31 @@ class Flat:
 
 @dataclass
 class Chain:
-    """weights: features by labels; transitions: label before by label after."""
+    """weights: features by labels; transitions: label before by label after.
+
+    held: the tokens before and after each sequence are known to have label 0, as where a sequence is cut out of a text.
+    """
 
     weights: np.ndarray
     transitions: np.ndarray
+    held: bool = False
 
     def emissions(self, flat: Flat) -> np.ndarray:
-        rows = self.weights[flat.columns]
-        if not len(flat.starts) - 1:
-            return np.zeros((0, self.weights.shape[1]))
-        sums = np.concatenate([np.zeros((1, rows.shape[1])), np.cumsum(rows, 0)])
-        return sums[flat.starts[1:]] - sums[flat.starts[:-1]]
+        """Each token's sum of weights; it depends on no other token."""
+        out = np.zeros((len(flat.starts) - 1, self.weights.shape[1]))
+        some = np.diff(flat.starts) > 0
+        if some.any():
+            out[some] = np.add.reduceat(self.weights[flat.columns], flat.starts[:-1][some], axis=0)
+        return out
+
+    def bounded(self, e: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Emissions with what the tokens around each sequence add to its first and last one."""
+        if not self.held:
+            return e
+        e = e.copy()
+        e[first] += self.transitions[0]
+        e[last] += self.transitions[:, 0]
+        return e
 
     def marginals(self, flat: Flat) -> np.ndarray:
         """Each token's probabilities of the labels, by forward-backward."""
@@ -53,6 +105,8 @@ class Chain:
         """Marginals, expected transitions and log-partition, sequences of like length side by side."""
         k, out, pairs, z_all = e.shape[1], np.zeros_like(e), np.zeros((e.shape[1],) * 2), 0.0
         first = np.cumsum(flat.lengths) - flat.lengths
+        some = flat.lengths > 0
+        e = self.bounded(e, first[some], (first + flat.lengths - 1)[some])
         for n in np.unique(flat.lengths[flat.lengths > 0]):
             at = first[flat.lengths == n]
             forward, backward = np.zeros((n, len(at), k)), np.zeros((n, len(at), k))
@@ -67,12 +121,16 @@ class Chain:
                 out[at + t] = np.exp(forward[t] + backward[t] - z[:, None])
                 if t + 1 < n:
                     pairs += np.exp(forward[t][:, :, None] + self.transitions[None] + (e[at + t + 1] + backward[t + 1])[:, None, :] - z[:, None, None]).sum(0)
+        if self.held:
+            pairs[0] += out[first[some]].sum(0)
+            pairs[:, 0] += out[(first + flat.lengths - 1)[some]].sum(0)
         return out, pairs, z_all
 
     def viterbi(self, e: np.ndarray) -> list[int]:
         """The best labels of one sequence of emissions; the lower label wins ties."""
         if not len(e):
             return []
+        e = self.bounded(e, np.array([0]), np.array([len(e) - 1]))
         best, back = e[0], []
         for row in e[1:]:
             scores = best[:, None] + self.transitions
@@ -84,12 +142,12 @@ class Chain:
         return labels[::-1]
 
 
-def train(flat: Flat, labels: np.ndarray, features: int, kinds: int, *, weights: np.ndarray | None = None, l2: float = 0.01, steps: int = 120, rate: float = 0.15) -> Chain:
+def train(flat: Flat, labels: np.ndarray, features: int, kinds: int, *, weights: np.ndarray | None = None, held: bool = False, l2: float = 0.01, steps: int = 120, rate: float = 0.15) -> Chain:
     """Maximum likelihood with a quadratic penalty, by full-batch Adam. weights: one for each sequence.
 
     Without sequences, all weights are 0.
     """
-    model = Chain(np.zeros((features, kinds)), np.zeros((kinds, kinds)))
+    model = Chain(np.zeros((features, kinds)), np.zeros((kinds, kinds)), held)
     n = len(labels)
     if not n:
         return model
@@ -99,6 +157,11 @@ def train(flat: Flat, labels: np.ndarray, features: int, kinds: int, *, weights:
     true = np.eye(kinds)[labels]
     counted = np.zeros((kinds, kinds))
     np.add.at(counted, (labels[followed], labels[followed + 1]), 1.0)
+    if held:
+        some = flat.lengths > 0
+        first = (np.cumsum(flat.lengths) - flat.lengths)[some]
+        np.add.at(counted[0], labels[first], 1.0)
+        np.add.at(counted[:, 0], labels[first + flat.lengths[some] - 1], 1.0)
     per = np.diff(flat.starts)
     token_of_column = np.repeat(np.arange(n), per)
     state = [np.zeros_like(x) for x in (model.weights, model.transitions, model.weights, model.transitions)]

@@ -4,8 +4,10 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from itertools import product
 
 import pytest
 from oracle import assert_same, connect
@@ -326,7 +328,7 @@ def test_base_spans(docs):
 @pytest.mark.parametrize("module", [pii_crf, secret_crf])
 def test_taggers(module, spark, odd, none):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
-    model, columns = module.learn(docs), module.Columns()
+    model, columns = module.learn(docs), chain_crf.Columns()
     found = hit = 0
     texts = [r.text for r in docs.select("text").collect()]
     for k, t in enumerate(texts):
@@ -347,6 +349,114 @@ def test_taggers(module, spark, odd, none):
     assert module.find(none, model).count() == 0 and module.learn(none) is not None
 
 
+def _enumerated(e, transitions, held, skips=(), agree=None):
+    """Marginals and the best labels of one sequence by trying all labellings."""
+    np, kinds = chain_crf.np, e.shape[1]
+    total, best, out = 0.0, (-math.inf, None), np.zeros_like(e)
+    for y in product(range(kinds), repeat=len(e)):
+        x = sum(e[k, j] for k, j in enumerate(y)) + sum(transitions[a, b] for a, b in zip(y, y[1:], strict=False))
+        x += (transitions[0, y[0]] + transitions[y[-1], 0]) * held + sum(agree[y[i], y[j]] for i, j in skips)
+        best = max(best, (x, [-v for v in y]))
+        total += math.exp(x)
+        for k, j in enumerate(y):
+            out[k, j] += math.exp(x)
+    return out / total, [-v for v in best[1]]
+
+
+@pytest.mark.parametrize("held", [False, True])
+def test_chain_equals_enumeration(held):
+    np = chain_crf.np
+    draw = np.random.default_rng(5)
+    for n in (1, 2, 5):
+        chain = chain_crf.Chain(draw.normal(size=(6, 3)), draw.normal(size=(3, 3)) * 2, held)
+        flat = chain_crf.Flat.of([[[int(draw.integers(6)) for _ in range(3)] for _ in range(n)]])
+        p, best = _enumerated(chain.emissions(flat), chain.transitions, held)
+        assert np.allclose(chain.marginals(flat), p) and chain.viterbi(chain.emissions(flat)) == best
+
+
+def test_training_follows_the_likelihood():
+    """The slope of the log-likelihood of a held chain, and what training does to it."""
+    np = chain_crf.np
+    draw = np.random.default_rng(6)
+    sequences = [[[int(draw.integers(5))] for _ in range(k)] for k in (3, 1, 4, 2)]
+    flat, labels = chain_crf.Flat.of(sequences), draw.integers(0, 3, 10)
+
+    def likelihood(chain):
+        e, out, at = chain.emissions(flat), 0.0, 0
+        for n in flat.lengths:
+            y = labels[at : at + n]
+            own = sum(e[at + k, y[k]] for k in range(n)) + sum(chain.transitions[a, b] for a, b in zip(y, y[1:], strict=False)) + chain.transitions[0, y[0]] + chain.transitions[y[-1], 0]
+            every = [sum(e[at + k, v] for k, v in enumerate(z)) + sum(chain.transitions[a, b] for a, b in zip(z, z[1:], strict=False)) + chain.transitions[0, z[0]] + chain.transitions[z[-1], 0] for z in product(range(3), repeat=int(n))]
+            out += own - math.log(sum(map(math.exp, every)))
+            at += n
+        return out
+
+    fitted = chain_crf.train(flat, labels, 5, 3, held=True, l2=0.0, steps=400)
+    best = likelihood(fitted)
+    assert best > likelihood(chain_crf.Chain(np.zeros((5, 3)), np.zeros((3, 3)), True))
+    for _ in range(20):  # no near model is clearly better
+        other = chain_crf.Chain(fitted.weights + 0.02 * draw.normal(size=(5, 3)), fitted.transitions + 0.02 * draw.normal(size=(3, 3)), True)
+        assert likelihood(other) < best + 0.02
+
+
+def test_message_passing_equals_enumeration_without_loops():
+    np = chain_crf.np
+    draw = np.random.default_rng(7)
+    kinds = len(pii_crf.LABELS)
+    chain = chain_crf.Chain(draw.normal(size=(8, kinds)), draw.normal(size=(kinds, kinds)), True)
+    flat = chain_crf.Flat.of([[[1], [2]], [[3]], [[4]]])  # three runs, the skip edges join them to a tree
+    model = pii_crf.SkipChain(chain, 1.7)
+    e = chain.bounded(chain.emissions(flat), np.array([0, 2, 3]), np.array([1, 2, 3]))
+    transitions = np.zeros((kinds, kinds))
+    total, out = 0.0, np.zeros_like(e)
+    for y in product(range(kinds), repeat=4):
+        x = math.exp(sum(e[k, j] for k, j in enumerate(y)) + chain.transitions[y[0], y[1]] + transitions[y[1], y[2]] + 1.7 * (pii_crf.AGREE[y[1], y[2]] + pii_crf.AGREE[y[2], y[3]]))
+        total += x
+        for k, j in enumerate(y):
+            out[k, j] += x
+    assert np.allclose(model.marginals(flat, [(1, 2), (2, 3)]), out / total, atol=1e-3)
+    alone = model.marginals(flat, [])
+    assert np.allclose(alone, chain.marginals(flat)) and not np.allclose(alone, out / total, atol=1e-2)
+
+
+def test_repeats_agree():
+    """A skip edge lends a doubtful token the label of its like."""
+    np = chain_crf.np
+    chain = chain_crf.Chain(np.zeros((3, len(pii_crf.LABELS))), np.zeros((len(pii_crf.LABELS),) * 2), True)
+    chain.weights[1, 7], chain.weights[2, 0] = 6.0, 0.5
+    flat = chain_crf.Flat.of([[[1]], [[2]]])
+    assert pii_crf.SkipChain(chain, 2.0).marginals(flat, [(0, 1)]).argmax(1).tolist() != pii_crf.SkipChain(chain, 2.0).marginals(flat, []).argmax(1).tolist()
+
+
+LONG = ["9" * 10_000 + ".1.1.1", "1.1.1." + "0" * 9_000 + "255", "1.1.1.256 " * 3, "+1" + " " * 50_000, "+" + "1" * 50_000, "a" * 100_000 + "@" * 1_000, "1 " * 100_000, "token" + " " * 50_000, "0123456789abcde " * 20_000, "x1" * 100_000, "(at)" * 20_000]
+
+
+def test_long_runs(spark):
+    """Numbers beyond what int() reads, and texts on which patterns might work long; seconds for all of them."""
+    began = time.time()
+    assert pii_crf.base_spans(LONG[0]) == [] and pii_crf.base_spans(LONG[1]) == [("ip", 0, len(LONG[1]))] and pii_crf.base_spans(LONG[2]) == []
+    df = spark.createDataFrame(list(enumerate(LONG)), "doc_id long, text string")
+    model, tagger = pii_crf.learn(df), secret_crf.learn(df)
+    assert pii_crf.find(df, model).count() == len(LONG) == secret_crf.find(df, tagger).count()
+    assert [r.text for r in pii_crf.redact(df.where("doc_id = 1"), model).collect()] == ["[IP]"]
+    for t in LONG:
+        pii_crf.SkipChain(chain_crf.Chain(chain_crf.np.zeros((chain_crf.WIDTH, 9)), chain_crf.np.zeros((9, 9)), True)).spans(t, chain_crf.Columns(), [])
+        secret_crf.Tagger(chain_crf.Chain(chain_crf.np.zeros((chain_crf.WIDTH, 3)), chain_crf.np.zeros((3, 3)), True)).spans(t, chain_crf.Columns(), [])
+    assert time.time() - began < 120
+
+
+#: Secrets and numbers in spellings that no variant has.
+OTHER_SECRETS = ["pwd = CorrectHorseBattery", "passwd: hunter2xyz", "Bearer mF_9.B5f-4.1JqM", "export KEY=abcd1234efgh5678zz", "signing_secret: Zq8rT5vX2mN7", "client_key := 77fa-90Bc-QQ1z-77aa", "credential: MorningTrain42", "auth = tR9vKm2LpQ8s"]
+NO_SECRETS = ["the secret of the forest is old", "a token of love, weekly", "in private, he said", "see https://example.com/private/path", "the key to the door", "password rules are hard to learn", "an author and a bearer of news", "credentials of the ambassador"]
+
+
+def test_secrets_outside_the_variants(spark):
+    model, columns = secret_crf.learn(table(spark, "/root/testdata/sf0.01", "documents")), chain_crf.Columns()
+    found = [t for t in OTHER_SECRETS if model.spans(f"we wrote {t} in it", columns, [])]
+    wrong = [t for t in NO_SECRETS if model.spans(f"we wrote {t} in it", columns, [])]
+    assert len(found) >= 6 and not wrong
+
+
 def test_redaction(spark, odd):
     model = pii_crf.learn(odd)
     out = pii_crf.redact(odd, model)
