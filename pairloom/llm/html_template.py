@@ -2,16 +2,18 @@
 
 Tokens are tags with their path from the root, and whole pieces of text with theirs. The pages of a host that have the
 same unmarked divisions around their main text are a layout group; layouts of too few pages for a template are pooled, host
-by host. Per group, tokens with the same occurrence vector (how often in which page) form a class; the vectors are compared by page count, total and an XOR of
-hashes of (page, count), so they are aggregated in parts and a group may have any number of pages. A class is valid if
-it is large and frequent. Classes that occur once a page make the outer template, whose gaps are slots; classes that
-occur more often nest in the slot where they stand. The text left in the slots is extracted; article and main
-elements tell which slots hold the main text where a page has them, and menus, headers, footers, asides, adverts, forms,
-notices and comments are told by their element, class, id or role.
+by host. Per group, tokens with the same occurrence vector (how often in which page) form a class; vectors are
+compared by page count, total and two sums of hashes of (page, count), so they are aggregated in parts and a group may
+have any number of pages. A class is valid if
+it is large and frequent. Classes that occur equally often in each page make the outer template, whose gaps are slots; other
+classes nest in the slot where they stand. The text left in the slots is extracted; article and main
+elements tell which slots hold the main text where a page has them, elsewhere slots that are mostly links are no main text;
+menus, headers, footers, asides, adverts, forms, notices and comments are told by their element, class, id or role too.
 A passage that articles of a group share is kept if fewer of its pages have it than a template needs, if other text
 stands in its block, or if the page's main text would be empty without it, as where all pages of a group are copies.
 A null or empty page gives an empty text. Pages without a host form one group. Repeated rows give repeated results.
-Unclosed and badly nested elements are read as browsers do, roughly. Other columns are ignored.
+Repeated rows count as so many pages of their group. Unclosed and badly nested elements are read as browsers do, roughly;
+work and memory are in proportion to a page's length, however it is nested. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,8 @@ from pairloom.llm.words import slices
 from pairloom.sources.tables import written
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
+    r"<!--.*?(?:-->|\Z)|<(?P<svg>svg)\b[^<>]*/>|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title)\b[^<>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<rest>(?:\"[^\"]*+\"|'[^']*+'|[^>])*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)|(?P<text>[^<]+|<)",
     re.I | re.S,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -43,6 +46,8 @@ MARKS = frozenset(
     "ad ads advert adverts advertisement sponsored sponsor promo banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget related "
     "notice notices cookie cookies consent newsletter subscribe signup popup modal share social comment comments reply replies disqus form login search complementary contentinfo".split()
 )
+#: Words that may stand beside these in one name; a name with any other word, like share-price, marks nothing.
+BESIDE = frozenset("site page global main top bottom left right inner outer box bar block section area list item items link links button buttons icons container wrapper wrap content panel column col slot unit module group posts articles stories policy consent reader user the by and of js l r".split())
 #: Elements that an opening tag closes if they stand open.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table article main section div body nav aside footer header form td".split())
@@ -50,77 +55,130 @@ _DIVISIONS = frozenset("article main section div".split())
 _BREAKS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
 
 
-@dataclass
+def marked(names: str) -> bool:
+    """Whether a class, id or role says that an element is no article: a name all of whose words are MARKS or BESIDE."""
+    for name in names.lower().split():
+        words = [w for w in re.split("[^a-z]+", name) if w]
+        if not MARKS.isdisjoint(words) and all(w in MARKS or w in BESIDE for w in words):
+            return True
+    return False
+
+
+@dataclass(slots=True)
 class Event:
     kind: str  # open, close or text
-    path: str
+    path: int  # a hash of the elements from the root on
+    name: str  # the element and its class, id and role
     text: str
     inside: bool  # of an article or main element
     out: bool  # of the article by what encloses it
+    link: bool
     block: int  # blocks are numbered in page order
 
 
+@dataclass(slots=True)
+class _Open:
+    tag: str
+    path: int
+    name: str
+    inside: bool
+    out: bool
+    link: bool
+
+
+class _Stack:
+    """Open elements. Work is in proportion to what is opened, however deep."""
+
+    def __init__(self):
+        self.items: list[_Open] = []
+        self.counts: Counter = Counter()
+        self.scopes: list[tuple[int, Counter]] = [(-1, Counter())]  # where each scope begins and what is open in it
+
+    def push(self, e: _Open) -> None:
+        self.items.append(e)
+        self.counts[e.tag] += 1
+        self.scopes[-1][1][e.tag] += 1
+        if e.tag in _SCOPE:
+            self.scopes.append((len(self.items) - 1, Counter()))
+
+    def pop(self) -> _Open:
+        e = self.items.pop()
+        self.counts[e.tag] -= 1
+        if e.tag in _SCOPE:
+            self.scopes.pop()
+        self.scopes[-1][1][e.tag] -= 1
+        return e
+
+    def last(self, tags: frozenset[str] | set[str], after: int = -1) -> int:
+        return next(k for k in range(len(self.items) - 1, after, -1) if self.items[k].tag in tags)
+
+    def shut_by(self, tags: set[str]) -> int | None:
+        """The innermost open element of tags that no other scope encloses."""
+        at, counts = self.scopes[-1]
+        if any(counts[t] > 0 for t in tags):
+            return self.last(tags, at)
+        return at if at >= 0 and self.items[at].tag in tags else None
+
+
+_NOTHING = _Open("", 0, "", False, False, False)
+
+
 def events(page: str) -> Iterator[Event]:
     """Tags and pieces of text in page order."""
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, inside, out
-    block = 0
+    stack, block = _Stack(), 0
 
     def close(at: int) -> Iterator[Event]:
         nonlocal block
-        while len(stack) > at:
-            tag, path, inside, out = stack.pop()
-            if tag not in INLINE:
+        while len(stack.items) > at:
+            e = stack.pop()
+            if e.tag not in INLINE:
                 block += 1
-            yield Event("close", path, "", inside, out, block)
+            yield Event("close", e.path, e.name, "", e.inside, e.out, e.link, block)
 
     for m in _TOKEN.finditer(page):
+        top = stack.items[-1] if stack.items else _NOTHING
         if m["text"] is not None:
-            top = stack[-1] if stack else ("", "", False, False)
-            yield Event("text", top[1], references.unescape(m["text"]), top[2], top[3], block)
-        elif m["raw"]:
-            continue
+            yield Event("text", top.path, top.name, references.unescape(m["text"]), top.inside, top.out, top.link, block)
         elif m["tag"]:
             tag = m["tag"].lower()
             if m["end"]:
-                at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-                if at is not None:
-                    yield from close(at)
+                if stack.counts[tag]:
+                    yield from close(stack.last({tag}))
                 elif tag not in INLINE:
                     block += 1
                 continue
+            if tag in ("html", "body") and stack.counts[tag]:
+                continue
             shut = CLOSES.get(tag, set()) | ({"p"} if tag in _BREAKS_P else set())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in shut:
-                    yield from close(k)
-                elif stack[k][0] in _SCOPE:
-                    break
+            while shut and (at := stack.shut_by(shut)) is not None:
+                yield from close(at)
             if tag not in INLINE:
                 block += 1
             names = " ".join(sorted("".join(x[1:]) for x in _ATTRIBUTE.findall(m["rest"]))) if m["rest"].strip(" /") else ""
-            _, above, inside, out = stack[-1] if stack else ("", "", False, False)
-            path = f"{above}/{tag}.{names}" if names else f"{above}/{tag}"
-            marked = bool(MARKS & set(re.split("[^a-z0-9]+", names.lower()))) and tag not in ("html", "body", "article", "main")
+            top = stack.items[-1] if stack.items else _NOTHING
+            name = f"{tag}.{names}" if names else tag
+            path = hash_of(f"{top.path} {name}")
             # an article's own header holds its headline
-            out = out or marked or tag in LEFT_OUT and not (tag == "header" and inside)
-            inside = inside or tag in ("article", "main")
+            out = top.out or tag in LEFT_OUT and not (tag == "header" and top.inside) or bool(names) and tag not in ("html", "body", "article", "main") and marked(names)
+            inside = top.inside or tag in ("article", "main")
             if tag in VOID or m["rest"].endswith("/") and tag in INLINE:
-                yield Event("text", path, " ", inside, out, block)
+                yield Event("text", path, name, " ", inside, out, top.link, block)
                 continue
             if tag in ("td", "th"):
-                yield Event("text", above, " ", inside, out, block)
-            stack.append((tag, path, inside, out))
-            yield Event("open", path, "", inside, out, block)
+                yield Event("text", top.path, top.name, " ", inside, out, top.link, block)
+            stack.push(_Open(tag, path, name, inside, out, top.link or tag == "a"))
+            yield Event("open", path, name, "", inside, out, top.link, block)
     yield from close(0)
 
 
+def hash_of(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode(errors="surrogatepass")) - 2**63
+
+
 def tokens(page: str) -> tuple[list[Event], list[int | None]]:
     """The events of a page and their tokens, signed 64-bit numbers; None for white space."""
     found = list(events(page))
-    names = [f"{e.kind} {e.path} {' '.join(e.text.split())}" for e in found]
-    if not found:
-        return [], []
-    hashed = pd.util.hash_array(pd.Series(names, dtype=object).to_numpy(), categorize=False).astype("int64").tolist()
-    return found, [None if e.kind == "text" and not e.text.strip() else h for e, h in zip(found, hashed, strict=True)]
+    return found, [None if e.kind == "text" and not e.text.strip() else hash_of(f"{e.kind} {e.path} {' '.join(e.text.split())}") for e in found]
 
 
 def layout(found: list[Event]) -> int:
@@ -128,16 +186,16 @@ def layout(found: list[Event]) -> int:
     names, above, depth, held = set(), [], 0, 0
     for e in found:
         if e.kind == "open":
-            tag = e.path[len(above[-1][0]) if above else 0 :][1:].split(".", 1)[0]
+            tag = e.name.split(".", 1)[0]
             counts = tag not in ("html", "body")
+            above.append((e.name, counts, e.inside))
             if depth < 2 and not held and not e.out and tag in _DIVISIONS:
-                names.add(re.sub("[0-9]+", "", e.path))
-            above.append((e.path, counts, e.inside))
+                names.add(re.sub("[0-9]+", "", "/".join(n for n, _, _ in above)))
             depth, held = depth + counts, held + e.inside
         elif e.kind == "close":
             _, counts, inside = above.pop()
             depth, held = depth - counts, held - inside
-    return int(pd.util.hash_array(pd.Series([" ".join(sorted(names))], dtype=object).to_numpy(), categorize=False).astype("int64")[0])
+    return hash_of(" ".join(sorted(names)))
 
 
 def host(url: str) -> F.Column:
@@ -161,65 +219,74 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def deduce(pages: DataFrame, share: float = 0.8, least_pages: int = 5, least_size: int = 3) -> DataFrame:
     """One row for each layout group (host, layout): its valid classes in order of place, each with tokens in order and
-    occurrences a page. The group of layout null has all pages of layouts that have fewer than least_pages on the host.
+    occurrences in each page, 0 if they vary. The group of layout null has all pages of layouts that have fewer than least_pages on the host.
 
     share: of a group's pages that a class must occur in; so a group's template is no longer than its mean page / share.
     Layouts of at least least_pages have a row, with empty classes if none is valid.
     """
     keyed = pages.select(host("url").alias("host"), F.xxhash64("page_id", "url").alias("page"), "html")
     seen = keyed.mapInArrow(_occurrences, "host string, layout long, page long, token long, n long, at long")
-    sums = lambda n, total, vector, at: (F.sum(n).alias("in_pages"), F.sum(total).alias("total"), F.expr(f"bit_xor({vector})").alias("vector"), F.sum(at).alias("at"))
-    parts = written(seen.groupBy("host", "layout", "token").agg(*sums(F.lit(1), "n", "xxhash64(page, n)", "at")), "token-vectors")
+    sums = lambda n, total, x, y, at, least, most: (F.sum(n).alias("in_pages"), F.sum(total).alias("total"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(at).alias("at"), F.min(least).alias("least"), F.max(most).alias("most"))
+    bits = lambda seed: F.expr(f"shiftrightunsigned(xxhash64(page, n, {seed}), 33)")  # noqa: E731  of 2**32 pages the sum still fits
+    parts = written(seen.groupBy("host", "layout", "token").agg(*sums(F.lit(1), "n", bits(1), bits(2), "at", "n", "n")), "token-vectors")
     found = parts.where("token is null").select("host", "layout", F.col("in_pages").alias("pages"))
     small = lambda df: F.broadcast(df) if df.limit(100_001).count() <= 100_000 else df
     group = F.when(F.col("pages") >= least_pages, F.col("layout")).alias("layout")
-    pooled = parts.where("token is not null").join(small(found), ["host", "layout"]).select("host", group, "token", "in_pages", "total", "vector", "at")
-    vectors = pooled.groupBy("host", "layout", "token").agg(*sums("in_pages", "total", "vector", "at")).withColumn("at", F.col("at") / F.col("in_pages"))
+    pooled = parts.where("token is not null").join(small(found), ["host", "layout"]).select("host", group, "token", "in_pages", "total", "x", "y", "at", "least", "most")
+    vectors = pooled.groupBy("host", "layout", "token").agg(*sums("in_pages", "total", "x", "y", "at", "least", "most")).withColumn("at", F.col("at") / F.col("in_pages"))
     sizes = found.select("host", group, "pages").groupBy("host", "layout").agg(F.sum("pages").alias("pages")).withColumnsRenamed({"host": "of_host", "layout": "of_layout"})
     same = F.col("host").eqNullSafe(F.col("of_host")) & F.col("layout").eqNullSafe(F.col("of_layout"))
     frequent = vectors.join(small(sizes), same).where(F.col("in_pages") >= F.greatest(F.lit(float(least_pages)), share * F.col("pages")))
-    classes = frequent.groupBy("host", "layout", "in_pages", "total", "vector").agg(F.expr("transform(sort_array(collect_list(struct(at, token))), x -> x.token)").alias("tokens"), F.min("at").alias("at"))
-    valid = classes.where(F.size("tokens") >= least_size)
-    told = valid.groupBy("host", "layout").agg(F.expr("transform(sort_array(collect_list(struct(at, total / in_pages AS often, tokens))), x -> struct(x.often AS often, x.tokens AS tokens))").alias("classes"))
+    classes = frequent.groupBy("host", "layout", "in_pages", "total", "x", "y", "least", "most").agg(F.expr("transform(sort_array(collect_list(struct(at, token))), x -> x.token)").alias("tokens"), F.min("at").alias("at"))
+    # an element's beginning and end are enough where it stands several times in each page
+    valid = classes.where((F.size("tokens") >= least_size) | (F.size("tokens") >= 2) & (F.col("least") == F.col("most")) & (F.col("least") > 1))
+    told = valid.groupBy("host", "layout").agg(F.expr("transform(sort_array(collect_list(struct(at, if(least = most, least, 0) AS often, tokens))), x -> struct(x.often AS often, x.tokens AS tokens))").alias("classes"))
     own = found.where(F.col("pages") >= least_pages).select("host", "layout")
     return told.where("layout is null").union(own.join(told, ["host", "layout"], "left").select("host", "layout", F.coalesce("classes", F.array().cast(told.schema["classes"].dataType)).alias("classes")))
 
 
-Template = list[tuple[float, list[int]]]
+Template = list[tuple[int, list[int]]]
 
 
 def slots(found: list[Event], names: list[int | None], template: Template) -> Iterator[list[tuple[Event, bool]]]:
     """The page's events between the tokens of the outer template, each with whether a nested class has it.
 
-    Outer are the classes of one occurrence a page. A token out of the template's order parts nothing.
+    Outer are the classes of as many occurrences in each page: once, or so often as divisions of one kind stand in the
+    outer template. Classes whose occurrences vary nest in a slot. An inline element or a token out of the template's order parts nothing.
     """
     order = {t: k for k, t in enumerate(t for often, class_ in template if often == 1 for t in class_)}
-    nested = {t for often, class_ in template if often != 1 for t in class_}
+    several = {t for often, class_ in template if often > 1 for t in class_}
+    nested = {t for often, class_ in template if not often for t in class_}
     last, slot = -1, []
     for e, t in zip(found, names, strict=True):
-        if t is not None and order.get(t, -1) > last:
-            last = order[t]
+        parts = t is not None and (e.kind == "text" or e.name.split(".", 1)[0] not in INLINE)
+        if parts and (order.get(t, -1) > last or t in several and e.kind != "text"):
+            last = max(last, order.get(t, -1))
             yield slot
             slot = [(e, True)] if e.kind == "text" else []
         else:
-            slot.append((e, t in nested or t in order))
+            slot.append((e, t in nested or t in several or t in order))
     yield slot
 
 
 def article(page: str, template: Template) -> str:
-    """The main text of a page; template: classes as (occurrences a page, tokens in order).
+    """The main text of a page; template: classes as (occurrences in each page or 0, tokens in order).
 
     Where unmarked text stands in article or main elements, the main text is what the slots hold of these: blocks that
-    are all template are left out, unless nothing else is there. Elsewhere each piece of the template is left out.
+    are all template are left out, unless nothing else is there. Elsewhere it is all that the slots hold but the template,
+    without slots whose text is more than half links, unless all are such.
     """
     found, names = tokens(page)
-    texts = [(e, fixed) for slot in slots(found, names, template) for e, fixed in slot if e.kind == "text" and not e.out]
-    main = [(e, fixed) for e, fixed in texts if e.inside]
+    filled = [[(e, fixed) for e, fixed in slot if e.kind == "text" and not e.out] for slot in slots(found, names, template)]
+    main = [(e, fixed) for slot in filled for e, fixed in slot if e.inside]
     if any(e.text.strip() for e, _ in main):
         own = {e.block for e, fixed in main if not fixed and e.text.strip()}
         kept = [e for e, _ in main if not own or e.block in own]
     else:
-        kept = [e for e, fixed in texts if not fixed]
+        held = [[e for e, fixed in slot if not fixed] for slot in filled]
+        size = lambda slot, links: sum(len(e.text.strip()) for e in slot if e.link or not links)
+        plain = [slot for slot in held if 2 * size(slot, True) <= size(slot, False)]
+        kept = [e for slot in (plain if any(size(slot, False) for slot in plain) else held) for e in slot]
     blocks: dict[int, list[str]] = {}
     for e in kept:
         blocks.setdefault(e.block, []).append(e.text)
@@ -240,15 +307,15 @@ def _articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, small_hosts: int = 5_000) -> DataFrame:
+def extract(pages: DataFrame, small_tokens: int = 1_000_000) -> DataFrame:
     """page_id, url, text and n_chars for each row of pages (page_id, url, html).
 
-    The templates of up to small_hosts layout groups are broadcast; more are joined by host and layout, and Spark splits
-    a group's rows.
+    Templates of up to small_tokens tokens in all, 8 bytes each, are broadcast; more are joined by host and layout, and
+    Spark splits a group's rows.
     """
     pages = pages.select("page_id", "url", "html")
     templates = written(deduce(pages), "templates")
-    few = templates.limit(small_hosts + 1).count() <= small_hosts
+    few = (templates.agg(F.sum(1 + F.aggregate("classes", F.lit(0), lambda n, c: n + F.size(c.tokens)))).first()[0] or 0) <= small_tokens
     sent = lambda df: F.broadcast(df) if few else df
     own = templates.where("layout is not null")
     pool = templates.where("layout is null").select("host", F.col("classes").alias("pooled"))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A-Z to a-z; everything that is no letter, digit or non-ASCII byte to a space.
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -26,11 +27,20 @@ def spaced_words(text: bytes) -> list[bytes]:
     return text.split()
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The batches in short pieces, so that a task holds few texts at a time."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in short pieces, of about `size` bytes of texts unless a single row has more, so that a task holds little
+    at a time."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        ends = np.zeros(b.num_rows, np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_large_string(c.type):
+                ends += pc.binary_length(c).fill_null(0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(ends), 0
+        while at < b.num_rows:
+            most = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+            to = min(at + rows, max(most, at + 1), b.num_rows)
+            yield b.slice(at, to - at)
+            at = to
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

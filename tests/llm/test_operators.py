@@ -73,7 +73,7 @@ def test_template_leaves_out_what_repeats(spark):
         texts[r.page_id].append(r.text)
     assert texts[3] == ["Only page 231 says 3"] and texts[90] == [""] and texts[91] == [""] and texts[92] == ["a\nb"] * 2 and len(found) == len(rows)
     assert html_template.extract(pages.where("false")).count() == 0
-    shuffled = html_template.extract(pages, small_hosts=0).collect()  # the join that splits hosts
+    shuffled = html_template.extract(pages, small_tokens=0).collect()  # the join that splits hosts
     assert sorted((r.page_id, r.text) for r in shuffled) == sorted((r.page_id, r.text) for r in found)
 
 
@@ -91,12 +91,47 @@ def test_template_leaves_out_what_repeats_in_main(spark):
     rows = [(i, "http://h.example/x", page.format(i)) for i in range(8)] + [(100 + i, "http://h.example/y", other.format(i)) for i in range(8)]
     rows += [(200 + i, "http://copies.example/", "<body><main><p>One article<p>on every page</main></body>") for i in range(8)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    for found in (html_template.extract(pages), html_template.extract(pages, small_hosts=0)):
+    for found in (html_template.extract(pages), html_template.extract(pages, small_tokens=0)):
         texts = {r.page_id: r.text for r in found.collect()}
         assert len(texts) == len(rows) and all(texts[i] == f"Title {i}\nOwn words {i}\nBy writer {i}" for i in range(8))
         assert all(texts[100 + i] == f"Own note {i}" and texts[200 + i] == "One article\non every page" for i in range(8))
 
 
+def test_names_that_mark_nothing():
+    page = lambda x: f"<article><p>a</p>{x}</article>"
+    assert html_template.article(page("<svg width=1 /><p>kept</p>"), []) == "a\nkept"
+    assert html_template.article(page("<svg><title>t</title><path d='x'/></svg><p>kept</p>"), []) == "a\nkept"
+    for name in ("related-work", "social-sciences", "share-price", "searchlight", "header-bidding-explained"):
+        assert html_template.article(page(f'<div class="{name}"><p>kept</p></div>'), []) == "a\nkept"
+    for name in ("related-articles", "share", "site-header", "comments-list", "cookie-notice", "ad_slot-3"):
+        assert html_template.article(page(f'<div class="x {name}"><p>left out</p></div>'), []) == "a"
+
+
+def test_template_decides_without_article_or_main(spark):
+    """Unmarked divisions: what repeats and a slot full of links go, and only because a template was found."""
+    page = "<body><div>Site name</div><div>Hot: <a href=/{0}>teaser number {0} of many</a></div><div><p>First words {0}<p>Then {0} <a href=x>and {0}</a> an end {0}</div><div>All rights reserved</div></body>"
+    rows = [(i, "http://h.example/x", page.format(i * 7)) for i in range(12)]
+    found = {r.page_id: r.text for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == f"First words {i * 7}\nThen {i * 7} and {i * 7} an end {i * 7}" for i in range(12))
+    assert html_template.article(rows[3][2], []) != found[3] and "Site name" in html_template.article(rows[3][2], [])
+
+
+def test_repeated_pages_have_a_template(spark):
+    page = "<body><div>Site</div><div><p>Own {0}</div><div>Print {1}</div></body>"
+    rows = [(i, "http://h.example/x", page.format(i, "small")) for i in range(8)] * 2
+    found = html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(r.text for r in found) == sorted(f"Own {i}" for i in range(8) for _ in range(2))
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<div>", "<b><li>", "<script ", "</script ", "<p><ul><b>", "<a href='", '<x y="', "</p>", "<body><div>", "<tr><td>", "&amp", "<!-- ", "<svg "])
+def test_hostile_pages(piece):
+    """A megabyte of one piece, with something unclosed at its end, in seconds."""
+    page = piece * (1_000_000 // len(piece)) + "'<b>x\""
+    began = time.time()
+    html_template.article(page, [])
+    assert time.time() - began < 20
+
+
 # 2
 
 
