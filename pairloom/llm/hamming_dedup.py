@@ -14,7 +14,8 @@ components are written, so no list of pairs arises. A link inside one component
 are those of all links.
 
 Empty and null texts have no shingles and are linked with nothing. Texts of fewer than 4 words have one shingle.
-Rows without a doc_id take no part in links. Repeated rows are linked with each other. Other columns are ignored.
+Rows without a doc_id take no part in links: they have no component and are kept. Repeated rows are linked with each
+other. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -309,14 +310,20 @@ def near_duplicates(docs: DataFrame, how: Signatures = Signatures(), percent: in
     labels = _united(None, _confirmed(pairs, texts, percent).where("linked"))
     labels = _united(labels, _across(members.drop("centre"), classes, texts, labels, how, percent, block, text_block))
     ids = signed.join(classes.select("set_key", "rep"), "set_key", "left").join(labels, "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id").alias("component_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id")
     return ids.select("doc_id", "n_shingles", component).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, how: Signatures = Signatures()) -> DataFrame:  # noqa: B008
-    """The rows of docs without all but the least doc_id of each component; rows without a doc_id stay."""
+    """The rows of docs without all but the least doc_id of each component, and without repeats of one doc_id and text; rows
+    without a doc_id stay."""
     gone = near_duplicates(docs, how).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(once)
 
 
 ORACLE = r"""

@@ -1,7 +1,7 @@
 """Quality classifier: a linear-chain conditional random field labels each line good or bad.
 
 A line's features are bins of its own statistics and of its neighbours'; training lines carry the label of their
-document. The marginal of "good", weighted by the lines' characters, is a document's raw score, and a logistic curve
+document. The marginal of "good", weighted by the lines' bytes, is a document's raw score, and a logistic curve
 fitted on the same labelled rows turns it into a probability. Null and empty texts are one line without words.
 Repeated rows get the same score each; other columns are ignored. A doc_id with several labels counts with its
 lowest quality. Without labels every score is 0.5.

@@ -49,8 +49,8 @@ class Pieces:
 
 
 class Encoder:
-    """remember: so many parts are kept twice over, which bounds the memory of a worker: when there are more, those that
-    haven't been met since the last such time are forgotten."""
+    """remember: parts of at most `short` characters are kept up to so many characters twice over, which bounds the memory of
+    a worker: when there are more, those that haven't been met since the last such time are forgotten."""
 
     #: A part ends before a space mark that follows another character, and between a Latin letter and ASCII that is none.
     _latin, _sign = "A-Za-z\u00c0-\u024f", r"!-@\[-`{-~"
@@ -58,10 +58,10 @@ class Encoder:
     _parts = re.compile(f"{MARK}+[^{MARK}{_latin}]*{_run}*|[^{MARK}{_latin}]+{_run}*|{_run}+")
     _no_piece = re.compile(f"[^{MARK}]{MARK}|[{_latin}][{_sign}]")
 
-    def __init__(self, pieces: Pieces, remember: int = 300_000):
+    def __init__(self, pieces: Pieces, remember: int = 3_000_000, short: int = 64):
         import ahocorasick
 
-        self.pieces, self.remember, self.known, self.older = pieces, remember, {}, {}
+        self.pieces, self.remember, self.short, self.held, self.known, self.older = pieces, remember, short, 0, {}, {}
         self.automaton = ahocorasick.Automaton()
         for text, score, i in pieces.pieces:
             self.automaton.add_word(text, (len(text), score, i))
@@ -107,12 +107,14 @@ class Encoder:
             for part in self._part.findall(escaped if k else MARK + escaped):
                 ids = known.get(part)
                 if ids is None:
-                    if len(known) >= self.remember:
-                        self.older, self.known = known, (known := {})
                     ids = self.older.get(part)
                     if ids is None:
                         ids = np.array(self.viterbi(part), np.int32).tobytes()
-                    known[part] = ids
+                    if len(part) <= self.short:
+                        if self.held >= self.remember:
+                            self.older, self.known, self.held = known, (known := {}), 0
+                        self.held += len(part)
+                        known[part] = ids
                 found.append(ids)
         return np.frombuffer(b"".join(found), np.int32)
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -71,37 +72,60 @@ def host_and_path(url: str | None) -> tuple[str, str]:
 
 
 class HostIndex:
+    """Rules by host and path; a host's paths are tried by their lengths, not one by one."""
+
     def __init__(self, rules: Iterable[HostRule]):
-        self.by_host: dict[str, list[HostRule]] = {}
+        self.by_host: dict[str, tuple[dict[str, HostRule], set[int]]] = {}
         for r in rules:
-            self.by_host.setdefault(r.host, []).append(r)
+            paths, lengths = self.by_host.setdefault(r.host, ({}, set()))
+            paths.setdefault(r.path, r)
+            lengths.add(len(r.path))
 
     def find(self, host: str, path: str) -> HostRule | None:
         """The longest rule for host or a parent of it whose path begins the given one."""
         best, labels = None, host.split(".")
         for i in range(len(labels)):
-            for r in self.by_host.get(".".join(labels[i:]), ()):
-                if path.startswith(r.path) and (best is None or (len(r.name), r.name) > (len(best.name), best.name)):
-                    best = r
+            paths, lengths = self.by_host.get(".".join(labels[i:]), ({}, ()))
+            r = next((paths[path[:n]] for n in sorted(lengths, reverse=True) if n <= len(path) and path[:n] in paths), None)
+            if r and (best is None or (len(r.name), r.name) > (len(best.name), best.name)):
+                best = r
         return best
 
 
 class PatternIndex:
-    """frequency: in how many URLs a token occurs; each rule is filed under its rarest literal."""
+    """frequency: in how many URLs a token occurs; each rule is filed under its rarest literal. Rules are compiled when a
+    URL first fetches them."""
 
     def __init__(self, rules: Iterable[PatternRule], frequency: dict[str, int]):
-        self.by_token: dict[str, list[tuple[int, str, re.Pattern]]] = {}
-        self.always: list[tuple[int, str, re.Pattern]] = []
+        self.by_token: dict[str, list[tuple[int, PatternRule]]] = {}
+        self.always: list[tuple[int, PatternRule]] = []
+        self.compiled = lru_cache(50_000)(lambda rule: re.compile(rule.regex(), re.S))
         for i, r in enumerate(rules):
-            entry = (i, r.action, re.compile(r.regex(), re.S))
-            tokens = sorted(r.literals(), key=lambda t: (frequency.get(t, 0), t))
-            (self.by_token.setdefault(tokens[0], []) if tokens else self.always).append(entry)
+            rarest = min(r.literals(), key=lambda t: (frequency.get(t, 0), t), default=None)
+            (self.always if rarest is None else self.by_token.setdefault(rarest, [])).append((i, r))
+
+    def candidates(self, url: str) -> list[tuple[int, PatternRule]]:
+        """The rules whose expression must run, in the order given."""
+        near = [e for t in set(re.findall("[a-z0-9]+", url)) for e in self.by_token.get(t, ())]
+        return sorted(near + self.always, key=lambda e: e[0])
 
     def find(self, url: str | None) -> str | None:
         """The action of the first rule, in the order given, that fits; None if none does."""
         url = (url or "").lower()
-        near = [e for t in set(re.findall("[a-z0-9]+", url)) for e in self.by_token.get(t, ())]
-        return next((action for _, action, pattern in sorted(near + self.always, key=lambda e: e[0]) if pattern.search(url)), None)
+        return next((r.action for _, r in self.candidates(url) if self.compiled(r).search(url)), None)
+
+
+def rules_of(rules: DataFrame, most: int = 5_000_000) -> tuple[list[HostRule], list[PatternRule]]:
+    """Rules from a table (host, path, pattern, action), in the order of its columns; rows with a pattern are pattern rules.
+
+    Rules are held by the driver and by each worker, so more than `most` are refused. Rows without host and pattern, or
+    without an action, are left out.
+    """
+    rows = rules.select("host", "path", "pattern", "action").where("action is not null and (host is not null or pattern is not null)").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules")
+    rows.sort(key=lambda r: (r.pattern or "", r.host or "", r.path or "", r.action))
+    return [HostRule(r.host, r.path or "/", r.action) for r in rows if r.pattern is None], [PatternRule(r.pattern, r.action) for r in rows if r.pattern is not None]
 
 
 def literal_frequency(pages: DataFrame, rules: Iterable[PatternRule]) -> dict[str, int]:
@@ -109,18 +133,19 @@ def literal_frequency(pages: DataFrame, rules: Iterable[PatternRule]) -> dict[st
     known = sorted({t for r in rules for t in r.literals()})
     if not known:
         return {}
-    tokens = F.array_intersect(F.split(F.lower("url"), "[^a-z0-9]+"), F.array(*map(F.lit, known)))
-    counted = pages.select(F.explode(tokens).alias("token")).groupBy("token").count()
-    return {r.token: r["count"] for r in counted.collect()}
+    literals = pages.sparkSession.createDataFrame([(t,) for t in known], "token string")
+    tokens = pages.select(F.explode(F.array_distinct(F.split(F.lower("url"), "[^a-z0-9]+"))).alias("token"))
+    # as large as the rules, which each worker holds anyway
+    return {r.token: r["count"] for r in tokens.join(F.broadcast(literals), "token").groupBy("token").count().collect()}
 
 
 def judge_urls(pages: DataFrame, host_rules: Iterable[HostRule] = HOST_RULES, pattern_rules: Iterable[PatternRule] = PATTERN_RULES, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule and verdict for each row of pages (page_id, url). The rules travel with the tasks."""
     host_rules, pattern_rules = tuple(host_rules), tuple(pattern_rules)
-    frequency = literal_frequency(pages, pattern_rules)
+    sent = pages.sparkSession.sparkContext.broadcast((host_rules, pattern_rules, literal_frequency(pages, pattern_rules)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hosts, patterns = HostIndex(host_rules), PatternIndex(pattern_rules, frequency)
+        hosts, patterns = HostIndex(sent.value[0]), PatternIndex(*sent.value[1:])
         for b in batches:
             rows = []
             for url in b["url"]:

@@ -2,6 +2,9 @@
 
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from pairloom.llm import pii_crf, queries, sentencepiece_codec, winnow
 from pairloom.sources.tables import table, written
@@ -42,3 +45,29 @@ def test_stages(spark):
             assert all(decoder.decode(r.token_ids) == old[i].text for i, r in rows.items()) and set(rows) == set(old)
         before = docs
     assert len(kept["encode"]) == corpus_pipeline.run(spark, SF).count()
+
+
+def test_odd_rows_through_all_stages(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, rows without a doc_id, and columns whose names the stages use."""
+    prose = [r.text for r in table(spark, SF, "documents").where("length(text) > 400").limit(6).collect()]
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega"
+    long = " ".join(f"{w}{k}" for k in range(2_000) for w in words.split()) + " " + "9" * 10_000 + ".1.1.1"
+    texts = [None, "", " \n ", prose[0], prose[0], prose[1], prose[2] + " mail a.b@c.example now", long, "x" * 100_000]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(5, prose[1]), (None, prose[3]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string"), "n_chars": F.lit(None).cast("long")})
+    docs = docs.select("*", *(F.lit(7).cast("long").alias(n) for n in ("row_", "hit_", "words_", "items_", "kept", "n_words", "spans", "component_id")))
+    for name, empty in (("some", False), ("none", True)):
+        folder = f"{tmp_path}/{name}"
+        (docs.where("false") if empty else docs).write.parquet(f"{folder}/documents.parquet")
+        for other in ("benchmark", "labels"):
+            df = table(spark, SF, other)
+            (df.where("false") if empty else df).write.parquet(f"{folder}/{other}.parquet")
+        out = corpus_pipeline.run(spark, folder)
+        assert out.columns == ["doc_id", "n_tokens", "token_ids", "round_trip"]
+        ids = [r.doc_id for r in out.collect()]
+        assert all(r.round_trip for r in out.collect()) and ids == [] if empty else ids.count(5) <= 1 and ids.count(4) == 0 and not {0, 1, 2} & set(ids)
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_docstrings_state_the_odd_cases(name, stage):
+    assert "null" in stage.__doc__.lower() and "empty" in stage.__doc__.lower() and "repeated" in stage.__doc__.lower()
