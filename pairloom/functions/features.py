@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.operators.similarity import _small_primes
+from pairloom.operators.similarity import small_primes
 
 # Beginnings of automatic names, and operand sizes.
 AUTO_PREFIXES = ("loc_", "j_nullsub_", "nullsub_", "j_sub_", "sub_", "qword_", "dword_", "byte_", "word_", "off_", "def_", "unk_", "asc_", "stru_", "dbl_", "locret_", "flt_", "jpt_")
@@ -24,8 +24,12 @@ def _replaced(c: Column, *changes: tuple[str, str]) -> Column:
 
 def clean_assembly(column: str) -> Column:
     """Each line without comments, sizes, automatic names and addresses; null stays null."""
+    return clean_assembly_of(F.col(column))
+
+
+def clean_assembly_of(text: Column) -> Column:
     return _replaced(
-        F.col(column),
+        text,
         (";.*$", ""),
         (" # .*$", ""),
         *((f"{p}[a-f0-9]+", "XXXX") for p in AUTO_PREFIXES),
@@ -43,6 +47,119 @@ def clean_pseudocode(column: str) -> Column:
     return _replaced(F.col(column), (" // .*", ""), *((f"{p}[a-f0-9]+", f"{p}XXXX") for p in AUTO_PREFIXES), ("v[0-9]+", "vXXX"), ("a[0-9]+", "aXXX"), ("arg_[0-9]+", "aXXX"))
 
 
+# Mnemonics of intermediate code.
+MICROCODE = (
+    "nop", "stx", "ldx", "ldc", "mov", "neg", "lnot", "bnot", "xds", "xdu", "low", "high", "add", "sub", "mul", "udiv", "sdiv", "umod", "smod", "or", "and", "xor", "shl", "shr",
+    "sar", "cfadd", "ofadd", "cfshl", "cfshr", "sets", "seto", "setp", "setnz", "setz", "setae", "setb", "seta", "setbe", "setg", "setge", "setl", "setle", "jcnd", "jnz", "jz",
+    "jae", "jb", "ja", "jbe", "jg", "jge", "jl", "jle", "jtbl", "ijmp", "goto", "call", "icall", "ret", "push", "pop", "und", "ext", "f2i", "f2u", "i2f", "u2f", "f2f",
+    "fneg", "fadd", "fsub", "fmul", "fdiv",
+)
+_MNEMONIC = rf"(?:^|(?<=\s))(?:{'|'.join(sorted(MICROCODE, key=len, reverse=True))})(?=[\s.]|$)"
+
+
+def clean_microcode(column: str) -> Column:
+    """Each line from its first known mnemonic on, cleaned as assembly; lines without one are left out. Null stays null."""
+    lines = F.transform(F.split(F.col(column), "\n"), lambda x: F.regexp_extract(F.trim(x), f"({_MNEMONIC}.*)$", 1))
+    return clean_assembly_of(F.array_join(F.filter(lines, lambda x: x != ""), "\n"))
+
+
+def microcode_mnemonics(column: str) -> Column:
+    """The distinct places in MICROCODE, in the order of names, of the mnemonics that the lines begin with: what prime_product
+    makes microcode_spp of."""
+    names = F.array(*map(F.lit, sorted(MICROCODE)))
+    found = F.transform(F.split(F.col(column), "\n"), lambda x: F.regexp_extract(F.trim(x), f"({_MNEMONIC})", 1))
+    return F.transform(F.array_distinct(F.filter(found, lambda x: x != "")), lambda x: F.array_position(names, x).cast("int") - 1)
+
+
+def primes_value(column: str = "cyclomatic_complexity") -> Column:
+    """The prime at the place of the complexity, as text; null beyond the primes that are known (below 10,000)."""
+    return F.get(F.array(*map(F.lit, map(str, small_primes()))), F.col(column).cast("int"))
+
+
+def referred_names(column: str) -> Column:
+    """JSON text of the distinct names of an array, in order, cut at a bracket; without automatic ones."""
+    cut = F.transform(F.coalesce(F.col(column), F.array().cast("array<string>")), lambda x: F.regexp_extract(x, r"^([^(]*)", 1))
+    return F.to_json(F.array_sort(F.array_distinct(F.filter(cut, lambda x: (x != "") & ~x.startswith("sub_") & ~x.startswith("nullsub_")))))
+
+
+def switch_text(column: str) -> Column:
+    """JSON text of an array of structs (size, cases) as pairs of the table's size and its distinct cases in order; tables
+    without cases are left out."""
+    told = F.transform(F.filter(F.col(column), lambda x: F.size(x["cases"]) > 0), lambda x: F.concat(F.lit("["), x["size"].cast("string"), F.lit(","), F.to_json(F.array_sort(F.array_distinct(x["cases"]))), F.lit("]")))
+    return F.concat(F.lit("["), F.coalesce(F.array_join(told, ","), F.lit("")), F.lit("]"))
+
+
+def constant_list(numbers: DataFrame, strings: DataFrame) -> DataFrame:
+    """func_id and constants, JSON text in first-seen order, from numbers (func_id, pos, value, referenced) and strings
+    (func_id, pos, value): telling numbers and strings of 2 to 255 characters, each once."""
+    kept = numbers.where(telling_constant("value", F.coalesce("referenced", F.lit(False)))).select("func_id", "pos", F.col("value").cast("string").alias("value"))
+    every = kept.union(strings.where("length(value) between 2 and 255").select("func_id", "pos", "value"))
+    once = every.groupBy("func_id", "value").agg(F.min("pos").alias("pos"))
+    return once.groupBy("func_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"])).alias("constants"))
+
+
+def degrees(functions: DataFrame, references: DataFrame) -> DataFrame:
+    """id, indegree and outdegree from references (func_id, address, type): all that lead to a function's address, and the
+    calls from it."""
+    into = references.groupBy("address").agg(F.count("*").alias("indegree"))
+    out = references.where("type like 'call%'").groupBy(F.col("func_id").alias("id")).agg(F.count("*").alias("outdegree"))
+    return functions.select("id", "address").join(into, "address", "left").join(out, "id", "left").select("id", F.coalesce("indegree", F.lit(0)).alias("indegree"), F.coalesce("outdegree", F.lit(0)).alias("outdegree"))
+
+
+def skip_reason(low: int | None = None, high: int | None = None, exclude_library_thunk: bool = True, ignore_small: bool = False) -> Column:
+    """Why a function (address as a number, name, size, is_library, is_thunk) is left out of a snapshot; empty if it isn't."""
+    no = F.lit(False)
+    outside = (F.col("address") < low if low is not None else no) | (F.col("address") > high if high is not None else no)
+    out = F.when(F.col("address").isNull(), "invalid-function").when(outside, "outside-range")
+    if exclude_library_thunk:
+        out = out.when(F.coalesce("is_library", no), "library").when(F.coalesce("is_thunk", no), "thunk").when(F.coalesce(F.col("name").startswith("nullsub_"), no), "nullsub")
+    if ignore_small:
+        out = out.when(F.coalesce(F.col("size") <= 6, no), "small-function")
+    return out.otherwise("")
+
+
+def factor_counts(functions: DataFrame, references: DataFrame) -> DataFrame:
+    """prime, n_all and n_called: how often each primes_value above 1 occurs among all functions and among those that call or
+    are called. The products of the call graph are the primes to these powers; as text they would grow with the table."""
+    ends = references.join(functions.select(F.col("id").alias("func_id"), F.col("address").alias("from")), "func_id")
+    part = ends.select(F.explode(F.array("from", "address")).alias("address")).distinct().withColumn("called", F.lit(1))
+    known = functions.select("address", F.col("primes_value").try_cast("long").alias("prime")).where("prime > 1").join(part, "address", "left")
+    return known.groupBy("prime").agg(F.count("*").alias("n_all"), F.count("called").alias("n_called"))
+
+
+# The primes of the graph hash.
+_ENTRY, _EXIT, _BLOCK, _INTO, _OUT, _LOOP, _COMPONENT, _NO_RETURN, _LIBRARY, _THUNK, _CALL, _DATA, _ELSEWHERE = 2, 3, 5, 7, 11, 19, 37, 41, 43, 47, 23, 29, 31
+
+
+def graph_hash(graphs: DataFrame) -> DataFrame:
+    """id and kgh_hash of graphs (id, nodes, edges as in graph_measures, and the counts loops, components, calls, data_refs,
+    outer_refs and flags no_return, library, thunk; nulls are 0): a product of primes, as text."""
+
+    @F.pandas_udf("string")
+    def product(nodes: pd.Series, edges: pd.Series, counts: pd.Series) -> pd.Series:
+        out = []
+        for n, es, c in zip(nodes, edges, counts, strict=True):
+            n, es = int(n or 0), es if es is not None else ()
+            entries = n - len({e["b"] for e in es if 0 <= e["b"] < n})
+            exits = n - len({e["a"] for e in es if 0 <= e["a"] < n})
+            powers = [(_ENTRY, entries), (_EXIT, exits), (_BLOCK, n), (_INTO, len(es)), (_OUT, len(es)), *zip((_LOOP, _COMPONENT, _CALL, _DATA, _ELSEWHERE, _NO_RETURN, _LIBRARY, _THUNK), map(int, c), strict=True)]
+            out.append(decimal_text(math.prod(p**k for p, k in powers)))
+        return pd.Series(out)
+
+    number = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(0))
+    counts = F.array(*map(number, ("loops", "components", "calls", "data_refs", "outer_refs", "no_return", "library", "thunk")))
+    return graphs.select("id", product("nodes", "edges", counts).alias("kgh_hash"))
+
+
+def decimal_text(n: int) -> str:
+    """The digits of a number of any size: str() writes a few thousand at most."""
+    if n < 10**4_000:
+        return str(n)
+    half = n.bit_length() * 3 // 20
+    high, low = divmod(n, 10**half)
+    return decimal_text(high) + decimal_text(low).zfill(half)
+
+
 def cyclomatic(nodes: str = "nodes", edges: str = "edges") -> Column:
     return F.greatest(F.lit(0), F.col(edges) - F.col(nodes) + 2)
 
@@ -61,8 +178,8 @@ def prime_product(ordinals: str | Column) -> Column:
 
     @F.pandas_udf("string")
     def run(places: pd.Series) -> pd.Series:
-        primes = _small_primes()
-        return pd.Series([str(math.prod(primes[i] for i in (x if x is not None else ()))) for x in places])
+        primes = small_primes()
+        return pd.Series([decimal_text(math.prod(primes[i] for i in (x if x is not None else ()))) for x in places])
 
     return run(ordinals)
 
@@ -116,11 +233,18 @@ def components_in_order(nodes: int, edges: list[tuple[int, int]]) -> tuple[list[
     return found, place
 
 
+def _prime_at(place: int) -> int:
+    """1 beyond the known primes."""
+    primes = small_primes()
+    return primes[place] if place < len(primes) else 1
+
+
 def graph_measures(graphs: DataFrame) -> DataFrame:
-    """id, strongly_connected, loops, tarjan_topological_sort and md_index for graphs (id, nodes, edges), where edges is an
+    """id, strongly_connected, loops, tarjan_topological_sort, md_index and strongly_connected_spp (the product of the primes
+    at the sizes of components of several nodes) for graphs (id, nodes, edges), where edges is an
     array of structs (a, b) of node places. Null edges are none."""
 
-    @F.pandas_udf("strongly_connected long, loops long, tarjan_topological_sort string, md_index double")
+    @F.pandas_udf("strongly_connected long, loops long, tarjan_topological_sort string, md_index double, strongly_connected_spp string")
     def measured(nodes: pd.Series, edges: pd.Series) -> pd.DataFrame:
         rows = []
         for n, es in zip(nodes, edges, strict=True):
@@ -133,8 +257,9 @@ def graph_measures(graphs: DataFrame) -> DataFrame:
                 out[a] += 1
                 into[b] += 1
             md = sum(1 / math.sqrt(place[a] + 1 + into[a] * math.sqrt(2) + out[a] * math.sqrt(3) + into[b] * math.sqrt(5) + out[b] * math.sqrt(7)) for a, b in pairs)
-            rows.append((len(parts), loops, str(parts).replace(" ", ""), md))
-        return pd.DataFrame(rows, columns=["strongly_connected", "loops", "tarjan_topological_sort", "md_index"])
+            sizes = decimal_text(math.prod(_prime_at(len(p)) for p in parts if len(p) > 1))
+            rows.append((len(parts), loops, str(parts).replace(" ", ""), md, sizes))
+        return pd.DataFrame(rows, columns=["strongly_connected", "loops", "tarjan_topological_sort", "md_index", "strongly_connected_spp"])
 
     return graphs.select("id", measured("nodes", "edges").alias("m")).select("id", "m.*")
 

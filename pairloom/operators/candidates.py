@@ -33,8 +33,8 @@ def _joined(rule: Rule, snapshot: Snapshot, side: str) -> DataFrame:
     if rule.source == "constants":
         return functions.join(snapshot.constants.select("func_id", "constant"), functions.id == F.col("func_id")).drop("func_id")
     if rule.source == "units":
-        units = snapshot.compilation_units.select(F.col("name").alias("cu_name"), F.col("pseudocode_primes").alias("cu_pseudocode_primes"))
-        bridge = snapshot.compilation_unit_functions.join(units, "cu_name")
+        units = snapshot.compilation_units.select("cu_id", F.col("name").alias("cu_name"), F.col("pseudocode_primes").alias("cu_pseudocode_primes"))
+        bridge = snapshot.compilation_unit_functions.join(units, "cu_id").drop("cu_id")
         return functions.join(bridge, functions.id == F.col("func_id")).drop("func_id")
     if rule.source == "instructions":
         named = functions.where("name not ilike 'nullsub%'").select(F.col("id").alias("func_id"))
@@ -129,7 +129,7 @@ def oracle(rule: Rule, postfix: str = POSTFIX) -> str:
         if rule.source == "constants":
             return f"(select x.*, constant from {s}_functions x join {s}_constants c on c.func_id = x.id) {name}"
         if rule.source == "units":
-            return f"(select x.*, u.name cu_name, u.pseudocode_primes cu_pseudocode_primes from {s}_functions x join {s}_compilation_unit_functions c on c.func_id = x.id join {s}_compilation_units u on u.name = c.cu_name) {name}"
+            return f"(select x.*, u.name cu_name, u.pseudocode_primes cu_pseudocode_primes from {s}_functions x join {s}_compilation_unit_functions c on c.func_id = x.id join {s}_compilation_units u on u.cu_id = c.cu_id) {name}"
         if rule.source == "instructions":
             return f"(select x.*, disasm from {s}_functions x join (select disasm, max(i.func_id) func_id from {s}_instructions i join {s}_functions g on g.id = i.func_id where disasm <> '' and g.name not ilike 'nullsub%' group by disasm having count(*) = 1) i on i.func_id = x.id) {name}"
         if rule.source == "blocks":

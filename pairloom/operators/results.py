@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,13 +32,51 @@ def ordered(matches: DataFrame, a: Snapshot, b: Snapshot) -> DataFrame:
     return numbered(once, *order).select(*(F.round("ratio", 6).alias("ratio") if c == "ratio" else F.col(c) for c in RESULTS))
 
 
+class ResultError(ValueError):
+    """A folder that holds no usable results."""
+
+
 def save(folder: str, **tables: DataFrame) -> None:
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
 
 
 def load(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names or ("config", "results", "unmatched")}
+    """Stored tables by name; ResultError if one is missing or the results lack a column."""
+    found = {}
+    for n in names or ("config", "results", "unmatched"):
+        try:
+            found[n] = spark.read.parquet(f"{folder}/{n}.parquet")
+        except AnalysisException as e:
+            raise ResultError(f"no table {n} in {folder}") from e
+    if "results" in found and (missing := set(RESULTS) - set(found["results"].columns)):
+        raise ResultError(f"results have no column {', '.join(sorted(missing))}")
+    return found
+
+
+def totals(results: DataFrame, missing: DataFrame) -> DataFrame:
+    """matches, unmatched_a and unmatched_b in one row."""
+    x = results.agg(F.count("*").alias("matches"))
+    y = missing.agg(F.count_if(F.col("type") == "primary").alias("unmatched_a"), F.count_if(F.col("type") == "secondary").alias("unmatched_b"))
+    return x.join(F.broadcast(y))  # one row each
+
+
+def nonzero_rules(stats: DataFrame) -> DataFrame:
+    """The rules that found candidates, those with most first."""
+    return stats.where("candidates > 0").orderBy(F.col("candidates").desc(), "line")
+
+
+def function_info(functions: DataFrame, address: str) -> DataFrame:
+    """All columns of the function at an address."""
+    return functions.where(F.col("address") == address)
+
+
+def compared(runs: DataFrame, baseline: str) -> DataFrame:
+    """runs (run, type, count) with each count's difference from the run named baseline; kinds that one lacks count 0 there."""
+    every = runs.select("run").distinct().join(F.broadcast(runs.select("type").distinct()))  # a handful of kinds
+    base = runs.where(F.col("run") == baseline).select("type", F.col("count").alias("base"))
+    full = every.join(runs, ["run", "type"], "left").join(F.broadcast(base), "type", "left").fillna(0, ["count", "base"])
+    return full.select("run", "type", "count", (F.col("count") - F.col("base")).alias("delta"))
 
 
 def summary(results: DataFrame, missing: DataFrame) -> DataFrame:

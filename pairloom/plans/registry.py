@@ -48,6 +48,11 @@ def _rated(a: Snapshot, b: Snapshot) -> DataFrame:
 
 
 _RATED = "rated as (select a_id, b_id, a_id % 11 / 10.0 ratio, case when a_id % 11 = 10 then 'best' when a_id % 7 = 0 then 'unreliable' when a_id % 5 = 0 then 'multimatch' else 'partial' end kind from seeds)"
+_FIELDS = tuple(
+    "id name mangled_function address rva segment_rva source_file nodes edges cyclomatic_complexity indegree outdegree size instructions strongly_connected loops pseudocode_lines constants_count pseudocode clean_pseudo "
+    "assembly clean_assembly clean_microcode mnemonics names constants switches prototype2 tarjan_topological_sort bytes_hash function_hash pseudocode_hash1 pseudocode_hash2 pseudocode_hash3 primes_value pseudocode_primes "
+    "mnemonics_spp microcode_spp strongly_connected_spp kgh_hash md_index".split()
+)
 _MODEL = '{"threshold": 0.5, "features": ["ratio", "nodes_percent", "loops_max"], "trees": [{"nodes": [{"feature": "ratio", "threshold": 0.4, "left": 1, "right": 2}, {"value": 0.1}, {"feature": "nodes_percent", "threshold": 0.9, "left": 3, "right": 4}, {"value": 0.3}, {"value": 0.9}]}, {"nodes": [{"feature": "loops_max", "threshold": 3, "left": 1, "right": 2}, {"value": 0.8}, {"value": 0.2}]}]}'
 
 
@@ -69,6 +74,11 @@ def prime_ratio(a: Snapshot, b: Snapshot) -> DataFrame:
     return x.join(y, F.col("a_id") == F.col("b_id")).select("a_id", "b_id", F.round(similarity.prime_ratio("spp_a", "spp_b"), 6).alias("ratio"))
 
 
+def graph_ratio(a: Snapshot, b: Snapshot) -> DataFrame:
+    x, y = (s.functions.select("id", *(F.col(c).alias(f"{c}_{k}") for c in similarity.GRAPH_METRICS)) for s, k in ((a, "a"), (b, "b")))
+    return x.join(y, "id").select(F.col("id").alias("a_id"), F.col("id").alias("b_id"), F.round(similarity.graph_ratio(), 6).alias("ratio"))
+
+
 def combined_ratio(a: Snapshot, b: Snapshot) -> DataFrame:
     return similarity.scores(_by_id(a, b), a, b).select("a_id", "b_id", F.round("ratio", 6).alias("ratio"), F.round("bonus", 6).alias("bonus"))
 
@@ -173,8 +183,8 @@ _PAIRWISE: dict[str, tuple[Callable[[Snapshot, Snapshot], DataFrame], str | None
         _sql(f", {_RATED} select kind type, count(*) matches, round(avg(ratio), 6) mean_ratio, cast(sum(f.nodes) as bigint) nodes1, cast(sum(g.nodes) as bigint) nodes2 from rated join a_functions f on f.id = a_id join b_functions g on g.id = b_id group by 1"),
     ),
     "field_stats": (
-        lambda a, b: results.field_fill(a.functions.select("id", "name", "mangled_function", "assembly", "names", "switches")),
-        _sql(" " + " union all ".join(f"select '{c}' field, count(*) filter ({c} is not null and cast({c} as string) <> '') filled from a_functions" for c in ("id", "name", "mangled_function", "assembly", "names", "switches"))),
+        lambda a, b: results.field_fill(a.functions.select(*_FIELDS)),
+        _sql(" " + " union all ".join(f"select '{c}' field, count(*) filter ({c} is not null and cast({c} as string) <> '') filled from a_functions" for c in _FIELDS)),
     ),
     "resume_anti": (resume, _sql(" select id, address, name from a_functions where address not in (select address from b_functions)")),
     "cu_build": (
@@ -196,16 +206,15 @@ _PAIRWISE: dict[str, tuple[Callable[[Snapshot, Snapshot], DataFrame], str | None
         _sql(
             """, s as (select a_id, b_id, cast(f.address as bigint) p, cast(g.address as bigint) q from seeds join a_functions f on f.id = a_id join b_functions g on g.id = b_id),
             g as (select p, q, lead(p) over (order by p, q) p2, lead(q) over (order by p, q) q2 from s),
-            x as (select p k, name, id, count(*) over (partition by p) n from g join a_functions f on cast(f.address as bigint) > p and cast(f.address as bigint) < p2 where p2 > p and q2 > q),
-            y as (select p k, name, id, count(*) over (partition by p) n from g join b_functions f on cast(f.address as bigint) > q and cast(f.address as bigint) < q2 where p2 > p and q2 > q)
-            select distinct x.id a_id, y.id b_id from x join y using (k, name) where x.n <= 40 and y.n <= 40 and substr(name, 1, 4) <> 'sub_' and x.id not in (select a_id from seeds) and y.id not in (select b_id from seeds)"""
+            x as (select p k, name, id from g join a_functions f on cast(f.address as bigint) > p and cast(f.address as bigint) < p2 where p2 > p and q2 > q),
+            y as (select p k, name, id from g join b_functions f on cast(f.address as bigint) > q and cast(f.address as bigint) < q2 where p2 > p and q2 > q)
+            select distinct x.id a_id, y.id b_id from x join y using (k, name) where substr(name, 1, 4) <> 'sub_' and x.id not in (select a_id from seeds) and y.id not in (select b_id from seeds)"""
         ),
     ),
     "related_constants": (
         lambda a, b: propagate.constant_candidates(candidates.by_address(a, b), a, b),
         _sql(
-            """, x as (select constant, func_id from a_constants where constant in (select constant from a_constants group by 1 having count(*) <= 512)),
-            y as (select constant, func_id from b_constants where constant in (select constant from b_constants group by 1 having count(*) <= 512)),
+            """, x as (select constant, func_id from a_constants), y as (select constant, func_id from b_constants),
             c as (select distinct x.constant from seeds join x on x.func_id = a_id join y on y.func_id = b_id and x.constant = y.constant),
             m as (select constant, f.id a_id, g.id b_id from c join x using (constant) join y using (constant) join a_functions f on f.id = x.func_id join b_functions g on g.id = y.func_id and f.name = g.name where substr(f.name, 1, 4) <> 'sub_' and f.id not in (select a_id from seeds) and g.id not in (select b_id from seeds)),
             r as (select *, row_number() over (partition by constant order by a_id, b_id) k from m) select constant, a_id, b_id from r where k = 1""",
@@ -254,11 +263,51 @@ _PAIRWISE: dict[str, tuple[Callable[[Snapshot, Snapshot], DataFrame], str | None
     "graph_diff": (
         lambda a, b: textdiff.graph_diff(candidates.by_address(a, b), a, b),
         _sql(
-            """, x as (select a_id, b_id, num, inst_total, mnemonics_list from seeds join a_blocks on func_id = a_id), y as (select a_id, b_id, num, inst_total, mnemonics_list from seeds join b_blocks on func_id = b_id)
-            select a_id, b_id, num, case when y.mnemonics_list is null then 'primary-only' when x.mnemonics_list is null then 'secondary-only' when x.inst_total = y.inst_total and x.mnemonics_list = y.mnemonics_list then 'same' else 'changed' end status from x full join y using (a_id, b_id, num)""",
+            """, g as (select a_id, b_id, x.num, inst_total, (select list_sort(list(child)) from a_block_edges e where e.func_id = x.func_id and e.parent = x.num) after from seeds join a_blocks x on func_id = a_id),
+            h as (select a_id, b_id, x.num, inst_total, (select list_sort(list(child)) from b_block_edges e where e.func_id = x.func_id and e.parent = x.num) after from seeds join b_blocks x on func_id = b_id)
+            select a_id, b_id, num, case when h.inst_total is null then 'primary-only' when g.inst_total is null then 'secondary-only' when g.inst_total = h.inst_total and g.after is not distinct from h.after then 'same' else 'changed' end status from g full join h using (a_id, b_id, num)""",
             "blocks",
+            "block_edges",
+        ),
+    ),
+    "edge_diff": (
+        lambda a, b: textdiff.edge_diff(candidates.by_address(a, b), a, b),
+        _sql(
+            """, g as (select distinct a_id, b_id, parent, child, 1 x from seeds join a_block_edges on func_id = a_id), h as (select distinct a_id, b_id, parent, child, 1 y from seeds join b_block_edges on func_id = b_id)
+            select a_id, b_id, parent, child, case when y is null then 'primary-only' when x is null then 'secondary-only' else 'same' end status from g full join h using (a_id, b_id, parent, child)""",
+            "block_edges",
         ),
     ),
+    "block_degrees": (
+        lambda a, b: refine.with_degrees(a.blocks, a.block_edges).select(F.col("func_id").alias("id"), "num", "indegree", "outdegree"),
+        f"{duckdb_ctes('a_functions', 'a_blocks', 'a_block_edges')} select func_id id, num, (select count(*) from a_block_edges e where e.func_id = x.func_id and child = num) indegree, (select count(*) from a_block_edges e where e.func_id = x.func_id and parent = num) outdegree from a_blocks x",
+    ),
+    "caller_context": (
+        lambda a, b: textdiff.caller_context(candidates.by_address(a, b), a, b),
+        _sql(
+            """, r as (select distinct 'a' s, g.id callee, c.func_id from a_callgraph c join a_functions g using (address) union all select distinct 'b', g.id, c.func_id from b_callgraph c join b_functions g using (address)),
+            x as (select a_id, b_id, f.name caller_a, row_number() over (partition by a_id, b_id order by f.id) ordinal from seeds join r on s = 'a' and callee = a_id join a_functions f on f.id = r.func_id),
+            y as (select a_id, b_id, f.name caller_b, row_number() over (partition by a_id, b_id order by f.id) ordinal from seeds join r on s = 'b' and callee = b_id join b_functions f on f.id = r.func_id)
+            select a_id, b_id, ordinal, caller_a, caller_b from x full join y using (a_id, b_id, ordinal)""",
+            "callgraph",
+        ),
+    ),
+    "graph_ratio": (
+        graph_ratio,
+        _sql(
+            ", r as (select f.id, "
+            + " + ".join(f"case when f.{c} = 0 and g.{c} = 0 then 1.0 else coalesce(least(f.{c}, g.{c}) / greatest(f.{c}, g.{c}), 0.0) end" for c in similarity.GRAPH_METRICS)
+            + " total from a_functions f join b_functions g using (id)) select id a_id, id b_id, round(total / 10, 6) ratio from r"
+        ),
+    ),
+    "totals": (
+        lambda a, b: results.totals(result_table(a, b), results.unmatched(a, _rated(a, b), "a").union(results.unmatched(b, _rated(a, b), "b"))),
+        _sql(" select (select count(*) from seeds) matches, (select count(*) from a_functions where id not in (select a_id from seeds)) unmatched_a, (select count(*) from b_functions where id not in (select b_id from seeds)) unmatched_b"),
+    ),
+    "factor_counts": (
+        lambda a, b: features.factor_counts(a.functions, a.callgraph),
+        f"{duckdb_ctes('a_functions', 'a_callgraph')}, p as (select address from a_callgraph union select f.address from a_callgraph c join a_functions f on f.id = c.func_id) select cast(primes_value as bigint) prime, count(*) n_all, count(*) filter (address in (select address from p)) n_called from a_functions where cast(primes_value as bigint) > 1 group by 1",
+    ),
     "call_context": (
         lambda a, b: textdiff.call_context(candidates.by_address(a, b), a, b),
         _sql(

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pairloom.operators.ranges import numbered
+from pairloom.sources.tables import written
+
 #: Tables that a stored snapshot must have, and the columns that matching cannot do without.
 REQUIRED = {"functions": ("id", "name", "address", "nodes", "instructions", "bytes_hash")}
 
@@ -15,6 +20,15 @@ class SnapshotError(ValueError):
     """A folder that holds no usable snapshot."""
 
 
+@dataclass
+class ExportHooks:
+    """keep: the functions to write; change: what becomes of them; on_failure: called with the error if writing breaks off."""
+
+    keep: Column = field(default_factory=lambda: F.lit(True))
+    change: Callable[[DataFrame], DataFrame] = lambda df: df
+    on_failure: Callable[[Exception], None] | None = None
+
+
 @dataclass
 class Snapshot:
     frames: dict[str, DataFrame]
@@ -37,24 +51,96 @@ class Snapshot:
             raise SnapshotError("the snapshot has no function")
         return self
 
-    def save(self, folder: str) -> None:
-        for name, df in self.frames.items():
-            df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
-
-    def append(self, folder: str) -> None:
-        """Adds functions whose address the stored snapshot lacks, and their rows in the other tables (resume)."""
+    def save(self, folder: str, hooks: ExportHooks | None = None) -> None:
+        """Writes all tables. hooks: which functions are written, with their rows in the other tables, and how."""
+        frames = dict(self.frames)
+        if hooks:
+            kept = written(hooks.change(self.functions.where(hooks.keep)), "exported")
+            ids = kept.select(F.col("id").alias("func_id"))
+            frames = {n: df.join(ids, "func_id", "left_semi").select(*df.columns) if "func_id" in df.columns else df for n, df in frames.items()} | {"functions": kept}
+        try:
+            for name, df in frames.items():
+                df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+        except Exception as e:
+            if hooks and hooks.on_failure:
+                hooks.on_failure(e)
+            raise
+
+    def append(self, folder: str) -> int:
+        """Adds functions whose address the stored snapshot lacks, and their rows in the other tables; gives their number.
+
+        They get new ids after all that are stored, in the order of their own ids, and their rows follow them. Functions are
+        written last: rows of an append that broke off belong to ids that are never given out again.
+        """
         spark = self.functions.sparkSession
-        stored = spark.read.parquet(f"{folder}/functions.parquet").select("address")
-        fresh = self.functions.join(stored, "address", "left_anti").select(*self.functions.columns)
-        ids = fresh.select(F.col("id").alias("func_id"))
-        for name, df in self.frames.items():
-            if name != "functions" and "func_id" in df.columns:
-                df.join(ids, "func_id", "left_semi").select(*df.columns).write.mode("append").parquet(f"{folder}/{name}.parquet")
-        fresh.write.mode("append").parquet(f"{folder}/functions.parquet")
+        read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
+        children = [n for n, df in self.frames.items() if n != "functions" and "func_id" in df.columns]
+        fresh = self.functions.join(read("functions").select("address"), "address", "left_anti").select(*self.functions.columns)
+        used = [read("functions").agg(F.max("id"))] + [read(n).agg(F.max("func_id")) for n in children]
+        top = max((df.first()[0] or 0 for df in used), default=0)
+        ids = written(numbered(fresh.select(F.col("id").alias("old_id")), "old_id").select("old_id", (F.col("line") + top + 1).alias("new_id")), "ids")
+        for name in children:
+            df = self.frames[name]
+            moved = df.join(ids.withColumnRenamed("old_id", "func_id"), "func_id").drop("func_id").withColumnRenamed("new_id", "func_id")
+            moved.select(*(F.col(f.name).cast(f.dataType) for f in df.schema)).write.mode("append").parquet(f"{folder}/{name}.parquet")
+        moved = fresh.join(ids.withColumnRenamed("old_id", "id"), "id").drop("id").withColumnRenamed("new_id", "id")
+        moved.select(*(F.col(f.name).cast(f.dataType) for f in self.functions.schema)).write.mode("append").parquet(f"{folder}/functions.parquet")
+        return ids.count()
 
 
 def load(spark: SparkSession, folder: str, *names: str) -> Snapshot:
-    return Snapshot({n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names or ("functions",)}).validate()
+    """The named tables of a stored snapshot, with its program data; blocks and block_edges are made of the four block tables
+    where they aren't stored themselves."""
+    def frame(name: str) -> DataFrame:
+        return spark.read.parquet(f"{folder}/{name}.parquet")
+
+    frames: dict[str, DataFrame] = {}
+    for name in names or ("functions",):
+        try:
+            frames[name] = frame(name)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            if name not in ("blocks", "block_edges"):
+                raise SnapshotError(f"the snapshot has no table {name}") from None
+            made = blocks_of(frame("basic_blocks"), frame("function_bblocks"), frame("bb_instructions"), frame("instructions"), frame("bb_relations"))
+            frames |= {k: v for k, v in zip(("blocks", "block_edges"), made, strict=True) if k in names}
+    try:
+        program = program_map(frame("program_data"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        program = {}
+    return Snapshot(frames, program).validate()
+
+
+def program_map(program_data: DataFrame) -> dict[str, str]:
+    """The last value (by id) of each name of program_data (id, name, value): some dozens of names."""
+    return {r.name: r.value for r in program_data.groupBy("name").agg(F.max_by("value", "id").alias("value")).collect()}
+
+
+def replace_program_data(spark: SparkSession, folder: str, values: dict[str, str]) -> None:
+    rows = [(k, n, v) for k, (n, v) in enumerate(sorted(values.items()))]
+    spark.createDataFrame(rows, "id long, name string, value string").write.mode("overwrite").parquet(f"{folder}/program_data.parquet")
+
+
+def blocks_of(basic_blocks: DataFrame, function_bblocks: DataFrame, bb_instructions: DataFrame, instructions: DataFrame, bb_relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """blocks (func_id, num, bb_id, mnemonics_list, inst_total) and block_edges (func_id, parent, child) of a snapshot whose
+    blocks are kept in basic_blocks (id, num, address), function_bblocks (function_id, basic_block_id), bb_instructions
+    (id, basic_block_id, instruction_id), instructions (id, mnemonic) and bb_relations (parent_id, child_id).
+
+    A function's blocks are numbered from 0 by num, then id. Instructions stand in the order of bb_instructions. Blocks
+    without instructions have an empty list; edges to blocks of other functions are left out.
+    """
+    place = F.row_number().over(Window.partitionBy("func_id").orderBy("num", "bb_id")) - 1
+    held = function_bblocks.select(F.col("function_id").alias("func_id"), F.col("basic_block_id").alias("bb_id")).distinct()
+    placed = held.join(basic_blocks.select(F.col("id").alias("bb_id"), "num"), "bb_id").withColumn("place", place)
+    words = bb_instructions.join(instructions.select(F.col("id").alias("instruction_id"), "mnemonic"), "instruction_id")
+    lists = words.groupBy(F.col("basic_block_id").alias("bb_id")).agg(F.array_sort(F.collect_list(F.struct("id", "mnemonic"))).alias("m"))
+    blocks = placed.join(lists, "bb_id", "left").select("func_id", F.col("place").cast("int").alias("num"), "bb_id", F.coalesce(F.array_join("m.mnemonic", ","), F.lit("")).alias("mnemonics_list"), F.greatest(F.size("m"), F.lit(0)).alias("inst_total"))
+    end = lambda k: placed.select("func_id", F.col("bb_id").alias(f"{k}_id"), F.col("place").cast("int").alias(k))
+    edges = bb_relations.join(end("parent"), "parent_id").join(end("child"), ["child_id", "func_id"]).select("func_id", "parent", "child")
+    return blocks, edges
 
 
 def valid_function() -> Column:
@@ -69,8 +155,8 @@ def address_number(column: str) -> Column:
 
 
 def compilation_units(functions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Units by source file, and which function is in which."""
+    """Units by source file, numbered by their least function, and which function is in which."""
     named = functions.where(F.coalesce(F.col("source_file") != "", F.lit(False)))
     number = address_number("address")
-    units = named.groupBy(F.col("source_file").alias("name")).agg(F.count("*").alias("functions"), F.min(number).alias("start_ea"), F.max(number).alias("end_ea"))
-    return units, named.select(F.col("source_file").alias("cu_name"), F.col("id").alias("func_id"))
+    units = named.groupBy(F.col("source_file").alias("name")).agg(F.min("id").alias("cu_id"), F.count("*").alias("functions"), F.min(number).alias("start_ea"), F.max(number).alias("end_ea"))
+    return units, named.join(units.select("cu_id", F.col("name").alias("source_file")), "source_file").select("cu_id", F.col("id").alias("func_id"))

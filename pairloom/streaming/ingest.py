@@ -5,6 +5,7 @@ This is an addition of our own: what it keeps from incremental export is that an
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,12 +15,15 @@ def append_new(folder: str):
     nothing."""
 
     def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
         path = f"{folder}/functions.parquet"
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
         fresh = batch.dropDuplicates(["address"])
-        if jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
-            fresh = fresh.join(spark.read.parquet(path).select("address"), "address", "left_anti").select(*batch.columns)
+        try:
+            stored = batch.sparkSession.read.parquet(path).select("address")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
+            fresh = fresh.join(stored, "address", "left_anti").select(*batch.columns)
         fresh.write.mode("append").parquet(path)
 
     return write

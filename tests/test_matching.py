@@ -95,7 +95,49 @@ def test_line_script():
         x, y = similarity.split_lines(left), similarity.split_lines(right)
         assert [x[i] for k, i, _ in script if k != "added"] == x and [y[j] for k, _, j in script if k != "removed"] == y
         assert all(x[i] == y[j] for k, i, j in script if k == "same")
-    assert {k for k, _, _ in textdiff.line_script("a\n" * 5, "a\n" * 5, most=4)} == {"removed", "added"}
+    pick = random.Random(8)
+    for _ in range(300):
+        x, y = ([pick.choice("abcd") for _ in range(pick.randrange(14))] for _ in "ab")
+        assert textdiff.line_script("\n".join(x), "\n".join(y)) == _script(x, y)
+        table = _table(x, y)
+        assert similarity.lcs_ratio_of("\n".join(x), "\n".join(y)) == (2 * table[-1][-1] / (len(x) + len(y)) if x and y else 0.0)
+    long = [str(k % 997) for k in range(12_000)]
+    script = textdiff.line_script("\n".join(long), "\n".join([*long[:500], "new", *long[501:9_000], *long[9_001:]]))
+    assert [k for k, _, _ in script].count("same") == 11_998 and len(script) == 12_001
+
+
+def _table(x, y):
+    rows = [[0] * (len(y) + 1)]
+    for a in x:
+        rows.append([0])
+        for j, b in enumerate(y):
+            rows[-1].append(rows[-2][j] + 1 if a == b else max(rows[-2][j + 1], rows[-1][j]))
+    return rows
+
+
+def _script(x, y):
+    """The same from the whole table."""
+    rows, out, i, j = _table(x, y), [], len(x), len(y)
+    while i or j:
+        if i and j and x[i - 1] == y[j - 1]:
+            i, j = i - 1, j - 1
+            out.append(("same", i, j))
+        elif j and (not i or rows[i][j - 1] >= rows[i - 1][j]):
+            j -= 1
+            out.append(("added", None, j))
+        else:
+            i -= 1
+            out.append(("removed", i, None))
+    return out[::-1]
+
+
+def test_diffs_as_rows(spark):
+    rows = [(1, 1, "a\nb\nc\nd\ne\nf\ng\nh\ni\nj\nk", "a\nb\nx\nd\ne\nf\ng\nh\ni\nj\nk\nl"), (2, 2, "a", "a"), (3, 3, None, "z"), (4, 4, "", None)]
+    pairs = spark.createDataFrame(rows, "a_id long, b_id long, text_a string, text_b string")
+    found = {r.a_id: r.diff for r in textdiff.unified_diff(pairs, context=1).collect()}
+    assert found == {1: "--- a\n+++ b\n@@ -2,3 +2,3 @@\n b\n-c\n+x\n d\n@@ -11 +11,2 @@\n k\n+l", 2: "", 3: "--- a\n+++ b\n@@ -0,0 +1 @@\n+z", 4: ""}
+    side = textdiff.changed_rows(textdiff.line_diff(pairs)).where("a_id = 1 and kind <> 'same'").orderBy("at").collect()
+    assert [(r.kind, r.left_index, r.right_index) for r in side] == [("changed", 2, 2), ("added", None, 11)]
 
 
 def test_patch_scan(spark):
@@ -163,7 +205,7 @@ def test_session_runs_passes_and_blocks(spark):
     steps = []
     hooks = session.Hooks(rules=lambda found: found[:2], on_progress=steps.append)
     found = session.run(a, b, session.Options(iterations=1), hooks)
-    assert {f"pass 1: {p.__name__}" for p in propagate.PASSES} <= set(steps) and steps[-2:] == ["blocks", "results"]
+    assert {f"pass 1: {p.run.__name__}" for p in propagate.PASSES} <= set(steps) and steps[-2:] == ["blocks", "results"]
     added = {"Diffing of matches", "Renamed", "Related constants", "Compilation unit", "Call reference", "Local affinity"}
     assert any(r.description in added for r in found.results.collect())
 
@@ -186,16 +228,124 @@ def test_slow_and_relaxed_do_not_depend_on_counts():
     assert session.Options().slow is True and session.Options().relaxed is False
 
 
-def test_control_flow():
+def test_text_graphs(spark):
     text = "start:\n cmp eax, 1\n jz short done\n mov eax, 2\n jmp start\ndone:\n ret\n nop"
-    assert textdiff.control_flow(text) == [(0, 0, 3, [1, 2]), (1, 3, 5, [0]), (2, 5, 7, []), (3, 7, 8, [])]
-    assert textdiff.control_flow(None) == [] and textdiff.control_flow("") == []
-
-
-def test_paired_blocks():
-    block = lambda k, *lines: {"num": k, "lines": list(lines), "indegree": 0, "outdegree": 0}
-    left = [block(0, "a", "b"), block(1, "c", "d", "e"), block(2, "x")]
-    right = [block(0, "c", "d", "f"), block(1, "a", "b"), block(2, "y"), block(3, "q", "r", "s", "t", "u", "v")]
-    found = textdiff.paired_blocks(left, right)
-    assert [(i, j, k) for i, j, k, _ in found] == [(0, 1, "exact"), (1, 0, "similar"), (2, 2, "ordinal"), (None, 3, "secondary-only")]
-    assert textdiff.paired_blocks([], []) == []
+    rows = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "mov a, b")], "id long, text string")
+    found = sorted((r.id, r.block, r["first"], r["last"], list(r.successors)) for r in textdiff.text_graphs(rows).collect())
+    assert found == [(1, 0, 0, 2, [1, 2]), (1, 1, 3, 4, [0]), (1, 2, 5, 6, []), (1, 3, 7, 7, []), (4, 0, 0, 0, [])]
+
+
+def _graph(spark, blocks, edges):
+    b = spark.createDataFrame([(1, k, x, len([w for w in x.split(",") if w])) for k, x in enumerate(blocks)], "func_id long, num int, mnemonics_list string, inst_total int")
+    return Snapshot({"blocks": b, "block_edges": spark.createDataFrame([(1, *e) for e in edges], "func_id long, parent int, child int")})
+
+
+def test_block_pairs(spark):
+    left = _graph(spark, ["a,b", "c,d,e", "x"], [])
+    right = _graph(spark, ["c,d,f", "a,b", "y", "q,r,s,t,u,v"], [])
+    pairs = spark.createDataFrame([(1, 1)], "a_id long, b_id long")
+    found = textdiff.block_pairs(pairs, left, right).collect()
+    assert {(r.num_a, r.num_b, r.kind) for r in found} == {(0, 1, "exact"), (1, 0, "similar"), (2, 2, "ordinal"), (None, 3, "secondary-only")}
+
+
+def _matched(left, right):
+    """Block matching one by one, as it is defined; blocks are (list, count, into, out)."""
+    used_a, used_b, out = set(), set(), []
+
+    def take(i, j, ratio):
+        used_a.add(i)
+        used_b.add(j)
+        out.append((i, j, ratio))
+
+    for i, x in enumerate(left):
+        places = [j for j, y in enumerate(right) if y[0] == x[0]]
+        if x[1] >= 2 and len(places) == 1 and places[0] not in used_b:
+            take(i, places[0], 1.0)
+    for at, ratio in ((2, 0.8), (3, 0.6)):
+        i, j = (next((k for k, x in enumerate(s) if x[at] == 0 and k not in u), None) for s, u in ((left, used_a), (right, used_b)))
+        if i is not None and j is not None:
+            take(i, j, ratio)
+    for i, x in enumerate(left):
+        best = max(((3 * (x[1] == y[1]) + (x[2] == y[2]) + (x[3] == y[3]), -j) for j, y in enumerate(right) if j not in used_b), default=(0, 0))
+        if i not in used_a and best[0] >= 3:
+            take(i, -best[1], 0.4)
+    return sorted(out)
+
+
+def test_block_matching_equals_one_by_one(spark):
+    pick = random.Random(4)
+    pairs = spark.createDataFrame([(1, 1)], "a_id long, b_id long")
+    for _ in range(4):
+        sides = []
+        for _ in "ab":
+            blocks = [",".join(pick.choice("xyz") for _ in range(pick.randrange(1, 4))) for _ in range(pick.randrange(1, 9))]
+            edges = sorted({(pick.randrange(len(blocks)), pick.randrange(len(blocks))) for _ in range(5)})
+            sides.append((blocks, edges))
+        (x, p), (y, q) = sides
+        about = lambda blocks, edges: [(t, len(t.split(",")), sum(e[1] == k for e in edges), sum(e[0] == k for e in edges)) for k, t in enumerate(blocks)]
+        found = refine.match_blocks(pairs, _graph(spark, x, p), _graph(spark, y, q)).collect()
+        assert sorted((r.num_a, r.num_b, r.ratio) for r in found) == _matched(about(x, p), about(y, q))
+
+
+def test_ties_take_few_rounds(spark, monkeypatch):
+    """2,000 by 2,000 equal pairs in blocks of 50, and one block of 300 by 200."""
+    pairs = spark.range(2_000).select((F.col("id") % 2_000).alias("a_id"), F.explode(F.sequence(F.lit(0), F.lit(49))).alias("k")).select("a_id", (F.floor(F.col("a_id") / 50) * 50 + F.col("k")).alias("b_id"), F.lit(1.0).alias("ratio"))
+    large = spark.range(300).select((F.col("id") + 10_000).alias("a_id")).join(spark.range(200).select((F.col("id") + 10_000).alias("b_id"))).withColumn("ratio", F.lit(0.5))
+    rounds, plain = [], assign.mutual_best
+    monkeypatch.setattr(assign, "mutual_best", lambda *x: rounds.append(1) or plain(*x))
+    found = assign.greedy(pairs.union(large), [F.col("ratio").desc(), F.col("a_id"), F.col("b_id")]).collect()
+    assert len(rounds) <= 3 and {(r.a_id, r.b_id) for r in found} == {(k, k) for k in [*range(2_000), *range(10_000, 10_200)]}
+
+
+def _clean(matches):
+    best_a, best_b, seen, out = {}, {}, set(), []
+    for r, x, y in sorted(matches, key=lambda m: -m[0]):
+        if (x, y) in seen or best_a.get(x, r) > r or best_b.get(y, r) > r:
+            continue
+        seen.add((x, y))
+        best_a[x] = best_b[y] = r
+        out.append((r, x, y))
+    return sorted(out)
+
+
+def test_clean_equals_the_sequential_one(spark):
+    pick = random.Random(9)
+    for _ in range(3):
+        rows = [(pick.choice((0.5, 0.6, 0.7, 0.8)), x, y) for x, y in {(pick.randrange(8), pick.randrange(8)) for _ in range(20)}]
+        df = spark.createDataFrame([(x, y, r, "", "partial") for r, x, y in rows] + [(1, 1, 1.0, "", "multimatch")], "a_id long, b_id long, ratio double, description string, kind string")
+        assert sorted((r.ratio, r.a_id, r.b_id) for r in assign.clean(df).collect()) == _clean(rows)
+
+
+def test_large_primes_and_numbers():
+    huge = str(3) + "0" * 10_000
+    assert similarity.prime_vector(huge) == {2: 10_000, 3: 1, 5: 10_000} and similarity.prime_ratio_of(huge, "30") < 0.01
+    assert similarity.whole_number("123" * 3_000) == sum(int("123") * 10 ** (3 * k) for k in range(3_000))
+
+
+def test_stored_blocks_and_new_ids(spark, tmp_path):
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    functions = lambda rows: frame([(*r, 1, 1, "h") for r in rows], "id long, name string, address string, nodes int, instructions int, bytes_hash string")
+    frames = {
+        "functions": functions([(1, "f", "16"), (2, "g", "32")]),
+        "basic_blocks": frame([(10, 1, "20"), (11, 0, "16"), (12, 0, "32")], "id long, num int, address string"),
+        "function_bblocks": frame([(1, 10), (1, 11), (2, 12)], "function_id long, basic_block_id long"),
+        "bb_instructions": frame([(1, 11, 5), (2, 11, 4), (3, 10, 6)], "id long, basic_block_id long, instruction_id long"),
+        "instructions": frame([(4, 1, "mov"), (5, 1, "cmp"), (6, 1, "ret")], "id long, func_id long, mnemonic string"),
+        "bb_relations": frame([(11, 10), (11, 12)], "parent_id long, child_id long"),
+        "constants": frame([(1, "7"), (2, "8")], "func_id long, constant string"),
+    }
+    Snapshot(frames).save(str(tmp_path))
+    snapshot.replace_program_data(spark, str(tmp_path), {"processor": "x"})
+    found = snapshot.load(spark, str(tmp_path), "functions", "blocks", "block_edges")
+    assert found.program == {"processor": "x"} and session.same_processor(found, found) and not session.same_processor(found, Snapshot({}))
+    assert sorted((r.func_id, r.num, r.mnemonics_list, r.inst_total) for r in found.blocks.collect()) == [(1, 0, "cmp,mov", 2), (1, 1, "ret", 1), (2, 0, "", 0)]
+    assert [tuple(r) for r in found.block_edges.collect()] == [(1, 0, 1)]
+    more = Snapshot({"functions": functions([(1, "h", "48"), (2, "f", "16"), (7, "i", "64")]), "constants": frame([(1, "9"), (2, "0"), (7, "5")], "func_id long, constant string")})
+    assert more.append(str(tmp_path)) == 2 and more.append(str(tmp_path)) == 0
+    stored = snapshot.load(spark, str(tmp_path), "functions", "constants")
+    assert sorted((r.id, r.name) for r in stored.functions.collect()) == [(1, "f"), (2, "g"), (3, "h"), (4, "i")]
+    assert sorted((r.func_id, r.constant) for r in stored.constants.collect()) == [(1, "7"), (2, "8"), (3, "9"), (4, "5")]
+    hooks = snapshot.ExportHooks(F.col("name") == "f", lambda df: df.withColumn("name", F.upper("name")))
+    stored.save(str(tmp_path / "less"), hooks)
+    less = snapshot.load(spark, str(tmp_path / "less"), "functions", "constants")
+    assert [r.name for r in less.functions.collect()] == ["F"] and less.constants.count() == 1
