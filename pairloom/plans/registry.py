@@ -66,7 +66,7 @@ def _texts(a: Snapshot, b: Snapshot) -> DataFrame:
 
 
 def quick_ratio(a: Snapshot, b: Snapshot) -> DataFrame:
-    return _texts(a, b).select("a_id", "b_id", F.round(similarity.quick_ratio("text_a", "text_b"), 6).alias("ratio"))
+    return _texts(a, b).select("a_id", "b_id", F.round(similarity.quick_ratio("text_a", "text_b"), 7).alias("ratio"))
 
 
 def prime_ratio(a: Snapshot, b: Snapshot) -> DataFrame:
@@ -132,24 +132,62 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.run(*pair(spark, sf_dir)).results
 
 
+def _bag(column: str) -> str:
+    """CTE {column}_bag: id and the share of lines in common, with multiplicity, of both sides' records of one id."""
+    lines = f"string_split(case when ends_with({column}, chr(10)) then substr({column}, 1, length({column}) - 1) else {column} end, chr(10))"
+    each = " union all ".join(f"select id, unnest({lines}) x, {int(s == 'a')} p, {int(s == 'b')} q from {s}_functions where {column} <> ''" for s in "ab")
+    counted = f"select id, round(2.0 * sum(least(p, q)) / sum(p + q), 7) r from (select id, x, sum(p) p, sum(q) q from ({each}) group by id, x) group by id"
+    return f"{column}_bag as (select f.id, case when f.{column} = '' or g.{column} = '' then 0.0 else coalesce(r, 0.0) end {column}_ratio from a_functions f join b_functions g using (id) left join ({counted}) using (id))"
+
+
+def _exponent(text: str, prime: int) -> str:
+    """How often the prime divides the small number that a text gives."""
+    return f"len([x for x in range(1, 20) if cast({text} as hugeint) % cast(pow({prime}, x) as hugeint) = 0])"
+
+
+_PATCH_SQL = (
+    r""", t as (select f.id a_id, f.assembly ta, g.assembly tb from a_functions f join b_functions g using (id)),
+    la as (select a_id, unnest(string_split(ta, chr(10))) line, generate_subscripts(string_split(ta, chr(10)), 1) pos from t), lb as (select a_id, ta, unnest(string_split(tb, chr(10))) line, generate_subscripts(string_split(tb, chr(10)), 1) pos from t),
+    d1 as (select a_id, arg_min(j, pos) x from (select a_id, pos, lower(regexp_extract(la.line, '^\s*(\S*)', 1)) || ' -> ' || lower(regexp_extract(lb.line, '^\s*(\S*)', 1)) j from la join lb using (a_id, pos)) where j in ("""
+    + ", ".join(f"'{x} -> {y}'" for p in patchscan.JUMPS for x, y in (p, p[::-1]))
+    + ") group by 1), p(k, pat) as (values "
+    + ", ".join(f"({k}, '{p}')" for k, p in enumerate(patchscan.UNSAFE))
+    + """), d2 as (select a_id, arg_min(pat, pos * 100 + k) x from lb join p on contains(line, pat) and not contains(ta, pat) group by 1),
+    d3 as (select a_id, arg_min(trim(line), pos) x from lb where starts_with(trim(line), 'if ') and regexp_matches(trim(line), ' (<|>|<=|>=) ([^0]|0[^ ]|0$|$)') and not contains(ta, trim(line)) group by 1)
+    select a_id, a_id b_id, case when d1.x is not null then 'signed_unsigned' when d2.x is not null then 'unsafe_pattern' else 'size_check' end indicator, coalesce(d1.x, d2.x, 'Size check: ' || d3.x) detail
+    from t left join d1 using (a_id) left join d2 using (a_id) left join d3 using (a_id) where coalesce(d1.x, d2.x, d3.x) is not null"""
+)
+
+
 _PAIRWISE: dict[str, tuple[Callable[[Snapshot, Snapshot], DataFrame], str | None]] = {
     "equal_intersect": (candidates.equal_rows, _sql(" select {c} from a_functions intersect select {c} from b_functions".replace("{c}", ", ".join(candidates.EQUAL)))),
     "same_name": (
         candidates.same_name,
         _sql(" select distinct f.id a_id, df.id b_id from a_functions f join b_functions df on f.name = df.name or (f.mangled_function = df.mangled_function and f.mangled_function <> '') where " + " and ".join(f"length({s}.name) > 3 and {s}.name not ilike 'sub_%' and {s}.name not ilike 'nullsub_%' and {s}.name not ilike 'j_%'" for s in ("f", "df"))),
     ),
-    "quick_ratio": (
-        quick_ratio,
+    "quick_ratio": (quick_ratio, _sql(f", {_bag('assembly')} select id a_id, id b_id, assembly_ratio ratio from assembly_bag")),
+    "prime_ratio": (
+        prime_ratio,
+        _sql(
+            f""", e as (select f.id, f.mnemonics_spp s, g.mnemonics_spp t, {_exponent('f.mnemonics_spp', 2)} a2, {_exponent('f.mnemonics_spp', 3)} a3, {_exponent('g.mnemonics_spp', 2)} b2, {_exponent('g.mnemonics_spp', 3)} b3 from a_functions f join b_functions g using (id))
+            select id a_id, id b_id, case when s = t then 1.0 when greatest(a2 + a3, b2 + b3) = 0 then 0.0 else round(1.0 - (abs(a2 - b2) + abs(a3 - b3)) / greatest(a2 + a3, b2 + b3), 6) end ratio from e"""
+        ),
+    ),
+    "combined_ratio": (
+        combined_ratio,
         _sql(
-            """, l as (select 'a' s, id, unnest(string_split(case when ends_with(assembly, chr(10)) then substr(assembly, 1, length(assembly) - 1) else assembly end, chr(10))) x from a_functions where assembly <> ''
-            union all select 'b', id, unnest(string_split(case when ends_with(assembly, chr(10)) then substr(assembly, 1, length(assembly) - 1) else assembly end, chr(10))) from b_functions where assembly <> ''),
-            c as (select id, x, count(*) filter (s = 'a') p, count(*) filter (s = 'b') q from l group by id, x),
-            r as (select id, 2.0 * sum(least(p, q)) / sum(p + q) r from c group by id)
-            select f.id a_id, g.id b_id, case when f.assembly = '' or g.assembly = '' then 0.0 else round(r, 6) end ratio from a_functions f join b_functions g on f.id = g.id left join r on r.id = f.id"""
+            f""", {_bag('clean_pseudo')}, {_bag('clean_assembly')}, {_bag('clean_microcode')},
+            e as (select f.id, f.pseudocode_primes s, g.pseudocode_primes t, {', '.join(f"{_exponent(f'substr({x}.pseudocode_primes, 1, length({x}.pseudocode_primes) - 30)', p)} + {0 if p == 3 else 30} {k}{p}" for x, k in (('f', 'a'), ('g', 'b')) for p in (2, 3, 5))} from a_functions f join b_functions g using (id)),
+            v as (select f.id, case when f.bytes_hash = g.bytes_hash then 0 when f.pseudocode = '' or g.pseudocode = '' then 0 else clean_pseudo_ratio end v1, case when f.bytes_hash = g.bytes_hash then 0 else clean_assembly_ratio end v2,
+              case when f.bytes_hash = g.bytes_hash then 0 when s = t then 1 else 1.0 - (abs(a2 - b2) + abs(a3 - b3) + abs(a5 - b5)) / greatest(a2 + a3 + a5, b2 + b3 + b5) end v3, case when f.bytes_hash = g.bytes_hash then 0 else clean_microcode_ratio end v5,
+              f.bytes_hash = g.bytes_hash same, f.md_index = g.md_index md, cast(f.md_index as double) > 0 positive,
+              0.001 * (coalesce(f.source_file = g.source_file and f.source_file <> '', false)::int + (s = t)::int + (f.indegree = g.indegree and f.indegree <> 0)::int + (f.outdegree = g.outdegree and f.outdegree <> 0)::int + (f.cyclomatic_complexity = g.cyclomatic_complexity and f.cyclomatic_complexity <> 0)::int)
+              + 0.003 * (f.switches = g.switches and f.switches <> '[]')::int + 0.006 * len(list_intersect(from_json(f.constants, '["VARCHAR"]'), from_json(g.constants, '["VARCHAR"]'))) bonus
+              from a_functions f join b_functions g using (id) join clean_pseudo_bag using (id) join clean_assembly_bag using (id) join clean_microcode_bag using (id) join e using (id)),
+            w as (select *, case when md and positive then least((v1 + v2 + v3) / 3 + 0.1, 1.0) else 0 end v4 from v)
+            select id a_id, id b_id, round(case when same or v5 = 1 then 1.0 when greatest(v1, v2, v3, v4, v5) = 1 and not md then greatest(0.0, {', '.join(f'case when v{k} <> 1 then v{k} else 0 end' for k in range(1, 6))}) else greatest(v1, v2, v3, v4, v5) end, 6) ratio, round(bonus, 6) bonus from w"""
         ),
     ),
-    "prime_ratio": (prime_ratio, None),
-    "combined_ratio": (combined_ratio, None),
     "disambiguate_round1": (
         disambiguate_round1,
         _sql(f", p as (select a_id, b_id, (a_id * 7 + b_id * 13) % 101 weight from ({candidates.oracle(RULES[11])})), r as (select *, row_number() over (partition by a_id order by weight desc, a_id, b_id) x, row_number() over (partition by b_id order by weight desc, a_id, b_id) y from p) select a_id, b_id, weight from r where x = 1 and y = 1"),
@@ -225,7 +263,16 @@ _PAIRWISE: dict[str, tuple[Callable[[Snapshot, Snapshot], DataFrame], str | None
         lambda a, b: propagate.unit_candidates(candidates.by_address(a, b), a, b),
         _sql(" select f.id a_id, g.id b_id from a_functions f join b_functions g using (source_file, name) where f.id not in (select a_id from seeds) and g.id not in (select b_id from seeds)"),
     ),
-    "name_diffing": (lambda a, b: propagate.diffing_candidates(candidates.by_address(a, b), a, b).select("a_id", "b_id"), None),
+    "name_diffing": (
+        lambda a, b: propagate.diffing_candidates(candidates.by_address(a, b), a, b).select("a_id", "b_id"),
+        _sql(
+            """, x as (select a_id, b_id, unnest(list_distinct(from_json(f.names, '["VARCHAR"]'))) n from seeds join a_functions f on f.id = a_id), y as (select a_id, b_id, unnest(list_distinct(from_json(g.names, '["VARCHAR"]'))) n from seeds join b_functions g on g.id = b_id),
+            s as (select distinct n from x join y using (a_id, b_id, n) where length(n) > 3 and n not ilike 'sub_%' and n not ilike 'nullsub_%' and n not ilike 'j_%'),
+            p as (select name n, min(id) a_id from a_functions group by 1), q as (select name n, min(id) b_id from b_functions group by 1)
+            select p.a_id, q.b_id from s join p using (n) join q using (n) join a_functions f on f.id = p.a_id join b_functions g on g.id = q.b_id
+            where p.a_id not in (select a_id from seeds) and q.b_id not in (select b_id from seeds) and least(f.nodes, g.nodes) * 100 >= 25 * greatest(f.nodes, g.nodes) and (f.nodes >= 3 or g.nodes >= 3)"""
+        ),
+    ),
     "rename_pairs": (lambda a, b: propagate.rename_candidates(_by_id(a, b), a, b), None),
     "bb_mnemonic_match": (
         lambda a, b: refine.unique_block_matches(candidates.by_address(a, b), a, b),
@@ -254,11 +301,18 @@ _PAIRWISE: dict[str, tuple[Callable[[Snapshot, Snapshot], DataFrame], str | None
         lambda a, b: ml.filtered(_rated(a, b), ml_scores(a, b), 0.5).select("a_id", "b_id", "kind"),
         _sql(f", {_RATED}, z as (select a_id, kind, round((case when ratio <= 0.4 then 0.1 when (case when greatest(f.nodes, g.nodes) = 0 then 100 else least(f.nodes, g.nodes) * 100 // greatest(f.nodes, g.nodes) end) / 100.0 <= 0.9 then 0.3 else 0.9 end + case when greatest(f.loops, g.loops) <= 3 then 0.8 else 0.2 end) / 2, 6) score from rated join a_functions f on f.id = a_id join b_functions g on g.id = b_id) select a_id, b_id, kind from rated where a_id not in (select a_id from z where kind in ('partial', 'unreliable') and score < 0.5)"),
     ),
-    "patch_scan": (lambda a, b: patchscan.scan(_texts(a, b)).where("indicator is not null").select("a_id", "b_id", "indicator", "detail"), None),
+    "patch_scan": (lambda a, b: patchscan.scan(_texts(a, b)).where("indicator is not null").select("a_id", "b_id", "indicator", "detail"), _sql(_PATCH_SQL)),
     "line_diff": (lambda a, b: textdiff.line_diff(_texts(a, b)), None),
     "unified_diff": (lambda a, b: textdiff.unified_diff(_texts(a, b)), None),
     "text_graphs": (lambda a, b: textdiff.text_graphs(a.functions.select("id", F.col("assembly").alias("text"))), None),
     "block_pairs": (lambda a, b: textdiff.block_pairs(candidates.by_address(a, b), a, b), None),
+    "text_lines": (
+        lambda a, b: textdiff.line_diff(_texts(a, b)).groupBy("a_id", "b_id").agg(F.count_if(F.col("left_index").isNotNull()).alias("left_lines"), F.count_if(F.col("right_index").isNotNull()).alias("right_lines")),
+        _sql(
+            """, t as (select f.id, string_split(case when ends_with(f.assembly, chr(10)) then substr(f.assembly, 1, length(f.assembly) - 1) else f.assembly end, chr(10)) x, f.assembly = '' ex, string_split(case when ends_with(g.assembly, chr(10)) then substr(g.assembly, 1, length(g.assembly) - 1) else g.assembly end, chr(10)) y, g.assembly = '' ey from a_functions f join b_functions g using (id))
+            select id a_id, id b_id, case when ex then 0 else len(x) end left_lines, case when ey then 0 else len(y) end right_lines from t where not ex or not ey"""
+        ),
+    ),
     "fuzzy_hashes": (lambda a, b: a.functions.select("id", features.fuzzy_hashes("pseudocode").alias("h")).select("id", "h.*"), None),
     "graph_diff": (
         lambda a, b: textdiff.graph_diff(candidates.by_address(a, b), a, b),

@@ -42,7 +42,7 @@ select id, doc_id, name, cast(null as string) mangled_function, address, address
   doc_id % 3 indegree, doc_id % 4 outdegree, size, instructions, 1 + nodes % 9 + dots % 3 strongly_connected, dots % 8 loops, nodes pseudocode_lines,
   length(constants) - length(replace(constants, '","', 'xx')) + case when constants = '[]' then 0 else 1 end constants_count,
   text pseudocode, clean_pseudo, text assembly, clean_assembly, regexp_replace(clean_assembly, '[aeiou]', ''{g}) clean_microcode, regexp_replace(clean_assembly, '[^a-z]', ''{g}) mnemonics,
-  names, constants, case when nodes % 6 = 0 then '[[' || cast(nodes as string) || ']]' else '[]' end switches, lang || '(' || cast(instructions % 5 as string) || ')' prototype2, '[[' || cast(nodes as string) || ']]' tarjan_topological_sort,
+  '["fn_' || cast(doc_id + 1 as string) || '"' || case when names = '[]' then ']' else ',' || substr(names, 2) end names, constants, case when nodes % 6 = 0 then '[[' || cast(nodes as string) || ']]' else '[]' end switches, lang || '(' || cast(instructions % 5 as string) || ')' prototype2, '[[' || cast(nodes as string) || ']]' tarjan_topological_sort,
   md5(text) bytes_hash, md5(clean_pseudo) function_hash, {digest.format(lines)} pseudocode_hash1, reverse({digest.format(lines)}) pseudocode_hash2, {digest.format(in_order)} pseudocode_hash3,
   cast(pow(2, nodes % 7) as bigint) || '' primes_value, cast(cast(pow(2, nodes % 7) * pow(3, (nodes - 1 + commas) % 5) * pow(5, instructions % 4) as bigint) as string) || '000000000000000000000000000000' pseudocode_primes,
   cast(cast(pow(2, nodes % 7) * pow(3, instructions % 5) as bigint) as string) mnemonics_spp, cast(cast(pow(2, nodes % 5) * pow(3, instructions % 3) as bigint) as string) microcode_spp, cast(cast(pow(2, 1 + nodes % 9) as bigint) as string) strongly_connected_spp,
