@@ -77,3 +77,42 @@ def test_fuzzy_hashes():
         doubled = b"".join(data[k : k + 512] * 2 for k in range(0, len(data), 512))
         assert features.fuzzy_hashes_of(text) == tuple(map(_plain_hash, (doubled, data, data[::-1])))
     assert features.fuzzy_hashes_of(None) == ("", "", "")
+
+
+def test_microcode(spark):
+    rows = [("0. 1 mov eax, ebx ; x\nnothing here\n  add.4 #5, sub_401000\n\n2 mov r1, r2",), (None,), ("",)]
+    found = spark.createDataFrame(rows, "m string").select(features.clean_microcode("m").alias("c"), features.microcode_mnemonics("m").alias("p")).collect()
+    assert found[0].c == "mov eax, ebx\nadd.4 #5, XXXX\nmov r1, r2" and found[1].c is None and found[2].c == ""
+    names = sorted(features.MICROCODE)
+    assert [names[k] for k in found[0].p] == ["mov", "add"] and len(set(features.MICROCODE)) == len(features.MICROCODE)
+
+
+def test_names_switches_and_primes(spark):
+    rows = [(["open(int)", "sub_1", "nullsub_2", "alpha", "open"], [(4, [3, 1, 3]), (2, [])], 3), (None, [], 0), ([], None, None)]
+    df = spark.createDataFrame(rows, "n array<string>, s array<struct<size:int,cases:array<int>>>, c int")
+    found = df.select(features.referred_names("n").alias("n"), features.switch_text("s").alias("s"), features.primes_value("c").alias("p")).collect()
+    assert [tuple(r) for r in found] == [('["alpha","open"]', "[[4,[1,3]]]", "7"), ("[]", "[]", "2"), ("[]", "[]", None)]
+
+
+def test_constant_lists(spark):
+    numbers = spark.createDataFrame([(1, 3, 0x1001, False), (1, 1, 0x2003, None), (1, 2, 0x1000, False), (1, 4, 0x2003, False), (2, 1, 0x1001, True)], "func_id long, pos int, value long, referenced boolean")
+    strings = spark.createDataFrame([(1, 2, "text"), (1, 5, "x"), (1, 6, None)], "func_id long, pos int, value string")
+    assert [(r.func_id, r.constants) for r in features.constant_list(numbers, strings).collect()] == [(1, '["8195","text","4097"]')]
+
+
+def test_degrees_and_reasons(spark):
+    functions = spark.createDataFrame([(1, "16", "2"), (2, "32", "3"), (3, "48", "3"), (4, "64", "1")], "id long, address string, primes_value string")
+    calls = spark.createDataFrame([(1, "32", "call near"), (1, "32", "call near"), (1, "99", "call far"), (2, "16", "jump"), (4, "4", "jump")], "func_id long, address string, type string")
+    assert {tuple(r) for r in features.degrees(functions, calls).collect()} == {(1, 1, 3), (2, 2, 0), (3, 0, 0), (4, 0, 0)}
+    assert {tuple(r) for r in features.factor_counts(functions, calls).collect()} == {(2, 1, 1), (3, 2, 1)}
+    rows = [(None, "f", 9, False, False), (5, "f", 9, False, False), (50, "f", 9, True, False), (50, "f", 9, None, True), (50, "nullsub_1", 9, None, None), (50, "f", 6, None, None), (50, "f", 7, None, None)]
+    df = spark.createDataFrame(rows, "address long, name string, size int, is_library boolean, is_thunk boolean")
+    assert [r.w for r in df.select(features.skip_reason(10, 100, ignore_small=True).alias("w")).collect()] == ["invalid-function", "outside-range", "library", "thunk", "nullsub", "small-function", ""]
+
+
+def test_graph_hash(spark):
+    rows = [(1, 3, [(0, 1), (1, 2), (2, 1)], 1, 2, 0, 1), (2, 0, None, None, None, None, None), (3, 5_000, [], None, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, nodes long, edges array<struct<a:int,b:int>>, loops int, components int, calls int, data_refs int").withColumns({c: F.lit(None).cast("boolean") for c in ("outer_refs", "no_return", "library", "thunk")})
+    found = {r.id: r.kgh_hash for r in features.graph_hash(df).collect()}
+    assert found[1] == str(2 * 5**3 * 7**3 * 11**3 * 19 * 37**2 * 29) and found[2] == "1" and len(found[3]) == 7386 and found[3][-4:] == "0" * 4
+    assert features.decimal_text(7**9_000)[:30] == str(7**9_000 // 10 ** (len(features.decimal_text(7**9_000)) - 30))

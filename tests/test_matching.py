@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.operators import assign, ml, patchscan, propagate, ranges, refine, rules, similarity, textdiff
+from pairloom.operators import assign, ml, patchscan, propagate, ranges, refine, results, rules, similarity, textdiff
 from pairloom.plans import session
 from pairloom.sources import snapshot
 from pairloom.sources.snapshot import Snapshot, SnapshotError
@@ -349,3 +349,45 @@ def test_stored_blocks_and_new_ids(spark, tmp_path):
     stored.save(str(tmp_path / "less"), hooks)
     less = snapshot.load(spark, str(tmp_path / "less"), "functions", "constants")
     assert [r.name for r in less.functions.collect()] == ["F"] and less.constants.count() == 1
+
+
+def test_result_tools(spark, tmp_path):
+    rows = [("best", 0, "1", "f", "2", "g", 1.0, 3, 3, "x"), ("partial", 1, "3", "h", "4", "i", 0.5, 2, 2, "y")]
+    table = spark.createDataFrame(rows, "type string, line long, address string, name string, address2 string, name2 string, ratio double, nodes1 int, nodes2 int, description string")
+    missing = spark.createDataFrame([("primary", 0, "9", "z")], "type string, line long, address string, name string")
+    assert tuple(results.totals(table, missing).first()) == (2, 1, 0)
+    results.save(str(tmp_path), results=table, unmatched=missing)
+    assert results.load(spark, str(tmp_path), "results", "unmatched")["results"].count() == 2
+    with pytest.raises(results.ResultError):
+        results.load(spark, str(tmp_path), "config")
+    missing.write.parquet(str(tmp_path / "bad/results.parquet"))
+    with pytest.raises(results.ResultError):
+        results.load(spark, str(tmp_path / "bad"), "results")
+    stats = spark.createDataFrame([(0, "a", 0), (1, "b", 5), (2, "c", 9)], "line long, name string, candidates long")
+    assert [r.name for r in results.nonzero_rules(stats).collect()] == ["c", "b"]
+    runs = spark.createDataFrame([("x", "best", 5), ("x", "partial", 1), ("y", "best", 7)], "run string, type string, count long")
+    assert {tuple(r) for r in results.compared(runs, "x").collect()} == {("x", "best", 5, 0), ("x", "partial", 1, 0), ("y", "best", 7, 2), ("y", "partial", 0, -1)}
+    assert results.function_info(table, "3").first().name == "h"
+
+
+def test_patch_stream(spark):
+    a, b = (Snapshot({"functions": spark.createDataFrame(rows, "id long, assembly string, pseudocode string")}) for rows in ([(1, "jl x", "y"), (2, "a", "b")], [(1, "jb x", "y"), (2, "a", "b\ngets(c)")]))
+    matches = spark.createDataFrame([(1, 1, 0.9), (2, 2, 0.9), (2, 2, 1.0)], "a_id long, b_id long, ratio double")
+    assert {tuple(r) for r in patchscan.risks(matches, a, b).collect()} == {(1, 1, "signed_unsigned", "jl -> jb"), (2, 2, "unsafe_pattern", "gets")}
+
+
+def test_ml_export(spark, tmp_path):
+    row = [(1, 2, 0.5, *range(len(ml.FEATURES) - 1))]
+    df = spark.createDataFrame(row, "a_id long, b_id long, ratio double, " + ", ".join(f"{c} long" for c in ml.FEATURES[1:]))
+    for form in ("csv", "json"):
+        ml.export(df, str(tmp_path / form), form)
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).columns == ["a_id", "b_id", *ml.FEATURES] and spark.read.json(str(tmp_path / "json")).count() == 1
+
+
+def test_edges_and_callers(spark):
+    f = lambda rows: spark.createDataFrame(rows, "id long, address string, size int, name string")
+    c = lambda rows: spark.createDataFrame(rows, "func_id long, address string, type string, ordinal int")
+    a = Snapshot({"functions": f([(1, "16", 8, "f"), (2, "0x20", 16, "g")]), "callgraph": c([(1, "35", "call", 1), (2, "16", "call", 1), (1, "60", "call", 2)])})
+    assert {tuple(r) for r in textdiff.resolved_calls(a).collect()} == {(1, 1, 2), (2, 1, 1)}
+    pairs = spark.createDataFrame([(1, 1)], "a_id long, b_id long")
+    assert [tuple(r) for r in textdiff.caller_context(pairs, a, a).collect()] == [(1, 1, 1, "g", "g")]
