@@ -173,7 +173,7 @@ def text_graphs(texts: DataFrame) -> DataFrame:
     A label begins a block; a jump or return ends one. A jump leads to its label (the last of its name), and all but jmp and
     returns lead on to the next block.
     """
-    listed = texts.where("text <> ''").select("id", F.posexplode(F.split(F.regexp_replace("text", "\\n$", ""), "\n")).alias("pos", "line"))
+    listed = texts.where("text <> ''").select("id", F.posexplode(F.split(F.regexp_replace("text", "\n\\z", ""), "\n")).alias("pos", "line"))
     head = F.trim(F.regexp_extract("line", "^\\s*([^:]*):", 1))
     label = F.when(F.contains(F.col("line"), F.lit(":")) & (head != "") & ~F.contains(head, F.lit(" ")), F.lower(head))
     words = F.filter(F.split(F.lower(F.trim("line")), "\\s+"), lambda x: x != "")
