@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.operators import assign, ml, patchscan, propagate, ranges, refine, results, rules, similarity, textdiff
+from pairloom.operators import assign, candidates, ml, patchscan, propagate, ranges, refine, results, rules, similarity, textdiff
 from pairloom.plans import session
 from pairloom.sources import snapshot
 from pairloom.sources.snapshot import Snapshot, SnapshotError
@@ -200,6 +200,45 @@ def test_session(spark):
     assert exact.results.where("type = 'best'").count() > 0 and not exact.unmatched.isEmpty()
 
 
+def test_rules_equal_a_session_one_by_one(spark):
+    """Assignment, classification, cleaning and ambiguity of twelve rules, pair by pair, against the session's."""
+    a, b = pair(spark, "/root/testdata/sf0.001")
+    wanted = [r for r in rules.RULES if not r.slow][4:16]
+    found = session.run(a, b, session.Options(propagation=False, blocks=False), session.Hooks(rules=lambda _: tuple(wanted)))
+    x, y = ({r.id: r for r in s.functions.select("id", "address", "name").collect()} for s in (a, b))
+    equal = {(r.address, r.name) for r in candidates.equal_rows(a, b).collect()}
+    matches = [(i, j, 1.0, "best") for i, r in x.items() for j, t in y.items() if (r.address, r.name) in equal and (t.address, t.name) == (r.address, r.name)]
+    seeds = spark.createDataFrame([m[:2] for m in matches], "a_id long, b_id long")
+    matches += [(r.a_id, r.b_id, r.ratio, "best" if r.ratio >= 1 else "partial") for r in propagate.same_name(seeds, a, b).collect()]
+    left, right, given = {m[0] for m in matches}, {m[1] for m in matches}, {m[:2] for m in matches}
+    for rule in wanted:
+        rows = {(r.a_id, r.b_id): r.order_key for r in candidates.candidates(rule, a, b).orderBy(F.desc("order_key")).collect()}
+        exact, least = rule.mode == "no_false_positives", rule.least_ratio()
+        scored = similarity.scores(spark.createDataFrame(list(rows) or [(0, 0)], "a_id long, b_id long"), a, b).withColumn("final", similarity.final_ratio(F.lit(least), F.lit(exact), False)).collect()
+        of = {(r.a_id, r.b_id): (1.0 if exact else r.ratio, 1.0 if exact else r.final) for r in scored}
+        used_a, used_b = set(), set()
+        for i, j in sorted(rows, key=lambda p: (-of[p][0], rows[p], p)):
+            if i in used_a or j in used_b:
+                continue
+            used_a.add(i)
+            used_b.add(j)
+            ratio = of[i, j][1]
+            if ratio < least or x[i].name.startswith("nullsub_") or y[j].name.startswith("nullsub_") or (i, j) in given or (i in left) and (j in right) or (i in left or j in right) and ratio < 1:
+                continue
+            given.add((i, j))
+            if not (i in left or j in right):
+                left.add(i)
+                right.add(j)
+                matches.append((i, j, ratio, "best" if ratio >= 1 else "unreliable" if rule.unreliable and not exact else "partial"))
+    kept = {(i, j): r for r, i, j in _clean([(r, i, j) for i, j, r, _ in matches])}
+    top_a, top_b = {}, {}
+    for (i, j), r in kept.items():
+        top_a[i], top_b[j] = max(r, top_a.get(i, 0)), max(r, top_b.get(j, 0))
+    kinds = {(i, j): "multimatch" if r < max(top_a[i], top_b[j]) else next(k for p, q, t, k in matches if (p, q, t) == (i, j, r)) for (i, j), r in kept.items()}
+    assert {(r.a_id, r.b_id): (round(r.ratio, 9), r.kind) for r in found.matches.collect()} == {p: (round(kept[p], 9), k) for p, k in kinds.items()}
+    assert len(kinds) > 50
+
+
 def test_session_runs_passes_and_blocks(spark):
     a, b = pair(spark, "/root/testdata/sf0.001")
     steps = []
