@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,7 +126,7 @@ _NOTHING = _Open("", 0, "", False, False, False)
 
 def events(page: str) -> Iterator[Event]:
     """Tags and pieces of text in page order."""
-    stack, block = _Stack(), 0
+    stack, block, known = _Stack(), 0, {}
 
     def close(at: int) -> Iterator[Event]:
         nonlocal block
@@ -157,9 +158,12 @@ def events(page: str) -> Iterator[Event]:
             names = " ".join(sorted("".join(x[1:]) for x in _ATTRIBUTE.findall(m["rest"]))) if m["rest"].strip(" /") else ""
             top = stack.items[-1] if stack.items else _NOTHING
             name = f"{tag}.{names}" if names else tag
-            path = hash_of(f"{top.path} {name}")
+            key = top.path, name
+            if key not in known:
+                known[key] = hash_of(f"{top.path} {name}"), bool(names) and tag not in ("html", "body", "article", "main") and marked(names)
+            path, is_marked = known[key]
             # an article's own header holds its headline
-            out = top.out or tag in LEFT_OUT and not (tag == "header" and top.inside) or bool(names) and tag not in ("html", "body", "article", "main") and marked(names)
+            out = top.out or tag in LEFT_OUT and not (tag == "header" and top.inside) or is_marked
             inside = top.inside or tag in ("article", "main")
             if tag in VOID or m["rest"].endswith("/") and tag in INLINE:
                 yield Event("text", path, name, " ", inside, out, top.link, block)
@@ -177,8 +181,16 @@ def hash_of(text: str) -> int:
 
 def tokens(page: str) -> tuple[list[Event], list[int | None]]:
     """The events of a page and their tokens, signed 64-bit numbers; None for white space."""
-    found = list(events(page))
-    return found, [None if e.kind == "text" and not e.text.strip() else hash_of(f"{e.kind} {e.path} {' '.join(e.text.split())}") for e in found]
+    found, names, tags = list(events(page)), [], {}
+    for e in found:
+        if e.kind == "text":
+            names.append(hash_of(f"text {e.path} {' '.join(e.text.split())}") if e.text.strip() else None)
+        else:
+            key = e.kind, e.path
+            if key not in tags:
+                tags[key] = hash_of(f"{e.kind} {e.path}")
+            names.append(tags[key])
+    return found, names
 
 
 def layout(found: list[Event]) -> int:
@@ -270,13 +282,16 @@ def slots(found: list[Event], names: list[int | None], template: Template) -> It
 
 
 def article(page: str, template: Template) -> str:
+    return article_of(*tokens(page), template)
+
+
+def article_of(found: list[Event], names: list[int | None], template: Template) -> str:
     """The main text of a page; template: classes as (occurrences in each page or 0, tokens in order).
 
     Where unmarked text stands in article or main elements, the main text is what the slots hold of these: blocks that
     are all template are left out, unless nothing else is there. Elsewhere it is all that the slots hold but the template,
     without slots whose text is more than half links, unless all are such.
     """
-    found, names = tokens(page)
     filled = [[(e, fixed) for e, fixed in slot if e.kind == "text" and not e.out] for slot in slots(found, names, template)]
     main = [(e, fixed) for slot in filled for e, fixed in slot if e.inside]
     if any(e.text.strip() for e, _ in main):
@@ -307,6 +322,22 @@ def _articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
+def _articles_by(templates: Broadcast):
+    """As _articles, with the templates of all groups at hand: each page is read once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = templates.value
+        for b in slices(batches):
+            texts = []
+            for name, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
+                found, names = tokens(page or "")
+                template = known.get((name, layout(found)))
+                texts.append(article_of(found, names, known.get((name, None), ()) if template is None else template))
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    return run
+
+
 def extract(pages: DataFrame, small_tokens: int = 1_000_000) -> DataFrame:
     """page_id, url, text and n_chars for each row of pages (page_id, url, html).
 
@@ -315,11 +346,14 @@ def extract(pages: DataFrame, small_tokens: int = 1_000_000) -> DataFrame:
     """
     pages = pages.select("page_id", "url", "html")
     templates = written(deduce(pages), "templates")
-    few = (templates.agg(F.sum(1 + F.aggregate("classes", F.lit(0), lambda n, c: n + F.size(c.tokens)))).first()[0] or 0) <= small_tokens
-    sent = lambda df: F.broadcast(df) if few else df
+    keyed = pages.withColumn("host", host("url"))
+    shape = "page_id long, url string, text string, n_chars long"
+    if (templates.agg(F.sum(1 + F.aggregate("classes", F.lit(0), lambda n, c: n + F.size(c.tokens)))).first()[0] or 0) <= small_tokens:
+        known = {(r.host, r.layout): [(c.often, c.tokens) for c in r.classes] for r in templates.collect()}
+        return keyed.mapInArrow(_articles_by(pages.sparkSession.sparkContext.broadcast(known)), shape)
     own = templates.where("layout is not null")
     pool = templates.where("layout is null").select("host", F.col("classes").alias("pooled"))
-    laid_out = pages.withColumn("host", host("url")).mapInArrow(_laid_out, "page_id long, url string, html string, host string, layout long")
-    joined = laid_out.join(sent(own), ["host", "layout"], "left").join(sent(pool), "host", "left")
+    laid_out = keyed.mapInArrow(_laid_out, "page_id long, url string, html string, host string, layout long")
+    joined = laid_out.join(own, ["host", "layout"], "left").join(pool, "host", "left")
     with_classes = joined.select("page_id", "url", "html", F.coalesce("classes", "pooled").alias("classes"))
-    return with_classes.mapInArrow(_articles, "page_id long, url string, text string, n_chars long")
+    return with_classes.mapInArrow(_articles, shape)
