@@ -333,7 +333,7 @@ def test_ties_take_few_rounds(spark, monkeypatch):
     rounds, plain = [], assign.mutual_best
     monkeypatch.setattr(assign, "mutual_best", lambda *x: rounds.append(1) or plain(*x))
     found = assign.greedy(pairs.union(large), [F.col("ratio").desc(), F.col("a_id"), F.col("b_id")]).collect()
-    assert len(rounds) <= 3 and {(r.a_id, r.b_id) for r in found} == {(k, k) for k in [*range(2_000), *range(10_000, 10_200)]}
+    assert len(rounds) <= 5 and {(r.a_id, r.b_id) for r in found} == {(k, k) for k in [*range(2_000), *range(10_000, 10_200)]}
 
 
 def _clean(matches):
