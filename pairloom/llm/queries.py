@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import decision_list, hamming_dedup, html_template, line_crf, ngram_lm, pii_crf, secret_crf, sentencepiece_codec, url_rules, winnow
+from pairloom.llm import decision_list, divergence, gray_simhash, hamming_dedup, html_template, line_crf, ngram_lm, periodic_runs, pii_crf, secret_crf, sentencepiece_codec, url_rules, winnow
 from pairloom.sources.tables import table
 
 
@@ -75,9 +75,34 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def _repeating(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with a period of its own in every tenth text, told by the crc32 h of its doc_id: from word a = g % n
+    on, g = h div 10, the next 1 + (n - a) div (3 + g % 8) words repeat to the end."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    told = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("w"))
+    told = told.withColumns({"n": F.size("w").cast("long"), "g": F.expr("h div 10")}).withColumn("a", F.expr("if(n > 0, g % n, null)"))
+    told = told.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    # a null first or second argument leaves the text as it is
+    again = F.expr("array_join(concat(slice(w, 1, int(a)), slice(flatten(array_repeat(slice(w, int(a) + 1, int(p)), int((n - a) div p + 1))), 1, int(n - a))), ' ')")
+    return told.select("doc_id", F.when(F.col("a").isNotNull(), again).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.find(_repeating(table(spark, sf_dir, "documents"))))
+
+
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gray_simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_benchmark_decontamination, op3_sentencepiece, op4_minhash_near_dedup, op5_quality_rules, op6_pii, op7_lm_scoring, op8_quality_classifier, op9_secret_scan, op10_url_filters)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_benchmark_decontamination, op3_sentencepiece, op4_minhash_near_dedup, op5_quality_rules, op6_pii, op7_lm_scoring, op8_quality_classifier, op9_secret_scan, op10_url_filters, op11_source_divergence, op12_periodic_runs, op13_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": winnow.ORACLE, "op4_minhash_near_dedup": hamming_dedup.ORACLE, "op10_url_filters": url_rules.oracle()}
+    return {"op2_benchmark_decontamination": winnow.ORACLE, "op4_minhash_near_dedup": hamming_dedup.ORACLE, "op10_url_filters": url_rules.oracle(), "op11_source_divergence": divergence.ORACLE}
