@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pairloom.operators.assign import greedy
 from pairloom.operators.candidates import same_name as named_pairs
 from pairloom.operators.ranges import last_mark, numbered
-from pairloom.operators.similarity import bag_ratio, line_hashes
+from pairloom.operators.similarity import bag_ratio, line_bag
 from pairloom.sources.snapshot import Snapshot
 from pairloom.sources.tables import written
 
@@ -51,7 +51,7 @@ def _sized(pairs: DataFrame, a: Snapshot, b: Snapshot, percent: int, nodes: int)
 def text_ratio(pairs: DataFrame, a: Snapshot, b: Snapshot) -> DataFrame:
     """pairs with `text`: the best line overlap of the clean and the raw texts."""
     columns = ("clean_assembly", "clean_pseudo", "assembly", "pseudocode")
-    x, y = (s.functions.select(F.col("id").alias(f"{k}_id"), *(line_hashes(c).alias(f"{c}_{k}") for c in columns)) for s, k in ((a, "a"), (b, "b")))
+    x, y = (s.functions.select(F.col("id").alias(f"{k}_id"), *(line_bag(c).alias(f"{c}_{k}") for c in columns)) for s, k in ((a, "a"), (b, "b")))
     wide = pairs.join(x, "a_id").join(y, "b_id")
     return wide.withColumn("text", F.greatest(*(bag_ratio(f"{c}_a", f"{c}_b") for c in columns))).drop(*(f"{c}_{k}" for c in columns for k in "ab"))
 

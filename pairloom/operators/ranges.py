@@ -1,7 +1,7 @@
 """Work along one order over a whole table, without one task that sees all rows.
 
 Rows are dealt by ranges of the order and written, so that each range stays what it is; what passes from one range to the
-next is one row a range.
+next is one row a range: running values over these rows, a few for each partition, are one ordered window.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ def _dealt(df: DataFrame, order: tuple[Column | str, ...]) -> DataFrame:
 def numbered(df: DataFrame, *order: Column | str, column: str = "line") -> DataFrame:
     """df with each row's place in the order, from 0. Rows that are equal in the order are numbered as it happens."""
     dealt = _dealt(df, order)
-    sizes = dealt.groupBy("range_").count()
-    shift = sizes.alias("x").join(sizes.alias("y"), F.col("y.range_") < F.col("x.range_"), "left").groupBy(F.col("x.range_").alias("range_")).agg(F.coalesce(F.sum("y.count"), F.lit(0)).alias("shift_"))
+    before = F.sum("count").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1))
+    shift = dealt.groupBy("range_").count().select("range_", F.coalesce(before, F.lit(0)).alias("shift_"))
     place = F.row_number().over(Window.partitionBy("range_").orderBy(*order)) - 1
     # one row a range is broadcast
     return dealt.withColumn("place_", place).join(F.broadcast(shift), "range_").withColumn(column, (F.col("place_") + F.col("shift_")).cast("long")).drop("range_", "place_", "shift_")
@@ -31,7 +31,7 @@ def last_mark(df: DataFrame, order: tuple[str, ...], mark: str) -> DataFrame:
     """df with the last value of the column mark that isn't null, at or before each row."""
     dealt = _dealt(df, order)
     own = F.last(mark, ignorenulls=True).over(Window.partitionBy("range_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    ends = dealt.where(F.col(mark).isNotNull()).groupBy("range_").agg(F.max_by(mark, F.struct(*order)).alias("end_"))
-    ranges = dealt.select("range_").distinct()
-    carried = ranges.alias("x").join(ends.alias("y"), F.col("y.range_") < F.col("x.range_"), "left").groupBy(F.col("x.range_").alias("range_")).agg(F.max_by("end_", "y.range_").alias("carried_"))
+    end = F.max_by(mark, F.when(F.col(mark).isNotNull(), F.struct(*order))).alias("end_")
+    before = F.last("end_", ignorenulls=True).over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1))
+    carried = dealt.groupBy("range_").agg(end).select("range_", before.alias("carried_"))
     return dealt.withColumn("own_", own).join(F.broadcast(carried), "range_").withColumn(mark, F.coalesce("own_", "carried_")).drop("range_", "own_", "carried_")

@@ -71,7 +71,9 @@ def quick_ratio(a: Snapshot, b: Snapshot) -> DataFrame:
 
 def prime_ratio(a: Snapshot, b: Snapshot) -> DataFrame:
     x, y = (s.functions.select(F.col("id").alias(f"{k}_id"), F.col("mnemonics_spp").alias(f"spp_{k}")) for s, k in ((a, "a"), (b, "b")))
-    return x.join(y, F.col("a_id") == F.col("b_id")).select("a_id", "b_id", F.round(similarity.prime_ratio("spp_a", "spp_b"), 6).alias("ratio"))
+    vectors = similarity.prime_vectors(x.select("spp_a"), y.select("spp_b"))
+    x, y = similarity.with_vectors(x, "spp_a", vectors), similarity.with_vectors(y, "spp_b", vectors)
+    return x.join(y, F.col("a_id") == F.col("b_id")).select("a_id", "b_id", F.round(similarity.vector_ratio("spp_a", "spp_b"), 6).alias("ratio"))
 
 
 def graph_ratio(a: Snapshot, b: Snapshot) -> DataFrame:
@@ -350,7 +352,7 @@ _PAIRWISE: dict[str, tuple[Callable[[Snapshot, Snapshot], DataFrame], str | None
         graph_ratio,
         _sql(
             ", r as (select f.id, "
-            + " + ".join(f"case when f.{c} = 0 and g.{c} = 0 then 1.0 else coalesce(least(f.{c}, g.{c}) / greatest(f.{c}, g.{c}), 0.0) end" for c in similarity.GRAPH_METRICS)
+            + " + ".join(f"case when f.{c} = g.{c} then 1.0 when f.{c} > 0 and g.{c} > 0 then least(f.{c}, g.{c}) / greatest(f.{c}, g.{c}) else 0.0 end" for c in similarity.GRAPH_METRICS)
             + " total from a_functions f join b_functions g using (id)) select id a_id, id b_id, round(total / 10, 6) ratio from r"
         ),
     ),
