@@ -1,4 +1,8 @@
-"""A snapshot: one DataFrame for each table, read from and written to Parquet."""
+"""A snapshot: one DataFrame for each table, read from and written to Parquet.
+
+Stored snapshots change by commits over all their tables (see manifest); folders of plain Parquet tables, as other tools write
+them, are read too.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +10,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairloom.operators.ranges import numbered
+from pairloom.sources import manifest
 from pairloom.sources.tables import written
 
 #: Tables that a stored snapshot must have, and the columns that matching cannot do without.
@@ -22,11 +27,13 @@ class SnapshotError(ValueError):
 
 @dataclass
 class ExportHooks:
-    """keep: the functions to write; change: what becomes of them; on_failure: called with the error if writing breaks off."""
+    """keep: the functions to write; change: what becomes of them; on_failure: called with the error if writing breaks off;
+    reason: why a function is left out, '' if it isn't (see features.skip_reason)."""
 
     keep: Column = field(default_factory=lambda: F.lit(True))
     change: Callable[[DataFrame], DataFrame] = lambda df: df
     on_failure: Callable[[Exception], None] | None = None
+    reason: Column = field(default_factory=lambda: F.lit(""))
 
 
 @dataclass
@@ -51,48 +58,105 @@ class Snapshot:
             raise SnapshotError("the snapshot has no function")
         return self
 
-    def save(self, folder: str, hooks: ExportHooks | None = None) -> None:
-        """Writes all tables. hooks: which functions are written, with their rows in the other tables, and how."""
-        frames = dict(self.frames)
-        if hooks:
-            kept = written(hooks.change(self.functions.where(hooks.keep)), "exported")
-            ids = kept.select(F.col("id").alias("func_id"))
-            frames = {n: df.join(ids, "func_id", "left_semi").select(*df.columns) if "func_id" in df.columns else df for n, df in frames.items()} | {"functions": kept}
+    def save(self, folder: str, hooks: ExportHooks | None = None, batch: str | None = None) -> None:
+        """Writes all tables in one commit, in place of what the folder holds. hooks: which functions are written, with their
+        rows in the other tables, and how; what became of them is counted while writing and stored as program data."""
+        spark, frames, counted = self.functions.sparkSession, dict(self.frames), Observation()
         try:
-            for name, df in frames.items():
-                df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+            begun = manifest.state(spark, folder)
+            if hooks:
+                told = self.functions.withColumn("reason_", F.coalesce(hooks.reason, F.lit(""))).withColumn("out_", F.when(~F.coalesce(hooks.keep, F.lit(False)) & (F.col("reason_") == ""), "left-out").otherwise(F.col("reason_")))
+                kept = told.observe(counted, *_counters(F.col("out_"))).where("out_ = ''").drop("reason_", "out_")
+                kept = written(hooks.change(kept), "exported")
+                ids = kept.select(F.col("id").alias("func_id"))
+                frames = {n: df.join(ids, "func_id", "left_semi").select(*df.columns) if "func_id" in df.columns else df for n, df in frames.items()} | {"functions": kept}
+                values = {f"export.{k}": str(v) for k, v in counted.get.items() if v or not k.startswith("skip_reason.")}
+                frames["program_data"] = program_data(spark, self.program | values)
+            elif self.program and "program_data" not in frames:
+                frames["program_data"] = program_data(spark, self.program)
+            staged = {name: manifest.stage(df, folder, name) for name, df in frames.items()}
+            manifest.commit(spark, folder, begun, staged, _top(frames), batch, fresh=True)
         except Exception as e:
             if hooks and hooks.on_failure:
                 hooks.on_failure(e)
             raise
 
-    def append(self, folder: str) -> int:
+    def append(self, folder: str, batch: str | None = None) -> int:
         """Adds functions whose address the stored snapshot lacks, and their rows in the other tables; gives their number.
 
-        They get new ids after all that are stored, in the order of their own ids, and their rows follow them. Functions are
-        written last: rows of an append that broke off belong to ids that are never given out again.
+        They get new ids after all that were given out, in the order of their own ids, and their rows follow them. All tables
+        change in one commit. A batch that the folder has taken in before adds nothing.
         """
         spark = self.functions.sparkSession
-        read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
-        children = [n for n, df in self.frames.items() if n != "functions" and "func_id" in df.columns]
-        fresh = self.functions.join(read("functions").select("address"), "address", "left_anti").select(*self.functions.columns)
-        used = [read("functions").agg(F.max("id"))] + [read(n).agg(F.max("func_id")) for n in children]
-        top = max((df.first()[0] or 0 for df in used), default=0)
-        ids = written(numbered(fresh.select(F.col("id").alias("old_id")), "old_id").select("old_id", (F.col("line") + top + 1).alias("new_id")), "ids")
-        for name in children:
-            df = self.frames[name]
-            moved = df.join(ids.withColumnRenamed("old_id", "func_id"), "func_id").drop("func_id").withColumnRenamed("new_id", "func_id")
-            moved.select(*(F.col(f.name).cast(f.dataType) for f in df.schema)).write.mode("append").parquet(f"{folder}/{name}.parquet")
-        moved = fresh.join(ids.withColumnRenamed("old_id", "id"), "id").drop("id").withColumnRenamed("new_id", "id")
-        moved.select(*(F.col(f.name).cast(f.dataType) for f in self.functions.schema)).write.mode("append").parquet(f"{folder}/functions.parquet")
-        return ids.count()
+        begun = manifest.state(spark, folder)
+        if batch is not None and batch in begun.batches:
+            return 0
+        if begun.version < 0:
+            begun = self._taken_over(folder)
+        stored = begun.read(spark, folder, "functions")
+        fresh = written(self.functions.join(stored.select("address"), "address", "left_anti").select(*self.functions.columns), "fresh")
+        ids = written(numbered(fresh.select(F.col("id").alias("old_id")), "old_id").select("old_id", (F.col("line") + begun.top + 1).alias("new_id")), "ids")
+        added = ids.count()
+        staged = {}
+        for name, df in self.frames.items():
+            key = "id" if name == "functions" else "func_id"
+            if key in df.columns:
+                moved = (fresh if name == "functions" else df).join(ids.withColumnRenamed("old_id", key), key).drop(key).withColumnRenamed("new_id", key)
+                staged[name] = manifest.stage(moved.select(*(F.col(f.name).cast(f.dataType) for f in df.schema)), folder, name)
+        manifest.commit(spark, folder, begun, staged, begun.top + added, batch)
+        return added
+
+    def _taken_over(self, folder: str) -> manifest.State:
+        """A folder of plain tables as a first commit of their copies."""
+        spark = self.functions.sparkSession
+        frames = {}
+        for name in {*self.frames, "program_data"}:
+            try:
+                frames[name] = spark.read.parquet(f"{folder}/{name}.parquet")
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
+        if "functions" not in frames:
+            raise SnapshotError(f"{folder} holds no snapshot")
+        Snapshot(frames).save(folder)
+        return manifest.state(spark, folder)
+
+
+def _top(frames: dict[str, DataFrame]) -> int:
+    """The highest id that a table gives a function."""
+    used = [df.agg(F.max("id" if n == "functions" else "func_id")) for n, df in frames.items() if n == "functions" or "func_id" in df.columns]
+    return max((df.first()[0] or 0 for df in used), default=0)
+
+
+# Why functions are left out.
+SKIP_REASONS = ("invalid-function", "outside-range", "library", "thunk", "nullsub", "small-function")
+
+
+def _counters(reason: Column) -> list[Column]:
+    """How many functions there are, how many go out and how many don't, and why, with one number for each reason."""
+    each = [F.count_if(reason == r).alias(f"skip_reason.{r}") for r in (*SKIP_REASONS, "left-out")]
+    return [F.count("*").alias("total_functions"), F.count_if(reason == "").alias("exported_functions"), F.count_if(reason != "").alias("skipped_functions"), *each]
+
+
+def export_metadata(functions: DataFrame, reason: Column) -> DataFrame:
+    """name, type and value of what an export of functions would count, by reason ('' for those that go out), with the last
+    function (of the highest id) that goes out. Reasons that don't occur have no row; no function gives zeros and no last one."""
+    told = functions.select("id", "name", "address", F.coalesce(reason, F.lit("")).alias("reason"))
+    last = F.max_by(F.struct(F.col("address").cast("string").alias("address"), "name"), F.when(F.col("reason") == "", F.col("id")))
+    one = told.agg(*_counters(F.col("reason")), last.alias("last"))
+    number = lambda c: F.struct(F.lit(f"export.{c}").alias("name"), F.lit("integer").alias("type"), F.col(f"`{c}`").cast("string").alias("value"))
+    text = lambda c, kind: F.struct(F.lit(f"export.last_function_{c}").alias("name"), F.lit(kind).alias("type"), F.col(f"last.{c}").alias("value"))
+    rows = F.array(*(number(c) for c in one.columns if c != "last"), text("address", "address"), text("name", "text"))
+    return one.select(F.explode(rows).alias("r")).select("r.*").where("value is not null and not (name like 'export.skip_reason.%' and value = '0')")
 
 
 def load(spark: SparkSession, folder: str, *names: str) -> Snapshot:
     """The named tables of a stored snapshot, with its program data; blocks and block_edges are made of the four block tables
     where they aren't stored themselves."""
+    kept = manifest.state(spark, folder)
+
     def frame(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder}/{name}.parquet")
+        return kept.read(spark, folder, name) if name in kept.tables else spark.read.parquet(f"{folder}/{name}.parquet")
 
     frames: dict[str, DataFrame] = {}
     for name in names or ("functions",):
@@ -119,9 +183,17 @@ def program_map(program_data: DataFrame) -> dict[str, str]:
     return {r.name: r.value for r in program_data.groupBy("name").agg(F.max_by("value", "id").alias("value")).collect()}
 
 
+def program_data(spark: SparkSession, values: dict[str, str]) -> DataFrame:
+    return spark.createDataFrame([(k, n, v) for k, (n, v) in enumerate(sorted(values.items()))], "id long, name string, value string")
+
+
 def replace_program_data(spark: SparkSession, folder: str, values: dict[str, str]) -> None:
-    rows = [(k, n, v) for k, (n, v) in enumerate(sorted(values.items()))]
-    spark.createDataFrame(rows, "id long, name string, value string").write.mode("overwrite").parquet(f"{folder}/program_data.parquet")
+    """Puts values in place of the stored program data, in a commit of its own where the folder has commits."""
+    begun, rows = manifest.state(spark, folder), program_data(spark, values)
+    if begun.version < 0:
+        rows.write.mode("overwrite").parquet(f"{folder}/program_data.parquet")
+    else:
+        manifest.commit(spark, folder, begun, {"program_data": manifest.stage(rows, folder, "program_data")}, begun.top, whole=("program_data",))
 
 
 def blocks_of(basic_blocks: DataFrame, function_bblocks: DataFrame, bb_instructions: DataFrame, instructions: DataFrame, bb_relations: DataFrame) -> tuple[DataFrame, DataFrame]:
