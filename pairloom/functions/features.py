@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import base64
 import math
+from decimal import Context, Decimal
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.operators.ranges import numbered
 from pairloom.operators.similarity import small_primes
 
 # Beginnings of automatic names, and operand sizes.
@@ -57,9 +60,16 @@ MICROCODE = (
 _MNEMONIC = rf"(?:^|(?<=\s))(?:{'|'.join(sorted(MICROCODE, key=len, reverse=True))})(?=[\s.]|$)"
 
 
+def _microcode_lines(column: str) -> Column:
+    """The lines without comments that have more than two words."""
+    bare = F.transform(F.split(F.col(column), "\n"), lambda x: F.trim(F.regexp_replace(x, "(?s);.*", "")))
+    return F.filter(bare, lambda x: F.size(F.regexp_extract_all(x, F.lit(r"\w+"), F.lit(0))) > 2)
+
+
 def clean_microcode(column: str) -> Column:
-    """Each line from its first known mnemonic on, cleaned as assembly; lines without one are left out. Null stays null."""
-    lines = F.transform(F.split(F.col(column), "\n"), lambda x: F.regexp_extract(F.trim(x), f"({_MNEMONIC}.*)$", 1))
+    """Each line from its first known mnemonic on, cleaned as assembly; lines without one, and lines of at most two words, are
+    left out. Null stays null."""
+    lines = F.transform(_microcode_lines(column), lambda x: F.regexp_extract(x, f"({_MNEMONIC}.*)$", 1))
     return clean_assembly_of(F.array_join(F.filter(lines, lambda x: x != ""), "\n"))
 
 
@@ -67,7 +77,7 @@ def microcode_mnemonics(column: str) -> Column:
     """The distinct places in MICROCODE, in the order of names, of the mnemonics that the lines begin with: what prime_product
     makes microcode_spp of."""
     names = F.array(*map(F.lit, sorted(MICROCODE)))
-    found = F.transform(F.split(F.col(column), "\n"), lambda x: F.regexp_extract(F.trim(x), f"({_MNEMONIC})", 1))
+    found = F.transform(_microcode_lines(column), lambda x: F.regexp_extract(x, f"({_MNEMONIC})", 1))
     return F.transform(F.array_distinct(F.filter(found, lambda x: x != "")), lambda x: F.array_position(names, x).cast("int") - 1)
 
 
@@ -239,12 +249,42 @@ def _prime_at(place: int) -> int:
     return primes[place] if place < len(primes) else 1
 
 
+#: Sums of square roots are taken with so many digits and told with fewer, so that the order of edges leaves no trace.
+_DIGITS, _TOLD = Context(prec=50), Context(prec=21)
+
+
+@lru_cache(100_000)
+def _edge_weight(place: int, own_in: int, own_out: int, other_in: int, other_out: int) -> Decimal:
+    c = _DIGITS
+    root = lambda n, k: c.multiply(Decimal(n), c.sqrt(Decimal(k)))
+    total = Decimal(place)
+    for part in (root(own_in, 2), root(own_out, 3), root(other_in, 5), root(other_out, 7)):
+        total = c.add(total, part)
+    return c.divide(Decimal(1), c.sqrt(total))
+
+
+def md_text(place: list[int], pairs: list[tuple[int, int]]) -> str:
+    """The index of a graph, of 21 digits, from its nodes' topological places and its edges; "0" without edges. Graphs of equal
+    places and degrees have equal texts, in whatever order their edges come."""
+    out, into = [0] * len(place), [0] * len(place)
+    for a, b in pairs:
+        out[a] += 1
+        into[b] += 1
+    total = Decimal(0)
+    for a, b in pairs:
+        total = _DIGITS.add(total, _edge_weight(place[a], into[a], out[a], into[b], out[b]))
+    if not total:
+        return "0"
+    text = format(_TOLD.plus(total), "f")
+    return text.rstrip("0").rstrip(".") if "." in text else text
+
+
 def graph_measures(graphs: DataFrame) -> DataFrame:
-    """id, strongly_connected, loops, tarjan_topological_sort, md_index and strongly_connected_spp (the product of the primes
-    at the sizes of components of several nodes) for graphs (id, nodes, edges), where edges is an
-    array of structs (a, b) of node places. Null edges are none."""
+    """id, strongly_connected, loops, tarjan_topological_sort, md_index (a text of 21 digits, made to be a key) and
+    strongly_connected_spp (the product of the primes at the sizes of components of several nodes) for graphs (id, nodes, edges),
+    where edges is an array of structs (a, b) of node places. Null edges are none."""
 
-    @F.pandas_udf("strongly_connected long, loops long, tarjan_topological_sort string, md_index double, strongly_connected_spp string")
+    @F.pandas_udf("strongly_connected long, loops long, tarjan_topological_sort string, md_index string, strongly_connected_spp string")
     def measured(nodes: pd.Series, edges: pd.Series) -> pd.DataFrame:
         rows = []
         for n, es in zip(nodes, edges, strict=True):
@@ -252,11 +292,7 @@ def graph_measures(graphs: DataFrame) -> DataFrame:
             parts, place = components_in_order(int(n or 0), pairs)
             own = {a for a, b in pairs if a == b}
             loops = sum(len(p) > 1 or p[0] in own for p in parts)
-            out, into = [0] * int(n or 0), [0] * int(n or 0)
-            for a, b in pairs:
-                out[a] += 1
-                into[b] += 1
-            md = sum(1 / math.sqrt(place[a] + 1 + into[a] * math.sqrt(2) + out[a] * math.sqrt(3) + into[b] * math.sqrt(5) + out[b] * math.sqrt(7)) for a, b in pairs)
+            md = md_text(place, pairs)
             sizes = decimal_text(math.prod(_prime_at(len(p)) for p in parts if len(p) > 1))
             rows.append((len(parts), loops, str(parts).replace(" ", ""), md, sizes))
         return pd.DataFrame(rows, columns=["strongly_connected", "loops", "tarjan_topological_sort", "md_index", "strongly_connected_spp"])
@@ -293,3 +329,42 @@ def fuzzy_hashes(text: str | Column) -> Column:
         return pd.DataFrame([fuzzy_hashes_of(t) for t in texts], columns=["pseudocode_hash1", "pseudocode_hash2", "pseudocode_hash3"])
 
     return run(text)
+
+
+def byte_hashes(functions: DataFrame, instructions: DataFrame) -> DataFrame:
+    """id, bytes_hash, function_hash and bytes_sum of functions (id) from instructions (func_id, pos, bytes, offset1, offset2).
+
+    function_hash digests all bytes of a function's instructions in order. bytes_hash leaves out operands that change with the
+    place of code and data: an instruction is cut by the offsets of its first two operands, where these are addresses, numbers
+    or displacements (null or 0 where not), to one byte at least. bytes_sum adds up the bytes that are left. Null bytes are
+    none; a function without instructions has the digests of nothing. Only one function's instructions come together.
+    """
+    hexadecimal = F.coalesce(F.hex("bytes"), F.lit(""))
+    left = F.octet_length("bytes") - F.coalesce("offset1", F.lit(0)) - F.coalesce("offset2", F.lit(0))
+    kept = F.substr(hexadecimal, F.lit(1), 2 * F.when(left > 0, left).otherwise(1))
+    told = instructions.select("func_id", F.struct("pos", hexadecimal.alias("whole"), kept.alias("kept")).alias("x"))
+    lists = told.groupBy(F.col("func_id").alias("id")).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    joined = lambda c: F.coalesce(F.array_join(F.col(f"x.{c}"), ""), F.lit(""))
+    known = functions.select("id").join(lists, "id", "left").select("id", joined("kept").alias("kept"), joined("whole").alias("whole"))
+    pairs = F.filter(F.split("kept", "(?<=\\G..)"), lambda p: p != "")
+    total = F.aggregate(pairs, F.lit(0).cast("long"), lambda n, p: n + F.conv(p, 16, 10).cast("long"))
+    return known.select("id", F.md5(F.unhex("kept")).alias("bytes_hash"), F.md5(F.unhex("whole")).alias("function_hash"), total.alias("bytes_sum"))
+
+
+def mnemonic_counts(instructions: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+    """id, ordinal and n: how often each mnemonic stands in each function of instructions (func_id, mnemonic), told by its
+    place among all mnemonics in order.
+
+    dictionary (mnemonic): all mnemonics there are, by default those that occur. They are numbered over ranges of their order
+    and joined, so a dictionary of any size is one. The product of the primes at the ordinals, each to its power n, is what
+    mnemonics_spp says; kept as powers it doesn't grow to thousands of digits. Null, empty and unknown mnemonics don't count.
+    """
+    counted = instructions.where("mnemonic <> ''").groupBy(F.col("func_id").alias("id"), "mnemonic").agg(F.count("*").alias("n"))
+    every = (counted if dictionary is None else dictionary.where("mnemonic <> ''")).select("mnemonic").distinct()
+    return counted.join(numbered(every, "mnemonic", column="ordinal"), "mnemonic").select("id", "ordinal", "n")
+
+
+def mnemonics_product(counts: DataFrame) -> DataFrame:
+    """id and mnemonics_spp, the product as text, of mnemonic_counts; an ordinal beyond the known primes counts as 1."""
+    lists = counts.where(F.col("ordinal") < len(small_primes())).groupBy("id").agg(F.flatten(F.collect_list(F.array_repeat(F.col("ordinal").cast("int"), F.col("n").cast("int")))).alias("places"))
+    return counts.select("id").distinct().join(lists, "id", "left").select("id", prime_product("places").alias("mnemonics_spp"))

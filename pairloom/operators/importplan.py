@@ -1,7 +1,9 @@
-"""What to carry over from matched records of A to B, and why not."""
+"""What to carry over from matched records of B to A, and why not."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,46 +13,115 @@ from pairloom.sources.snapshot import Snapshot
 AUTO_NAMES = ("sub_", "nullsub_", "j_", "loc_", "byte_", "word_", "dword_", "qword_", "off_", "unk_")
 
 
-def rename_reason(least: float = 0.5) -> Column:
-    """rename_function, or the first reason against it, over kind, ratio, name_a and name_b."""
+@dataclass(frozen=True)
+class Options:
+    """kinds: of matches that count; least: their ratio. What is carried over: names (names given by tools only if not
+    skip_auto_names), prototypes, comments and flags of functions, and comments, operands and pseudocode comments of
+    instructions."""
+
+    kinds: tuple[str, ...] = ("best", "partial")
+    least: float = 0.5
+    skip_auto_names: bool = True
+    names: bool = True
+    prototypes: bool = True
+    comments: bool = True
+    flags: bool = False
+    instruction_comments: bool = True
+    operands: bool = True
+    pseudocode_comments: bool = True
+
+
+def _unfit(options: Options) -> Column:
+    """Why a match doesn't count; null if it does."""
+    return F.when(~F.col("kind").isin(*options.kinds) | F.col("kind").isNull(), "skip_kind").when(F.coalesce(F.col("ratio") < options.least, F.lit(True)), "skip_ratio")
+
+
+def _name_reason(options: Options) -> Column:
+    """rename_function, or the first reason against it, over name_a and name_b."""
     auto = F.lit(False)
-    for p in AUTO_NAMES:
-        auto = auto | F.lower("name_a").startswith(p)
+    for p in AUTO_NAMES if options.skip_auto_names else ():
+        auto = auto | F.lower("name_b").startswith(p)
     return (
-        F.when(~F.col("kind").isin("best", "partial"), "skip_kind")
-        .when(F.col("ratio") < least, "skip_ratio")
-        .when(F.coalesce(F.col("name_a"), F.lit("")) == "", "skip_empty_name")
+        F.when(F.coalesce(F.col("name_b"), F.lit("")) == "", "skip_empty_name")
         .when(F.col("name_a").eqNullSafe(F.col("name_b")), "skip_same_name")
         .when(auto, "skip_auto_name")
         .otherwise("rename_function")
     )
 
 
-def _named(matches: DataFrame, a: Snapshot, b: Snapshot, columns: tuple[str, ...]) -> DataFrame:
-    x, y = (s.functions.select(F.col("id").alias(f"{k}_id"), *(F.col(c).alias(f"{c}_{k}") for c in columns)) for s, k in ((a, "a"), (b, "b")))
-    return matches.join(x, "a_id").join(y, "b_id")
+def _named(matches: DataFrame, a: Snapshot, b: Snapshot, columns: tuple[str, ...], how: str = "inner") -> DataFrame:
+    x, y = (s.functions.select(F.col("id").alias(f"{k}_id"), *(F.col(c).alias(f"{c}_{k}") for c in columns), F.lit(True).alias(f"known_{k}")) for s, k in ((a, "a"), (b, "b")))
+    return matches.join(x, "a_id", how).join(y, "b_id", how)
 
 
 def renames(matches: DataFrame, a: Snapshot, b: Snapshot, least: float = 0.5) -> DataFrame:
-    """a_id, b_id, name_a, name_b and operation for matches (a_id, b_id, kind, ratio)."""
-    return _named(matches, a, b, ("name",)).withColumn("operation", rename_reason(least)).select("a_id", "b_id", "name_a", "name_b", "operation")
-
-
-def plan(matches: DataFrame, a: Snapshot, b: Snapshot, least: float = 0.5) -> DataFrame:
-    """a_id, b_id, pos, operation and value: names, prototypes and comments of functions, and what stands at the same place
-    of their instructions. Texts that B has already are left out."""
-    fit = matches.where(F.col("kind").isin("best", "partial") & (F.col("ratio") >= least)).select("a_id", "b_id")
-    none = F.lit(None).cast("int").alias("pos")
-    out = renames(matches, a, b, least).where("operation = 'rename_function'").select("a_id", "b_id", none, "operation", F.col("name_a").alias("value"))
-    for c, operation in (("prototype", "set_prototype"), ("comment", "set_comment")):
-        if c in a.functions.columns and c in b.functions.columns:
-            told = _named(fit, a, b, (c,)).where(f"{c}_a <> '' and not ({c}_a <=> {c}_b)")
-            out = out.union(told.select("a_id", "b_id", none, F.lit(operation), F.col(f"{c}_a")))
-    for c, operation in (("comment1", "instruction_comment"), ("comment2", "repeatable_comment"), ("pseudocomment", "pseudocode_comment"), ("operand_names", "operand_names")):
-        if c in a.instructions.columns and c in b.instructions.columns:
-            side = lambda s, k, c=c: s.instructions.select(F.col("func_id").alias(f"{k}_id"), "pos", F.col(c).alias(f"value_{k}"))
-            told = fit.join(side(a, "a"), "a_id").join(side(b, "b"), ["b_id", "pos"]).where("value_a <> '' and not (value_a <=> value_b)")
-            out = out.union(told.select("a_id", "b_id", "pos", F.lit(operation), F.col("value_a")))
+    """a_id, b_id, name_a, name_b and operation for matches (a_id, b_id, kind, ratio): whether A's record takes B's name."""
+    options = Options(least=least)
+    told = _named(matches, a, b, ("name",)).withColumn("operation", F.coalesce(_unfit(options), _name_reason(options)))
+    return told.select("a_id", "b_id", "name_a", "name_b", "operation")
+
+
+_ITEM = r'\[\s*(\d+)\s*,\s*"([^"\\]*(?:\\.[^"\\]*)*)"\s*\]'
+
+
+def forced_operands(text: str | Column) -> Column:
+    """The pairs (number, name) of a text like [[0,"a"],[1,"b"]], an array of structs. A text that is no such list, up to where
+    it breaks off or closes, has none; empty names don't count; a backslash stands for the character after it."""
+    text = F.col(text) if isinstance(text, str) else text
+    whole = F.coalesce(text.rlike(rf"(?s)^\s*\[(\s*{_ITEM}\s*,?)*(\s*\].*)?\z"), F.lit(False))
+    closed = F.regexp_extract(text, rf"(?s)^(\s*\[(?:\s*{_ITEM}\s*,?)*)", 1)
+    pick = lambda k: F.regexp_extract_all(closed, F.lit(f"(?s){_ITEM}"), F.lit(k))
+    pairs = F.zip_with(pick(1), pick(2), lambda n, v: F.struct(n.cast("int").alias("number"), F.regexp_replace(v, r"(?s)\\(.)", "$1").alias("name")))
+    return F.when(whole, F.filter(pairs, lambda p: p["name"] != "")).otherwise(F.array().cast("array<struct<number:int,name:string>>"))
+
+
+#: Column of instructions, option and operation.
+_INSTRUCTIONS = (
+    ("comment1", "instruction_comments", "set_instruction_comment"),
+    ("comment2", "instruction_comments", "set_repeatable_instruction_comment"),
+    ("pseudocomment", "pseudocode_comments", "set_pseudocode_comment"),
+    ("operand_names", "operands", "set_forced_operand"),
+)
+
+
+def plan(matches: DataFrame, a: Snapshot, b: Snapshot, options: Options = Options()) -> DataFrame:  # noqa: B008
+    """a_id, b_id, pos, operation, value and number for matches (a_id, b_id, kind, ratio): everything that A's records take
+    from B's, and why matches and names are skipped.
+
+    pos: the place of an instruction in its record, null for records; instructions of one place belong together. number: flags,
+    or which operand. Texts that B lacks or that A has already are left out, so are columns that a side doesn't have. A match
+    with an unknown record is skipped. Repeated matches give repeated rows.
+    """
+    nothing = lambda kind: F.lit(None).cast(kind)
+    row = lambda df, operation, value, number=nothing("long"), pos=nothing("int"): df.select("a_id", "b_id", pos.alias("pos"), operation.alias("operation"), value.alias("value"), number.cast("long").alias("number"))
+    told = _named(matches, a, b, ("name",), "left").withColumn("reason", F.coalesce(_unfit(options), F.when(F.col("known_a").isNull() | F.col("known_b").isNull(), "skip_missing_source")))
+    out = row(told.where("reason is not null"), F.col("reason"), nothing("string"))
+    fit = told.where("reason is null")
+    if options.names:
+        reason = _name_reason(options)
+        out = out.union(row(fit, reason, F.when(reason == "rename_function", F.col("name_b"))))
+    fit = fit.select("a_id", "b_id")
+    for c, wanted, operation in (("prototype", options.prototypes, "apply_prototype"), ("comment", options.comments, "set_function_comment")):
+        if wanted and c in a.functions.columns and c in b.functions.columns:
+            out = out.union(row(_named(fit, a, b, (c,)).where(f"{c}_b <> '' and not ({c}_a <=> {c}_b)"), F.lit(operation), F.col(f"{c}_b")))
+    if options.flags and all("function_flags" in s.functions.columns for s in (a, b)):
+        flags = _named(fit, a, b, ("function_flags",)).where("function_flags_b <> 0 and not (function_flags_a <=> function_flags_b)")
+        out = out.union(row(flags, F.lit("set_function_flags"), nothing("string"), F.col("function_flags_b")))
+    held = [x for x in _INSTRUCTIONS if getattr(options, x[1]) and all("instructions" in s.frames and x[0] in s.instructions.columns for s in (a, b))]
+    if held:  # one positional join for all of them
+        side = lambda s, k: s.instructions.select(F.col("func_id").alias(f"{k}_id"), "pos", *(F.col(c).alias(f"{c}_{k}") for c, _, _ in held))
+        met = fit.join(side(a, "a"), "a_id").join(side(b, "b"), ["b_id", "pos"])
+        differ = lambda c: F.col(f"{c}_b").isNotNull() & (F.col(f"{c}_b") != "") & ~F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b"))
+        item = lambda operation, value, number: F.struct(F.lit(operation).alias("operation"), value.alias("value"), number.cast("long").alias("number"))
+        lists = []
+        for c, _, operation in held:
+            if c == "operand_names":
+                found = F.transform(forced_operands(f"{c}_b"), lambda p: item("set_forced_operand", p["name"], p["number"]))
+            else:
+                found = F.array(item(operation, F.col(f"{c}_b"), nothing("long")))
+            lists.append(F.when(differ(c), found).otherwise(F.array().cast("array<struct<operation:string,value:string,number:bigint>>")))
+        items = met.select("a_id", "b_id", F.col("pos").cast("int").alias("pos"), F.explode(F.concat(*lists)).alias("x"))
+        out = out.union(items.select("a_id", "b_id", "pos", "x.operation", "x.value", "x.number"))
     return out
 
 

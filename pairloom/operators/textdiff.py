@@ -243,3 +243,15 @@ def block_pairs(pairs: DataFrame, a: Snapshot, b: Snapshot) -> DataFrame:
     found = written(found.union(same), "block-pairs")
     alone = lambda df, k, kind: rest(df, found, k).select(*keys, *(F.col(f"num_{k}") if k == c else F.lit(None).cast("int").alias(f"num_{c}") for c in "ab"), F.lit(kind).alias("kind"), F.lit(0.0).alias("score"))
     return found.union(alone(x, "a", "primary-only")).union(alone(y, "b", "secondary-only"))
+
+
+def within(pairs: DataFrame, s: Snapshot, column: str = "assembly") -> dict[str, DataFrame]:
+    """Two records of one snapshot side by side, for pairs (a_id, b_id) of its ids: lines of a text column, blocks, edges,
+    callees and callers. A record set against itself differs nowhere; pairs with an unknown id have no rows."""
+    texts = lambda k: s.functions.select(F.col("id").alias(f"{k}_id"), F.col(column).alias(f"text_{k}"))
+    found = {"lines": line_diff(pairs.select("a_id", "b_id").join(texts("a"), "a_id").join(texts("b"), "b_id"))}
+    if "blocks" in s.frames and "block_edges" in s.frames:
+        found |= {"blocks": graph_diff(pairs, s, s), "edges": edge_diff(pairs, s, s)}
+    if "callgraph" in s.frames:
+        found |= {"callees": call_context(pairs, s, s), "callers": caller_context(pairs, s, s)}
+    return found

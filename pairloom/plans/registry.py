@@ -129,6 +129,42 @@ def resume(a: Snapshot, b: Snapshot) -> DataFrame:
     return a.functions.join(b.functions.select("address"), "address", "left_anti").select("id", "address", "name")
 
 
+def export_metadata(a: Snapshot, b: Snapshot) -> DataFrame:
+    """What an export of A's functions would count, some of them taken as library functions and thunks by their ids."""
+    told = a.functions.withColumns({"address": F.col("address").cast("long"), "is_library": F.col("id") % 17 == 0, "is_thunk": F.col("id") % 19 == 0})
+    return snapshot.export_metadata(told, features.skip_reason(low=4400, ignore_small=True))
+
+
+def byte_hashes(a: Snapshot, b: Snapshot) -> DataFrame:
+    """Hashes of A's functions, their instructions' texts as bytes, cut where a text ends in a sign and where it is long."""
+    offset1, offset2 = F.when(F.col("disasm").rlike("[.,;:!?]$"), 1), F.when(F.length("disasm") >= 8, 2)
+    return features.byte_hashes(a.functions, a.instructions.select("func_id", "pos", F.encode("disasm", "UTF-8").alias("bytes"), offset1.alias("offset1"), offset2.alias("offset2")))
+
+
+def mnemonic_counts(a: Snapshot, b: Snapshot) -> DataFrame:
+    return features.mnemonic_counts(a.instructions.select("func_id", F.lower(F.substr("disasm", F.lit(1), F.lit(2))).alias("mnemonic")))
+
+
+def import_full(a: Snapshot, b: Snapshot) -> DataFrame:
+    """The full plan over records of one id, with comments and operands made of their words."""
+
+    def told(s: Snapshot) -> Snapshot:
+        functions = s.functions.withColumns({"prototype": F.col("prototype2"), "comment": F.col("source_file"), "function_flags": F.col("nodes") % 4})
+        plain = F.regexp_replace("disasm", "[^A-Za-z0-9]", "")
+        operands = F.when(F.col("pos") % 5 == 0, F.concat(F.lit("[["), (F.col("pos") % 3).cast("string"), F.lit(',"'), plain, F.lit('"],[1,"k"]]')))
+        words = s.instructions.withColumns({"comment1": F.when(F.length("disasm") >= 9, F.col("disasm")), "comment2": F.when(F.col("pos") % 7 == 0, plain), "pseudocomment": F.when(F.col("disasm").endswith("."), plain), "operand_names": operands})
+        return Snapshot({"functions": functions, "instructions": words})
+
+    ratio = (F.col("a_id") % 11 / 10).cast("double")
+    kind = F.when(ratio >= 1, "best").when(F.col("a_id") % 7 == 0, "unreliable").otherwise("partial")
+    return importplan.plan(_by_id(a, b).withColumns({"ratio": ratio, "kind": kind}), told(a), told(b), importplan.Options(flags=True))
+
+
+def local_diff(a: Snapshot, b: Snapshot) -> DataFrame:
+    """Blocks of each function of A beside those of the next one."""
+    return textdiff.within(a.functions.select(F.col("id").alias("a_id"), (F.col("id") + 1).alias("b_id")).where("b_id % 3 = 0"), a)["blocks"]
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query behind entry(): the whole match of the two snapshots, with passes and blocks, as ordered results."""
     return session.run(*pair(spark, sf_dir)).results
@@ -374,11 +410,66 @@ _PAIRWISE: dict[str, tuple[Callable[[Snapshot, Snapshot], DataFrame], str | None
     ),
     "import_plan": (
         lambda a, b: importplan.renames(_rated(a, b), a, b),
-        _sql(f", {_RATED} select a_id, b_id, f.name name_a, g.name name_b, case when kind not in ('best', 'partial') then 'skip_kind' when ratio < 0.5 then 'skip_ratio' when coalesce(f.name, '') = '' then 'skip_empty_name' when f.name = g.name then 'skip_same_name' when regexp_matches(lower(f.name), '^(sub|nullsub|j|loc|unk|off|byte|word|dword|qword)_') then 'skip_auto_name' else 'rename_function' end operation from rated join a_functions f on f.id = a_id join b_functions g on g.id = b_id"),
+        _sql(f", {_RATED} select a_id, b_id, f.name name_a, g.name name_b, case when kind not in ('best', 'partial') then 'skip_kind' when ratio < 0.5 then 'skip_ratio' when coalesce(g.name, '') = '' then 'skip_empty_name' when f.name = g.name then 'skip_same_name' when regexp_matches(lower(g.name), '^(sub|nullsub|j|loc|unk|off|byte|word|dword|qword)_') then 'skip_auto_name' else 'rename_function' end operation from rated join a_functions f on f.id = a_id join b_functions g on g.id = b_id"),
+    ),
+    "export_metadata": (
+        export_metadata,
+        _sql(
+            """, r as (select id, name, address, case when cast(address as bigint) < 4400 then 'outside-range' when id % 17 = 0 then 'library' when id % 19 = 0 then 'thunk' when starts_with(name, 'nullsub_') then 'nullsub' when size <= 6 then 'small-function' else '' end reason from a_functions),
+            o as (select * from r where reason = '' order by id desc limit 1)
+            select 'export.total_functions' "name", 'integer' "type", cast(count(*) as varchar) "value" from r union all select 'export.exported_functions', 'integer', cast(count(*) filter (reason = '') as varchar) from r union all select 'export.skipped_functions', 'integer', cast(count(*) filter (reason <> '') as varchar) from r
+            union all select 'export.skip_reason.' || reason, 'integer', cast(count(*) as varchar) from r where reason <> '' group by reason union all select 'export.last_function_address', 'address', address from o union all select 'export.last_function_name', 'text', name from o"""
+        ),
+    ),
+    "byte_hashes": (
+        byte_hashes,
+        _sql(
+            """, i as (select func_id, pos, hex(encode(disasm)) w, octet_length(encode(disasm)) - case when regexp_matches(disasm, '[.,;:!?]$') then 1 else 0 end - case when length(disasm) >= 8 then 2 else 0 end n from a_instructions),
+            k as (select func_id, pos, w, substr(w, 1, 2 * case when n > 0 then n else 1 end) t from i),
+            l as (select func_id, string_agg(w, '' order by pos) w, string_agg(t, '' order by pos) t, sum(coalesce(list_sum([16 * (strpos('0123456789ABCDEF', substr(t, 2 * x - 1, 1)) - 1) + strpos('0123456789ABCDEF', substr(t, 2 * x, 1)) - 1 for x in range(1, len(t) // 2 + 1)]), 0)) s from k group by 1)
+            select id, md5(unhex(t)) bytes_hash, md5(unhex(w)) function_hash, cast(s as bigint) bytes_sum from a_functions join l on func_id = id""",
+            "instructions",
+        ),
+    ),
+    "mnemonic_counts": (
+        mnemonic_counts,
+        _sql(
+            """, c as (select func_id id, lower(substr(disasm, 1, 2)) m, count(*) n from a_instructions where disasm <> '' group by 1, 2), o as (select m, row_number() over (order by m) - 1 ordinal from (select distinct m from c)) select id, ordinal, n from c join o using (m)""",
+            "instructions",
+        ),
+    ),
+    "import_full": (
+        import_full,
+        _sql(
+            """, r as (select f.id, f.id % 11 / 10.0 ratio, case when f.id % 11 = 10 then 'best' when f.id % 7 = 0 then 'unreliable' else 'partial' end kind from a_functions f join b_functions g using (id)),
+            t as (select id, case when kind = 'unreliable' then 'skip_kind' when ratio < 0.5 then 'skip_ratio' end reason from r), k as (select id from t where reason is null),
+            x as (select func_id id, pos, disasm d, regexp_replace(disasm, '[^A-Za-z0-9]', '', 'g') p from a_instructions), y as (select func_id id, pos, disasm d, regexp_replace(disasm, '[^A-Za-z0-9]', '', 'g') p from b_instructions),
+            m as (select id, pos, x.d xd, x.p xp, y.d yd, y.p yp from k join x using (id) join y using (id, pos)),
+            n as (select f.id, f.name fn, g.name gn, f.prototype2 fp, g.prototype2 gp, f.source_file fs, g.source_file gs, f.nodes % 4 ff, g.nodes % 4 gf from k join a_functions f using (id) join b_functions g using (id)),
+            z as (select id, null pos, reason operation, null v, null number from t where reason is not null
+            union all select id, null, case when coalesce(gn, '') = '' then 'skip_empty_name' when fn = gn then 'skip_same_name' when regexp_matches(lower(gn), '^(sub|nullsub|j|loc|unk|off|byte|word|dword|qword)_') then 'skip_auto_name' else 'rename_function' end, case when coalesce(gn, '') = '' or fn = gn or regexp_matches(lower(gn), '^(sub|nullsub|j|loc|unk|off|byte|word|dword|qword)_') then null else gn end, null from n
+            union all select id, null, 'apply_prototype', gp, null from n where gp <> '' and fp is distinct from gp union all select id, null, 'set_function_comment', gs, null from n where gs <> '' and fs is distinct from gs
+            union all select id, null, 'set_function_flags', null, gf from n where gf <> 0 and ff is distinct from gf
+            union all select id, pos, 'set_instruction_comment', yd, null from m where length(yd) >= 9 and (length(xd) < 9 or xd <> yd) union all select id, pos, 'set_repeatable_instruction_comment', yp, null from m where pos % 7 = 0 and yp <> '' and xp <> yp
+            union all select id, pos, 'set_pseudocode_comment', yp, null from m where ends_with(yd, '.') and yp <> '' and (not ends_with(xd, '.') or xp <> yp)
+            union all select id, pos, 'set_forced_operand', yp, pos % 3 from m where pos % 5 = 0 and xp <> yp and yp <> '' union all select id, pos, 'set_forced_operand', 'k', 1 from m where pos % 5 = 0 and xp <> yp)
+            select id a_id, id b_id, cast(pos as integer) pos, operation, cast(v as varchar) "value", cast(number as bigint) number from z""",
+            "instructions",
+        ),
+    ),
+    "local_diff": (
+        local_diff,
+        _sql(
+            """, g as (select f.id a_id, f.id + 1 b_id, x.num, inst_total, (select list_sort(list(child)) from a_block_edges e where e.func_id = x.func_id and e.parent = x.num) after from a_functions f join a_blocks x on x.func_id = f.id where (f.id + 1) % 3 = 0),
+            h as (select f.id a_id, f.id + 1 b_id, x.num, inst_total, (select list_sort(list(child)) from a_block_edges e where e.func_id = x.func_id and e.parent = x.num) after from a_functions f join a_blocks x on x.func_id = f.id + 1 where (f.id + 1) % 3 = 0)
+            select a_id, b_id, num, case when h.inst_total is null then 'primary-only' when g.inst_total is null then 'secondary-only' when g.inst_total = h.inst_total and g.after is not distinct from h.after then 'same' else 'changed' end status from g full join h using (a_id, b_id, num)""",
+            "blocks",
+            "block_edges",
+        ),
     ),
     "import_counts": (
         lambda a, b: importplan.counters(importplan.renames(_rated(a, b), a, b)).withColumnRenamed("count", "n"),
-        _sql(f", {_RATED} select case when kind not in ('best', 'partial') then 'skip_kind' when ratio < 0.5 then 'skip_ratio' when coalesce(f.name, '') = '' then 'skip_empty_name' when f.name = g.name then 'skip_same_name' when regexp_matches(lower(f.name), '^(sub|nullsub|j|loc|unk|off|byte|word|dword|qword)_') then 'skip_auto_name' else 'rename_function' end operation, count(*) n from rated join a_functions f on f.id = a_id join b_functions g on g.id = b_id group by 1"),
+        _sql(f", {_RATED} select case when kind not in ('best', 'partial') then 'skip_kind' when ratio < 0.5 then 'skip_ratio' when coalesce(g.name, '') = '' then 'skip_empty_name' when f.name = g.name then 'skip_same_name' when regexp_matches(lower(g.name), '^(sub|nullsub|j|loc|unk|off|byte|word|dword|qword)_') then 'skip_auto_name' else 'rename_function' end operation, count(*) n from rated join a_functions f on f.id = a_id join b_functions g on g.id = b_id group by 1"),
     ),
 }
 
