@@ -88,6 +88,16 @@ def page(results: DataFrame, kind: str, limit: int, offset: int) -> DataFrame:
     return results.where(F.col("type") == kind).orderBy("ratio", "line").offset(offset).limit(limit)
 
 
+def unmatched_page(missing: DataFrame, limit: int, offset: int) -> DataFrame:
+    """One page of the unmatched records, in the order of their lines, A's before B's."""
+    return missing.select("type", "address", "name", "line").orderBy("line", "type").offset(offset).limit(limit).drop("line")
+
+
+def search_unmatched(missing: DataFrame, text: str, limit: int) -> DataFrame:
+    """The first unmatched records whose name or address contains text, whatever its case."""
+    return unmatched_page(search(missing, text, ("name", "address")), limit, 0)
+
+
 def search(table: DataFrame, text: str, columns: tuple[str, ...] = ("name", "name2", "address", "address2")) -> DataFrame:
     """Rows in which any of the columns contains text, whatever its case."""
     pattern = "%" + text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") + "%"
@@ -112,3 +122,17 @@ def field_fill(functions: DataFrame) -> DataFrame:
     """How many rows have a value, and none that is empty, in each column; one row a column."""
     counted = functions.agg(*(F.count_if(F.col(c).isNotNull() & (F.col(c).cast("string") != "")).alias(c) for c in functions.columns))
     return counted.unpivot([], functions.columns, "field", "filled")
+
+
+#: Columns of instructions whose filling is told, and the names it goes by.
+INSTRUCTION_FIELDS = (
+    ("comment1", "instruction_comment1"), ("comment2", "instruction_comment2"), ("operand_names", "instruction_operand_names"), ("name", "instruction_names"), ("type", "instruction_types"),
+    ("pseudocomment", "instruction_pseudocomments"), ("pseudoitp", "instruction_pseudoitp"),
+)
+
+
+def instruction_fill(instructions: DataFrame) -> DataFrame:
+    """How many instructions there are, and how many have a value in each told column; a column that isn't there has none."""
+    named = [(F.col(c).cast("string") if c in instructions.columns else F.lit(None).cast("string")).alias(n) for c, n in INSTRUCTION_FIELDS]
+    filled = field_fill(instructions.select(*named))
+    return instructions.agg(F.lit("instruction_rows").alias("field"), F.count("*").alias("filled")).union(filled)

@@ -160,6 +160,11 @@ def import_full(a: Snapshot, b: Snapshot) -> DataFrame:
     return importplan.plan(_by_id(a, b).withColumns({"ratio": ratio, "kind": kind}), told(a), told(b), importplan.Options(flags=True))
 
 
+def _missing(a: Snapshot, b: Snapshot) -> DataFrame:
+    pairs = candidates.by_address(a, b)
+    return results.unmatched(a, pairs, "a").union(results.unmatched(b, pairs, "b"))
+
+
 def local_diff(a: Snapshot, b: Snapshot) -> DataFrame:
     """Blocks of each function of A beside those of the next one."""
     return textdiff.within(a.functions.select(F.col("id").alias("a_id"), (F.col("id") + 1).alias("b_id")).where("b_id % 3 = 0"), a)["blocks"]
@@ -412,6 +417,22 @@ _PAIRWISE: dict[str, tuple[Callable[[Snapshot, Snapshot], DataFrame], str | None
         lambda a, b: importplan.renames(_rated(a, b), a, b),
         _sql(f", {_RATED} select a_id, b_id, f.name name_a, g.name name_b, case when kind not in ('best', 'partial') then 'skip_kind' when ratio < 0.5 then 'skip_ratio' when coalesce(g.name, '') = '' then 'skip_empty_name' when f.name = g.name then 'skip_same_name' when regexp_matches(lower(g.name), '^(sub|nullsub|j|loc|unk|off|byte|word|dword|qword)_') then 'skip_auto_name' else 'rename_function' end operation from rated join a_functions f on f.id = a_id join b_functions g on g.id = b_id"),
     ),
+    "unmatched_page": (
+        lambda a, b: results.unmatched_page(_missing(a, b), 15, 7),
+        _sql(" select type, address, name from (select 'primary' type, row_number() over (order by id) line, address, name from a_functions where id not in (select a_id from seeds) union all select 'secondary', row_number() over (order by id), address, name from b_functions where id not in (select b_id from seeds)) order by line, type limit 15 offset 7"),
+    ),
+    "unmatched_search": (
+        lambda a, b: results.search_unmatched(_missing(a, b), "B_1", 1_000),
+        _sql(" select type, address, name from (select 'primary' type, row_number() over (order by id) line, address, name from a_functions where id not in (select a_id from seeds) union all select 'secondary', row_number() over (order by id), address, name from b_functions where id not in (select b_id from seeds)) where contains(lower(name), 'b_1') or contains(lower(address), 'b_1') order by line, type limit 1000"),
+    ),
+    "instruction_stats": (
+        lambda a, b: results.instruction_fill(a.instructions.select("func_id", "pos", F.when(F.col("pos") % 3 == 0, F.col("disasm")).alias("comment1"), F.regexp_replace("disasm", "[a-z]", "").alias("name"))),
+        _sql(
+            """, i as (select pos, disasm, regexp_replace(disasm, '[a-z]', '', 'g') n from a_instructions), c as (select count(*) x, count(*) filter (pos % 3 = 0 and disasm <> '') y, count(*) filter (n <> '') z from i)
+            select unnest(['instruction_rows', 'instruction_comment1', 'instruction_comment2', 'instruction_operand_names', 'instruction_names', 'instruction_types', 'instruction_pseudocomments', 'instruction_pseudoitp']) field, unnest([x, y, 0, 0, z, 0, 0, 0]) filled from c""",
+            "instructions",
+        ),
+    ),
     "export_metadata": (
         export_metadata,
         _sql(

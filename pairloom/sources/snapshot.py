@@ -21,6 +21,10 @@ from pairloom.sources.tables import written
 REQUIRED = {"functions": ("id", "name", "address", "nodes", "instructions", "bytes_hash")}
 
 
+#: The form of stored snapshots; others are not read.
+FORMAT = "1"
+
+
 class SnapshotError(ValueError):
     """A folder that holds no usable snapshot."""
 
@@ -74,6 +78,7 @@ class Snapshot:
                 frames["program_data"] = program_data(spark, self.program | values)
             elif self.program and "program_data" not in frames:
                 frames["program_data"] = program_data(spark, self.program)
+            frames |= self._about(frames)
             staged = {name: manifest.stage(df, folder, name) for name, df in frames.items()}
             manifest.commit(spark, folder, begun, staged, _top(frames), batch, fresh=True)
         except Exception as e:
@@ -81,6 +86,20 @@ class Snapshot:
                 hooks.on_failure(e)
             raise
 
+    def _about(self, frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """The tables version, program (a row with processor and md5sum) and, where functions have primes and calls are known,
+        callgraph_factors: the products of the call graph, as powers of primes."""
+        from pairloom.functions.features import factor_counts  # which itself needs snapshots
+
+        spark, functions = self.functions.sparkSession, frames["functions"]
+        about = {
+            "version": spark.createDataFrame([(FORMAT,)], "value string"),
+            "program": spark.createDataFrame([(1, self.program.get("processor"), self.program.get("md5sum"))], "id long, processor string, md5sum string"),
+        }
+        if "callgraph" in frames and "primes_value" in functions.columns:
+            about["callgraph_factors"] = factor_counts(functions, frames["callgraph"])
+        return about
+
     def append(self, folder: str, batch: str | None = None) -> int:
         """Adds functions whose address the stored snapshot lacks, and their rows in the other tables; gives their number.
 
@@ -154,6 +173,8 @@ def load(spark: SparkSession, folder: str, *names: str) -> Snapshot:
     """The named tables of a stored snapshot, with its program data; blocks and block_edges are made of the four block tables
     where they aren't stored themselves."""
     kept = manifest.state(spark, folder)
+    if "version" in kept.tables and (found := {r.value for r in kept.read(spark, folder, "version").collect()}) != {FORMAT}:
+        raise SnapshotError(f"{folder} is of version {', '.join(sorted(map(str, found))) or 'none'}, not {FORMAT}")
 
     def frame(name: str) -> DataFrame:
         return kept.read(spark, folder, name) if name in kept.tables else spark.read.parquet(f"{folder}/{name}.parquet")

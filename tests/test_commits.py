@@ -100,3 +100,20 @@ def test_a_stream_brings_child_rows(spark, tmp_path):
     assert stored(spark, folder) == [(1, "101", "c1"), (2, "102", None), (3, "103", "c3")]
     append_records(folder, ("constants",))(rows(4), 1)  # the number of a batch that was taken in
     assert len(stored(spark, folder)) == 3
+
+
+def test_a_snapshot_says_what_it_is(spark, tmp_path):
+    folder = str(tmp_path)
+    s = small(spark, 1, 2, 3)
+    s.frames["functions"] = s.functions.withColumn("primes_value", F.when(F.col("id") < 3, "5").otherwise("7"))
+    s.frames["callgraph"] = spark.createDataFrame([(1, "102", "call near", 0)], "func_id long, address string, type string, ordinal int")
+    s.program = {"processor": "x", "md5sum": "y"}
+    s.save(folder)
+    found = snapshot.load(spark, folder, "functions", "version", "program", "callgraph_factors")
+    assert [tuple(r) for r in found.frames["program"].collect()] == [(1, "x", "y")]
+    assert {tuple(r) for r in found.callgraph_factors.collect()} == {(5, 2, 2), (7, 1, 0)}
+    begun = manifest.state(spark, folder)
+    other = manifest.stage(spark.createDataFrame([("0",)], "value string"), folder, "version")
+    manifest.commit(spark, folder, begun, {"version": other}, begun.top, whole=("version",))
+    with pytest.raises(snapshot.SnapshotError):
+        snapshot.load(spark, folder)
