@@ -194,7 +194,7 @@ def test_session(spark):
     assert len({r.address for r in clear}) == len(clear) == len({r.address2 for r in clear})
     assert all(s.candidates == s.accepted + s.rejected + s.skipped + s.multimatches for s in found.stats.collect())
     assert found.stats.where(F.col("name") == vetoed).first().candidates == 0
-    same = session.run(a, a, session.Options(propagation=False))
+    same = session.run(a, a, session.Options(propagation=False, equal_share=0.99))
     assert same.notes["nearly_equal"] and same.unmatched.isEmpty()
     exact = session.run_exact(a, a)
     assert exact.results.where("type = 'best'").count() > 0 and not exact.unmatched.isEmpty()
