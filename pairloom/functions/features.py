@@ -339,13 +339,14 @@ def byte_hashes(functions: DataFrame, instructions: DataFrame) -> DataFrame:
     or displacements (null or 0 where not), to one byte at least. bytes_sum adds up the bytes that are left. Null bytes are
     none; a function without instructions has the digests of nothing. Only one function's instructions come together.
     """
-    hexadecimal = F.coalesce(F.hex("bytes"), F.lit(""))
-    left = F.octet_length("bytes") - F.coalesce("offset1", F.lit(0)) - F.coalesce("offset2", F.lit(0))
-    kept = F.substr(hexadecimal, F.lit(1), 2 * F.when(left > 0, left).otherwise(1))
-    told = instructions.select("func_id", F.struct("pos", hexadecimal.alias("whole"), kept.alias("kept")).alias("x"))
+    whole = F.coalesce("bytes", F.lit(b""))
+    left = F.octet_length(whole) - F.coalesce("offset1", F.lit(0)) - F.coalesce("offset2", F.lit(0))
+    # bytes travel as they are, once; digits are made where a function's instructions have come together
+    told = instructions.select("func_id", F.struct("pos", whole.alias("whole"), F.when(left > 0, left).otherwise(1).alias("n")).alias("x"))
     lists = told.groupBy(F.col("func_id").alias("id")).agg(F.array_sort(F.collect_list("x")).alias("x"))
-    joined = lambda c: F.coalesce(F.array_join(F.col(f"x.{c}"), ""), F.lit(""))
-    known = functions.select("id").join(lists, "id", "left").select("id", joined("kept").alias("kept"), joined("whole").alias("whole"))
+    joined = lambda f: F.coalesce(F.array_join(F.transform("x", f), ""), F.lit(""))
+    known = functions.select("id").join(lists, "id", "left")
+    known = known.select("id", joined(lambda r: F.substr(F.hex(r["whole"]), F.lit(1), 2 * r["n"])).alias("kept"), joined(lambda r: F.hex(r["whole"])).alias("whole"))
     pairs = F.filter(F.split("kept", "(?<=\\G..)"), lambda p: p != "")
     total = F.aggregate(pairs, F.lit(0).cast("long"), lambda n, p: n + F.conv(p, 16, 10).cast("long"))
     return known.select("id", F.md5(F.unhex("kept")).alias("bytes_hash"), F.md5(F.unhex("whole")).alias("function_hash"), total.alias("bytes_sum"))
