@@ -1,14 +1,16 @@
 """Benchmark decontamination by winnowing.
 
-Both sides keep the least hash of the k-word grams in each window of w grams, the last one on ties: about 2 / (w + 1) of
-all grams. Any shared span of k + w - 1 words has such a fingerprint in common, so the fingerprints of documents are
-joined with those of the items, and each hit is extended word by word to the whole shared span; spans of `window` words
-or more are hits. Items shorter than a window are one window of their own and are looked up whole.
+Both sides keep the least hash of the k-word grams in each window of w grams: about 2 / (w + 1) of all grams. A window of
+`window` words has just w grams, so every shared span of that many words keeps the same fingerprint on both sides. The
+fingerprints of documents are joined with those of the items, and each hit is extended to the windows that kept it: they
+are looked up, word by word, among the items' distinct windows, each of which knows its items as one numbered list. So work
+grows with the words of a text and not with how often a word repeats or how many items share a phrase.
+Items shorter than a window are one window of their own and are looked up whole.
 Null and empty texts have no words: such a document is clean, such an item has no windows. Items with equal texts all
 count; the windows of items without an id count as hits, but such items are not listed. Repeated document rows are judged
 one by one. Other columns are ignored.
-An index of the items is broadcast if they have at most max_chars characters in all; more are joined by fingerprint, and
-each document and item that share one are compared. Either way the documents are read once.
+An index of the items is broadcast if they have at most max_chars characters in all; more are joined by fingerprint, then
+by window. Either way no pairs of documents and items arise but those of the result.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -31,12 +33,12 @@ _P = np.uint64(0x9E3779B97F4A7C15)  # odd, so hashes of grams at different offse
 _NONE = np.uint64(2**64 - 1)
 
 
-def gram_hashes(ids: np.ndarray, n: int) -> np.ndarray:
+def gram_hashes(ids: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     """Hashes of all runs of n word numbers; _NONE for runs with an unknown word (-1)."""
     m = len(ids) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
-    word, known = mixed((ids + 1).astype(np.uint64) + np.uint64(77)), ids >= 0
+    word, known = mixed((ids + 1).astype(np.uint64) + np.uint64(77 + salt)), ids >= 0
     h, ok = np.zeros(m, np.uint64), np.ones(m, bool)
     for j in range(n):
         h = h * _P + word[j : j + m]
@@ -45,17 +47,15 @@ def gram_hashes(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 def winnowed(grams: np.ndarray, w: int) -> np.ndarray:
-    """Places of the fingerprints: the last of the least grams of each window of w known grams."""
+    """The least gram of each window of w grams; _NONE where one is unknown."""
     m = len(grams) - w + 1
     if m <= 0:
-        return np.zeros(0, np.int64)
-    least, at, top = grams[:m].copy(), np.arange(m), grams[:m].copy()
+        return np.zeros(0, np.uint64)
+    least, top = grams[:m].copy(), grams[:m].copy()
     for j in range(1, w):
-        g = grams[j : j + m]
-        lower = g <= least
-        least[lower], at[lower] = g[lower], np.flatnonzero(lower) + j
-        np.maximum(top, g, out=top)
-    return np.unique(at[top != _NONE])
+        np.minimum(least, grams[j : j + m], out=least)
+        np.maximum(top, grams[j : j + m], out=top)
+    return np.where(top == _NONE, _NONE, least)
 
 
 @dataclass(frozen=True)
@@ -68,15 +68,22 @@ class Winnowing:
         """Grams a window, so that every shared span of `window` words has a fingerprint in common."""
         return self.window - self.k + 1
 
-    def prints(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The fingerprints of word numbers and where they stand."""
-        grams = gram_hashes(ids, self.k)
-        at = winnowed(grams, self.w)
-        return grams[at], at
+    def kept(self, ids: np.ndarray) -> np.ndarray:
+        """The fingerprint that each window of word numbers keeps."""
+        return winnowed(gram_hashes(ids, self.k), self.w)
+
+
+@dataclass(frozen=True)
+class Windows:
+    """Distinct windows of one length, by hash: a place where each stands in the items' words, and its list of items."""
+
+    hashes: np.ndarray
+    places: np.ndarray
+    lists: np.ndarray
 
 
 class ItemIndex:
-    """Fingerprints of some items with their places, and the words of the items; as large as a few times their texts."""
+    """Fingerprints and distinct windows of some items; as large as a few times their texts."""
 
     def __init__(self, items: Iterable[tuple[object, bytes]], how: Winnowing):
         self.how, self.vocabulary, self.item_ids, texts = how, {}, [], {}
@@ -89,63 +96,64 @@ class ItemIndex:
                 if item_id is not None:
                     self.item_ids[texts[words]].append(item_id)
         runs = [np.array([number(x, len(self.vocabulary)) for x in words], np.int32) for words in texts]
-        self.starts = np.cumsum([0, *(len(r) + 1 for r in runs)])
+        sizes = np.array([len(r) for r in runs], np.int64)
+        self.starts = np.cumsum([0, *(sizes + 1)])
         self.words = np.concatenate([np.zeros(0, np.int32), *(np.append(r, -2) for r in runs)]).astype(np.int32)  # -2 equals no word
-        prints, places, self.short = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], {}
-        for i, run in enumerate(runs):
-            if len(run) < how.window:
-                self.short.setdefault(len(run), {})[run.tobytes()] = i
+        self.lists, self.salts, self.windows = [np.array([i]) for i in range(len(runs))], {}, {}
+        numbers: dict[bytes, int] = {}
+        for n in sorted({min(x, how.window) for x in sizes.tolist()}):
+            if n < how.window:
+                places = self.starts[:-1][sizes == n]
             else:
-                h, at = how.prints(run)
-                prints.append(h)
-                places.append(at + self.starts[i])
-        hashes, places = np.concatenate(prints), np.concatenate(places)
-        order = np.lexsort((places, hashes))
-        self.prints, self.places = hashes[order], places[order]
-        self.short_hashes = {n: np.unique(np.concatenate([gram_hashes(np.frombuffer(x, np.int32), n) for x in of])) for n, of in self.short.items()}
+                places = np.flatnonzero(gram_hashes(self.words, n) != _NONE)
+            self.windows[n] = self._distinct(places, n, numbers)
+        self.prints = np.unique(how.kept(self.words))
+        self.prints = self.prints[self.prints != _NONE]
+
+    def _distinct(self, places: np.ndarray, n: int, numbers: dict[bytes, int]) -> Windows:
+        for salt in count():  # until no two unlike windows have one hash
+            hashes = gram_hashes(self.words, n, salt)[places]
+            order = np.lexsort((places, hashes))
+            h, at = hashes[order], places[order]
+            first = np.append(True, h[1:] != h[:-1])
+            group, stands = np.cumsum(first) - 1, at[first]
+            if all((self.words[at + j] == self.words[stands[group] + j]).all() for j in range(n)):
+                break
+        self.salts[n] = salt
+        pairs = np.unique(group * len(self.item_ids) + np.searchsorted(self.starts, at, "right") - 1)
+        group, owner = np.divmod(pairs, len(self.item_ids))
+        ends = np.searchsorted(group, np.arange(len(stands) + 1))
+        lists = owner[ends[:-1]].copy()  # the list of text i alone has the number i
+        for g in np.flatnonzero(np.diff(ends) > 1).tolist():
+            own = owner[ends[g] : ends[g + 1]]
+            lists[g] = numbers.setdefault(own.tobytes(), len(self.lists))
+            if lists[g] == len(self.lists):
+                self.lists.append(own)
+        return Windows(h[first], stands, lists)
 
     def numbers(self, words: list[bytes]) -> list[int]:
         get = self.vocabulary.get
         return [get(w, -1) for w in words]
 
-    def hits(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """First, last + 1 and text of each span of word numbers that an item shares; -1 is no item's word."""
-        hashes, at = self.how.prints(ids)
-        low, high = np.searchsorted(self.prints, hashes), np.searchsorted(self.prints, hashes, "right")
-        done: dict[int, int] = {}  # where the last span of each diagonal ends
-        for k in np.flatnonzero(low < high).tolist():
-            p = int(at[k])
-            for q in self.places[low[k] : high[k]].tolist():
-                if done.get(p - q, 0) > p:
-                    continue
-                a, b = self._span(ids, p, q)
-                done[p - q] = b
-                if b - a >= self.how.window:
-                    yield a, b, int(np.searchsorted(self.starts, q, "right")) - 1
-        for n, of in self.short.items():
-            grams = gram_hashes(ids, n)
-            for p in np.flatnonzero(_member(grams, self.short_hashes[n])).tolist():
-                i = of.get(ids[p : p + n].tobytes())
-                if i is not None:
-                    yield p, p + n, i
-
-    def _span(self, ids: np.ndarray, p: int, q: int) -> tuple[int, int]:
-        """The longest run of equal words around place p of ids and q of the items' words."""
-        b, step = 0, 16
-        while n := min(step, len(ids) - p - b, len(self.words) - q - b):
-            unlike = np.flatnonzero(ids[p + b : p + b + n] != self.words[q + b : q + b + n])
-            if len(unlike):
-                b += int(unlike[0])
-                break
-            b, step = b + n, 2 * step
-        a, step = 0, 16
-        while n := min(step, p - a, q - a):
-            unlike = np.flatnonzero(ids[p - a - n : p - a] != self.words[q - a - n : q - a])
-            if len(unlike):
-                a += n - 1 - int(unlike[-1])
-                break
-            a, step = a + n, 2 * step
-        return p - a, p + b
+    def of_list(self, number: int) -> Iterator[object]:
+        """The ids of the items of a list."""
+        return (x for i in self.lists[number].tolist() for x in self.item_ids[i])
+
+    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and last + 1 place and list of each window of word numbers that items have; -1 is no item's word."""
+        out = [(np.zeros(0, np.int64),) * 3]
+        for n, of in self.windows.items():
+            hashes = gram_hashes(ids, n, self.salts[n])
+            at = np.flatnonzero(_member(self.how.kept(ids), self.prints) if n == self.how.window else hashes != _NONE)
+            k = np.minimum(np.searchsorted(of.hashes, hashes[at]), len(of.hashes) - 1)
+            same = of.hashes[k] == hashes[at]
+            at, k = at[same], k[same]
+            same = np.ones(len(at), bool)
+            for j in range(n):
+                same &= ids[at + j] == self.words[of.places[k] + j]
+            out.append((at[same], at[same] + n, of.lists[k[same]]))
+        a, b, lists = zip(*out, strict=True)
+        return np.concatenate(a), np.concatenate(b), np.concatenate(lists)
 
 
 def _member(x: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -154,6 +162,15 @@ def _member(x: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.minimum(np.searchsorted(of, x), len(of) - 1)] == x
 
 
+def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The union of half-open runs, flat and in order."""
+    if not len(a):
+        return np.zeros(0, np.int64)
+    size = int(b.max()) + 1
+    covered = np.cumsum(np.bincount(a, minlength=size) - np.bincount(b, minlength=size)) > 0
+    return np.flatnonzero(np.diff(covered, prepend=False))
+
+
 def _search(docs: DataFrame, items: list[tuple[object, bytes]], how: Winnowing, id_type: str) -> DataFrame:
     """docs with words_, hit_ and items_ by a broadcast index."""
     index = docs.sparkSession.sparkContext.broadcast(ItemIndex(items, how))
@@ -166,12 +183,14 @@ def _search(docs: DataFrame, items: list[tuple[object, bytes]], how: Winnowing,
             ids = np.array([x for ws in words for x in (*found.numbers(ws), -1)], np.int32)
             ends = np.cumsum([len(ws) + 1 for ws in words])
             hit, held = [[] for _ in words], [set() for _ in words]
-            for p, q, i in found.hits(ids):
-                d = int(np.searchsorted(ends, p, "right"))
+            p, q, lists = found.hits(ids)
+            for x, y in merged(p, q).reshape(-1, 2).tolist():
+                d = int(np.searchsorted(ends, x, "right"))
                 first = int(ends[d]) - len(words[d]) - 1
-                hit[d].append((p - first, q - first))
-                held[d].update(found.item_ids[i])
-            out = {"words_": [len(ws) for ws in words], "hit_": [merged(x) for x in hit], "items_": [sorted(x, key=str) for x in held]}
+                hit[d] += [x - first, y - first]
+            for x in np.unique(np.searchsorted(ends, p, "right") * len(found.lists) + lists).tolist() if len(p) else ():
+                held[x // len(found.lists)].update(found.of_list(x % len(found.lists)))
+            out = {"words_": [len(ws) for ws in words], "hit_": hit, "items_": [sorted(x, key=str) for x in held]}
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(out[n], pa_type) for n, pa_type in (("words_", pa.int64()), ("hit_", pa.list_(pa.int32())), ("items_", pa.list_(_ARROW.get(id_type, pa.string())))))], [*b.schema.names, *out])
 
     return docs.mapInArrow(run, schema)
@@ -184,75 +203,90 @@ def _none(id_type: str) -> dict:
     return {"words_": F.lit(0).cast("long"), "hit_": F.array().cast("array<int>"), "items_": F.array().cast(f"array<{id_type}>")}
 
 
-def _hashed_prints(how: Winnowing, short: tuple[int, ...]):
-    """key, distinct fingerprints and, for whole short texts or all runs of their lengths, hashes of those; and words."""
+def _hashed(words: list[bytes]) -> np.ndarray:
+    return (pd.util.hash_array(np.array(words, object), categorize=False) >> np.uint64(1)).astype(np.int64) if words else np.zeros(0, np.int64)
+
+
+def _prints(ids: np.ndarray, how: Winnowing, short: Iterable[int]) -> dict[int, np.ndarray]:
+    """The fingerprint that each window keeps, and the hash of each run of the short lengths, by length."""
+    return {how.window: how.kept(ids), **{n: gram_hashes(ids, n) ^ np.uint64(n) for n in short}}
+
+
+def _distinct_prints(how: Winnowing, short: tuple[int, ...]):
+    """key and distinct fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             for key, text in zip(b.column("key").to_pylist(), utf8(b.column("text")), strict=True):
-                words = np.array(plain_words(text), object)
-                ids = (pd.util.hash_array(words, categorize=False) >> np.uint64(1)).astype(np.int64) if len(words) else np.zeros(0, np.int64)
-                lengths = short if short else (len(ids),) if 0 < len(ids) < how.window else ()
-                found = np.unique(np.concatenate([how.prints(ids)[0], *(gram_hashes(ids, n) ^ np.uint64(n) for n in lengths)]))
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array([len(ids)] * len(found), pa.int64())], ["key", "print", "n"])
+                found = np.unique(np.concatenate(list(_prints(_hashed(plain_words(text)), how, short).values())))
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.string()), pa.array(found.view(np.int64))], ["key", "print"])
 
     return run
 
 
-def _compared(how: Winnowing):
-    """What each item shares with each text that has a fingerprint of it."""
+_WINDOW = "key string, print long, n int, win string, places array<int>"
+
+
+def _windows(how: Winnowing, short: tuple[int, ...]):
+    """The distinct windows of texts with their places. Where there is a column of met fingerprints, only windows that keep
+    one of them, and runs of the short lengths; else all, and a short text whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = lru_cache(256)(lambda key, text: ItemIndex([(key, text)], how))
         for b in slices(batches):
-            rows = []
-            for key, text, item, of in zip(b.column("key").to_pylist(), utf8(b.column("text")), b.column("item").to_pylist(), utf8(b.column("item_text")), strict=True):
-                found = index(item, of)
-                runs = merged([(p, q) for p, q, _ in found.hits(np.array(found.numbers(plain_words(text)), np.int32))])
-                if runs:
-                    rows.append((key, item, runs))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 3, (pa.string(), pa.string(), pa.list_(pa.int32())), strict=True)], ["key", "item", "runs"])
+            met = b.column("met").to_pylist() if "met" in b.schema.names else [None] * b.num_rows
+            for key, text, of in zip(b.column("key").to_pylist(), utf8(b.column("text")), met, strict=True):
+                words = plain_words(text)
+                lengths = short if of is not None else (len(words),) if 0 < len(words) < how.window else ()
+                found: dict[bytes, tuple[int, int, list[int]]] = {}
+                for n, prints in _prints(_hashed(words), how, lengths).items():
+                    for p in range(len(prints)) if of is None else np.flatnonzero(np.isin(prints, np.array(of, np.int64).view(np.uint64))).tolist():
+                        found.setdefault(b" ".join(words[p : p + n]), (int(prints[p : p + 1].view(np.int64)[0]), n, []))[2].append(p)
+                columns = zip(*found.values(), strict=True) if found else [()] * 3
+                types = (pa.int64(), pa.int32(), pa.list_(pa.int32()))
+                prints_, sizes, places = (pa.array(c, t) for c, t in zip(columns, types, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.string()), prints_, sizes, pa.array(list(found), pa.binary()).cast(pa.string()), places], ["key", "print", "n", "win", "places"])
 
     return run
 
 
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key and the union of its windows (sizes n, their places)."""
+    for b in batches:
+        runs = []
+        for sizes, places in zip(b.column("sizes").to_pylist(), b.column("places").to_pylist(), strict=True):
+            a = np.array([p for ps in places for p in ps], np.int64)
+            runs.append(merged(a, a + np.repeat(sizes, [len(ps) for ps in places])))
+        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(runs, pa.list_(pa.int32()))], ["key_", "hit_"])
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(plain_words(t)) for t in utf8(b.column("text"))], pa.int64())], [*b.schema.names, "words_"])
 
 
 def _join(docs: DataFrame, items: DataFrame, how: Winnowing, id_type: str) -> DataFrame:
-    """docs with words_, hit_ and items_ by a join of fingerprints; equal texts are compared once."""
+    """docs with words_, hit_ and items_ by joins of fingerprints, then of windows; equal texts are looked up once."""
     keyed = lambda df: df.where("text is not null").groupBy(F.sha2("text", 256).alias("key")).agg(F.first("text").alias("text"))
-    texts, wanted = written(keyed(docs), "texts"), written(keyed(items), "items")
-    print_type = "key string, print long, n long"
-    item_prints = written(wanted.mapInArrow(_hashed_prints(how, ()), print_type), "item-prints")
-    short = tuple(sorted(r.n for r in item_prints.where(F.col("n") < how.window).select("n").distinct().collect()))  # fewer than `window` numbers
-    prints = texts.mapInArrow(_hashed_prints(how, short), print_type).select("key", "print")
-    met = prints.join(item_prints.select(F.col("key").alias("item"), "print"), "print").select("key", "item").distinct()
-    pairs = met.join(texts, "key").join(wanted.select(F.col("key").alias("item"), F.col("text").alias("item_text")), "item").select("key", "text", "item", "item_text")
-    hits = written(pairs.mapInArrow(_compared(how), "key string, item string, runs array<int>"), "hits")
-    ids = items.where("text is not null and item_id is not null").select(F.sha2("text", 256).alias("item"), "item_id").distinct()
-    of_items = hits.join(ids, "item").groupBy("key").agg(F.collect_set("item_id").alias("items_"))
-    runs = hits.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list(F.expr("transform(filter(sequence(0, size(runs) - 1), i -> i % 2 = 0), i -> struct(runs[i] AS a, runs[i + 1] AS b))")))).alias("spans"))
-    union = "aggregate(spans, CAST(array() AS array<int>), (x, s) -> if(size(x) > 0 AND s.a <= element_at(x, -1), concat(slice(x, 1, size(x) - 1), array(greatest(element_at(x, -1), s.b))), concat(x, array(s.a, s.b))))"
-    found = written(runs.select(F.col("key").alias("key_"), F.expr(union).alias("hit_")).join(of_items.select(F.col("key").alias("key_"), "items_"), "key_", "left"), "covered")
+    texts = written(keyed(docs), "texts")
+    owned = written(keyed(items).mapInArrow(_windows(how, ()), _WINDOW).select("key", "print", "n", "win"), "item-windows")
+    short = tuple(sorted(r.n for r in owned.where(F.col("n") < how.window).select("n").distinct().collect()))  # fewer than `window` numbers
+    # windows of the same items have one list; two sums of hashes of the items' keys tell lists apart
+    sums = [F.sum(F.xxhash64("key", F.lit(i)).cast("decimal(20,0)")) for i in range(2)]
+    listed = written(owned.groupBy("win", "print").agg(F.sha2(F.concat_ws(",", F.count("*"), *sums), 256).alias("list")), "windows")
+    ids = items.where("text is not null and item_id is not null").select(F.sha2("text", 256).alias("key"), "item_id").distinct()
+    of_list = listed.groupBy("list").agg(F.min("win").alias("win")).join(owned.select("key", "win"), "win").join(ids, "key").select("list", "item_id")
+    prints = texts.mapInArrow(_distinct_prints(how, short), "key string, print long")
+    met = prints.join(listed.select("print").distinct(), "print", "left_semi").groupBy("key").agg(F.collect_set("print").alias("met"))
+    windows = met.join(texts, "key").select("key", "text", "met").mapInArrow(_windows(how, short), _WINDOW)
+    hits = written(windows.join(listed.select("win", "list"), "win").select("key", "n", "places", "list"), "hits")
+    of_items = hits.select("key", "list").distinct().join(of_list, "list").groupBy(F.col("key").alias("key_")).agg(F.collect_set("item_id").alias("items_"))
+    covered = hits.groupBy("key").agg(F.collect_list("n").alias("sizes"), F.collect_list("places").alias("places")).mapInArrow(_covered, "key_ string, hit_ array<int>")
+    found = written(covered.join(of_items, "key_", "left"), "covered")
     told = docs.mapInArrow(_counted, docs.withColumn("words_", F.lit(0).cast("long")).schema).withColumn("key_", F.sha2("text", 256)).join(found, "key_", "left")
     none = _none(id_type)
     return told.withColumns({c: F.coalesce(c, none[c]) for c in ("hit_", "items_")}).select(*docs.columns, "words_", "hit_", "items_")
 
 
-def merged(runs: list[tuple[int, int]]) -> list[int]:
-    """The union of half-open runs, flat and in order."""
-    out: list[int] = []
-    for a, b in sorted(runs):
-        if out and a <= out[-1]:
-            out[-1] = max(out[-1], int(b))
-        else:
-            out += [int(a), int(b)]
-    return out
-
-
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         hits = [sum(x[1::2]) - sum(x[::2]) for x in b.column("hit_").to_pylist()]

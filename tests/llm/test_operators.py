@@ -164,12 +164,42 @@ def test_fingerprints_are_few_and_enough():
     """Far fewer fingerprints than grams, and one in each window, the same wherever the window stands."""
     numpy, how, pick = winnow.np, winnow.Winnowing(), random.Random(3)
     ids = numpy.array([pick.randrange(50) for _ in range(5_000)], numpy.int32)
-    hashes, at = how.prints(ids)
-    assert len(at) < len(ids) / 3 and numpy.diff(at).max() <= how.w
+    kept = how.kept(ids)
+    assert len(kept) == len(ids) - how.window + 1 and 1 + (numpy.diff(kept) != 0).sum() < len(ids) / 3
+    assert (how.kept(ids[700:800]) == kept[700:791]).all()
     index = winnow.ItemIndex([(7, b" ".join(b"w%d" % x for x in ids[100:400]))], how)
     assert len(index.prints) < 100
     other = [b"x", *(b"w%d" % x for x in ids[150:180]), b"y", *(b"w%d" % x for x in ids[200:209]), b"z"]
-    assert [(a, b) for a, b, _ in index.hits(numpy.array(index.numbers(other), numpy.int32))] == [(1, 31)]
+    assert winnow.merged(*index.hits(numpy.array(index.numbers(other), numpy.int32))[:2]).tolist() == [1, 31]
+
+
+def test_repeated_words_and_shared_phrases(spark):
+    """One word thousands of times, and thousands of items that share a phrase: each document's work follows its own words."""
+    phrase, pick = "choose the one best answer to each of the questions", random.Random(4)
+    items = [(i, f"{phrase} {' '.join(f'w{pick.randrange(9)}' for _ in range(6))}") for i in range(3_000)]
+    items += [(5_000, "so " * 4_000), (5_001, "so so")]
+    rows = [(0, f"a {phrase} b {phrase}"), (1, "so " * 16_000), (2, "so " * 9 + "x"), (3, "clean"), (4, items[7][1])]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    by_window: dict[tuple, set] = {}
+    for i, t in items:
+        for w in _windows(t.split()):
+            by_window.setdefault(w, set()).add(i)
+    want = {}
+    for i, t in rows:
+        words, hit, found = t.split(), set(), set()
+        for n in (2, 10):
+            for p in range(len(words) - n + 1):
+                if own := by_window.get(tuple(words[p : p + n])):
+                    hit |= set(range(p, p + n))
+                    found |= own
+        want[i] = (len(hit), sorted(found))
+    for most in (8_000_000, 1):
+        got = {r.doc_id: (r.n_hit, sorted(r.item_ids)) for r in winnow.decontaminate(d, b, max_chars=most).collect()}
+        assert got == want
+    index = winnow.ItemIndex([(i, t.encode()) for i, t in items], winnow.Winnowing())
+    began = time.perf_counter()
+    index.hits(winnow.np.array(index.numbers([b"so"] * 16_000), winnow.np.int32))
+    assert time.perf_counter() - began < 1
 
 
 def test_winnowing_of_odd_rows(odd, none, spark):
