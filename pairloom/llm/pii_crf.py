@@ -248,30 +248,36 @@ def skip_edges(tokens: list[Token]) -> list[tuple[int, int]]:
 AGREE = np.array([[float((i + 1) // 2 == (j + 1) // 2) for j in range(len(LABELS))] for i in range(len(LABELS))])
 
 
-def beliefs(e: np.ndarray, edges: np.ndarray, potentials: np.ndarray, which: np.ndarray, *, most_rounds: int = 100, close: float = 1e-4, block: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-    """Loopy sum-product in the log domain, damped, until messages settle: each token's probabilities and each edge's joint
-    ones. Exact where there is no loop. potentials[which[i]] belongs to edge i; edges are worked on in blocks."""
+def beliefs(e: np.ndarray, edges: np.ndarray, potentials: np.ndarray, which: np.ndarray, *, joint: bool = True, most_rounds: int = 100, close: float = 1e-4, block: int = 20_000) -> tuple[np.ndarray, np.ndarray | None]:
+    """Loopy sum-product in the log domain, damped, until messages settle: each token's probabilities and, if asked for,
+    each edge's joint ones. Exact where there is no loop. potentials[which[i]] belongs to edge i. Edges are worked on in
+    blocks, and messages that have settled rest until their token's belief moves again."""
     n, kinds = len(edges), e.shape[1]
     source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
     back = np.concatenate([np.arange(n) + n, np.arange(n)])
     both = np.concatenate([potentials, potentials.transpose(0, 2, 1)])
     of = np.concatenate([which, which + len(potentials)])
     messages = np.zeros((2 * n, kinds))
-    belief = e.copy()
+    belief, active = e.copy(), np.arange(2 * n)
     for k in range(most_rounds):
-        new = np.empty_like(messages)
-        for a in range(0, 2 * n, block):
-            rows = slice(a, a + block)
+        new = np.empty((len(active), kinds))
+        for a in range(0, len(active), block):
+            rows = active[a : a + block]
             x = (belief[source[rows]] - messages[back[rows]])[:, :, None] + both[of[rows]]
             m = x.max(1, keepdims=True)
-            new[rows] = (m + np.log(np.exp(x - m).sum(1, keepdims=True)))[:, 0]
+            new[a : a + block] = (m + np.log(np.exp(x - m).sum(1, keepdims=True)))[:, 0]
         new -= new.max(1, keepdims=True)
-        far = np.abs(new - messages).max(initial=0.0)
-        messages = new if not k else 0.5 * messages + 0.5 * new
-        belief = e.copy()
+        unsettled = np.zeros(2 * n, bool)
+        unsettled[active] = np.abs(new - messages[active]).max(1, initial=0.0) >= close
+        messages[active] = new if not k else 0.5 * messages[active] + 0.5 * new
+        before, belief = belief, e.copy()
         np.add.at(belief, target, messages)
-        if far < close:
+        moved = np.abs(belief - before).max(1, initial=0.0) >= close / 10
+        active = np.flatnonzero(unsettled | moved[source])
+        if not unsettled.any():
             break
+    if not joint:
+        return _softmax(belief), None
     x = (belief[edges[:, 0]] - messages[n:])[:, :, None] + potentials[which] + (belief[edges[:, 1]] - messages[:n])[:, None, :]
     x = np.exp(x - x.max((1, 2), keepdims=True)) if n else x
     return _softmax(belief), x / x.sum((1, 2), keepdims=True)
@@ -287,17 +293,17 @@ class SkipChain:
         """Each token's probabilities of the labels; forward and backward alone where there are no skip edges."""
         if not skips:
             return self.chain.marginals(flat)
-        return self._with_skips(flat, np.array(skips, np.int64))[0]
+        return self._with_skips(flat, np.array(skips, np.int64), joint=False)[0]
 
-    def _with_skips(self, flat: Flat, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens' and skip edges' beliefs."""
+    def _with_skips(self, flat: Flat, skips: np.ndarray, joint: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+        """Tokens' beliefs and, if asked for, skip edges'."""
         first = np.cumsum(flat.lengths) - flat.lengths
         e = self.chain.bounded(self.chain.emissions(flat), first, first + flat.lengths - 1)
         inner = np.setdiff1d(np.arange(len(e)), first)
         edges = np.concatenate([np.stack([inner - 1, inner], 1), skips])
         which = np.concatenate([np.zeros(len(inner), np.int64), np.ones(len(skips), np.int64)])
-        p, joint = beliefs(e, edges, np.stack([self.chain.transitions, self.strength * AGREE]), which)
-        return p, joint[len(inner) :]
+        p, pairs = beliefs(e, edges, np.stack([self.chain.transitions, self.strength * AGREE]), which, joint=joint)
+        return p, pairs[len(inner) :] if joint else None
 
     def spans(self, text: str, columns: Columns, base: list[Span]) -> list[Span]:
         """Base spans and the model's that overlap none of them, by kind as listed, then start."""
