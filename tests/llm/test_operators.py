@@ -526,6 +526,46 @@ def test_secrets_outside_the_variants(spark):
     assert len(found) >= 6 and not wrong
 
 
+PLAIN = ["ARE!! THE!! 233.233.171.252!! HE", "from version 10.4.3.2 on", "on 2021-03-04 at noon", "order 48-2231-9921-77 was sent", "it cost 123456.7891 in all"]
+
+
+def test_plain_numbers_are_no_secrets(spark):
+    """Over the documents as they are no plain number is marked; of secrets planted in them most are found, and little else."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").where("text is not null")
+    model, columns = secret_crf.learn(docs), chain_crf.Columns()
+    assert not [t for t in PLAIN if model.spans(t, columns, [])]
+    added = lambda t: [t[a:b] for k, a, b in model.spans(t, columns, secret_crf.base_spans(t)) if k == "secret"]
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    assert not [x for t in texts for x in added(t) if re.fullmatch(r"[0-9]+([./:_-][0-9]+)*", x)]
+    pick, true, false, planted = random.Random(9), 0, 0, 0
+    for t in texts[:400]:
+        words, secret = t.split(" "), pick.choice(OTHER_SECRETS)
+        words.insert(pick.randrange(len(words) + 1), secret)
+        found = added(" ".join(words))
+        value = re.split("[ =]", secret)[-1]
+        planted += 1
+        true += any(x in secret and value in x for x in found)
+        false += sum(x not in secret for x in found)
+    assert true >= 0.75 * planted and false <= 0.02 * planted, (true, false, planted)
+
+
+def test_tokens_near_many_cores():
+    assert len(secret_crf.tokens_of("token" * 20_000 + " a b c d e f g h")) == 1 + secret_crf.NEAR
+    assert [t.text for t in secret_crf.tokens_of("token a token b c d e f g")] == "token a token b c d e".split()
+
+
+def test_beliefs_without_joint_ones():
+    """Resting messages change no belief by more than the tolerance, loops or not."""
+    numpy = chain_crf.np
+    pick = numpy.random.default_rng(8)
+    e, edges = pick.normal(size=(200, 9)), pick.integers(0, 200, (300, 2))
+    edges = edges[edges[:, 0] != edges[:, 1]]
+    potentials, which = pick.normal(size=(2, 9, 9)) * 0.3, pick.integers(0, 2, len(edges))
+    p, joint = pii_crf.beliefs(e, edges, potentials, which)
+    q, none = pii_crf.beliefs(e, edges, potentials, which, joint=False, close=0.0, block=7)
+    assert none is None and joint.shape == (len(edges), 9, 9) and abs(p - q).max() < 1e-3
+
+
 def test_redaction(spark, odd):
     model = pii_crf.learn(odd)
     out = pii_crf.redact(odd, model)
