@@ -6,7 +6,10 @@ by host. Per group, tokens with the same occurrence vector (how often in which p
 compared by page count, total and two sums of hashes of (page, count), so they are aggregated in parts and a group may
 have any number of pages. A class is valid if
 it is large and frequent. Classes that occur equally often in each page make the outer template, whose gaps are slots; other
-classes nest in the slot where they stand. The text left in the slots is extracted; article and main
+classes nest in the slot where they stand. Divisions of the template are classed by what varies in them over the
+group's pages: those whose text is mostly links, has few variants, or is short beside that of the division with the most
+plain text are no main text, whatever their names. Pages whose host has too few of their layout take these
+classes, but no template, from that layout on all such hosts. The text left in the slots is extracted; article and main
 elements tell which slots hold the main text where a page has them, elsewhere slots that are mostly links are no main text;
 menus, headers, footers, asides, adverts, forms, notices and comments are told by their element, class, id or role too.
 A passage that articles of a group share is kept if fewer of its pages have it than a template needs, if other text
@@ -53,6 +56,10 @@ BESIDE = frozenset("site page global main top bottom left right inner outer box
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table article main section div body nav aside footer header form td".split())
 _DIVISIONS = frozenset("article main section div".split())
+#: Elements whose own text is classed: that which stands in no other of these inside them.
+HOLDERS = frozenset("html body article main section div nav header footer aside form table ul ol dl".split())
+#: What a holder's text is: left out as links or one of few variants, short beside the main text, or main text.
+LEFT, SHORT, MAIN = 1, 2, 3
 _BREAKS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
 
 
@@ -193,6 +200,47 @@ def tokens(page: str) -> tuple[list[Event], list[int | None]]:
     return found, names
 
 
+def holders(found: list[Event], names: list[int | None]) -> Iterator[tuple[Event, int | None, int]]:
+    """Events with their opening token if they open a holder, and 1 and -1 where a holder begins and ends."""
+    for e, t in zip(found, names, strict=True):
+        moves = e.kind != "text" and e.name.split(".", 1)[0] in HOLDERS
+        yield e, t if moves and e.kind == "open" else None, moves and (1 if e.kind == "open" else -1)
+
+
+def held(found: list[Event], names: list[int | None]) -> dict[int, list]:
+    """By the opening token of each holder with text of its own: characters, those in links, and a hash of the text."""
+    out: dict[int, list] = {}
+    open_: list[int | None] = [None]
+    for e, t, moves in holders(found, names):
+        if moves > 0:
+            open_.append(t)
+        elif moves < 0:
+            open_.pop()
+        elif e.kind == "text" and open_[-1] is not None and (text := e.text.strip()):
+            own = out.setdefault(open_[-1], [0, 0, []])
+            own[0] += len(text)
+            own[1] += len(text) if e.link else 0
+            own[2].append(text)
+    return {t: [chars, links, hash_of("\n".join(texts))] for t, (chars, links, texts) in out.items()}
+
+
+def kept_by(found: list[Event], names: list[int | None], kinds: dict[int, int]) -> list[bool]:
+    """Whether each event may be main text by the kinds of the holders around it: the innermost with a kind decides.
+    Short text is kept inside a main holder below body, and inside article and main elements."""
+    out, open_ = [], [(MAIN, False)]
+    for e, t, moves in holders(found, names):
+        if moves > 0:
+            kind, within = open_[-1]
+            kind = kinds.get(t, kind)
+            if kind == SHORT and (within or e.inside):
+                kind = MAIN
+            open_.append((kind, within or kinds.get(t) == MAIN and e.name.split(".", 1)[0] not in ("html", "body")))
+        elif moves < 0:
+            open_.pop()
+        out.append(open_[-1][0] == MAIN)
+    return out
+
+
 def layout(found: list[Event]) -> int:
     """A number for the divisions around a page's main text, down to the second: their paths without digits, as a set."""
     names, above, depth, held = set(), [], 0, 0
@@ -224,37 +272,73 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first: dict[int, int] = {}
             for k, t in enumerate(names):
                 first.setdefault(t, k)
-            rows.append((name, kind, page, None, 1, 0))
-            rows += [(name, kind, page, t, n, first[t]) for t, n in Counter(names).items() if t is not None]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, (pa.string(), *[pa.int64()] * 5), strict=True)], ["host", "layout", "page", "token", "n", "at"])
+            texts, none = held(found, names), (0, 0, 0)
+            rows.append((name, kind, page, None, 1, 0, *none))
+            rows += [(name, kind, page, t, n, first[t], *texts.get(t, none)) for t, n in Counter(names).items() if t is not None]
+        columns = zip(*rows, strict=True) if rows else [()] * 9
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), *[pa.int64()] * 8), strict=True)], ["host", "layout", "page", "token", "n", "at", "chars", "links", "said"])
+
+
+#: What is summed up of a token: how often, where, and for holders their own text.
+_SUMMED = ("in_pages", "total", "x", "y", "at", "chars", "links", "told")
+
 
+def _kinds(frequent: DataFrame, few: float, most_variants: int, short: float) -> DataFrame:
+    """host, layout and the kinds of the holders among the template's tokens. Variants are counted by 64 bits of hashes:
+    more than most_variants are many, however many pages there are."""
+    variants = -64 * F.log(F.greatest(64 - F.bit_count("bits"), F.lit(1)) / 64)
+    few_variants = (F.round(variants) <= F.greatest(F.lit(1.0), few * F.col("told"))) & (variants <= most_variants)
+    plain = F.when(2 * F.col("links") <= F.col("chars"), (F.col("chars") - F.col("links")) / F.col("pages"))
+    told = frequent.where("told > 0").select("host", "layout", "token", F.coalesce(plain, F.lit(0.0)).alias("plain"), plain.isNull().alias("linked"), few_variants.alias("few"))
+    listed = told.groupBy("host", "layout").agg(F.max("plain").alias("top"), F.sort_array(F.collect_list(F.struct("token", "plain", "linked", "few"))).alias("held"))
+    kind = f"case when h.linked or h.few and h.plain < top then {LEFT} when h.plain < {short} * top then {SHORT} else {MAIN} end"
+    return listed.select("host", "layout", F.expr(f"transform(held, h -> struct(h.token AS token, {kind} AS kind))").alias("kinds"))
 
-def deduce(pages: DataFrame, share: float = 0.8, least_pages: int = 5, least_size: int = 3) -> DataFrame:
+
+def deduce(pages: DataFrame, share: float = 0.8, least_pages: int = 5, least_size: int = 3, few: float = 0.2, most_variants: int = 50, short: float = 0.2) -> DataFrame:
     """One row for each layout group (host, layout): its valid classes in order of place, each with tokens in order and
-    occurrences in each page, 0 if they vary. The group of layout null has all pages of layouts that have fewer than least_pages on the host.
+    occurrences in each page, 0 if they vary, and the kinds of its holders by their opening tokens. The group of layout
+    null has all pages of layouts that have fewer than least_pages on the host; groups of host null have these pages of
+    all hosts by layout, and kinds alone.
 
     share: of a group's pages that a class must occur in; so a group's template is no longer than its mean page / share.
+    few, most_variants: a holder's texts have few variants if they are no more than this share of its pages, and this number.
+    short: of the plain text of the holder with the most, what a holder must have to be main text by itself.
     Layouts of at least least_pages have a row, with empty classes if none is valid.
     """
     keyed = pages.select(host("url").alias("host"), F.xxhash64("page_id", "url").alias("page"), "html")
-    seen = keyed.mapInArrow(_occurrences, "host string, layout long, page long, token long, n long, at long")
-    sums = lambda n, total, x, y, at, least, most: (F.sum(n).alias("in_pages"), F.sum(total).alias("total"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(at).alias("at"), F.min(least).alias("least"), F.max(most).alias("most"))
+    seen = keyed.mapInArrow(_occurrences, "host string, layout long, page long, token long, n long, at long, chars long, links long, said long")
     bits = lambda seed: F.expr(f"shiftrightunsigned(xxhash64(page, n, {seed}), 33)")  # noqa: E731  of 2**32 pages the sum still fits
-    parts = written(seen.groupBy("host", "layout", "token").agg(*sums(F.lit(1), "n", bits(1), bits(2), "at", "n", "n")), "token-vectors")
+    bit = F.expr("if(chars > 0, shiftleft(1L, int(pmod(said, 64))), 0L)")
+    first = seen.select("host", "layout", "token", "n", F.lit(1).alias("in_pages"), F.col("n").alias("total"), bits(1).alias("x"), bits(2).alias("y"), "at", "chars", "links", (F.col("chars") > 0).cast("long").alias("told"), bit.alias("bits"), F.col("n").alias("least"), F.col("n").alias("most"))
+    sums = [*(F.sum(c).alias(c) for c in _SUMMED), F.bit_or("bits").alias("bits"), F.min("least").alias("least"), F.max("most").alias("most")]
+    summed = [*_SUMMED, "bits", "least", "most"]
+    parts = written(first.groupBy("host", "layout", "token").agg(*sums), "token-vectors")
     found = parts.where("token is null").select("host", "layout", F.col("in_pages").alias("pages"))
     small = lambda df: F.broadcast(df) if df.limit(100_001).count() <= 100_000 else df
     group = F.when(F.col("pages") >= least_pages, F.col("layout")).alias("layout")
-    pooled = parts.where("token is not null").join(small(found), ["host", "layout"]).select("host", group, "token", "in_pages", "total", "x", "y", "at", "least", "most")
-    vectors = pooled.groupBy("host", "layout", "token").agg(*sums("in_pages", "total", "x", "y", "at", "least", "most")).withColumn("at", F.col("at") / F.col("in_pages"))
-    sizes = found.select("host", group, "pages").groupBy("host", "layout").agg(F.sum("pages").alias("pages")).withColumnsRenamed({"host": "of_host", "layout": "of_layout"})
-    same = F.col("host").eqNullSafe(F.col("of_host")) & F.col("layout").eqNullSafe(F.col("of_layout"))
-    frequent = vectors.join(small(sizes), same).where(F.col("in_pages") >= F.greatest(F.lit(float(least_pages)), share * F.col("pages")))
-    classes = frequent.groupBy("host", "layout", "in_pages", "total", "x", "y", "least", "most").agg(F.expr("transform(sort_array(collect_list(struct(at, token))), x -> x.token)").alias("tokens"), F.min("at").alias("at"))
+    counted = parts.where("token is not null").join(small(found), ["host", "layout"])
+
+    def frequent(tokens: DataFrame, sizes: DataFrame) -> DataFrame:
+        """Tokens of groups (host, layout) in enough of their pages."""
+        vectors = tokens.groupBy("host", "layout", "token").agg(*sums).withColumn("at", F.col("at") / F.col("in_pages"))
+        of = sizes.groupBy("host", "layout").agg(F.sum("pages").alias("pages")).withColumnsRenamed({"host": "of_host", "layout": "of_layout"})
+        same = F.col("host").eqNullSafe(F.col("of_host")) & F.col("layout").eqNullSafe(F.col("of_layout"))
+        return vectors.join(small(of), same).where(F.col("in_pages") >= F.greatest(F.lit(float(least_pages)), share * F.col("pages")))
+
+    own_tokens = written(frequent(counted.select("host", group, "token", *summed), found.select("host", group, "pages")), "frequent-tokens")
+    nowhere = F.lit(None).cast("string").alias("host")
+    anywhere = frequent(counted.where((F.col("pages") < least_pages) & (F.col("told") > 0)).select(nowhere, "layout", "token", *summed), found.where(F.col("pages") < least_pages).select(nowhere, "layout", "pages"))
+    classes = own_tokens.groupBy("host", "layout", "in_pages", "total", "x", "y", "least", "most").agg(F.expr("transform(sort_array(collect_list(struct(at, token))), x -> x.token)").alias("tokens"), F.min("at").alias("at"))
     # an element's beginning and end are enough where it stands several times in each page
     valid = classes.where((F.size("tokens") >= least_size) | (F.size("tokens") >= 2) & (F.col("least") == F.col("most")) & (F.col("least") > 1))
-    told = valid.groupBy("host", "layout").agg(F.expr("transform(sort_array(collect_list(struct(at, if(least = most, least, 0) AS often, tokens))), x -> struct(x.often AS often, x.tokens AS tokens))").alias("classes"))
-    own = found.where(F.col("pages") >= least_pages).select("host", "layout")
-    return told.where("layout is null").union(own.join(told, ["host", "layout"], "left").select("host", "layout", F.coalesce("classes", F.array().cast(told.schema["classes"].dataType)).alias("classes")))
+    listed = valid.groupBy("host", "layout").agg(F.expr("transform(sort_array(collect_list(struct(at, if(least = most, least, 0) AS often, tokens))), x -> struct(x.often AS often, x.tokens AS tokens))").alias("classes"))
+    none = F.lit(None)
+    rows = listed.select("host", "layout", "classes", none.alias("kinds")).unionByName(_kinds(own_tokens, few, most_variants, short).withColumn("classes", none), allowMissingColumns=True)
+    rows = rows.unionByName(_kinds(anywhere, few, most_variants, short).withColumn("classes", none))
+    rows = rows.unionByName(found.where(F.col("pages") >= least_pages).select("host", "layout", none.alias("classes"), none.alias("kinds")))
+    only = lambda c, of: F.coalesce(F.first(c, ignorenulls=True), F.array().cast(of.schema[c].dataType)).alias(c)  # noqa: E731  one row of a group has it
+    return rows.groupBy("host", "layout").agg(only("classes", rows), only("kinds", rows))
 
 
 Template = list[tuple[int, list[int]]]
@@ -281,24 +365,35 @@ def slots(found: list[Event], names: list[int | None], template: Template) -> It
     yield slot
 
 
-def article(page: str, template: Template) -> str:
-    return article_of(*tokens(page), template)
+def article(page: str, template: Template, kinds: dict[int, int] | None = None) -> str:
+    return article_of(*tokens(page), template, kinds)
+
 
+def article_of(found: list[Event], names: list[int | None], template: Template, kinds: dict[int, int] | None = None) -> str:
+    """The main text of a page; template: classes as (occurrences in each page or 0, tokens in order); kinds: of holders by
+    their opening tokens.
 
-def article_of(found: list[Event], names: list[int | None], template: Template) -> str:
-    """The main text of a page; template: classes as (occurrences in each page or 0, tokens in order).
+    Text in holders that are no main text is left out, unless the page has no other.
 
     Where unmarked text stands in article or main elements, the main text is what the slots hold of these: blocks that
     are all template are left out, unless nothing else is there. Elsewhere it is all that the slots hold but the template,
-    without slots whose text is more than half links, unless all are such.
+    without slots whose text is more than half links, unless all are such; where kinds are known and all is template, as
+    in copies, it is the template's text in main holders.
     """
     filled = [[(e, fixed) for e, fixed in slot if e.kind == "text" and not e.out] for slot in slots(found, names, template)]
+    if kinds:
+        may_be = {id(e) for e, ok in zip(found, kept_by(found, names, kinds), strict=True) if ok}
+        by_kind = [[(e, fixed) for e, fixed in slot if id(e) in may_be] for slot in filled]
+        if any(e.text.strip() for slot in by_kind for e, _ in slot):
+            filled = by_kind
     main = [(e, fixed) for slot in filled for e, fixed in slot if e.inside]
     if any(e.text.strip() for e, _ in main):
         own = {e.block for e, fixed in main if not fixed and e.text.strip()}
         kept = [e for e, _ in main if not own or e.block in own]
     else:
         held = [[e for e, fixed in slot if not fixed] for slot in filled]
+        if kinds and not any(e.text.strip() for slot in held for e in slot):
+            held = [[e for e, _ in slot] for slot in filled]
         size = lambda slot, links: sum(len(e.text.strip()) for e in slot if e.link or not links)
         plain = [slot for slot in held if 2 * size(slot, True) <= size(slot, False)]
         kept = [e for slot in (plain if any(size(slot, False) for slot in plain) else held) for e in slot]
@@ -315,10 +410,17 @@ def _laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(kinds, pa.int64())], ["page_id", "url", "html", "host", "layout"])
 
 
+Known = tuple[Template, dict[int, int]]
+
+
+def _known(classes: list | None, kinds: list | None) -> Known:
+    return [(c["often"], c["tokens"]) for c in classes or ()], {k["token"]: k["kind"] for k in kinds or ()}
+
+
 def _articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        classes = b.column("classes").to_pylist()
-        texts = [article(p or "", [(c["often"], c["tokens"]) for c in cs or ()]) for p, cs in zip(b.column("html").to_pylist(), classes, strict=True)]
+        rows = zip(*(b.column(c).to_pylist() for c in ("html", "classes", "kinds")), strict=True)
+        texts = [article(page or "", *_known(classes, kinds)) for page, classes, kinds in rows]
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -326,13 +428,16 @@ def _articles_by(templates: Broadcast):
     """As _articles, with the templates of all groups at hand: each page is read once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = templates.value
+        known: dict[tuple, Known] = templates.value
         for b in slices(batches):
             texts = []
             for name, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
                 found, names = tokens(page or "")
-                template = known.get((name, layout(found)))
-                texts.append(article_of(found, names, known.get((name, None), ()) if template is None else template))
+                kind = layout(found)
+                own = known.get((name, kind))
+                pooled = known.get((name, None), ([], {}))
+                classes, kinds = own or (pooled[0], pooled[1] or known.get((None, kind), ([], {}))[1])
+                texts.append(article_of(found, names, classes, kinds))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return run
@@ -348,12 +453,15 @@ def extract(pages: DataFrame, small_tokens: int = 1_000_000) -> DataFrame:
     templates = written(deduce(pages), "templates")
     keyed = pages.withColumn("host", host("url"))
     shape = "page_id long, url string, text string, n_chars long"
-    if (templates.agg(F.sum(1 + F.aggregate("classes", F.lit(0), lambda n, c: n + F.size(c.tokens)))).first()[0] or 0) <= small_tokens:
-        known = {(r.host, r.layout): [(c.often, c.tokens) for c in r.classes] for r in templates.collect()}
+    sizes = F.aggregate("classes", F.lit(0), lambda n, c: n + F.size(c.tokens)) + 2 * F.size("kinds")
+    if (templates.agg(F.sum(1 + sizes)).first()[0] or 0) <= small_tokens:
+        known = {(r.host, r.layout): _known(r.classes, r.kinds) for r in templates.collect()}
         return keyed.mapInArrow(_articles_by(pages.sparkSession.sparkContext.broadcast(known)), shape)
-    own = templates.where("layout is not null")
-    pool = templates.where("layout is null").select("host", F.col("classes").alias("pooled"))
+    own = templates.where("host is not null and layout is not null")
+    pool = templates.where("host is not null and layout is null").select("host", F.col("classes").alias("pooled"), F.col("kinds").alias("pooled_kinds"))
+    anywhere = templates.where("host is null").select("layout", F.col("kinds").alias("general_kinds"))
     laid_out = keyed.mapInArrow(_laid_out, "page_id long, url string, html string, host string, layout long")
-    joined = laid_out.join(own, ["host", "layout"], "left").join(pool, "host", "left")
-    with_classes = joined.select("page_id", "url", "html", F.coalesce("classes", "pooled").alias("classes"))
+    joined = laid_out.join(own, ["host", "layout"], "left").join(pool, "host", "left").join(anywhere, "layout", "left")
+    kinds = F.coalesce("kinds", F.expr("if(size(pooled_kinds) > 0, pooled_kinds, general_kinds)"))
+    with_classes = joined.select("page_id", "url", "html", F.coalesce("classes", "pooled").alias("classes"), kinds.alias("kinds"))
     return with_classes.mapInArrow(_articles, shape)

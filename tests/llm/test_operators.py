@@ -116,6 +116,39 @@ def test_template_decides_without_article_or_main(spark):
     assert html_template.article(rows[3][2], []) != found[3] and "Site name" in html_template.article(rows[3][2], [])
 
 
+def _without_names(page):
+    """The page in divisions whose names say nothing: no article, nav, header, footer or aside, and classes as numbers."""
+    for k, tag in enumerate(("article", "nav", "footer", "header", "aside")):
+        page = re.sub(f"<{tag}(?=[ >])", f'<div class="q{k}"' if k else "<div", page).replace(f"</{tag}>", "</div>")
+    return re.sub('class="(?!q[0-9])[^"]*"', lambda m: f'class="z{sum(map(ord, m[0]))}"', page)
+
+
+def test_template_alone_gives_the_articles_of_the_pages(spark):
+    rows = [(r.page_id, r.url, r.html) for r in table(spark, SF, "pages").collect()]
+    want = {r.page_id: r.text for r in html_template.extract(spark.createDataFrame(rows, _PAGES)).collect()}
+    bare = spark.createDataFrame([(i, url, page and _without_names(page)) for i, url, page in rows], _PAGES)
+    for found in (html_template.extract(bare), html_template.extract(bare, small_tokens=0)):
+        assert {r.page_id: r.text for r in found.collect()} == want
+    assert all(html_template.article(_without_names(page), []) != want[i] for i, _, page in rows)
+
+
+_PAGES = "page_id long, url string, html string"
+
+
+def test_kinds_of_holders(spark):
+    """Links, few variants and short texts go whatever their names; a section inside the main text stays, however short."""
+    body = "<body><div class=a><a href=x>teaser {0}</a><a href=y>teaser {0} more of it</a></div><div class=b>{2}</div><div class=c>said {0}</div><div class=d><h1>Head {0}</h1>{1}<section>end {0}</section></div></body>"
+    words = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    rows = [(i, "http://h.example/x", body.format(i, words(i), f"variant {i % 2} " + f"of{i % 2} " * 40)) for i in range(20)]
+    rows += [(100 + i, f"http://h{i}.example/x", body.format(i, words(i), words(i + 50))) for i in range(8)]  # a page a host
+    rows += [(200 + i, "http://copies.example/", body.format(1, words(1), "legal")) for i in range(8)]  # nothing varies
+    for found in (html_template.extract(spark.createDataFrame(rows, _PAGES)), html_template.extract(spark.createDataFrame(rows, _PAGES), small_tokens=0)):
+        texts = {r.page_id: r.text for r in found.collect()}
+        assert all(texts[i] == f"Head {i}\n{words(i)}\nend {i}" for i in range(20))
+        assert all(texts[100 + i] == f"{words(i + 50)}\nHead {i}\n{words(i)}\nend {i}" for i in range(8))
+        assert all("w1x59" in texts[200 + i] for i in range(8))
+
+
 def test_repeated_pages_have_a_template(spark):
     page = "<body><div>Site</div><div><p>Own {0}</div><div>Print {1}</div></body>"
     rows = [(i, "http://h.example/x", page.format(i, "small")) for i in range(8)] * 2
@@ -128,7 +161,7 @@ def test_hostile_pages(piece):
     """A megabyte of one piece, with something unclosed at its end, in seconds."""
     page = piece * (1_000_000 // len(piece)) + "'<b>x\""
     began = time.time()
-    html_template.article(page, [])
+    html_template.article(page, [], {0: html_template.SHORT})
     assert time.time() - began < 20
 
 
