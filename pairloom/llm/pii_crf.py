@@ -3,9 +3,12 @@
 Patterns find e-mail addresses, IPv4 addresses, payment cards and telephone numbers. A conditional random field,
 trained here on a bounded sample whose labels are the patterns' matches and written variants of them, adds spans of
 the same kinds. Its tokens are the words around each core: a digit, an @ or a bracketed "at" or "dot". Words further off
-are held to "outside", and the transitions from and to them count. Cores of one document that are equal, or alike in all
-but their digits, share potentials along skip edges (each with the next like one, so edges grow with the tokens), whose
-strength is learned too; loopy message passing makes their labels agree.
+are held to "outside", and the transitions from and to them count. Cores of one document that are equal but for their
+spelling, or alike in all but their digits, share potentials along skip edges (each with the next one, so edges grow with
+the tokens), with a strength of its own for each sort, learned where one end's own look is hidden. The patterns' matches
+are known labels, so loopy message passing carries them to the same thing in a spelling that neither patterns nor chain know.
+What the field adds is kept if it has the digits, or the @ in some spelling, that its kind needs.
+A word that is an entity by itself, but that a pattern ran together with its neighbours and dropped, is one in training.
 A null or empty text has no spans. Repeated rows give repeated results; other columns are ignored. Numbers of any length
 are compared as text, and work and memory grow with a text's length.
 """
@@ -199,8 +202,15 @@ def variant(text: str, spans: list[Span], pick: int) -> tuple[str, list[Span]]:
             continue
         old = text[a:b]
         if kind == "email":
-            new = old.replace("@", "[at]" if pick % 2 else "(at)")
-            new = new.replace(".", "[dot]") if pick % 3 == 0 else new
+            new = old.replace("@", ("(at)", "[at]", "{at}")[pick % 3])
+            new = new.replace(".", "[dot]") if pick % 4 == 0 else new
+        elif kind == "card" and pick % 3 == 2:  # twice side by side, which the pattern takes for one number
+            d = digits_of(old)
+            new = f"{d} {d}"
+            moved.append((kind, size + a - at, size + a - at + len(d)))
+            size += a - at + len(d) + 1
+            out += [text[at:a], f"{d} "]
+            at, new = a, d
         elif kind == "card":
             d = digits_of(old)
             new = ("." if pick % 2 else "_").join(d[i : i + 4] for i in range(0, len(d), 4))
@@ -216,6 +226,15 @@ def variant(text: str, spans: list[Span], pick: int) -> tuple[str, list[Span]]:
     return "".join(out) + text[at:], moved
 
 
+def with_numbers(text: str, pick: int) -> str:
+    """The text with a number that is no entity between two words: no address, a date, a version, an amount or a code."""
+    n = pick % 9000
+    plain = (f"{256 + n % 700}.{n % 300}.{256 + n % 90}.{n % 256}", f"20{n % 90 + 10}-{n % 12 + 1:02}-{n % 28 + 1:02}", f"{n % 20}.{n % 7}.{n % 31}", f"{n}.{n % 100:02}", f"{n % 90 + 10}-{n}-{n * 7 % 9000}-{n % 10}", f"{n % 28 + 1:02}/{n % 12 + 1:02}/{1990 + n % 40}")
+    at = text.find(" ", pick % (len(text) + 1))
+    at = at if at >= 0 else len(text)
+    return f"{text[:at]} {plain[pick % len(plain)]}{text[at:]}"
+
+
 # The model
 
 
@@ -230,18 +249,55 @@ def lengths_of(tokens: list[Token]) -> list[int]:
     return out
 
 
-def skip_edges(tokens: list[Token]) -> list[tuple[int, int]]:
-    """Each core with the next equal one, and with the next of like form (equal but for digits)."""
-    out, last = set(), {}
+def spelled_alike(text: str) -> str:
+    """The text without what spellings of one thing differ in: cases, brackets, and signs between the digits of a number."""
+    low = re.sub(r"[\[({](at|dot|\.)[\])}]", lambda m: "@" if m[1] == "at" else ".", text.lower())
+    if sum(c.isdigit() for c in low) < 9 or re.search(r"[^0-9\s._+()/-]", low) or re.fullmatch(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", low):
+        return low
+    return digits_of(low).lstrip("0")
+
+
+#: Sorts of skip edges.
+SAME, LIKE = 0, 1
+
+
+def skip_edges(tokens: list[Token], whole: dict[int, str] | None = None) -> list[tuple[int, int, int]]:
+    """Each core with the next that is the same but for spelling, and with the next of like form (equal but for digits).
+
+    whole: entities of several words by their beginning; these are compared as a whole.
+    """
+    out, last = {}, {}
     for k, t in enumerate(tokens):
         if not t.core:
             continue
-        low = t.text.lower()
-        for key in (("same", low), ("like", re.sub("[0-9]", "9", low))):
-            if (j := last.get(key)) is not None and not (t.joined and j == k - 1):
-                out.add((j, k))
+        keys = [(SAME, spelled_alike(t.text)), (LIKE, re.sub("[0-9]", "9", t.text.lower()))]
+        if whole and (entity := whole.get(t.start)) and entity != t.text:
+            keys.append((SAME, spelled_alike(entity)))
+        for key in keys:
+            if (j := last.get(key)) is not None and j != k and not (t.joined and j == k - 1):
+                out.setdefault((j, k), key[0])
             last[key] = k
-    return sorted(out)
+    return [(*e, sort) for e, sort in sorted(out.items())]
+
+
+def plausible(kind: str, text: str) -> bool:
+    """Whether a span that the field adds has what its kind can't be without, in any spelling."""
+    n = len(digits_of(text))
+    if kind == "email":
+        return "@" in spelled_alike(text)
+    if kind == "ip":
+        runs = re.findall("[0-9]+", text)
+        return len(runs) == 4 and all(map(octet, runs))
+    return 9 <= n <= 15 if kind == "phone" else 13 <= n <= 19 and luhn(digits_of(text))
+
+
+def alone(tokens: list[Token], covered: Covered) -> list[Span]:
+    """Cores outside what is covered that are entities by themselves."""
+    found = []
+    for t in tokens:
+        if t.core and not covered.meets(t.start, t.end):
+            found += [(kind, t.start, t.end) for kind, a, b in base_spans(t.text) if b - a == len(t.text)][:1]
+    return found
 
 
 #: Labels of one kind, B and I, agree.
@@ -283,26 +339,41 @@ def beliefs(e: np.ndarray, edges: np.ndarray, potentials: np.ndarray, which: np.
     return _softmax(belief), x / x.sum((1, 2), keepdims=True)
 
 
+#: What a known label adds to its token's emission.
+SURE = 20.0
+
+
 @dataclass
 class SkipChain:
+    """strength: of edges between cores that are the same; like: of those between cores of like form."""
+
     chain: Chain
     strength: float = 1.0
     least: float = 0.8
+    like: float = 0.0
 
-    def marginals(self, flat: Flat, skips: list[tuple[int, int]]) -> np.ndarray:
-        """Each token's probabilities of the labels; forward and backward alone where there are no skip edges."""
+    def marginals(self, flat: Flat, skips: list[tuple[int, ...]], known: np.ndarray | None = None) -> np.ndarray:
+        """Each token's probabilities of the labels; forward and backward alone where there are no skip edges.
+        skips: (token, token, sort), or two tokens that are the same; known: labels told beforehand, 0 where none is."""
         if not skips:
             return self.chain.marginals(flat)
-        return self._with_skips(flat, np.array(skips, np.int64), joint=False)[0]
+        edges = np.array([(*s, SAME)[:3] for s in skips], np.int64)
+        return self._with_skips(flat, edges, known, joint=False)[0]
 
-    def _with_skips(self, flat: Flat, skips: np.ndarray, joint: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
-        """Tokens' beliefs and, if asked for, skip edges'."""
+    def _with_skips(self, flat: Flat, skips: np.ndarray, known: np.ndarray | None = None, hidden: np.ndarray | None = None, joint: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+        """Tokens' beliefs and, if asked for, skip edges'. hidden: tokens whose own features don't count."""
         first = np.cumsum(flat.lengths) - flat.lengths
-        e = self.chain.bounded(self.chain.emissions(flat), first, first + flat.lengths - 1)
+        e = self.chain.emissions(flat)
+        if hidden is not None:
+            e[hidden] = 0.0
+        if known is not None:
+            at = np.flatnonzero(known)
+            e[at, known[at]] += SURE
+        e = self.chain.bounded(e, first, first + flat.lengths - 1)
         inner = np.setdiff1d(np.arange(len(e)), first)
-        edges = np.concatenate([np.stack([inner - 1, inner], 1), skips])
-        which = np.concatenate([np.zeros(len(inner), np.int64), np.ones(len(skips), np.int64)])
-        p, pairs = beliefs(e, edges, np.stack([self.chain.transitions, self.strength * AGREE]), which, joint=joint)
+        edges = np.concatenate([np.stack([inner - 1, inner], 1), skips[:, :2]])
+        which = np.concatenate([np.zeros(len(inner), np.int64), 1 + skips[:, 2]])
+        p, pairs = beliefs(e, edges, np.stack([self.chain.transitions, self.strength * AGREE, self.like * AGREE]), which, joint=joint)
         return p, pairs[len(inner) :] if joint else None
 
     def spans(self, text: str, columns: Columns, base: list[Span]) -> list[Span]:
@@ -312,7 +383,7 @@ class SkipChain:
             return base
         flat = Flat.of([[columns.of(names_of(tokens, k)) for k in range(len(tokens))]])
         flat.lengths = np.array(lengths_of(tokens), np.int64)
-        p = self.marginals(flat, skip_edges(tokens))
+        p = self.marginals(flat, skip_edges(tokens, {a: text[a:b] for _, a, b in base}), np.array(labelled(tokens, base), np.int64))
         best = np.where(p.max(1) >= self.least, p.argmax(1), 0).tolist()
         added: list[list] = []
         for k, (t, label) in enumerate(zip(tokens, best, strict=True)):
@@ -321,7 +392,7 @@ class SkipChain:
                 added[-1][2:] = [t.end, k, added[-1][4] or t.core]
             elif kind:
                 added.append([kind, t.start, t.end, k, t.core])
-        free = [(kind, a, b) for kind, a, b, _, core in added if core and not covered.meets(a, b)]
+        free = [(kind, a, b) for kind, a, b, _, core in added if core and not covered.meets(a, b) and plausible(kind, text[a:b])]
         return sorted(base + free, key=lambda s: (KINDS.index(s[0]), s[1])) if free else base
 
 
@@ -330,7 +401,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(1, keepdims=True)
 
 
-_CASE = "columns array<int>, sizes array<int>, lengths array<int>, labels array<int>, skips array<int>"
+_CASE = "columns array<int>, sizes array<int>, lengths array<int>, labels array<int>, skips array<int>, known array<int>"
 
 
 def _cases(max_tokens: int):
@@ -343,12 +414,16 @@ def _cases(max_tokens: int):
             for text in b.column("text").to_pylist():
                 spans = base_spans(text)
                 pick = int.from_bytes(hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=2).digest(), "little")
-                for t, own in ((text, spans), *((variant(text, spans, pick + k) for k in range(4)) if spans else ())):
+                set_in = with_numbers(text, pick)
+                for t, own in ((text, spans), (set_in, base_spans(set_in)), *((variant(text, spans, pick + k) for k in range(4)) if spans else ())):
                     tokens = tokens_of(t)
                     if 0 < len(tokens) <= max_tokens:
                         marks = [columns.of(names_of(tokens, k)) for k in range(len(tokens))]
-                        rows.append(([c for m in marks for c in m], [len(m) for m in marks], lengths_of(tokens), labelled(tokens, own), [x for e in skip_edges(tokens) for x in e]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int32())) for c in (zip(*rows, strict=True) if rows else [()] * 5)], ["columns", "sizes", "lengths", "labels", "skips"])
+                        told = base_spans(t)
+                        own = own + alone(tokens, Covered([s[1:] for s in own]))
+                        edges = skip_edges(tokens, {a: t[a:b] for _, a, b in told})
+                        rows.append(([c for m in marks for c in m], [len(m) for m in marks], lengths_of(tokens), labelled(tokens, own), [x for e in edges for x in e], labelled(tokens, told)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int32())) for c in (zip(*rows, strict=True) if rows else [()] * 6)], ["columns", "sizes", "lengths", "labels", "skips", "known"])
 
     return run
 
@@ -356,9 +431,11 @@ def _cases(max_tokens: int):
 def learn(docs: DataFrame, max_rows: int = 1_500, max_tokens: int = 1_000, least: float = 0.8) -> SkipChain:
     """A model from at most max_rows documents with a digit or @ and at most max_tokens tokens, chosen by a hash of doc_id.
 
-    Four variants of each document with entities have them in spellings that the patterns miss. Features are made in tasks,
-    and numbers alone reach the driver. The chain is trained first, by itself; the strength of the skip edges then climbs
-    the likelihood under the beliefs of message passing. Without documents, nothing is added.
+    Four variants of each document with entities have them in spellings that the patterns miss; one of each document has
+    a number set in that is none. Features are made in tasks,
+    and numbers alone reach the driver. The chain is trained first, by itself; the strengths of the skip edges then climb the
+    likelihood under the beliefs of message passing, with the features of each edge's second end hidden, as in a spelling
+    that the chain doesn't know. Without documents, nothing is added.
     """
     chosen = bounded_sample(docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", "text"), "doc_id", max_rows)
     rows = sorted(chosen.select("text").mapInArrow(_cases(max_tokens), _CASE).collect())
@@ -368,12 +445,18 @@ def learn(docs: DataFrame, max_rows: int = 1_500, max_tokens: int = 1_000, least
     linked = [r for r in rows if r.skips]
     if linked:
         starts = np.cumsum([0, *(len(r.labels) for r in linked)])
-        skips = np.concatenate([np.array(r.skips, np.int64).reshape(-1, 2) + s for r, s in zip(linked, starts, strict=False)])
+        skips = np.concatenate([np.array(r.skips, np.int64).reshape(-1, 3) + [s, s, 0] for r, s in zip(linked, starts, strict=False)])
         own, flat = np.array([y for r in linked for y in r.labels], np.int64), flat_of(linked)
-        agreed = AGREE[own[skips[:, 0]], own[skips[:, 1]]].mean()
+        hidden = np.unique(skips[:, 1])
+        known = np.array([y for r in linked for y in r.known], np.int64)
+        known[hidden] = 0
+        sorts = [skips[:, 2] == sort for sort in (SAME, LIKE)]
+        agreed = AGREE[own[skips[:, 0]], own[skips[:, 1]]]
         for _ in range(20):
-            expected = (model._with_skips(flat, skips)[1] * AGREE).sum((1, 2)).mean()
-            model.strength = max(0.0, model.strength + 5.0 * (agreed - expected - 0.01 * model.strength))
+            expected = (model._with_skips(flat, skips, known, hidden)[1] * AGREE).sum((1, 2))
+            steps = [(agreed[of] - expected[of]).mean() if of.any() else 0.0 for of in sorts]
+            model.strength = max(0.0, model.strength + 5.0 * (steps[SAME] - 0.01 * model.strength))
+            model.like = max(0.0, model.like + 5.0 * (steps[LIKE] - 0.01 * model.like))
     return model
 
 

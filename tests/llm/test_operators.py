@@ -530,6 +530,56 @@ def test_repeats_agree():
     assert pii_crf.SkipChain(chain, 2.0).marginals(flat, [(0, 1)]).argmax(1).tolist() != pii_crf.SkipChain(chain, 2.0).marginals(flat, []).argmax(1).tolist()
 
 
+def test_spelled_alike():
+    same = [["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"], ["+1 (743) 555-3824", "17435553824", "001 743 555 3824"], ["A.B@c.org", "a.b(at)c.org", "a[dot]b{at}c[dot]org"], ["192.168.100.200", "192[.]168[.]100[.]200"]]
+    keys = [{pii_crf.spelled_alike(t) for t in row} for row in same]
+    assert all(len(k) == 1 for k in keys) and len(set.union(*keys)) == len(same)
+    assert len({pii_crf.spelled_alike(t) for t in ("1.2.3", "12.3", "123", "192.168.100.200", "192168100200")}) == 5
+
+
+def _planted(docs, pieces):
+    """Texts with pieces between two of their words, and where the first piece is then."""
+    for k, (text, row) in enumerate(zip(docs, pieces, strict=False)):
+        words = text.split(" ")
+        at = k * 31 % (len(words) + 1)
+        before = "".join(w + " " for w in words[:at])
+        yield " ".join([before + row[0], *words[at:], *row[1:]]), len(before)
+
+
+def test_entities_that_the_patterns_miss(spark):
+    """Found: numbers that a pattern runs together, and known things in unknown spellings, the latter by skip edges alone.
+    Nothing is added to plain numbers, and to documents as they are nothing but cards side by side."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").where("text is not null")
+    model, columns = pii_crf.learn(docs), chain_crf.Columns()
+    added = lambda m, t: [s for s in m.spans(t, columns, base) if s not in base] if (base := pii_crf.base_spans(t)) is not None else []
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    for t in texts:
+        assert all(k == "card" and pii_crf.luhn(t[a:b]) and 13 <= b - a <= 19 for k, a, b in added(model, t))
+    draw = random.Random(3)
+    first = ["4" + "".join(draw.choice("0123456789") for _ in range(14)) for _ in range(100)]
+    cards = [next(c + d for d in "0123456789" if pii_crf.luhn(c + d)) for c in first]
+    phones = ["1" + "".join(draw.choice("23456789") for _ in range(10)) for _ in range(100)]
+    short = [t for t in texts if len(t) < 6_000][:100]
+    # two cards that the pattern takes for one number
+    twice = list(_planted(short, [(f"{c} {c}",) for c in cards]))
+    found = [{("card", at, at + 16), ("card", at + 17, at + 33)} & set(added(model, t)) for t, at in twice]
+    assert sum(map(len, found)) >= 0.95 * 2 * len(twice)
+    # known elsewhere in the text: with skip edges, and without
+    chain = pii_crf.SkipChain(model.chain, 0.0, model.least, 0.0)
+    for kind, pieces in (("card", [(f"({c[:8]}){c[8:]}", c) for c in cards]), ("phone", [(p, f"+{p[0]} ({p[1:4]}) {p[4:7]}-{p[7:]}") for p in phones])):
+        known = [(t, (kind, at, at + len(row[0]))) for (t, at), row in zip(_planted(short, pieces), pieces, strict=True)]
+        assert sum(s in added(model, t) for t, s in known) >= 0.85 * len(known)
+        assert sum(s in added(chain, t) for t, s in known) <= 0.2 * len(known)
+    # what is none, half of it in forms that training lacks
+    for plain in ("10:42:17.306", "4,513,220", "ISBN 978-3-551-55167-2", "7301928455", "300.12.400.1", "2021-11-04", "4111111111111112", "3.1.4"):
+        for (t, at), bare in zip(_planted(short, [(plain,)] * 100), short, strict=True):
+            assert not [s for s in added(model, t) if s[1] < at + len(plain) and s[2] > at], (plain, bare[:40])
+    # through the query: the same document with and without the known spelling
+    rows = [(1, f"call {phones[0]} or +1 ({phones[0][1:4]}) {phones[0][4:7]}-{phones[0][7:]} of the"), (2, f"call {phones[0]} or not of the")]
+    out = {r.doc_id: r.spans for r in pii_crf.find(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert out[1] == "phone:5:16,phone:20:37" and out[2] == ""
+
+
 LONG = ["9" * 10_000 + ".1.1.1", "1.1.1." + "0" * 9_000 + "255", "1.1.1.256 " * 3, "+1" + " " * 50_000, "+" + "1" * 50_000, "a" * 100_000 + "@" * 1_000, "1 " * 100_000, "token" + " " * 50_000, "0123456789abcde " * 20_000, "x1" * 100_000, "(at)" * 20_000]
 
 
