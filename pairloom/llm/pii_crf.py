@@ -401,7 +401,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(1, keepdims=True)
 
 
-_CASE = "columns array<int>, sizes array<int>, lengths array<int>, labels array<int>, skips array<int>, known array<int>"
+_CASE = "columns array<int>, sizes array<int>, lengths array<int>, labels array<int>, skips array<int>, known array<int>, twice array<int>"
 
 
 def _cases(max_tokens: int):
@@ -415,34 +415,43 @@ def _cases(max_tokens: int):
                 spans = base_spans(text)
                 pick = int.from_bytes(hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=2).digest(), "little")
                 set_in = with_numbers(text, pick)
-                for t, own in ((text, spans), (set_in, base_spans(set_in)), *((variant(text, spans, pick + k) for k in range(4)) if spans else ())):
+                cases = [(text, spans, ()), (set_in, base_spans(set_in), ())]
+                if spans:
+                    others = [variant(text, spans, pick + k) for k in range(4)]
+                    size = len(text) + 1
+                    cases += [(*o, ()) for o in others]
+                    cases.append((f"{text}\n{others[0][0]}", spans + [(k, a + size, b + size) for k, a, b in others[0][1]], (1,)))
+                for t, own, twice in cases:
                     tokens = tokens_of(t)
                     if 0 < len(tokens) <= max_tokens:
                         marks = [columns.of(names_of(tokens, k)) for k in range(len(tokens))]
                         told = base_spans(t)
                         own = own + alone(tokens, Covered([s[1:] for s in own]))
                         edges = skip_edges(tokens, {a: t[a:b] for _, a, b in told})
-                        rows.append(([c for m in marks for c in m], [len(m) for m in marks], lengths_of(tokens), labelled(tokens, own), [x for e in edges for x in e], labelled(tokens, told)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int32())) for c in (zip(*rows, strict=True) if rows else [()] * 6)], ["columns", "sizes", "lengths", "labels", "skips", "known"])
+                        rows.append(([c for m in marks for c in m], [len(m) for m in marks], lengths_of(tokens), labelled(tokens, own), [x for e in edges for x in e], labelled(tokens, told), twice))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int32())) for c in (zip(*rows, strict=True) if rows else [()] * 7)], ["columns", "sizes", "lengths", "labels", "skips", "known", "twice"])
 
     return run
 
 
-def learn(docs: DataFrame, max_rows: int = 1_500, max_tokens: int = 1_000, least: float = 0.8) -> SkipChain:
+def learn(docs: DataFrame, max_rows: int = 1_500, max_tokens: int = 1_000, least: float = 0.8, max_linked: int = 300) -> SkipChain:
     """A model from at most max_rows documents with a digit or @ and at most max_tokens tokens, chosen by a hash of doc_id.
 
     Four variants of each document with entities have them in spellings that the patterns miss; one of each document has
     a number set in that is none. Features are made in tasks,
     and numbers alone reach the driver. The chain is trained first, by itself; the strengths of the skip edges then climb the
     likelihood under the beliefs of message passing, with the features of each edge's second end hidden, as in a spelling
-    that the chain doesn't know. Without documents, nothing is added.
+    that the chain doesn't know; they are learned from max_linked texts, documents with one of their variants behind them and
+    documents that repeat something themselves. Without documents, nothing is added.
     """
     chosen = bounded_sample(docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", "text"), "doc_id", max_rows)
     rows = sorted(chosen.select("text").mapInArrow(_cases(max_tokens), _CASE).collect())
     flat_of = lambda rows: Flat(np.array([c for r in rows for c in r.columns], np.int64), np.cumsum([0, *(n for r in rows for n in r.sizes)]), np.array([n for r in rows for n in r.lengths], np.int64))
-    labels = np.array([y for r in rows for y in r.labels], np.int64)
-    model = SkipChain(train(flat_of(rows), labels, WIDTH, len(LABELS), held=True, l2=0.0005, steps=150), 0.0, least)
+    single = [r for r in rows if not r.twice]
+    labels = np.array([y for r in single for y in r.labels], np.int64)
+    model = SkipChain(train(flat_of(single), labels, WIDTH, len(LABELS), held=True, l2=0.0005, steps=150), 0.0, least)
     linked = [r for r in rows if r.skips]
+    linked = linked[:: -(-len(linked) // max_linked) or 1]
     if linked:
         starts = np.cumsum([0, *(len(r.labels) for r in linked)])
         skips = np.concatenate([np.array(r.skips, np.int64).reshape(-1, 3) + [s, s, 0] for r, s in zip(linked, starts, strict=False)])
