@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,18 +68,32 @@ def line_script(left: str | None, right: str | None) -> list[tuple[str, int | No
     return out[::-1]
 
 
-def line_diff(pairs: DataFrame) -> DataFrame:
-    """pairs (a_id, b_id, text_a, text_b) as rows a_id, b_id, at, kind, left_index, right_index and line."""
+#: So many rows of a line diff, about, are in one batch.
+ROWS = 50_000
+
 
-    @F.pandas_udf("array<struct<kind:string,left_index:int,right_index:int,line:string>>")
-    def script(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(left, right, strict=True):
-            x, y = split_lines(a or ""), split_lines(b or "")
-            out.append([{"kind": k, "left_index": i, "right_index": j, "line": y[j] if i is None else x[i]} for k, i, j in line_script(a, b)])
-        return pd.Series(out)
+def _scripts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the line diffs of a_id, b_id, text_a and text_b; no more pairs are held than `ROWS` rows need."""
+    schema = None
+    for batch in batches:
+        schema = schema or pa.schema([batch.schema.field("a_id"), batch.schema.field("b_id"), ("at", pa.int32()), ("kind", pa.string()), ("left_index", pa.int32()), ("right_index", pa.int32()), ("line", pa.string())])
+        columns: list[list] = [[] for _ in schema]
+        for k in range(batch.num_rows):
+            a_id, b_id, left, right = (batch.column(c)[k].as_py() for c in ("a_id", "b_id", "text_a", "text_b"))
+            x, y = split_lines(left or ""), split_lines(right or "")
+            for at, (kind, i, j) in enumerate(line_script(left, right)):
+                for c, v in zip(columns, (a_id, b_id, at, kind, i, j, y[j] if i is None else x[i]), strict=True):
+                    c.append(v)
+            if len(columns[0]) >= ROWS or k == batch.num_rows - 1:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                columns = [[] for _ in schema]
 
-    return pairs.select("a_id", "b_id", F.posexplode(script("text_a", "text_b")).alias("at", "d")).select("a_id", "b_id", "at", "d.*")
+
+def line_diff(pairs: DataFrame) -> DataFrame:
+    """pairs (a_id, b_id, text_a, text_b) as rows a_id, b_id, at, kind, left_index, right_index and line."""
+    kinds = dict(pairs.dtypes)
+    read = pairs.select("a_id", "b_id", F.col("text_a").cast("string"), F.col("text_b").cast("string"))
+    return read.mapInArrow(_scripts, f"a_id {kinds['a_id']}, b_id {kinds['b_id']}, at int, kind string, left_index int, right_index int, line string")
 
 
 def changed_rows(diff: DataFrame) -> DataFrame:
