@@ -1,15 +1,15 @@
 """An interpolated modified Kneser-Ney n-gram model of any order, counted in Spark and memory-mapped by its workers.
 
-Words are numbered by the place of their 64-bit hash in sorted arrays, one file for each range of hashes. Tasks count
-n-grams of word numbers and send them, sorted and packed, to parts by the hash of the words before the last; a context
+Words are looked up by their 64-bit hash in sorted arrays, one file for each range of hashes, and numbered by falling powers
+of two of their counts, so that most numbers sent are small and pack well. Tasks count n-grams of word numbers and send them, sorted and packed, to parts by the hash of the words before the last; a context
 that may be frequent is dealt by its last word too, so no part depends on one context. Each part becomes a sorted array
 of 64-bit hashes of n-grams beside their counts, written range by range of hashes. What it says of n-grams one word
 shorter (occurrences as a context, continuations, words before) goes to the parts of the next order down, and at last to
 blocks of word numbers. Scoring tasks map these files and look up what a batch of texts needs part by part, so neither
 the driver nor a worker holds the model in memory.
 
-Two n-grams whose 64-bit hashes are equal count as one: for 10**11 distinct ones, a lookup of an unseen one goes wrong
-once in 10**8. A text begins with order - 1 marks, and n-grams that begin with one keep their occurrences where others
+Two n-grams whose 64-bit hashes are equal count as one. Of a hash, files keep 40 bits besides those that its place tells, so a
+lookup of an unseen n-gram goes wrong once in 10**10. A text begins with order - 1 marks, and n-grams that begin with one keep their occurrences where others
 count the words before them.
 
 A null or empty text is the end token alone. Repeated rows count and are scored each by itself; other columns are
@@ -18,6 +18,7 @@ ignored. Words not seen in training share one probability. Without training text
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,26 +30,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.shared_files import Appender, load, save
-from pairloom.llm.words import mixed, slices, spaced_words, utf8
+from pairloom.llm.words import mixed, slices, utf8
 from pairloom.sources.tables import shared_dir, written
 
 END = b" end"  # no word holds a space
 
 
+#: Longer words are hashed one by one.
+_LONG = 64
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+_SEED = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hashed(raw: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word of raw, by its size and its bytes, eight at a time; raw ends with eight bytes more."""
+    eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))  # the eight bytes from each place on
+    out = mixed(sizes.astype(np.uint64) + _SEED)
+    left = np.flatnonzero(sizes <= _LONG)
+    for at in range(0, _LONG, 8):
+        left = left[sizes[left] > at]
+        if not len(left):
+            break
+        over = np.uint64(8) * np.maximum(0, at + 8 - sizes[left]).astype(np.uint64)
+        piece = eight[starts[left] + at] & (np.uint64(2**64 - 1) >> over)
+        out[left] = mixed(out[left] * _SEED + piece)
+    for k in np.flatnonzero(sizes > _LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(raw[starts[k] : starts[k] + sizes[k]], digest_size=8).digest(), "little")
+    return out
+
+
 def hashed_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes, each token's place among them, and each text's number of tokens."""
-    words = [[*spaced_words(t.lower()), END] for t in texts]
-    flat = np.empty(sum(map(len, words)), object)
-    flat[:] = [x for w in words for x in w]
-    codes, unique = pd.factorize(flat)
-    return (pd.util.hash_array(unique, categorize=False) if len(unique) else np.zeros(0, np.uint64)), codes, np.array([len(w) for w in words], np.int64)
+    raw = b" " + b"".join(t + b" " for t in texts).lower() + b" " * 8
+    space = _SPACE[np.frombuffer(raw, np.uint8)]
+    turns = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, ends = turns[::2], turns[1::2]
+    hashes = _hashed(raw, starts, ends - starts)
+    closed = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]) + 1) if texts else np.zeros(0, np.int64)
+    codes, unique = pd.factorize(np.insert(hashes, closed, _END))
+    return unique, codes, np.diff(closed, prepend=0) + 1
+
+
+_END = _hashed(END + b" " * 8, np.array([0]), np.array([len(END)]))[0]
+
+
+def _order(keys: np.ndarray) -> np.ndarray:
+    """np.argsort(keys, kind="stable") of numbers without sign: places ride in the low bits of one plain sort, which is several
+    times faster; keys that differ only in bits left out for that are put right after."""
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    bits = (len(keys) - 1).bit_length()
+    shift = max(0, int(keys.max()).bit_length() + bits - 64)
+    packed = (keys.astype(np.uint64) >> np.uint64(shift)) << np.uint64(bits) | np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    order = (packed & np.uint64(2**bits - 1)).astype(np.int64)
+    found = keys[order]
+    return order[np.argsort(found, kind="stable")] if shift and (found[1:] < found[:-1]).any() else order
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order with their counts."""
-    order = np.argsort(keys, kind="stable")
+    order = _order(keys)
     keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    first = _firsts(keys)
     return keys[first], (np.add.reduceat(counts, first) if len(first) else counts)
 
 
@@ -81,14 +125,24 @@ def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(tally.keys[at : at + 50_000].view(np.int64)), pa.array(tally.counts[at : at + 50_000])], ["hash", "n"])
 
 
+_CLASSES = 64
+
+
+def _class_of(counts: np.ndarray) -> np.ndarray:
+    """The power of two below each count."""
+    return np.frexp(counts.astype(np.float64))[1].astype(np.int64) - 1
+
+
 @dataclass(frozen=True)
 class Vocabulary:
-    """sizes: words in each range of hashes; bits: how many leading bits name the range."""
+    """sizes: words in each range of hashes; bits: how many leading bits name the range; classes: for each range, the words
+    by the power of two of their counts."""
 
     folder: str
     bits: int
     sizes: tuple[int, ...]
     tokens: int
+    classes: tuple[tuple[int, ...], ...] = ()
 
     @property
     def words(self) -> int:
@@ -97,9 +151,10 @@ class Vocabulary:
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each hash's word number and count; -1 and 0 for words that training hasn't seen."""
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        order = np.argsort(hashes)
+        order = _order(hashes)
         ordered = hashes[order]
-        starts = np.concatenate([[0], np.cumsum(self.sizes)])
+        falling = np.array(self.classes, np.int64).T[::-1]  # numbers go by class, the highest first, then by range
+        starts = (np.cumsum(falling) - falling.ravel()).reshape(falling.shape)[::-1]
         cuts = np.searchsorted(ordered, np.arange(len(self.sizes), dtype=np.uint64) << np.uint64(64 - self.bits)) if self.bits else np.array([0])
         for r, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(ordered)], strict=True)):
             if a == b or not self.sizes[r]:
@@ -107,8 +162,8 @@ class Vocabulary:
             keys, n = load(self.folder, f"words-{r}", "uint64"), load(self.folder, f"counts-{r}", "int64")
             at = np.minimum(np.searchsorted(keys, ordered[a:b]), len(keys) - 1)
             ok = keys[at] == ordered[a:b]
-            ids[order[a:b][ok]] = starts[r] + at[ok]
             counts[order[a:b][ok]] = n[at[ok]]
+            ids[order[a:b][ok]] = starts[_class_of(n[at[ok]]), r] + load(self.folder, f"ranks-{r}", "uint32")[at[ok]]
         return ids, counts
 
 
@@ -138,15 +193,22 @@ def vocabulary(texts: DataFrame, folder: str, a_file: int = 500_000) -> Vocabula
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (r,), held in _grouped(batches):
             hashes, n = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in (1, 2))
-            order = np.argsort(hashes.view(np.uint64))
+            order = _order(hashes.view(np.uint64))
             save(folder, f"words-{r}", hashes.view(np.uint64)[order])
             save(folder, f"counts-{r}", n[order])
-            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([len(n)], pa.int64())], ["range", "words"])
+            classes = _class_of(n[order])
+            sizes = np.bincount(classes, minlength=_CLASSES)
+            by = _order(classes.astype(np.uint64))
+            ranks = np.zeros(len(n), np.uint32)
+            ranks[by] = np.arange(len(n)) - (np.cumsum(sizes) - sizes)[classes[by]]
+            save(folder, f"ranks-{r}", ranks)
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([sizes.tolist()], pa.list_(pa.int64()))], ["range", "words"])
 
     leading = F.shiftrightunsigned("hash", 64 - bits).cast("int") if bits else F.lit(0)
     dealt = counted.select(leading.alias("range"), "hash", "n").repartition(ranges, "range").sortWithinPartitions("range")
-    sizes = {r.range: r.words for r in dealt.mapInArrow(store, "range int, words long").collect()}  # one row for each file
-    return Vocabulary(folder, bits, tuple(sizes.get(r, 0) for r in range(ranges)), tokens)
+    found = {r.range: tuple(r.words) for r in dealt.mapInArrow(store, "range int, words array<long>").collect()}  # one row for each file
+    classes = tuple(found.get(r, (0,) * _CLASSES) for r in range(ranges))
+    return Vocabulary(folder, bits, tuple(map(sum, classes)), tokens, classes)
 
 
 # N-grams
@@ -213,7 +275,8 @@ class Layout:
     def of(cls, tokens: int, a_bucket: int, most_parts: int) -> Layout:
         buckets = max(1, -(-tokens // a_bucket))
         parts = min(buckets, most_parts)
-        return cls(parts, max(0, int(np.ceil(np.log2(buckets / parts)))), a_bucket)
+        # a row is several columns, and there are copies while rows are sorted and summed: a quarter is held at a time
+        return cls(parts, max(0, int(np.ceil(np.log2(buckets / parts)))) + 2, a_bucket)
 
     def part_of(self, keys: np.ndarray) -> np.ndarray:
         return (mixed(keys) % np.uint64(self.parts)).astype(np.int64)
@@ -230,6 +293,11 @@ class Layout:
         return rows.repartition(self.parts, "part").sortWithinPartitions("part", "range")
 
 
+def _firsts(values: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+
+
 def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
     """First and last + 1 of each run of equal values."""
     cuts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]])) if len(values) else np.zeros(1, int)
@@ -239,7 +307,9 @@ def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
 def _blobs(parts: np.ndarray, ranges: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
     """The columns by part and range, in the order of the first column."""
     to = parts * (int(ranges.max(initial=0)) + 1) + ranges
-    order = np.lexsort((columns[0], to))
+    first = columns[0].astype(np.uint64)
+    top = int(first.max(initial=0)) + 1
+    order = _order(to.astype(np.uint64) * np.uint64(top) + first) if top * (int(to.max(initial=0)) + 1) < 2**64 else np.lexsort((first, to))
     for a, b in _runs(to[order]):
         rows = order[a:b]
         yield int(parts[rows[0]]), int(ranges[rows[0]]), _packed([c[rows] for c in columns])
@@ -261,8 +331,8 @@ def _counted(words: Vocabulary, order: int, layout: Layout, texts: int, room: in
 
         def merge() -> None:
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            by = np.argsort(columns[0], kind="stable")
-            first = np.array([a for a, _ in _runs(columns[0][by])], np.int64) if len(by) > 1 else np.arange(len(by))
+            by = _order(columns[0])
+            first = _firsts(columns[0][by])
             held[:] = [[np.add.reduceat(c[by], first) if k == 2 and len(first) else c[by[first]] for k, c in enumerate(columns)]]
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -276,10 +346,10 @@ def _counted(words: Vocabulary, order: int, layout: Layout, texts: int, room: in
         for b in slices(batches):
             hashes, codes, sizes = hashed_tokens(utf8(b.column(0)))
             ids, n = words.find(hashes)
-            grams = _grams(ids[codes], sizes, order, words.words)
-            keys, first, counts = np.unique(key_of(grams), return_index=True, return_counts=True)
-            grams = [g[first] for g in grams]
-            parts = layout.salted_part_of(key_of(grams[:-1]), grams[-1], _least(grams[:-1], ids, n, words.words, texts)).astype(np.int32)
+            places, _, counts = _distinct(_grams(codes, sizes, order, len(hashes)))
+            grams = [np.append(ids, words.words)[c] for c in places]
+            parts = layout.salted_part_of(key_of(grams[:-1]), grams[-1], _least(places[:-1], n, texts)).astype(np.int32)
+            keys = key_of(grams)
             held.append([keys, parts, counts, *grams])
             new += len(keys)
             if new > room // 2:
@@ -292,14 +362,19 @@ def _counted(words: Vocabulary, order: int, layout: Layout, texts: int, room: in
     return run
 
 
-def _least(grams: list[np.ndarray], ids: np.ndarray, counts: np.ndarray, start: int, starts: int) -> np.ndarray:
-    """The least count of each row's words: how often the row may occur at most. ids, counts: the words of the batch."""
-    order = np.argsort(ids, kind="stable")
-    known, of = np.concatenate([ids[order], [start]]), np.concatenate([counts[order], [starts]])
-    out = np.full(len(grams[0]), np.iinfo(np.int64).max)
-    for g in grams:
-        out = np.minimum(out, of[np.searchsorted(known, g)])
-    return out
+def _distinct(grams: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The distinct rows of grams, which of them each row is, and how often each occurs."""
+    of, keys = pd.factorize(key_of(grams))
+    first = np.zeros(len(keys), np.int64)
+    first[of] = np.arange(len(of))  # any row of a key does
+    return [g[first] for g in grams], of, np.bincount(of, minlength=len(keys))
+
+
+def _least(places: list[np.ndarray], counts: np.ndarray, starts: int) -> np.ndarray:
+    """The least count of each row's words: how often the row may occur at most. places: of its words among those of the
+    batch, which have these counts; the start of a text comes after them."""
+    of = np.append(counts, starts)
+    return np.minimum.reduce([of[p] for p in places])
 
 
 #: What is kept about each n-gram below the highest order: its occurrences as a context, its continuations seen once, twice
@@ -309,8 +384,8 @@ CONTEXT = ("total", "once", "twice", "more", "before")
 
 def _summed_by(keys: np.ndarray, columns: list[np.ndarray], ids: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Distinct keys in order, sums of the columns and the words of each."""
-    by = np.argsort(keys, kind="stable")
-    first = np.array([a for a, _ in _runs(keys[by])], np.int64) if len(by) > 1 else np.arange(len(by))
+    by = _order(keys)
+    first = _firsts(keys[by])
     return keys[by[first]], [np.add.reduceat(c[by], first) if len(first) else c for c in columns], [c[by[first]] for c in ids]
 
 
@@ -329,32 +404,98 @@ def _shorter(ids: list[np.ndarray], counts: np.ndarray, start: int) -> tuple[lis
 
 _TOLD = {**_BLOB_TYPES, "sums": pa.list_(pa.int64())}
 _TOLD_SQL = "part int, range int, blob binary, sums array<long>"
-_FULL = 2**32 - 1  # stands for this and higher numbers, which are in a file of their own
+_FULL = 2**8 - 1  # stands for this and higher numbers, which are in a file of their own
+
+
+def _narrowed(about: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A byte for each number, and which rows have a number that is too large for it."""
+    return np.minimum(about, _FULL).astype(np.uint8), (about >= _FULL).any(1)
+
+
+_KEY = 40  # bits of a key that are stored; those before them are told by its place
+
+
+def _place_bits(n: int) -> int:
+    """How many leading bits of a key tell its place among n keys, about 64 of which share them."""
+    return max(0, n.bit_length() - 7)
+
+
+class Keys:
+    """A file of sorted keys, five bytes each, and one of where the keys of each run of leading bits begin. Not all bits of a
+    key are kept: one that is not there is taken for one that is once in 10**10."""
+
+    @staticmethod
+    def save(folder: str, name: str, keys: list[np.ndarray]) -> None:
+        n = sum(map(len, keys))
+        bits, file, counts = _place_bits(n), Appender(folder, name), np.zeros(1, np.int64)
+        for k in keys:
+            file.add(Keys._stored(k, bits).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _KEY // 8])
+            counts = counts + np.bincount(Keys._run(k, bits), minlength=2**bits)
+        file.add(np.zeros(3, np.uint8))  # eight bytes are read at once
+        file.close()
+        save(folder, f"starts-of-{name}", np.concatenate([[0], np.cumsum(counts)]).astype(np.uint32 if n < 2**32 else np.int64))
+
+    @staticmethod
+    def _run(keys: np.ndarray, bits: int) -> np.ndarray:
+        return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+
+    @staticmethod
+    def _stored(keys: np.ndarray, bits: int) -> np.ndarray:
+        return (keys << np.uint64(bits)) >> np.uint64(64 - _KEY)
+
+    @staticmethod
+    def find(folder: str, name: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each key's place, and whether it is there."""
+        raw = load(folder, name, "uint8")
+        n = len(raw) // (_KEY // 8)
+        stored = np.ndarray(n, "<u8", raw, strides=(_KEY // 8,))
+        mask, bits = np.uint64(2**_KEY - 1), _place_bits(n)
+        wanted, run = Keys._stored(keys, bits), Keys._run(keys, bits)
+        starts = load(folder, f"starts-of-{name}", "uint32" if n < 2**32 else "int64")
+        low, high = starts[run].astype(np.int64), starts[run + 1].astype(np.int64)
+        ends = high.copy()
+        while (open_ := low < high).any():
+            middle = (low + high) >> 1
+            less = open_ & ((stored[np.minimum(middle, n - 1)] & mask) < wanted)
+            low, high = np.where(less, middle + 1, low), np.where(open_ & ~less, middle, high)
+        at = np.minimum(low, n - 1)
+        return at, (low < ends) & ((stored[at] & mask) == wanted)
+
+
+def _closed(batches: Iterator[pa.RecordBatch], told: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with n-grams; those with counts of counts, which earlier orders pass on, go to `told`."""
+    for b in batches:
+        counts = b.column("range").to_numpy() < 0
+        if counts.any():
+            told.append(b.filter(pa.array(counts)).select(list(_TOLD)))
+            b = b.filter(pa.array(~counts))
+        yield b
 
 
 def _tables(folder: str, order: int, below: Layout | None, block: int, start: int):
     """Writes the n-grams of one order, part by part; gives on what they say of the next order down, and for each part a row
-    with counts of counts. below: the layout of that order, None for blocks of words."""
+    of range -1 with the order and counts of counts; such rows of higher orders pass through. below: the layout of that order, None for blocks of words."""
 
-    def close(part: int, files: list[Appender], sums: np.ndarray) -> pa.RecordBatch:
+    def close(part: int, files: list[Appender], kept: list[np.ndarray], sums: np.ndarray) -> pa.RecordBatch:
         for f in files:
             f.close()
-        return _batch([(part, -1, None, sums.tolist())], _TOLD)
+        Keys.save(folder, f"keys-{order}-{part}", kept)
+        return _batch([(part, -1, None, [order, *sums.tolist()])], _TOLD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_part, files, sums = None, [], np.zeros(4, np.int64)
-        for (part, _), held in _grouped(batches, 2):
+        open_part, files, kept, sums, passed = None, [], [], np.zeros(4, np.int64), []
+        for (part, _), held in _grouped(_closed(batches, passed), 2):
             if part != open_part:
                 if files:
-                    yield close(open_part, files, sums)
-                open_part, files, sums = part, [Appender(folder, f"{name}-{order}-{part}") for name in ("keys", "about", "large")], np.zeros(4, np.int64)
+                    yield close(open_part, files, kept, sums)
+                open_part, files, sums, kept = part, [Appender(folder, f"{name}-{order}-{part}") for name in ("about", "large")], np.zeros(4, np.int64), []
             columns = _joined([x for b in held for x in b.column("blob").to_pylist()])
             keys, numbers, ids = _summed_by(key_of(columns[:order]), [c.astype(np.int64) for c in columns[order:]], columns[:order])
             about = np.stack(numbers, 1)
-            large = (about >= _FULL).any(1)
-            files[0].add(keys)
-            files[1].add(np.minimum(about, _FULL).astype(np.uint32))
-            files[2].add(np.concatenate([keys[large, None].view(np.int64), about[large]], 1))
+            low, large = _narrowed(about)
+            kept.append(keys)
+            files[0].add(low)
+            files[1].add(np.concatenate([keys[large, None].view(np.int64), about[large]], 1))
             counts = numbers[-1]
             sums += [int((counts == k).sum()) for k in (1, 2, 3, 4)]
             seen = counts > 0
@@ -362,28 +503,36 @@ def _tables(folder: str, order: int, below: Layout | None, block: int, start: in
             if below:
                 to, ranges = below.part_of(key_of(shorter)), below.range_of(key_of(shorter))
             else:
-                to, ranges = (shorter[0] // np.uint64(block)).astype(np.int64), np.zeros(len(shorter[0]), np.int64)
+                to, ranges = (shorter[0] % np.uint64(start // block + 1)).astype(np.int64), np.zeros(len(shorter[0]), np.int64)
             yield _batch([(*blob, None) for blob in _blobs(to, ranges, [*shorter, *told])], _TOLD)
         if files:
-            yield close(open_part, files, sums)
+            yield close(open_part, files, kept, sums)
+        yield from passed
 
     return run
 
 
-def _blocks(folder: str, block: int):
-    """Writes what is known about the words of each block; gives counts of counts, and all and the high ones' number."""
+def _blocks(folder: str, block: int, blocks: int):
+    """Writes what is known about the words of each block; gives order 1, counts of counts, and all and the high ones' number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (name, _), held in _grouped(batches, 2):
+        passed: list[pa.RecordBatch] = []
+        for (name, _), held in _grouped(_closed(batches, passed), 2):
             table = np.zeros((len(CONTEXT), block), np.int64)
+            size = 0
             for blob in (x for b in held for x in b.column("blob").to_pylist()):
                 ids, *numbers = _unpacked(blob)
-                at = (ids - np.uint64(name * block)).astype(np.int64)
+                at = (ids // np.uint64(blocks)).astype(np.int64)
+                size = max(size, int(at.max(initial=-1)) + 1)
                 for k, c in enumerate(numbers):
                     np.add.at(table[k], at, c.astype(np.int64))
-            save(folder, f"words-of-block-{name}", table)
+            about = table[:, :size].T
+            low, large = _narrowed(about)
+            save(folder, f"words-of-block-{name}", low)
+            save(folder, f"large-of-block-{name}", np.concatenate([np.flatnonzero(large)[:, None], about[large]], 1))
             before = table[CONTEXT.index("before")]
-            yield _batch([(name, -1, None, [*(int((before == k).sum()) for k in (1, 2, 3, 4)), int(before.sum()), int((before >= 3).sum())])], _TOLD)
+            yield _batch([(name, -1, None, [1, *(int((before == k).sum()) for k in (1, 2, 3, 4)), int(before.sum()), int((before >= 3).sum())])], _TOLD)
+        yield from passed
 
     return run
 
@@ -419,43 +568,46 @@ class Model:
         """CONTEXT for each word number; zeros for unknown ones."""
         out = np.zeros((len(ids), len(CONTEXT)), np.int64)
         known = np.flatnonzero(ids >= 0) if self.unigrams else np.zeros(0, np.int64)  # without training there are no files
-        order = known[np.argsort(ids[known], kind="stable")]
-        to = ids[order] // self.block
+        blocks = self.words.words // self.block + 1
+        order = known[_order(ids[known] % blocks)]
+        to = ids[order] % blocks
         for a, b in _runs(to):
-            table = load(self.words.folder, f"words-of-block-{to[a]}", "int64").reshape(len(CONTEXT), self.block)
-            out[order[a:b]] = table[:, ids[order[a:b]] - to[a] * self.block].T
+            table = load(self.words.folder, f"words-of-block-{to[a]}", "uint8").reshape(-1, len(CONTEXT))
+            at = ids[order[a:b]] // blocks
+            found = table[at].astype(np.int64)
+            if (full := (found == _FULL).any(1)).any():
+                large = load(self.words.folder, f"large-of-block-{to[a]}", "int64").reshape(-1, len(CONTEXT) + 1)
+                found[full] = large[np.searchsorted(large[:, 0], at[full]), 1:]
+            out[order[a:b]] = found
         return out
 
     def _about(self, order: int, keys: np.ndarray, to: np.ndarray) -> np.ndarray:
         """CONTEXT for each n-gram below the highest order, the count alone for the highest; zeros for those not seen."""
         width = 1 if order == self.order else len(CONTEXT)
         out = np.zeros((len(keys), width), np.int64)
-        by = np.lexsort((keys, to))
+        by = _order(keys)
+        by = by[_order(to[by])]
         for a, b in _runs(to[by]):
             rows, part = by[a:b], int(to[by[a]])
             if part not in self.parts[order - 2]:
                 continue
-            stored = load(self.words.folder, f"keys-{order}-{part}", "uint64")
-            at = np.minimum(np.searchsorted(stored, keys[rows]), len(stored) - 1)
-            ok = stored[at] == keys[rows]
-            found = load(self.words.folder, f"about-{order}-{part}", "uint32").reshape(-1, width)[at[ok]].astype(np.int64)
+            at, ok = Keys.find(self.words.folder, f"keys-{order}-{part}", keys[rows])
+            found = load(self.words.folder, f"about-{order}-{part}", "uint8").reshape(-1, width)[at[ok]].astype(np.int64)
             if (found == _FULL).any():
                 large = load(self.words.folder, f"large-{order}-{part}", "int64").reshape(-1, width + 1)
-                place = np.searchsorted(large[:, 0].view(np.uint64), keys[rows][ok])
                 full = (found == _FULL).any(1)
-                found[full] = large[place[full], 1:]
+                found[full] = large[np.searchsorted(large[:, 0].view(np.uint64), keys[rows][ok][full]), 1:]
             out[rows[ok]] = found
         return out
 
-    def probabilities(self, grams: list[np.ndarray], least: np.ndarray) -> np.ndarray:
-        """p(last word | words before) for rows of word numbers; -1 is an unknown word, words.words the start of a text.
-
-        least: the least training count of each row's words before the last.
-        """
-        *before, after = grams
-        d = self.discounts
-        p = _cut(self._about_words(after)[:, 4], d[0]) / max(1, self.unigrams) + self.low_rest / (self.words.words + 1)
-        context = self._about_words(before[-1])  # the start of a text is numbered after the words
+    def probabilities(self, places: list[np.ndarray], ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """p(last word | words before) for rows of places in ids, word numbers with their counts in training; -1 is an unknown
+        word, the place after them the start of a text."""
+        numbers = np.append(ids, self.words.words)  # the start of a text is numbered after the words
+        grams, least = [numbers[p] for p in places], _least(places[:-1], counts, self.starts)
+        after, d, about = grams[-1], self.discounts, self._about_words(numbers)
+        p = _cut(about[places[-1], 4], d[0]) / max(1, self.unigrams) + self.low_rest / (self.words.words + 1)
+        context = about[places[-2]]
         for k in range(2, self.order + 1):
             ids = grams[-k:]
             keys, total = key_of(ids), np.maximum(1, context[:, 0])
@@ -464,7 +616,7 @@ class Model:
                 counts = self._about(k, keys, self.layout.salted_part_of(key_of(ids[:-1]), after, least))[:, 0]
             else:
                 longer = key_of(grams[-k - 1 : -1])  # the context of the next order
-                both, place = np.unique(np.concatenate([keys, longer]), return_inverse=True)
+                place, both = pd.factorize(np.concatenate([keys, longer]))
                 about = self._about(k, both, self.layout.part_of(both))[place]
                 counts = about[: len(keys), 4]
             p = np.where(context[:, 0] > 0, _cut(counts, d[k - 1]) / total + rest * p, p)
@@ -474,10 +626,8 @@ class Model:
     def score(self, texts: list[bytes]) -> dict[str, np.ndarray]:
         hashes, codes, sizes = hashed_tokens(texts)
         ids, counts = self.words.find(hashes)
-        grams = _grams(ids[codes], sizes, self.order, self.words.words)
-        _, first, place = np.unique(key_of(grams), return_index=True, return_inverse=True)
-        distinct = [g[first] for g in grams]
-        p = np.log10(self.probabilities(distinct, _least(distinct[:-1], ids, counts, self.words.words, self.starts)))[place]
+        places, of, _ = _distinct(_grams(codes, sizes, self.order, len(hashes)))
+        p = np.log10(self.probabilities(places, ids, counts))[of]
         base = np.log10((counts + 0.1) / (self.words.tokens + 0.1 * (self.words.words + 1)))[codes]
         starts = np.cumsum(sizes) - sizes
         add = lambda x: np.add.reduceat(x, starts) if len(starts) else x
@@ -497,18 +647,18 @@ def learn(docs: DataFrame, order: int = 3, a_bucket: int = 2_000_000, block: int
     starts = texts.count()
     layout = Layout.of(words.tokens, a_bucket, most_parts)
     rows = layout.dealt(texts.mapInArrow(_counted(words, order, layout, starts), "part int, range int, blob binary"))
-    found, parts = [], []
-    for k in range(order, 1, -1):
-        told = written(rows.mapInArrow(_tables(folder, k, layout if k > 2 else None, block, words.words), _TOLD_SQL), f"told-{k}")
-        sums = told.where("range = -1").agg(*(F.coalesce(F.sum(F.col("sums")[j]), F.lit(0)) for j in range(4)), F.collect_set("part")).first()  # one number for each part
-        found.append(discounts(*sums[:4]))
-        parts.append(frozenset(sums[4]))
-        rows = told.where("range >= 0").select("part", "range", "blob")
+    for k in range(order, 1, -1):  # one job; what an order says of the next is shuffled only, not written besides
+        rows = rows.mapInArrow(_tables(folder, k, layout if k > 2 else None, block, words.words), _TOLD_SQL)
         rows = layout.dealt(rows) if k > 2 else rows.repartition(words.words // block + 1, "part").sortWithinPartitions("part", "range")
-    *n, total, many = rows.mapInArrow(_blocks(folder, block), _TOLD_SQL).agg(*(F.coalesce(F.sum(F.col("sums")[j]), F.lit(0)) for j in range(6))).first()
+    told = rows.mapInArrow(_blocks(folder, block, words.words // block + 1), _TOLD_SQL)
+    each = told.groupBy(F.col("sums")[0].alias("order")).agg(*(F.coalesce(F.sum(F.try_element_at("sums", F.lit(j))), F.lit(0)) for j in range(2, 8)), F.collect_set("part"))
+    sums = {r[0]: r[1:] for r in each.collect()}  # one row for each order; its parts are at most most_parts
+    found = [discounts(*sums[k][:4]) if k in sums else discounts(0, 0, 0, 0) for k in range(2, order + 1)]
+    parts = [frozenset(sums[k][6]) if k in sums else frozenset() for k in range(2, order + 1)]
+    *n, total, many = sums[1][:6] if 1 in sums else [0] * 6
     low = discounts(*n)
     rest = (low[0] * n[0] + low[1] * n[1] + low[2] * many) / total if total else 1.0
-    return Model(words, order, layout, block, starts, (low, *reversed(found)), tuple(reversed(parts)), total, rest)
+    return Model(words, order, layout, block, starts, (low, *found), tuple(parts), total, rest)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -8,6 +8,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import product
+from pathlib import Path
 
 import pytest
 from oracle import assert_same, connect
@@ -741,6 +742,52 @@ def test_large_counts_are_kept(tmp_path):
     assert model._about(2, keys, ngram_lm.np.zeros(5, int))[:, 0].tolist() == [1, 2**32 - 1, 7, 2**40, 2]
 
 
+def test_words_hash_by_their_bytes():
+    """Words of any size: equal hashes just for equal words, and one end for each text."""
+    pick = random.Random(3)
+    words = sorted({"".join(pick.choice("ab\0é") for _ in range(n)) for n in [*range(1, 40), *range(60, 70), 500] for _ in range(20)})
+    texts = [" ".join(pick.choice(words) for _ in range(pick.randrange(60))).encode() for _ in range(100)] + [b"", b" \n\x0b", b"A a"]
+    hashes, codes, sizes = ngram_lm.hashed_tokens(texts)
+    flat = [w for t in texts for w in [*t.lower().split(), b" end"]]
+    assert sizes.tolist() == [len(t.split()) + 1 for t in texts] and len(codes) == len(flat)
+    assert len(set(zip(codes.tolist(), flat, strict=True))) == len(set(flat)) == len(set(hashes.tolist())) == len(hashes)
+    other = ngram_lm.hashed_tokens(texts[::-1])
+    assert set(other[0].tolist()) == set(hashes.tolist())
+
+
+def test_order_is_stable():
+    pick = ngram_lm.np.random.default_rng(1)
+    for most in (2, 2**40, 2**64 - 1):
+        keys = pick.integers(0, most, 5_000, ngram_lm.np.uint64)
+        keys = ngram_lm.np.concatenate([keys, keys[::2], keys[::3] ^ ngram_lm.np.uint64(1)])
+        assert (ngram_lm._order(keys) == ngram_lm.np.argsort(keys, kind="stable")).all()
+    assert len(ngram_lm._order(keys[:0])) == 0 and ngram_lm._order(keys[:1]).tolist() == [0]
+
+
+@pytest.mark.parametrize("n", [1, 100, 5_000])
+def test_keys_are_found(tmp_path, n):
+    np = ngram_lm.np
+    keys = np.unique(np.random.default_rng(n).integers(0, 2**64 - 1, n, np.uint64))
+    ngram_lm.Keys.save(str(tmp_path), "k", [keys[: n // 3], keys[n // 3 :]])
+    at, ok = ngram_lm.Keys.find(str(tmp_path), "k", np.concatenate([keys[::-1], keys ^ np.uint64(2**30), np.array([0, 2**64 - 1], np.uint64)]))
+    assert at[:n].tolist() == list(range(n))[::-1] and ok[:n].all() and not ok[n:].any()
+
+
+def test_model_takes_a_byte_a_number(spark):
+    """What is known of an n-gram takes five bytes of key and one for each number, nothing is written besides the model and
+    the words' counts, and frequent words have the low numbers."""
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(shared.glob("*"))
+    model = ngram_lm.learn(table(spark, SF, "documents"))
+    assert {f.name.split("-")[1] for f in set(shared.glob("*")) - before} == {"lm", "unigrams"}
+    size = lambda name: sum(f.stat().st_size for f in Path(model.words.folder).glob(f"{name}-*"))
+    assert 5 * size("about-3") == size("keys-3") - 3 and size("about-2") == size("keys-2") - 3
+    ids, counts = model.words.find(ngram_lm.load(model.words.folder, "words-0", "uint64"))
+    assert sorted(ids.tolist()) == list(range(model.words.words)) and counts.sum() == model.words.tokens
+    falling = counts[ngram_lm.np.argsort(ids)]
+    assert (2 * falling[:-1] > falling[1:]).all()
+
+
 def test_model_of_odd_rows(odd, none):
     small = ngram_lm.learn(odd, a_bucket=500, block=3)  # many buckets and blocks, hot words dealt over them
     whole = ngram_lm.learn(odd)
