@@ -214,6 +214,9 @@ def vocabulary(texts: DataFrame, folder: str, a_file: int = 500_000) -> Vocabula
 # N-grams
 
 
+_ZSTD = pa.Codec("zstd", compression_level=3)
+
+
 def _packed(columns: list[np.ndarray]) -> bytes:
     """Columns of whole numbers, the first of them in order and kept as differences, each as wide as its largest, compressed."""
     n, parts = len(columns[0]), []
@@ -223,7 +226,7 @@ def _packed(columns: list[np.ndarray]) -> bytes:
         parts.append((width, np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()))
     raw = b"".join(x for _, x in parts)
     head = np.array([n, len(raw), *(w for w, _ in parts)], np.int64).tobytes()
-    return len(columns).to_bytes(8, "little") + head + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+    return len(columns).to_bytes(8, "little") + head + (_ZSTD.compress(raw, asbytes=True) if raw else b"")
 
 
 def _unpacked(blob: bytes) -> list[np.ndarray]:
@@ -307,9 +310,12 @@ def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
 def _blobs(parts: np.ndarray, ranges: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
     """The columns by part and range, in the order of the first column."""
     to = parts * (int(ranges.max(initial=0)) + 1) + ranges
-    first = columns[0].astype(np.uint64)
-    top = int(first.max(initial=0)) + 1
-    order = _order(to.astype(np.uint64) * np.uint64(top) + first) if top * (int(to.max(initial=0)) + 1) < 2**64 else np.lexsort((first, to))
+    key, size = to.astype(np.uint64), int(to.max(initial=0)) + 1
+    for c in columns[:2]:  # sorted by the second column too, as far as 64 bits hold that, they pack better
+        top = int(c.max(initial=0)) + 1
+        if size * top < 2**64:
+            key, size = key * np.uint64(top) + c.astype(np.uint64), size * top
+    order = _order(key) if size > int(to.max(initial=0)) + 1 else np.lexsort((columns[0], to))
     for a, b in _runs(to[order]):
         rows = order[a:b]
         yield int(parts[rows[0]]), int(ranges[rows[0]]), _packed([c[rows] for c in columns])
@@ -407,9 +413,22 @@ _TOLD_SQL = "part int, range int, blob binary, sums array<long>"
 _FULL = 2**8 - 1  # stands for this and higher numbers, which are in a file of their own
 
 
+#: Rows of CONTEXT that one byte stands for: those of rare contexts, whose total is told by the rest. 255 stands for others.
+_RARE = np.array([[o + 2 * w, o, w, 0, b] for o in range(6) for w in range(3) for b in range(14)] + [[_FULL] * len(CONTEXT)] * 4)
+
+
 def _narrowed(about: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A byte for each number, and which rows have a number that is too large for it."""
-    return np.minimum(about, _FULL).astype(np.uint8), (about >= _FULL).any(1)
+    """A byte for each row of numbers, and which rows it doesn't hold."""
+    if about.shape[1] == 1:
+        return np.minimum(about[:, 0], _FULL).astype(np.uint8), about[:, 0] >= _FULL
+    total, once, twice, more, before = about.T
+    rare = (more == 0) & (once < 6) & (twice < 3) & (before < 14) & (total == once + 2 * twice)
+    return np.where(rare, (once * 3 + twice) * 14 + before, _FULL).astype(np.uint8), ~rare
+
+
+def _widened(low: np.ndarray, width: int) -> np.ndarray:
+    """The rows of numbers; all of a row that a byte doesn't hold are _FULL."""
+    return low[:, None].astype(np.int64) if width == 1 else _RARE[low]
 
 
 _KEY = 40  # bits of a key that are stored; those before them are told by its place
@@ -572,9 +591,9 @@ class Model:
         order = known[_order(ids[known] % blocks)]
         to = ids[order] % blocks
         for a, b in _runs(to):
-            table = load(self.words.folder, f"words-of-block-{to[a]}", "uint8").reshape(-1, len(CONTEXT))
+            table = load(self.words.folder, f"words-of-block-{to[a]}", "uint8")
             at = ids[order[a:b]] // blocks
-            found = table[at].astype(np.int64)
+            found = _widened(table[at], len(CONTEXT))
             if (full := (found == _FULL).any(1)).any():
                 large = load(self.words.folder, f"large-of-block-{to[a]}", "int64").reshape(-1, len(CONTEXT) + 1)
                 found[full] = large[np.searchsorted(large[:, 0], at[full]), 1:]
@@ -592,7 +611,7 @@ class Model:
             if part not in self.parts[order - 2]:
                 continue
             at, ok = Keys.find(self.words.folder, f"keys-{order}-{part}", keys[rows])
-            found = load(self.words.folder, f"about-{order}-{part}", "uint8").reshape(-1, width)[at[ok]].astype(np.int64)
+            found = _widened(load(self.words.folder, f"about-{order}-{part}", "uint8")[at[ok]], width)
             if (found == _FULL).any():
                 large = load(self.words.folder, f"large-{order}-{part}", "int64").reshape(-1, width + 1)
                 full = (found == _FULL).any(1)

@@ -755,6 +755,14 @@ def test_words_hash_by_their_bytes():
     assert set(other[0].tolist()) == set(hashes.tolist())
 
 
+def test_numbers_in_a_byte_come_back():
+    np = ngram_lm.np
+    rows = np.array([*product(range(9), range(7), range(4), range(2), (0, 1, 13, 14, 300))])
+    low, large = ngram_lm._narrowed(rows)
+    found = ngram_lm._widened(low, 5)
+    assert (found[~large] == rows[~large]).all() and (found[large] == ngram_lm._FULL).all() and (~large).sum() > 40
+
+
 def test_order_is_stable():
     pick = ngram_lm.np.random.default_rng(1)
     for most in (2, 2**40, 2**64 - 1):
@@ -774,14 +782,14 @@ def test_keys_are_found(tmp_path, n):
 
 
 def test_model_takes_a_byte_a_number(spark):
-    """What is known of an n-gram takes five bytes of key and one for each number, nothing is written besides the model and
+    """What is known of an n-gram takes five bytes of key and one for its numbers if they are small, nothing is written besides the model and
     the words' counts, and frequent words have the low numbers."""
     shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
     before = set(shared.glob("*"))
     model = ngram_lm.learn(table(spark, SF, "documents"))
     assert {f.name.split("-")[1] for f in set(shared.glob("*")) - before} == {"lm", "unigrams"}
     size = lambda name: sum(f.stat().st_size for f in Path(model.words.folder).glob(f"{name}-*"))
-    assert 5 * size("about-3") == size("keys-3") - 3 and size("about-2") == size("keys-2") - 3
+    assert 5 * size("about-3") == size("keys-3") - 3 and 5 * size("about-2") == size("keys-2") - 3
     ids, counts = model.words.find(ngram_lm.load(model.words.folder, "words-0", "uint64"))
     assert sorted(ids.tolist()) == list(range(model.words.words)) and counts.sum() == model.words.tokens
     falling = counts[ngram_lm.np.argsort(ids)]
