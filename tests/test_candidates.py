@@ -47,3 +47,26 @@ def test_pairs_are_not_shuffled_to_be_distinct(spark, dealt):
 def test_conditions_part_at_plain_ands_only():
     assert candidates._conjuncts("f.x = 1 and (f.y = 2 and df.y = 3) and df.z <> 'a and (b'") == ["f.x = 1", "(f.y = 2 and df.y = 3)", "df.z <> 'a and (b'"]
     assert candidates._conjuncts("f.x between 1 and 3") == ["f.x between 1 and 3"]
+
+
+def test_dealt_pairs_are_in_an_order_that_packs(spark, tmp_path):
+    """40 records beside 30,000 of one key: ids that come in one long row take about 2 bytes a pair on disk."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    candidates.candidates(RULES[42], _alike(spark, 40), _alike(spark, 30_000), few=0).write.parquet(str(tmp_path / "out"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    files = list((tmp_path / "out").glob("*.parquet"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1_200_000 and sum(f.stat().st_size for f in files) < 0.6 * 1_200_000
+
+
+def test_a_share_has_few_records(spark, dealt):
+    """A key with one record of A and many of B is dealt over tasks as well as one with many of both."""
+    by_task = dealt(42, _alike(spark, 1), _alike(spark, 600)).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in by_task) == 600 and len(by_task) > 1
+
+
+def test_what_one_side_says_is_asked_once_a_record(spark):
+    assert candidates._either("(substr(f.x, 1, 4) = 'a' or df.y > 2)") == ["substr(f.x, 1, 4) = 'a'", "df.y > 2"]
+    assert not candidates._either("(f.x = df.x or f.y = 1)") and not candidates._either("(f.x = 1) or (df.y = 2)")
+    x, y, _, across = candidates._sides(RULES[15], *pair(spark, "/root/testdata/sf0.001"), candidates.POSTFIX)
+    assert across == ["f.test_0 or df.test_1"] and x.schema["f"].dataType.names == ["test_0", "id"] and y.schema["df"].dataType.names == ["test_1", "id"]
