@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.sources.snapshot import Snapshot
+from pairloom.sources.tables import written
 
 # Beginnings of names that tools give.
 AUTO_NAMES = ("sub_", "nullsub_", "j_", "loc_", "byte_", "word_", "dword_", "qword_", "off_", "unk_")
@@ -84,6 +86,16 @@ _INSTRUCTIONS = (
 )
 
 
+def _spans(instructions: DataFrame) -> DataFrame:
+    """Of each record, the first and last place of its instructions, and whether they are there once each with none between
+    left out: then a place between them is known to be there. Told by the number of places and the exclusive or of their hashes."""
+    place = F.col("pos").cast("long")
+    told = instructions.where("pos is not null").groupBy("func_id").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"), F.bit_xor(F.xxhash64(place)).alias("sign"))
+    wanted = F.aggregate(F.sequence("first", "last"), F.lit(0).cast("long"), lambda x, i: x.bitwiseXOR(F.xxhash64(i)))
+    whole = F.when(F.col("n") == F.col("last") - F.col("first") + 1, F.col("sign") == wanted).otherwise(False)
+    return told.select(F.col("func_id").alias("a_id"), "first", "last", whole.alias("whole"))
+
+
 def plan(matches: DataFrame, a: Snapshot, b: Snapshot, options: Options = Options()) -> DataFrame:  # noqa: B008
     """a_id, b_id, pos, operation, value and number for matches (a_id, b_id, kind, ratio): everything that A's records take
     from B's, and why matches and names are skipped.
@@ -91,38 +103,50 @@ def plan(matches: DataFrame, a: Snapshot, b: Snapshot, options: Options = Option
     pos: the place of an instruction in its record, null for records; instructions of one place belong together. number: flags,
     or which operand. Texts that B lacks or that A has already are left out, so are columns that a side doesn't have. A match
     with an unknown record is skipped. Repeated matches give repeated rows.
+
+    Records are joined once for all their columns. Of the instructions, only those that carry something are sent: where A's
+    places have no gaps, their span tells that a place is there.
     """
     nothing = lambda kind: F.lit(None).cast(kind)
-    row = lambda df, operation, value, number=nothing("long"), pos=nothing("int"): df.select("a_id", "b_id", pos.alias("pos"), operation.alias("operation"), value.alias("value"), number.cast("long").alias("number"))
-    told = _named(matches, a, b, ("name",), "left").withColumn("reason", F.coalesce(_unfit(options), F.when(F.col("known_a").isNull() | F.col("known_b").isNull(), "skip_missing_source")))
-    out = row(told.where("reason is not null"), F.col("reason"), nothing("string"))
-    fit = told.where("reason is null")
+    item = lambda operation, value, number=nothing("long"): F.struct(operation.alias("operation"), value.alias("value"), number.cast("long").alias("number"))
+    none = F.array().cast("array<struct<operation:string,value:string,number:bigint>>")
+    on_both = lambda c: c in a.functions.columns and c in b.functions.columns
+    carried = [(c, o) for c, wanted, o in (("prototype", options.prototypes, "apply_prototype"), ("comment", options.comments, "set_function_comment")) if wanted and on_both(c)]
+    flags = options.flags and on_both("function_flags")
+    told = _named(matches, a, b, ("name", *(c for c, _ in carried), *["function_flags"] * flags), "left")
+    told = told.withColumn("reason", F.coalesce(_unfit(options), F.when(F.col("known_a").isNull() | F.col("known_b").isNull(), "skip_missing_source")))
+    lists = []
     if options.names:
-        reason = _name_reason(options)
-        out = out.union(row(fit, reason, F.when(reason == "rename_function", F.col("name_b"))))
-    fit = fit.select("a_id", "b_id")
-    for c, wanted, operation in (("prototype", options.prototypes, "apply_prototype"), ("comment", options.comments, "set_function_comment")):
-        if wanted and c in a.functions.columns and c in b.functions.columns:
-            out = out.union(row(_named(fit, a, b, (c,)).where(f"{c}_b <> '' and not ({c}_a <=> {c}_b)"), F.lit(operation), F.col(f"{c}_b")))
-    if options.flags and all("function_flags" in s.functions.columns for s in (a, b)):
-        flags = _named(fit, a, b, ("function_flags",)).where("function_flags_b <> 0 and not (function_flags_a <=> function_flags_b)")
-        out = out.union(row(flags, F.lit("set_function_flags"), nothing("string"), F.col("function_flags_b")))
+        named = _name_reason(options)
+        lists.append(F.array(item(named, F.when(named == "rename_function", F.col("name_b")))))
+    for c, operation in carried:
+        lists.append(F.when(F.expr(f"{c}_b <> '' and not ({c}_a <=> {c}_b)"), F.array(item(F.lit(operation), F.col(f"{c}_b")))).otherwise(none))
+    if flags:
+        lists.append(F.when(F.expr("function_flags_b <> 0 and not (function_flags_a <=> function_flags_b)"), F.array(item(F.lit("set_function_flags"), nothing("string"), F.col("function_flags_b")))).otherwise(none))
+    items = F.when(F.col("reason").isNotNull(), F.array(item(F.col("reason"), nothing("string")))).otherwise(F.concat(*lists, none))
     held = [x for x in _INSTRUCTIONS if getattr(options, x[1]) and all("instructions" in s.frames and x[0] in s.instructions.columns for s in (a, b))]
-    if held:  # one positional join for all of them
-        side = lambda s, k: s.instructions.select(F.col("func_id").alias(f"{k}_id"), "pos", *(F.col(c).alias(f"{c}_{k}") for c, _, _ in held))
-        met = fit.join(side(a, "a"), "a_id").join(side(b, "b"), ["b_id", "pos"])
+    told = told.select("a_id", "b_id", F.col("reason").isNull().alias("fit"), items.alias("items"))
+    if held:
+        told = written(told.join(_spans(a.instructions), "a_id", "left"), "told")
+    out = told.select("a_id", "b_id", nothing("int").alias("pos"), F.explode("items").alias("x"))
+    if held:
+        fit = told.where("fit and first is not null").select("a_id", "b_id", "first", "last", "whole")
+        some = reduce(Column.__or__, (F.coalesce(F.col(c) != "", F.lit(False)) for c, _, _ in held))
+        side = lambda s, k: s.select(F.col("func_id").alias(f"{k}_id"), "pos", *(F.col(c).alias(f"{c}_{k}") for c, _, _ in held))
+        given = side(b.instructions.where(some), "b")
+        met = given.join(fit.where("whole").drop("whole"), "b_id").where("pos between first and last").drop("first", "last").join(side(a.instructions.where(some), "a"), ["a_id", "pos"], "left")
+        if not fit.where("not whole").isEmpty():  # places with gaps, or there twice
+            met = met.unionByName(given.join(fit.where("not whole").select("a_id", "b_id"), "b_id").join(side(a.instructions, "a"), ["a_id", "pos"]))
         differ = lambda c: F.col(f"{c}_b").isNotNull() & (F.col(f"{c}_b") != "") & ~F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b"))
-        item = lambda operation, value, number: F.struct(F.lit(operation).alias("operation"), value.alias("value"), number.cast("long").alias("number"))
         lists = []
         for c, _, operation in held:
             if c == "operand_names":
-                found = F.transform(forced_operands(f"{c}_b"), lambda p: item("set_forced_operand", p["name"], p["number"]))
+                found = F.transform(forced_operands(f"{c}_b"), lambda p: item(F.lit("set_forced_operand"), p["name"], p["number"]))
             else:
-                found = F.array(item(operation, F.col(f"{c}_b"), nothing("long")))
-            lists.append(F.when(differ(c), found).otherwise(F.array().cast("array<struct<operation:string,value:string,number:bigint>>")))
-        items = met.select("a_id", "b_id", F.col("pos").cast("int").alias("pos"), F.explode(F.concat(*lists)).alias("x"))
-        out = out.union(items.select("a_id", "b_id", "pos", "x.operation", "x.value", "x.number"))
-    return out
+                found = F.array(item(F.lit(operation), F.col(f"{c}_b")))
+            lists.append(F.when(differ(c), found).otherwise(none))
+        out = out.union(met.select("a_id", "b_id", F.col("pos").cast("int").alias("pos"), F.explode(F.concat(*lists)).alias("x")))
+    return out.select("a_id", "b_id", "pos", "x.operation", "x.value", "x.number")
 
 
 def counters(planned: DataFrame) -> DataFrame:

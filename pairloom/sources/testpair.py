@@ -29,7 +29,9 @@ def _functions(dialect: str, side: str, source: str) -> str:
     spark = dialect == "spark"
     g = "" if spark else ", 'g'"
     changed = "coalesce(text, '')" if side == "a" else "replace(replace(replace(coalesce(text, ''), ' of the ', ' of the system '), ' de ', ' di '), ' der ', ' der' || chr(10))"
-    keep = "" if side == "a" else f"where doc_id in (select min(doc_id) from {source} group by coalesce(text, ''))"
+    text = "coalesce(text, '')"
+    equal = f"unhex(md5({text}))" if spark else text  # a wide text as a key travels as its MD5
+    keep = "" if side == "a" else f"where doc_id in (select min(doc_id) from {source} group by {equal})"
     # a letter for each line, so like texts have like strings
     digest = "array_join(transform({}, x -> substr(md5(x), 1, 1)), '')" if spark else "coalesce(array_to_string([substr(md5(x), 1, 1) for x in {}], ''), '')"
     lines = "split(clean_pseudo, chr(10))" if spark else "string_split(clean_pseudo, chr(10))"

@@ -136,6 +136,44 @@ def test_the_plan_brings_from_b_to_a_and_says_what_it_skips(spark):
     assert importplan.plan(matches.limit(0), a, b).count() == 0
 
 
+def _commented(spark, rows):
+    functions = spark.createDataFrame([(k, "n") for k in {r[0] for r in rows}], "id long, name string")
+    return Snapshot({"functions": functions, "instructions": spark.createDataFrame(rows, "func_id long, pos int, comment1 string")})
+
+
+def test_instructions_meet_by_place_whether_or_not_places_have_gaps(spark):
+    """Record 1 has all its places, 2 lacks some, 3 has some twice, 4 has one twice and lacks one, 5 starts late."""
+    places = {1: [0, 1, 2, 3], 2: [0, 2, 3], 3: [0, 1, 1, 2], 4: [0, 0, 2], 5: [2, 3, 4]}
+    x = [(k, p, "old" if i % 2 else None) for k, at in places.items() for i, p in enumerate(at)]
+    y = [(k + 10, p, c) for k in places for p, c in ((0, "old"), (1, "new"), (2, None), (2, "new"), (3, ""), (3, "old"), (4, "new"), (9, "far"))]
+    matches = spark.createDataFrame([(k, k + 10, "best", 1.0) for k in (*places, 1)], "a_id long, b_id long, kind string, ratio double")
+    found = importplan.plan(matches, _commented(spark, x), _commented(spark, y)).where("operation like 'set_%'")
+    wanted = [(k, k + 10, p, "set_instruction_comment", d, None) for k in (*places, 1) for i, p, c in x if i == k for j, q, d in y if j == k + 10 and q == p and d and d != c]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(wanted, key=str) and len(wanted) > 15
+
+
+def _shuffled(spark):
+    """Rows that this session's stages have shuffled so far."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_instructions_that_carry_nothing_are_not_sent(spark, tmp_path):
+    """Both sides have 20,000 instructions, of which 200 have a comment."""
+    rows = [(k, p, f"c{p}" if p % 100 == k % 2 else None) for k in range(20) for p in range(1_000)]
+    a, b = _commented(spark, rows), _commented(spark, [(k, p, c and c + "!") for k, p, c in rows])
+    for s, k in ((a, "a"), (b, "b")):
+        s.instructions.write.parquet(str(tmp_path / k))
+        s.frames["instructions"] = spark.read.parquet(str(tmp_path / k))
+    before = _shuffled(spark)
+    found = importplan.plan(spark.createDataFrame([(k, k, "best", 1.0) for k in range(20)], "a_id long, b_id long, kind string, ratio double"), a, b)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    assert found.where("operation like 'set_%'").count() == 200
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert _shuffled(spark) - before < 5_000
+
+
 def test_records_of_one_snapshot_side_by_side(spark):
     a, _ = pair(spark, "/root/testdata/sf0.001")
     pairs = a.functions.where("id <= 6").select(F.col("id").alias("a_id"), F.col("id").alias("b_id"))
