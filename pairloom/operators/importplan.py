@@ -77,6 +77,9 @@ def forced_operands(text: str | Column) -> Column:
     return F.when(whole, F.filter(pairs, lambda p: p["name"] != "")).otherwise(F.array().cast("array<struct<number:int,name:string>>"))
 
 
+#: The ids of so many matches at most are sent to all tasks.
+FEW = 2_000_000
+
 #: Column of instructions, option and operation.
 _INSTRUCTIONS = (
     ("comment1", "instruction_comments", "set_instruction_comment"),
@@ -105,7 +108,7 @@ def plan(matches: DataFrame, a: Snapshot, b: Snapshot, options: Options = Option
     with an unknown record is skipped. Repeated matches give repeated rows.
 
     Records are joined once for all their columns. Of the instructions, only those that carry something are sent: where A's
-    places have no gaps, their span tells that a place is there.
+    places have no gaps, their span tells that a place is there. Up to FEW matches are broadcast as ids and spans.
     """
     nothing = lambda kind: F.lit(None).cast(kind)
     item = lambda operation, value, number=nothing("long"): F.struct(operation.alias("operation"), value.alias("value"), number.cast("long").alias("number"))
@@ -133,8 +136,12 @@ def plan(matches: DataFrame, a: Snapshot, b: Snapshot, options: Options = Option
         fit = told.where("fit and first is not null").select("a_id", "b_id", "first", "last", "whole")
         some = reduce(Column.__or__, (F.coalesce(F.col(c) != "", F.lit(False)) for c, _, _ in held))
         side = lambda s, k: s.select(F.col("func_id").alias(f"{k}_id"), "pos", *(F.col(c).alias(f"{c}_{k}") for c, _, _ in held))
-        given = side(b.instructions.where(some), "b")
-        met = given.join(fit.where("whole").drop("whole"), "b_id").where("pos between first and last").drop("first", "last").join(side(a.instructions.where(some), "a"), ["a_id", "pos"], "left")
+        given, ours = side(b.instructions.where(some), "b"), side(a.instructions.where(some), "a")
+        whole = fit.where("whole").drop("whole")
+        if fit.count() <= FEW:  # then instructions of other records are dropped where they are read
+            whole = F.broadcast(whole)
+            ours = ours.join(F.broadcast(fit.select("a_id").distinct()), "a_id", "left_semi")
+        met = given.join(whole, "b_id").where("pos between first and last").drop("first", "last").join(ours, ["a_id", "pos"], "left")
         if not fit.where("not whole").isEmpty():  # places with gaps, or there twice
             met = met.unionByName(given.join(fit.where("not whole").select("a_id", "b_id"), "b_id").join(side(a.instructions, "a"), ["a_id", "pos"]))
         differ = lambda c: F.col(f"{c}_b").isNotNull() & (F.col(f"{c}_b") != "") & ~F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b"))
